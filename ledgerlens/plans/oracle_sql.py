@@ -260,3 +260,318 @@ SELECT entity, period,
 FROM parties GROUP BY 1, 2""")
 oracle("wastage_totals", ["waste"], "SELECT entity, period, sum(total) AS wastage_units FROM waste GROUP BY 1, 2")
 oracle("fill_totals", ["fm"], "SELECT entity, period, creditor_total, debtor_total, wastage_units FROM fm")
+
+
+# ====================================================================== descriptive
+from ..operators.descriptive import DESCRIBE_DAILY, DESCRIBE_FEATURES, DESCRIBE_PL, KPI_METRICS  # noqa: E402
+from ..operators.diagnostic import GRANGER_PAIRS, VARIANCE_COMPONENTS  # noqa: E402
+
+
+def q(x: str, digits: int) -> str:
+    s = float(10 ** digits)
+    return f"(floor(({x}) * {s!r}::DOUBLE + 0.5::DOUBLE) / {s!r}::DOUBLE)"
+
+
+def xstd(n: str, sx: str, sxx: str, scale: int) -> str:
+    """Sample std from exact sums; the big numerator goes through VARCHAR so
+    its conversion to DOUBLE is correctly rounded."""
+    num = f"CAST(CAST(({n}) * ({sxx}) - ({sx}) * ({sx}) AS VARCHAR) AS DOUBLE)"
+    den = f"((CAST({n} AS DOUBLE) * CAST(({n}) - 1 AS DOUBLE)) * {float(10 ** (2 * scale))!r}::DOUBLE)"
+    return f"(CASE WHEN {n} >= 2 THEN sqrt({num} / {den}) END)"
+
+
+def xmean(n: str, sx: str, scale: int) -> str:
+    return f"(CASE WHEN {n} > 0 THEN {dbl(sx, scale)} / CAST({n} AS DOUBLE) END)"
+
+
+def h(x: str) -> str:
+    return f"CAST({x} AS HUGEINT)"
+
+
+cte("lt2", ["fm"], """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY period DESC) AS rn FROM fm) WHERE rn <= 2""")
+
+_kpi_aggs = ", ".join(f"max(CASE WHEN rn = 1 THEN {c} END) AS {c}__l, max(CASE WHEN rn = 2 THEN {c} END) AS {c}__p"
+                      for _, c in KPI_METRICS)
+_kpi_rows = "\nUNION ALL\n".join(
+    f"SELECT entity, {i} AS metric_order, '{label}' AS metric, CAST({c}__l AS DOUBLE) AS latest, "
+    f"CAST(CASE WHEN n_rows = 1 THEN {c}__l ELSE {c}__p END AS DOUBLE) AS previous FROM kg"
+    for i, (label, c) in enumerate(KPI_METRICS))
+oracle("kpi_change", ["lt2"], f"""
+, kg AS (SELECT entity, max(rn) AS n_rows, {_kpi_aggs} FROM lt2 GROUP BY entity)
+SELECT *, CASE WHEN latest IS NOT NULL AND previous IS NOT NULL AND previous <> 0
+               THEN (latest - previous) / abs(previous) END AS change_pct
+FROM ({_kpi_rows})""")
+
+oracle("channel_mix", ["ms"], """
+SELECT entity, period, month, net_sales, cash_pct, foodmandu_pct, pokhara_pct, credit_pct
+FROM ms WHERE net_sales IS NOT NULL""")
+
+cte("trend", ["ms"], """
+SELECT entity, CAST(substr(period, 1, 4) AS INTEGER) AS year, month, month_num, net_sales AS sales
+FROM ms WHERE substr(period, 1, 4) IN ('1998', '1999', '2000') AND net_sales IS NOT NULL""")
+oracle("sales_trend", ["trend"], "SELECT * FROM trend")
+
+
+def _pct(v: str, n: str, p: float) -> str:
+    pos = f"(CAST({n} - 1 AS DOUBLE) * {p!r}::DOUBLE)"
+    lo = f"{v}[CAST(floor({pos}) AS BIGINT) + 1]"
+    hi = f"{v}[CAST(ceil({pos}) AS BIGINT) + 1]"
+    return (f"(CASE WHEN {n} = 0 THEN NULL WHEN ceil({pos}) = floor({pos}) OR {lo} = {hi} THEN {lo} "
+            f"ELSE (ceil({pos}) - {pos}) * {lo} + ({pos} - floor({pos})) * {hi} END)")
+
+
+def describe_sql(src: str, cols: list[str]) -> str:
+    long = "\nUNION ALL\n".join(f"SELECT entity, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM {src}"
+                                for c in cols)
+    return f"""
+, dl AS ({long}),
+dg AS (SELECT entity, feature, count(value) AS cnt, avg(value) AS m, stddev_samp(value) AS s, min(value) AS mn,
+              max(value) AS mx, list_sort(list(value) FILTER (WHERE value IS NOT NULL)) AS v
+       FROM dl GROUP BY 1, 2)
+SELECT entity, feature, cnt AS count, {q('m', 4)} AS mean, {q('s', 4)} AS std, mn AS min,
+  {_pct('v', 'cnt', 0.25)} AS q25, {_pct('v', 'cnt', 0.5)} AS q50, {_pct('v', 'cnt', 0.75)} AS q75, mx AS max
+FROM dg"""
+
+
+oracle("describe_pl", ["pl"], describe_sql("pl", DESCRIBE_PL))
+oracle("describe_daily", ["daily"], describe_sql("daily", DESCRIBE_DAILY))
+oracle("describe_features", ["fm"], describe_sql("fm", DESCRIBE_FEATURES))
+
+_u4s = "CAST(round(sales * 10000.0::DOUBLE) AS BIGINT)"
+oracle("sales_volatility", ["trend"], f"""
+SELECT entity, year, n, {xmean('n', 'sx', 4)} AS mean, {xstd('n', 'sx', 'sxx', 4)} AS std,
+  {xstd('n', 'sx', 'sxx', 4)} / NULLIF({xmean('n', 'sx', 4)}, 0) AS cv
+FROM (SELECT entity, year, count(sales) AS n, sum({_u4s}) AS sx, sum({h(_u4s)} * {h(_u4s)}) AS sxx
+      FROM trend GROUP BY 1, 2)""")
+
+_c2t = c2("total_sales")
+oracle("daily_volatility", ["daily"], f"""
+SELECT entity, n, {xmean('n', 'sx', 2)} AS mean, {xstd('n', 'sx', 'sxx', 2)} AS std,
+  {xstd('n', 'sx', 'sxx', 2)} / NULLIF({xmean('n', 'sx', 2)}, 0) AS cv
+FROM (SELECT entity, count(total_sales) AS n, sum({_c2t}) AS sx, sum({h(_c2t)} * {h(_c2t)}) AS sxx
+      FROM daily GROUP BY 1)""")
+
+oracle("dow_seasonality", ["daily"], f"""
+SELECT entity, dow, dow_mean, overall_mean, dow_mean / NULLIF(overall_mean, 0) AS seasonal
+FROM (SELECT entity, dow, {xmean('n', 'sx', 2)} AS dow_mean, {xmean('n_all', 'sx_all', 2)} AS overall_mean
+      FROM (SELECT *, sum(n) OVER (PARTITION BY entity) AS n_all, sum(sx) OVER (PARTITION BY entity) AS sx_all
+            FROM (SELECT entity, dow, count(*) AS n, sum({_c2t}) AS sx FROM daily GROUP BY 1, 2)))""")
+
+oracle("stockout_proxy", ["cat"], f"""
+SELECT entity, rank, category, qty, value, share, stockout_risk_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY entity ORDER BY stockout_risk_score DESC, category) AS rank FROM (
+    SELECT *, least(greatest(share * 100.0::DOUBLE, 0.0::DOUBLE), 100.0::DOUBLE) AS stockout_risk_score FROM (
+      SELECT *, CASE WHEN {dbl('total2', 2)} <> 0 THEN value / {dbl('total2', 2)} ELSE 0.0::DOUBLE END AS share
+      FROM (SELECT *, sum({c2('value')}) OVER (PARTITION BY entity) AS total2 FROM cat))))
+WHERE rank <= 10""")
+
+# ====================================================================== quality
+oracle("source_coverage", ["pl"], """
+SELECT entity, count(DISTINCT period) AS periods,
+  CASE WHEN count(DISTINCT period) >= 5 THEN 'per_file' ELSE 'legacy' END AS route
+FROM pl GROUP BY entity""")
+
+cte("dq_nc", ["ms", "pl", "daily", "parties"], """
+SELECT 0 AS o, 'monthly_sales_2026' AS dataset, 'net_sales' AS col, count(*) AS rows, count_if(net_sales IS NULL) AS nulls FROM ms WHERE net_sales IS NOT NULL
+UNION ALL SELECT 0, 'monthly_sales_2026', 'cash_pct', count(*), count_if(cash_pct IS NULL) FROM ms WHERE net_sales IS NOT NULL
+UNION ALL SELECT 1, 'monthly_pl', 'sales_value', count(*), count_if(sales_value IS NULL) FROM pl
+UNION ALL SELECT 1, 'monthly_pl', 'cogs', count(*), count_if(cogs IS NULL) FROM pl
+UNION ALL SELECT 1, 'monthly_pl', 'gross_profit', count(*), count_if(gross_profit IS NULL) FROM pl
+UNION ALL SELECT 1, 'monthly_pl', 'profit', count(*), count_if(profit IS NULL) FROM pl
+UNION ALL SELECT 2, 'daily_sales', 'total_sales', count(*), count_if(total_sales IS NULL) FROM daily
+UNION ALL SELECT 2, 'daily_sales', 'cash', count(*), count_if(cash IS NULL) FROM daily
+UNION ALL SELECT 2, 'daily_sales', 'online', count(*), count_if(online IS NULL) FROM daily
+UNION ALL SELECT 3, 'creditors', 'closing', count(*), count_if(closing IS NULL) FROM parties WHERE type = 'creditor'
+UNION ALL SELECT 4, 'debtors', 'closing', count(*), count_if(closing IS NULL) FROM parties WHERE type = 'debtor'""")
+
+oracle("dq_completeness", ["dq_nc"], """
+SELECT dataset, rows, CASE WHEN rows = 0 THEN 0.0::DOUBLE
+  ELSE 1.0::DOUBLE - CAST(nulls AS DOUBLE) / CAST(rows * n_cols AS DOUBLE) END AS completeness
+FROM (SELECT o, dataset, max(rows) AS rows, sum(nulls) AS nulls, count(*) AS n_cols FROM dq_nc GROUP BY 1, 2)""")
+
+oracle("dq_issues", ["dq_nc"], f"""
+, cov AS (SELECT (SELECT count(DISTINCT period) FROM pl) AS m, (SELECT count(DISTINCT date) FROM daily) AS d)
+SELECT o AS dataset_order, dataset, 'Empty dataset' AS issue, 'High' AS severity, 'No rows extracted' AS detail
+FROM (SELECT o, dataset, max(rows) AS rows FROM dq_nc GROUP BY 1, 2) WHERE rows = 0
+UNION ALL
+SELECT o, dataset, 'Missing values', CASE WHEN CAST(nulls AS DOUBLE) / CAST(rows AS DOUBLE) < 0.3::DOUBLE THEN 'Medium' ELSE 'High' END,
+  col || ': ' || CAST(CAST({q('CAST(nulls AS DOUBLE) / CAST(rows AS DOUBLE) * 100.0::DOUBLE', 0)} AS BIGINT) AS VARCHAR) || '% missing'
+FROM dq_nc WHERE rows > 0 AND nulls > 0
+UNION ALL
+SELECT 90, 'coverage', CASE WHEN m >= 6 THEN 'Full' ELSE 'Partial' END || ' ' || CAST(m AS VARCHAR) || '-month window',
+  CASE WHEN m >= 6 THEN 'Low' ELSE 'Medium' END,
+  'P&L for ' || CAST(m AS VARCHAR) || ' months loaded; daily grain for ' || CAST(d AS VARCHAR) || ' days' FROM cov
+UNION ALL
+SELECT 91, 'schema', 'Semi-structured Excel', 'Low', 'Headers irregular; values extracted via label/column mapping'""")
+
+# ====================================================================== diagnostic
+_vd_aggs = ", ".join(f"max(CASE WHEN rn = 1 THEN coalesce({c}, 0.0::DOUBLE) END) AS {c}__l, "
+                     f"max(CASE WHEN rn = 2 THEN coalesce({c}, 0.0::DOUBLE) END) AS {c}__p"
+                     for _, c, _ in VARIANCE_COMPONENTS)
+_vd_rows = "\nUNION ALL\n".join(
+    f"SELECT entity, {i} AS component_order, '{label}' AS component, {c}__l - {c}__p AS value, '{note}' AS note FROM vg"
+    for i, (label, c, note) in enumerate(VARIANCE_COMPONENTS))
+cte("vd", ["lt2"], f"""
+WITH vg AS (SELECT entity, max(rn) AS n_rows, max(CASE WHEN rn = 1 THEN margin_pressure END) AS mp, {_vd_aggs}
+            FROM lt2 GROUP BY entity HAVING max(rn) >= 2)
+{_vd_rows}
+UNION ALL
+SELECT entity, {len(VARIANCE_COMPONENTS)}, 'Margin Pressure', mp, 'COGS MoM% − Sales MoM%' FROM vg""")
+oracle("variance_decomposition", ["vd"], "SELECT * FROM vd")
+
+_x, _y = c2("sales_value"), c2("cogs")
+cte("elast", ["pl"], f"""
+SELECT entity, n, CASE WHEN my <> 0 THEN slope * mx / my END AS elasticity, r2, slope, my - slope * mx AS intercept
+FROM (SELECT entity, n, CASE WHEN n >= 3 AND cxx <> 0 THEN cxy / cxx END AS slope,
+        CAST(sx AS DOUBLE) / 100.0::DOUBLE / CAST(n AS DOUBLE) AS mx,
+        CAST(sy AS DOUBLE) / 100.0::DOUBLE / CAST(n AS DOUBLE) AS my,
+        CASE WHEN n >= 3 AND cxx <> 0 AND cyy <> 0 THEN (cxy / cxx) * (cxy / cyy) END AS r2
+      FROM (SELECT entity, n, sx, sy,
+              CAST(CAST(n * sxx - {h('sx')} * sx AS VARCHAR) AS DOUBLE) AS cxx,
+              CAST(CAST(n * syy - {h('sy')} * sy AS VARCHAR) AS DOUBLE) AS cyy,
+              CAST(CAST(n * sxy - {h('sx')} * sy AS VARCHAR) AS DOUBLE) AS cxy
+            FROM (SELECT entity, count(*) AS n, sum({_x}) AS sx, sum({_y}) AS sy,
+                    sum({h(_x)} * {h(_x)}) AS sxx, sum({h(_y)} * {h(_y)}) AS syy, sum({h(_x)} * {h(_y)}) AS sxy
+                  FROM pl WHERE sales_value IS NOT NULL AND cogs IS NOT NULL GROUP BY 1)))""")
+oracle("cost_elasticity", ["elast"], "SELECT * FROM elast")
+
+
+def _granger_sql(i: int, cause: str, effect: str, label: str) -> str:
+    return f"""
+SELECT entity, {i} AS test_order, '{label}' AS test, {q('f', 3)} AS f_stat, {q('p', 4)} AS p_approx, n,
+  CASE WHEN p < 0.10::DOUBLE THEN 'Evidence of causation' ELSE 'No significant causation at 10%' END AS result
+FROM (SELECT *, CASE WHEN f > 0 THEN least(greatest(exp(-f / 2.0::DOUBLE), 0.0::DOUBLE), 1.0::DOUBLE) ELSE 1.0::DOUBLE END AS p
+  FROM (SELECT entity, n, CASE WHEN ssr_u > 0 THEN (ssr_r - ssr_u) / (ssr_u / CAST(greatest(n - 3, 1) AS DOUBLE))
+                       ELSE 0.0::DOUBLE END AS f
+    FROM (SELECT entity, max(n) AS n, sum((y - br * yl) * (y - br * yl)) AS ssr_r,
+            sum(CASE WHEN b1 IS NOT NULL THEN (y - b1 * yl - b2 * xl) * (y - b1 * yl - b2 * xl)
+                     ELSE (y - br * yl) * (y - br * yl) END) AS ssr_u
+          FROM (SELECT *, CASE WHEN a <> 0 THEN d / a ELSE 0.0::DOUBLE END AS br,
+                  CASE WHEN a * c - b * b <> 0 THEN (c * d - b * e) / (a * c - b * b) END AS b1,
+                  CASE WHEN a * c - b * b <> 0 THEN (a * e - b * d) / (a * c - b * b) END AS b2
+                FROM (SELECT *, sum(yl * yl) OVER (PARTITION BY entity) AS a, sum(yl * xl) OVER (PARTITION BY entity) AS b,
+                        sum(xl * xl) OVER (PARTITION BY entity) AS c, sum(yl * y) OVER (PARTITION BY entity) AS d,
+                        sum(xl * y) OVER (PARTITION BY entity) AS e
+                      FROM (SELECT * FROM (
+                              SELECT entity, n, CAST({effect} AS DOUBLE) AS y,
+                                lag(CAST({effect} AS DOUBLE)) OVER (PARTITION BY entity ORDER BY period) AS yl,
+                                lag(CAST({cause} AS DOUBLE)) OVER (PARTITION BY entity ORDER BY period) AS xl,
+                                row_number() OVER (PARTITION BY entity ORDER BY period) AS rn
+                              FROM gbase)
+                            WHERE rn > 1 AND y IS NOT NULL AND yl IS NOT NULL AND xl IS NOT NULL)))
+          GROUP BY entity)))"""
+
+
+cte("gbase", ["fm"], """
+SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY entity) AS n FROM fm
+               WHERE sales_value IS NOT NULL AND cogs IS NOT NULL) WHERE n >= 4""")
+oracle("granger_lag1", ["fm", "gbase"], """
+SELECT entity, 0 AS test_order, 'Granger (COGS → Sales)' AS test, NULL::DOUBLE AS f_stat, NULL::DOUBLE AS p_approx,
+  n, 'Insufficient data (n<4)' AS result
+FROM (SELECT entity, count(*) AS n FROM fm WHERE sales_value IS NOT NULL AND cogs IS NOT NULL GROUP BY 1) WHERE n < 4
+UNION ALL""" + "\nUNION ALL".join(_granger_sql(i, c, e, lbl) for i, (c, e, lbl) in enumerate(GRANGER_PAIRS)))
+
+oracle("root_cause_notes", ["fm", "vd", "elast", "parties"], """
+, v AS (SELECT entity, max(CASE WHEN component = 'Margin Pressure' THEN value END) AS mp,
+               max(CASE WHEN component = 'COGS Δ' THEN value END) AS cogs_delta FROM vd GROUP BY 1),
+lp AS (SELECT entity, max(period) AS period FROM parties WHERE type = 'creditor' GROUP BY 1),
+topc AS (SELECT entity, party, closing FROM (
+           SELECT p.entity, p.party, p.closing,
+                  row_number() OVER (PARTITION BY p.entity ORDER BY p.closing DESC, p.party DESC) AS r
+           FROM parties p JOIN lp ON p.entity = lp.entity AND p.period = lp.period WHERE p.type = 'creditor')
+         WHERE r = 1),
+j AS (SELECT e.entity, v.mp, v.cogs_delta, el.elasticity, el.r2, topc.party, topc.closing
+      FROM (SELECT DISTINCT entity FROM fm) e LEFT JOIN v USING (entity) LEFT JOIN elast el USING (entity)
+      LEFT JOIN topc USING (entity))
+SELECT * FROM (
+  SELECT entity, 0 AS note_order, CASE WHEN mp > 0 THEN 'COGS grew faster than sales — margin compression is a primary stress driver.' END AS note FROM j
+  UNION ALL
+  SELECT entity, 1, CASE WHEN cogs_delta > 0 THEN 'COGS increased by NPR ' || format('{:,.0f}', cogs_delta) || ' MoM — investigate purchase-cost elasticity.' END FROM j
+  UNION ALL
+  SELECT entity, 2, CASE WHEN elasticity IS NOT NULL THEN 'Estimated COGS–sales elasticity ≈ ' || format('{:,.2f}', elasticity) || ' (R²=' || coalesce(format('{:,.2f}', r2), 'nan') || '): costs move closely with revenue.' END FROM j
+  UNION ALL
+  SELECT entity, 3, CASE WHEN party IS NOT NULL THEN 'Top creditor concentration: ' || party || ' (NPR ' || format('{:,.0f}', closing) || ').' END FROM j)
+WHERE note IS NOT NULL""")
+
+# ====================================================================== predictive
+_c2s = c2("total_sales")
+oracle("daily_features", ["daily"], f"""
+SELECT entity, date, total_sales, lag1, lag7, roll7, roll7_std, dow FROM (
+  SELECT *, CASE WHEN n_ >= 3 THEN {xmean('n_', 'sx_', 2)} END AS roll7,
+            CASE WHEN n_ >= 3 THEN {xstd('n_', 'sx_', 'sxx_', 2)} END AS roll7_std
+  FROM (SELECT *, lag(total_sales) OVER w AS lag1, lag(total_sales, 7) OVER w AS lag7,
+          count({_c2s}) OVER f AS n_, sum({_c2s}) OVER f AS sx_, sum({h(_c2s)} * {h(_c2s)}) OVER f AS sxx_
+        FROM daily
+        WINDOW w AS (PARTITION BY entity ORDER BY date),
+               f AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)))
+WHERE cash IS NOT NULL AND online IS NOT NULL AND credit IS NOT NULL AND total_sales IS NOT NULL
+  AND customers IS NOT NULL AND dine_in_sales IS NOT NULL AND avg_ticket IS NOT NULL AND day_of_week IS NOT NULL
+  AND dow IS NOT NULL AND lag1 IS NOT NULL AND lag7 IS NOT NULL AND roll7 IS NOT NULL AND roll7_std IS NOT NULL""")
+
+
+def _erf_sql(x: str) -> str:
+    from ..functions.stats import AS_A, AS_P
+    a1, a2, a3, a4, a5 = (f"{a!r}::DOUBLE" for a in AS_A)
+    t = f"(1.0::DOUBLE / (1.0::DOUBLE + {AS_P!r}::DOUBLE * abs({x})))"
+    poly = f"({t} * ({a1} + {t} * ({a2} + {t} * ({a3} + {t} * ({a4} + {t} * {a5})))))"
+    y = f"(1.0::DOUBLE - {poly} * exp(-(abs({x}) * abs({x}))))"
+    return f"(CASE WHEN {x} < 0 THEN -{y} ELSE {y} END)"
+
+
+def _phi_sql(z: str) -> str:
+    import math
+    return f"(0.5::DOUBLE * (1.0::DOUBLE + {_erf_sql(f'(({z}) / {math.sqrt(2.0)!r}::DOUBLE)')}))"
+
+
+oracle("forecast_daily", ["daily"], f"""
+, r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS rn FROM daily),
+g AS (SELECT entity, count(*) AS n, sum({_c2s}) AS sx, sum({h(_c2s)} * {h(_c2s)}) AS sxx,
+        count(CASE WHEN rn <= 7 THEN {_c2s} END) AS n7, sum(CASE WHEN rn <= 7 THEN {_c2s} END) AS s7,
+        sum(CASE WHEN rn <= 7 THEN {h(_c2s)} * {h(_c2s)} END) AS s7xx, max(date) AS last_date
+      FROM r GROUP BY 1 HAVING count(*) >= 7),
+s AS (SELECT entity, last_date, {xmean('n7', 's7', 2)} AS mu, {xmean('n', 'sx', 2)} AS overall,
+        coalesce(NULLIF({xstd('n7', 's7', 's7xx', 2)}, 0.0::DOUBLE), NULLIF({xstd('n', 'sx', 'sxx', 2)}, 0.0::DOUBLE),
+                 1.0::DOUBLE) AS sigma FROM g),
+dm AS (SELECT entity, dow, {xmean('dn', 'dsx', 2)} AS dmean
+       FROM (SELECT entity, dow, count(*) AS dn, sum({_c2s}) AS dsx FROM daily GROUP BY 1, 2)),
+hz AS (SELECT s.*, CAST(step AS INTEGER) AS step, CAST(last_date + CAST(step AS INTEGER) AS DATE) AS date,
+         CAST(isodow(CAST(last_date + CAST(step AS INTEGER) AS DATE)) - 1 AS INTEGER) AS dow
+       FROM (SELECT *, unnest(generate_series(1, 7)) AS step FROM s) s),
+fc AS (SELECT hz.*, mu * (CASE WHEN overall <> 0 THEN coalesce(dm.dmean, overall) / overall ELSE 1.0::DOUBLE END) AS forecast
+       FROM hz LEFT JOIN dm ON hz.entity = dm.entity AND hz.dow = dm.dow)
+SELECT entity, step, date, dow, forecast, forecast - 1.2815515655446004::DOUBLE * sigma AS p10, forecast AS p50,
+  forecast + 1.2815515655446004::DOUBLE * sigma AS p90,
+  {q(_phi_sql('(0.6::DOUBLE * mu - forecast) / sigma'), 6)} AS cash_flow_stress_prob
+FROM fc""")
+
+# ====================================================================== prescriptive
+_r4 = lambda c: f"CAST(round({c} * 10000.0::DOUBLE) AS BIGINT)"
+_crit = [("liquidity", 0.3), ("profitability", 0.25), ("feasibility", 0.2), ("risk_reduction", 0.25)]
+_st = ", ".join(f"sqrt(sum({c} * {c})) AS n_{c}, max({c}) AS hi_{c}, min({c}) AS lo_{c}" for c, _ in _crit)
+
+
+def _dist(kind: str) -> str:
+    terms = []
+    for c, w in _crit:
+        v = f"((CASE WHEN n_{c} <> 0 THEN {c} / n_{c} END) * {w!r}::DOUBLE)"
+        ref = f"((CASE WHEN n_{c} <> 0 THEN {kind}_{c} / n_{c} END) * {w!r}::DOUBLE)"
+        terms.append(f"({v} - {ref}) * ({v} - {ref})")
+    acc = "0.0::DOUBLE"
+    for t in terms:
+        acc = f"({acc} + {t})"
+    return f"sqrt({acc})"
+
+
+oracle("topsis_rank", ["pl", "ms"], f"""
+, pa AS (SELECT entity, sum({_r4('profit')}) AS profit4, sum({_r4('total_incomes')}) AS inc4, sum({_r4('cogs')}) AS cogs4
+         FROM pl GROUP BY 1),
+ma AS (SELECT entity, sum({_r4('cash_sales')}) AS cash4, sum({_r4('net_sales')}) AS net4 FROM ms GROUP BY 1),
+alts AS (SELECT pa.entity, CAST(cash4 AS DOUBLE) / NULLIF(CAST(net4 AS DOUBLE), 0) AS liquidity,
+           CAST(profit4 AS DOUBLE) / NULLIF(CAST(inc4 AS DOUBLE), 0) AS profitability, s_acctbal AS feasibility,
+           1.0::DOUBLE - CAST(cogs4 AS DOUBLE) / NULLIF(CAST(inc4 AS DOUBLE), 0) AS risk_reduction
+         FROM pa JOIN ma ON pa.entity = ma.entity JOIN supplier ON s_suppkey = pa.entity),
+st AS (SELECT {_st} FROM alts)
+SELECT entity, liquidity, profitability, feasibility, risk_reduction,
+  {q('CASE WHEN dp + dn <> 0 THEN dn / (dp + dn) END', 10)} AS topsis_score
+FROM (SELECT alts.*, {_dist('hi')} AS dp, {_dist('lo')} AS dn FROM alts, st)""")

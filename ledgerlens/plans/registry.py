@@ -95,3 +95,150 @@ def q_wastage_totals(spark, sf_dir):
 @query("fill_totals")
 def q_fill_totals(spark, sf_dir):
     return fm_of(_t(spark, sf_dir)).select("entity", "period", *feat.FILLED_TOTALS)
+
+
+# ---------------------------------------------------------------- descriptive
+from ..operators import descriptive as desc  # noqa: E402
+from ..operators import diagnostic as diag  # noqa: E402
+from ..operators import predictive as pred  # noqa: E402
+from ..operators import prescriptive as presc  # noqa: E402
+from ..operators import quality as dq  # noqa: E402
+
+
+@query("kpi_change")
+def q_kpi_change(spark, sf_dir):
+    return desc.kpi_change(fm_of(_t(spark, sf_dir)))
+
+
+@query("channel_mix")
+def q_channel_mix(spark, sf_dir):
+    return desc.channel_mix(domain.monthly_sales(_t(spark, sf_dir)))
+
+
+@query("sales_trend")
+def q_sales_trend(spark, sf_dir):
+    return desc.sales_trend(domain.monthly_sales(_t(spark, sf_dir)))
+
+
+@query("describe_pl")
+def q_describe_pl(spark, sf_dir):
+    return desc.describe(domain.monthly_pl(_t(spark, sf_dir)), desc.DESCRIBE_PL)
+
+
+@query("describe_daily")
+def q_describe_daily(spark, sf_dir):
+    return desc.describe(domain.daily_sales(_t(spark, sf_dir)), desc.DESCRIBE_DAILY)
+
+
+@query("describe_features")
+def q_describe_features(spark, sf_dir):
+    return desc.describe(fm_of(_t(spark, sf_dir)), desc.DESCRIBE_FEATURES)
+
+
+@query("sales_volatility")
+def q_sales_volatility(spark, sf_dir):
+    return desc.sales_volatility(desc.sales_trend(domain.monthly_sales(_t(spark, sf_dir))))
+
+
+@query("daily_volatility")
+def q_daily_volatility(spark, sf_dir):
+    return desc.daily_volatility(domain.daily_sales(_t(spark, sf_dir)))
+
+
+@query("dow_seasonality")
+def q_dow_seasonality(spark, sf_dir):
+    return desc.dow_seasonality(domain.daily_sales(_t(spark, sf_dir)))
+
+
+@query("stockout_proxy")
+def q_stockout_proxy(spark, sf_dir):
+    return desc.stockout_proxy(domain.category_sales(_t(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- quality
+def _dq_inputs(t):
+    pl, ms, daily, parties = (domain.monthly_pl(t), domain.monthly_sales(t), domain.daily_sales(t),
+                              domain.party_balances(t))
+    return pl, daily, dq.quality_inputs(ms, pl, daily, parties)
+
+
+@query("source_coverage")
+def q_source_coverage(spark, sf_dir):
+    return dq.source_coverage(domain.monthly_pl(_t(spark, sf_dir)))
+
+
+@query("dq_completeness")
+def q_dq_completeness(spark, sf_dir):
+    _, _, ds = _dq_inputs(_t(spark, sf_dir))
+    return dq.completeness(ds)
+
+
+@query("dq_issues")
+def q_dq_issues(spark, sf_dir):
+    pl, daily, ds = _dq_inputs(_t(spark, sf_dir))
+    return dq.issues(ds, pl, daily)
+
+
+# ---------------------------------------------------------------- diagnostic
+@query("variance_decomposition")
+def q_variance_decomposition(spark, sf_dir):
+    return diag.variance_decomposition(fm_of(_t(spark, sf_dir)))
+
+
+@query("cost_elasticity")
+def q_cost_elasticity(spark, sf_dir):
+    return diag.cost_elasticity(domain.monthly_pl(_t(spark, sf_dir)))
+
+
+@query("granger_lag1")
+def q_granger_lag1(spark, sf_dir):
+    return diag.granger_lag1(fm_of(_t(spark, sf_dir)))
+
+
+@query("root_cause_notes")
+def q_root_cause_notes(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return diag.root_cause_notes(fm_of(t), diag.cost_elasticity(domain.monthly_pl(t)),
+                                 domain.party_balances(t))
+
+
+# ---------------------------------------------------------------- predictive
+@query("daily_features")
+def q_daily_features(spark, sf_dir):
+    return pred.daily_features(domain.daily_sales(_t(spark, sf_dir))).select(
+        "entity", "date", "total_sales", *pred.DAILY_FEATURES)
+
+
+@query("forecast_daily")
+def q_forecast_daily(spark, sf_dir):
+    return pred.forecast_daily(domain.daily_sales(_t(spark, sf_dir)))
+
+
+@query("forecast_daily_sim")
+def q_forecast_daily_sim(spark, sf_dir):
+    return pred.forecast_daily_sim(domain.daily_sales(_t(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- prescriptive
+def supplier_alternatives(t: Tables) -> DataFrame:
+    """Alternatives for TOPSIS: one per supplier, criteria from its history."""
+    from pyspark.sql import functions as F
+    pl = domain.monthly_pl(t)
+    u4 = lambda c: F.round(F.col(c) * F.lit(10000.0)).cast("bigint")
+    p = pl.groupBy("entity").agg(F.sum(u4("profit")).alias("profit4"), F.sum(u4("total_incomes")).alias("inc4"),
+                                 F.sum(u4("cogs")).alias("cogs4"))
+    ms = domain.monthly_sales(t)
+    m = ms.groupBy("entity").agg(F.sum(u4("cash_sales")).alias("cash4"), F.sum(u4("net_sales")).alias("net4"))
+    s = t.supplier.select(F.col("s_suppkey").alias("entity"), F.col("s_acctbal").alias("feasibility"))
+    j = p.join(m, "entity").join(s, "entity")
+    return j.select("entity",
+                    F.try_divide(F.col("cash4").cast("double"), F.col("net4").cast("double")).alias("liquidity"),
+                    F.try_divide(F.col("profit4").cast("double"), F.col("inc4").cast("double")).alias("profitability"),
+                    "feasibility",
+                    (F.lit(1.0) - F.try_divide(F.col("cogs4").cast("double"), F.col("inc4").cast("double")))
+                    .alias("risk_reduction"))
+
+
+@query("topsis_rank")
+def q_topsis_rank(spark, sf_dir):
+    return presc.topsis(supplier_alternatives(_t(spark, sf_dir)))
