@@ -575,3 +575,257 @@ st AS (SELECT {_st} FROM alts)
 SELECT entity, liquidity, profitability, feasibility, risk_reduction,
   {q('CASE WHEN dp + dn <> 0 THEN dn / (dp + dn) END', 10)} AS topsis_score
 FROM (SELECT alts.*, {_dist('hi')} AS dp, {_dist('lo')} AS dn FROM alts, st)""")
+
+
+# ====================================================================== text
+from ..functions.text import (AUDIT_KEYWORDS, DOT_RUN, NOISE_TERMS, NOT_WORD, SECTION_PATTERNS,  # noqa: E402
+                              STOP_WORDS, WORD, WS, section_regex)
+from ..operators.retrieval import (DEDUP_PREFIX, FALLBACK_CHARS, INTRO, MAX_SENTENCES, NO_HITS,  # noqa: E402
+                                   OVERLAP_CAP, PRIORITY_CHARS, PRIORITY_SECTIONS, PRIORITY_SHEETS, RERANK_RULES)
+
+NL = "chr(10)"
+
+
+def s_lit(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+def norm_sql(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({x}, '\\x00', ' ', 'g'), '{WS}+', ' ', 'g'))"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def dots_sql(x: str) -> str:
+    return f"CAST(len(regexp_extract_all({x}, '{DOT_RUN}')) AS INTEGER)"
+
+
+def section_sql(x: str) -> str:
+    whens = " ".join(f"WHEN regexp_matches({x}, {s_lit(section_regex(p, n))}) THEN {s_lit(n)}"
+                     for p, n in SECTION_PATTERNS)
+    return f"(CASE {whens} ELSE 'General' END)"
+
+
+def lowq_page_sql(x: str) -> str:
+    return (f"(contains(lower({x}), 'table of contents') OR contains(lower({x}), 'list of figures') "
+            f"OR ({dots_sql(x)} >= 3 AND length({x}) < 2500))")
+
+
+def lowq_chunk_sql(x: str) -> str:
+    return f"(length({x}) < 80 OR {dots_sql(x)} >= 2 OR starts_with(lower({x}), 'table of contents'))"
+
+
+def useful_sql(x: str) -> str:
+    noise = " OR ".join(f"contains(lower({x}), {s_lit(t)})" for t in NOISE_TERMS)
+    return (f"(length({x}) >= 40 AND NOT regexp_matches({x}, '{DOT_RUN}') "
+            f"AND NOT regexp_matches({x}, '^(?:\\p{{Nd}}|\\.|{WS})+$') "
+            f"AND NOT regexp_matches({strip_sql(x)}, '^#+{WS}*(?:{WORD}|{WS})+$') AND NOT ({noise}))")
+
+
+def audit_sql(x: str) -> str:
+    return "(" + " OR ".join(f"contains(lower({x}), {s_lit(k)})" for k in AUDIT_KEYWORDS) + ")"
+
+
+def terms_sql(x: str) -> str:
+    return f"list_distinct(list_transform(regexp_extract_all({x}, '[A-Za-z]{{4,}}'), lambda w: lower(w)))"
+
+
+def kw_sql(x: str) -> str:
+    stop = "[" + ", ".join(s_lit(w) for w in STOP_WORDS) + "]"
+    return f"list_filter({terms_sql(x)}, lambda w: NOT list_contains({stop}, w))"
+
+
+def overlap_sql(terms: str, text: str) -> str:
+    return f"CAST(len(list_filter({terms}, lambda t: contains(lower({text}), t))) AS INTEGER)"
+
+
+def split_sql(x: str) -> str:
+    return f"string_split(regexp_replace({x}, '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1))"
+
+
+cte("pages", [], f"""
+SELECT doc_id, source, clean FROM (SELECT doc_id, source, {norm_sql('text')} AS clean FROM documents)
+WHERE clean <> '' AND NOT {lowq_page_sql('clean')}""")
+
+
+def _end(x: str, size: int = 800) -> str:
+    e0 = f"least(({x}) + {size}, n)"
+    r = f"instr(reverse(substr(clean, ({x}) + 1, {e0} - ({x}))), ' .')"
+    b = f"(CASE WHEN {r} > 0 THEN ({x}) + ({e0} - ({x})) - {r} - 1 ELSE -1 END)"
+    return f"(CASE WHEN {e0} < n AND {b} > ({x}) + {size // 2} THEN {b} + 1 ELSE {e0} END)"
+
+
+_nx = "greatest(e - 150, s + 1)"
+cte("spans", ["pages"], f"""
+WITH RECURSIVE r(doc_id, source, clean, n, s, e) AS (
+  SELECT doc_id, source, clean, n, 0, {_end('0')}
+  FROM (SELECT *, length(clean) AS n FROM pages)
+  UNION ALL
+  SELECT doc_id, source, clean, n, {_nx}, {_end(_nx)} FROM r WHERE e < n)
+SELECT doc_id, source, clean, s, e, trim(substr(clean, s + 1, e - s)) AS piece FROM r""")
+
+cte("chunks", ["spans"], f"""
+SELECT 'chunk_' || CAST(doc_id AS VARCHAR) || '_' || printf('%04d', pos) AS chunk_id, doc_id, source,
+  CAST(pos AS INTEGER) AS pos, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", piece AS text,
+  {section_sql('piece')} AS section
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS pos FROM spans
+      WHERE piece <> '' AND NOT {lowq_chunk_sql('piece')})""")
+
+oracle("normalize_text", [], f"SELECT doc_id, {norm_sql('text')} AS text FROM documents")
+oracle("detect_section", [], f"SELECT doc_id, {section_sql(norm_sql('text'))} AS section FROM documents")
+oracle("low_quality_pages", [], f"""
+SELECT doc_id, CAST(length(clean) AS INTEGER) AS n_chars, {dots_sql('clean')} AS dot_runs, {lowq_page_sql('clean')} AS low_quality
+FROM (SELECT doc_id, {norm_sql('text')} AS clean FROM documents)""")
+oracle("clean_pages", ["pages"], "SELECT doc_id, clean AS text FROM pages")
+oracle("chunk_text", ["chunks"], 'SELECT chunk_id, doc_id, pos, start, "end", text, section FROM chunks')
+oracle("low_quality_chunks", ["spans"], f"""
+SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", {lowq_chunk_sql('piece')} AS low_quality FROM spans""")
+
+oracle("markdown_sections", [], f"""
+SELECT doc_id, 0 AS pos, 'summary_' || CAST(doc_id AS VARCHAR) || '_0001' AS chunk_id, text, 'Research Summary' AS section
+FROM documents
+UNION ALL
+SELECT doc_id, CAST(i AS INTEGER) AS pos, 'summary_' || CAST(doc_id AS VARCHAR) || '_' || printf('%04d', i + 1) AS chunk_id,
+  sec AS text, {strip_sql(f"replace(string_split(sec, {NL})[1], '#', '')")} AS section
+FROM (SELECT doc_id, unnest(hs) AS sec, unnest(generate_series(1, len(hs))) AS i
+      FROM (SELECT doc_id, list_transform(list_filter(list_transform(string_split(text, {NL} || '## '),
+                     lambda p: {strip_sql('p')}), lambda p: p <> ''),
+                     lambda p: CASE WHEN starts_with(p, '#') THEN p ELSE '## ' || p END) AS hs FROM documents))""")
+
+cte("sents", ["pages"], f"""
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS spos, sentence FROM (
+  SELECT doc_id, unnest(ss) AS sentence, unnest(generate_series(1, len(ss))) AS i
+  FROM (SELECT doc_id, {split_sql('clean')} AS ss FROM pages))""")
+oracle("sentence_split", ["sents"], "SELECT * FROM sents")
+oracle("useful_sentences", ["sents"], f"SELECT doc_id, spos, {useful_sql(strip_sql('sentence'))} AS useful FROM sents")
+
+_UT = "(SELECT conv_id, turn, text FROM conversations WHERE role = 'user')"
+oracle("audit_query_flag", [], f"SELECT conv_id, turn, {audit_sql('text')} AS audit FROM {_UT}")
+oracle("query_terms", [], f"""
+SELECT conv_id, turn, CAST(len({terms_sql('text')}) AS INTEGER) AS n_terms,
+  array_to_string(list_sort({terms_sql('text')}), ' ') AS terms, array_to_string(list_sort({kw_sql('text')}), ' ') AS keywords
+FROM {_UT}""")
+oracle("keyword_overlap", [], f"""
+SELECT u.conv_id, u.turn, {overlap_sql(terms_sql('u.text'), 'r.text')} AS overlap
+FROM {_UT} u JOIN conversations r ON r.conv_id = u.conv_id AND r.turn = u.turn + 1""")
+
+# ---------------------------------------------------------------- retrieval
+cte("emb", [], """
+SELECT vec_id, vec, sqrt(list_reduce(list_transform(vec, lambda x: x * x), lambda a, x: a + x)) AS vnorm
+FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings)""")
+
+cte("corpus", ["chunks", "emb"], """
+SELECT c.chunk_id, c.doc_id, 1 AS page, c.section, 'proposal' AS source_type, c.source AS file_name,
+  '' AS sheet_name, '' AS report_period, c.text, e.vec, e.vnorm
+FROM chunks c JOIN emb e ON c.doc_id = e.vec_id""")
+
+cte("qs", ["emb"], f"""
+SELECT *, CASE WHEN audit THEN greatest(eff_k * 8, 24) ELSE greatest(eff_k * 3, eff_k) END AS fetch_k FROM (
+  SELECT item_id AS question_id, text AS question, lower(text) AS q_lower, {audit_sql('text')} AS audit,
+    {terms_sql('text')} AS terms, {kw_sql('text')} AS kw, 5 AS k,
+    CASE WHEN {audit_sql('text')} THEN greatest(5, 8) ELSE 5 END AS eff_k, e.vec AS qvec, e.vnorm AS qnorm
+  FROM benchmark JOIN emb e ON e.vec_id = item_id)""")
+
+cte("cand", ["qs", "corpus"], """
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, chunk_id) AS fetch_rank FROM (
+    SELECT q.*, c.*, list_reduce(list_transform(generate_series(1, len(c.vec)), lambda i: q.qvec[i] * c.vec[i]),
+                                 lambda a, x: a + x) / (q.qnorm * c.vnorm) AS similarity
+    FROM qs q, corpus c))
+WHERE fetch_rank <= fetch_k""")
+
+
+def _field_sql(name: str) -> str:
+    return {"section": "section", "source_type": "source_type", "page": "page",
+            "sheet_lower": "lower(coalesce(sheet_name, ''))", "section_lower": "lower(section)",
+            "doc_lower": "lower(text)", "period_lower": "lower(coalesce(report_period, ''))"}[name]
+
+
+def _cond_sql(field: str, op: str, value) -> str:
+    f = _field_sql(field)
+    if op == "eq":
+        return f"{f} = {value if isinstance(value, int) else s_lit(value)}"
+    if op == "in":
+        return f"{f} IN ({', '.join(s_lit(v) for v in value)})"
+    if op == "not_in":
+        return f"{f} NOT IN ({', '.join(s_lit(v) for v in value)})"
+    if op == "startswith":
+        return f"starts_with({f}, {s_lit(value)})"
+    if op == "contains_any":
+        return "(" + " OR ".join(f"contains({f}, {s_lit(v)})" for v in value) + ")"
+    raise ValueError(op)
+
+
+def _score_sql() -> str:
+    acc = "similarity"
+    for qcond, hconds, boost in RERANK_RULES:
+        if qcond == "@overlap":
+            term = f"least(CAST({overlap_sql('terms', 'text')} AS DOUBLE) * {boost!r}::DOUBLE, {OVERLAP_CAP!r}::DOUBLE)"
+        else:
+            conds = [_cond_sql(*h) for h in hconds]
+            if qcond == "@audit":
+                conds.insert(0, "audit")
+            elif qcond is not None:
+                conds.insert(0, f"contains(q_lower, {s_lit(qcond)})")
+            term = f"(CASE WHEN {' AND '.join(conds)} THEN {boost!r}::DOUBLE ELSE 0.0::DOUBLE END)"
+        acc = f"({acc} + {term})"
+    return acc
+
+
+cte("hits", ["cand"], f"""
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, similarity DESC, chunk_id) AS rank
+  FROM (SELECT *, {q(_score_sql(), 4)} AS score FROM cand))
+WHERE rank <= eff_k""")
+
+oracle("knn_cosine", ["cand"], "SELECT question_id, fetch_rank, chunk_id, similarity FROM cand WHERE fetch_rank <= k")
+oracle("knn_overfetch", ["cand"], "SELECT question_id, fetch_rank, chunk_id, similarity, fetch_k FROM cand")
+oracle("hybrid_rerank", ["hits"], "SELECT question_id, rank, chunk_id, similarity, score FROM hits")
+oracle("ask_topk", ["hits"], "SELECT question_id, rank, chunk_id, score, audit, eff_k FROM hits WHERE rank <= k")
+
+LABEL_SQL = """(CASE WHEN source_type = 'audit_data' THEN concat_ws(' | ', 'Audit Data',
+    coalesce(NULLIF(report_period, ''), 'Unknown period'), NULLIF(file_name, ''),
+    coalesce(NULLIF(sheet_name, ''), NULLIF(section, '')))
+  ELSE 'Proposal p.' || CAST(page AS VARCHAR) || ' | ' || coalesce(section, 'General') END)"""
+
+oracle("context_blocks", ["hits"], f"""
+SELECT question_id, string_agg('[Source ' || CAST(rank AS VARCHAR) || ' | ' || {LABEL_SQL} || ' | Relevance: '
+  || CAST(score AS VARCHAR) || ']' || {NL} || text, {NL} || {NL} ORDER BY rank) AS context
+FROM hits WHERE rank <= k GROUP BY question_id""")
+
+
+def _cut_sql(x: str, n: int) -> str:
+    return f"(substr({x}, 1, {n}) || CASE WHEN length({x}) > {n} THEN '...' ELSE '' END)"
+
+
+_pri = (f"(section IN ({', '.join(s_lit(v) for v in PRIORITY_SECTIONS)}) "
+        f"OR sheet_name IN ({', '.join(s_lit(v) for v in PRIORITY_SHEETS)}))")
+oracle("extractive_answer", ["hits", "qs"], f"""
+, hl AS (SELECT *, {LABEL_SQL} AS label FROM hits),
+pq AS (SELECT question_id,
+         arg_min(struct_pack(source_type := source_type, label := label, text := text), rank) FILTER (WHERE {_pri}) AS pri,
+         arg_min(struct_pack(section := section, page := page, text := text), rank) AS top
+       FROM hl GROUP BY question_id),
+ss AS (SELECT question_id, rank, kw, score, label, sentence, spos FROM (
+         SELECT question_id, rank, kw, score, label, {strip_sql('raw')} AS sentence, spos FROM (
+           SELECT question_id, rank, kw, score, label, unnest(sp) AS raw, unnest(generate_series(0, len(sp) - 1)) AS spos
+           FROM (SELECT *, {split_sql('text')} AS sp FROM hl)))
+       WHERE {useful_sql('sentence')}),
+t6 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sscore DESC, rank, spos) AS srank
+                      FROM (SELECT *, CAST({overlap_sql('kw', 'sentence')} AS DOUBLE) + score AS sscore FROM ss))
+       WHERE srank <= {MAX_SENTENCES}),
+dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, substr(sentence, 1, {DEDUP_PREFIX}) ORDER BY srank) AS dup
+                      FROM t6) WHERE dup = 1),
+ln AS (SELECT question_id, string_agg('- ' || sentence || ' (' || label || ')', {NL} || {NL} ORDER BY srank) AS ls
+       FROM dd GROUP BY question_id)
+SELECT q.question_id,
+  CASE WHEN pq.top IS NULL THEN {s_lit(NO_HITS)}
+       WHEN pq.pri IS NOT NULL AND pq.pri.source_type = 'audit_data'
+         THEN 'Based on audit data (' || pq.pri.label || '):' || {NL} || {NL} || {_cut_sql('pq.pri.text', PRIORITY_CHARS)}
+       WHEN ln.ls IS NOT NULL THEN {s_lit(INTRO)} || {NL} || {NL} || ln.ls
+       ELSE 'Based on the most relevant section (' || pq.top.section || ', p. ' || CAST(pq.top.page AS VARCHAR) || '):'
+            || {NL} || {NL} || {_cut_sql('pq.top.text', FALLBACK_CHARS)} END AS answer,
+  'extractive' AS backend
+FROM qs q LEFT JOIN pq ON q.question_id = pq.question_id LEFT JOIN ln ON q.question_id = ln.question_id""")

@@ -242,3 +242,164 @@ def supplier_alternatives(t: Tables) -> DataFrame:
 @query("topsis_rank")
 def q_topsis_rank(spark, sf_dir):
     return presc.topsis(supplier_alternatives(_t(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- text + retrieval
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions import text as tx  # noqa: E402
+from ..operators import chunking as ch  # noqa: E402
+from ..operators import retrieval as rt  # noqa: E402
+
+
+def proposal_chunks(t: Tables) -> DataFrame:
+    """Chunks of the cleaned documents with chunk metadata."""
+    pages = ch.clean_pages(t.documents.select("doc_id", "source", "text"))
+    c = ch.chunk_text(pages, extra=["source"])
+    return c.select("chunk_id", "doc_id", F.lit(1).alias("page"), "section", F.lit("proposal").alias("source_type"),
+                    F.col("source").alias("file_name"), F.lit("").alias("sheet_name"),
+                    F.lit("").alias("report_period"), "text")
+
+
+def vector_corpus(t: Tables) -> DataFrame:
+    """Chunks carrying their document's vector (documents without a
+    vector are not indexed)."""
+    emb = rt.as_vectors(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")).drop("embedding")
+    return proposal_chunks(t).join(emb, "doc_id")
+
+
+def question_batch(t: Tables) -> DataFrame:
+    """The question batch: benchmark items; a question's vector is the stored
+    vector with the same id (embedding inference is out of scope)."""
+    emb = rt.as_vectors(t.embeddings.select(F.col("vec_id").alias("question_id"), "embedding")).drop("embedding")
+    return t.benchmark.select(F.col("item_id").alias("question_id"), F.col("text").alias("question")).join(
+        emb, "question_id")
+
+
+def hits_of(spark, sf_dir, k=rt.DEFAULT_K):
+    t = _t(spark, sf_dir)
+    return rt.search(vector_corpus(t), question_batch(t), k)
+
+
+@query("normalize_text")
+def q_normalize_text(spark, sf_dir):
+    return _t(spark, sf_dir).documents.select("doc_id", tx.normalize_text(F.col("text")).alias("text"))
+
+
+@query("detect_section")
+def q_detect_section(spark, sf_dir):
+    d = _t(spark, sf_dir).documents
+    return d.select("doc_id", tx.detect_section(tx.normalize_text(F.col("text"))).alias("section"))
+
+
+@query("low_quality_pages")
+def q_low_quality_pages(spark, sf_dir):
+    d = _t(spark, sf_dir).documents.select("doc_id", tx.normalize_text(F.col("text")).alias("clean"))
+    return d.select("doc_id", F.length("clean").alias("n_chars"), tx.dot_runs(F.col("clean")).alias("dot_runs"),
+                    tx.low_quality_page(F.col("clean")).alias("low_quality"))
+
+
+@query("clean_pages")
+def q_clean_pages(spark, sf_dir):
+    return ch.clean_pages(_t(spark, sf_dir).documents.select("doc_id", "text")).select(
+        "doc_id", F.col("clean").alias("text"))
+
+
+@query("chunk_text")
+def q_chunk_text(spark, sf_dir):
+    pages = ch.clean_pages(_t(spark, sf_dir).documents.select("doc_id", "text"))
+    return ch.chunk_text(pages)
+
+
+@query("low_quality_chunks")
+def q_low_quality_chunks(spark, sf_dir):
+    pages = ch.clean_pages(_t(spark, sf_dir).documents.select("doc_id", "text"))
+    spans = pages.select("doc_id", "clean", F.posexplode(ch.chunk_spans(F.col("clean"))).alias("i", "sp"))
+    piece = F.trim(F.substr(F.col("clean"), F.col("sp.s") + 1, F.col("sp.e") - F.col("sp.s")))
+    return spans.select("doc_id", F.col("sp.s").alias("start"), F.col("sp.e").alias("end"),
+                        tx.low_quality_chunk(piece).alias("low_quality"))
+
+
+@query("markdown_sections")
+def q_markdown_sections(spark, sf_dir):
+    return ch.markdown_sections(_t(spark, sf_dir).documents.select("doc_id", "text"))
+
+
+@query("sentence_split")
+def q_sentence_split(spark, sf_dir):
+    pages = ch.clean_pages(_t(spark, sf_dir).documents.select("doc_id", "text"))
+    return pages.select("doc_id", F.posexplode(tx.split_sentences(F.col("clean"))).alias("spos", "sentence"))
+
+
+@query("useful_sentences")
+def q_useful_sentences(spark, sf_dir):
+    s = q_sentence_split(spark, sf_dir).withColumn("sentence", tx.strip_ws(F.col("sentence")))
+    return s.select("doc_id", "spos", tx.useful_sentence(F.col("sentence")).alias("useful"))
+
+
+def _user_turns(t: Tables) -> DataFrame:
+    return t.conversations.where(F.col("role") == "user").select("conv_id", "turn", "text")
+
+
+@query("audit_query_flag")
+def q_audit_query_flag(spark, sf_dir):
+    return _user_turns(_t(spark, sf_dir)).select("conv_id", "turn", tx.audit_query(F.col("text")).alias("audit"))
+
+
+@query("query_terms")
+def q_query_terms(spark, sf_dir):
+    u = _user_turns(_t(spark, sf_dir))
+    terms = tx.query_terms(F.col("text"))
+    kw = tx.keyword_terms(F.col("text"))
+    return u.select("conv_id", "turn", F.size(terms).alias("n_terms"),
+                    F.array_join(F.array_sort(terms), " ").alias("terms"),
+                    F.array_join(F.array_sort(kw), " ").alias("keywords"))
+
+
+@query("keyword_overlap")
+def q_keyword_overlap(spark, sf_dir):
+    """Terms of each user turn found in the reply that follows it."""
+    t = _t(spark, sf_dir)
+    u = _user_turns(t).select("conv_id", "turn", tx.query_terms(F.col("text")).alias("terms"))
+    r = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    return u.join(r, ["conv_id", "turn"]).select("conv_id", "turn",
+                                                 tx.keyword_overlap(F.col("terms"), F.col("reply")).alias("overlap"))
+
+
+@query("knn_cosine")
+def q_knn_cosine(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    qf = rt.question_frame(question_batch(t))
+    c = rt._candidates(vector_corpus(t), qf, rt.DEFAULT_K)
+    return c.where(F.col("fetch_rank") <= F.col("k")).select("question_id", "fetch_rank", "chunk_id", "similarity")
+
+
+@query("knn_overfetch")
+def q_knn_overfetch(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    qf = rt.question_frame(question_batch(t))
+    c = rt._candidates(vector_corpus(t), qf, rt.DEFAULT_K)
+    return c.select("question_id", "fetch_rank", "chunk_id", "similarity", "fetch_k")
+
+
+@query("hybrid_rerank")
+def q_hybrid_rerank(spark, sf_dir):
+    return hits_of(spark, sf_dir).select("question_id", "rank", "chunk_id", "similarity", "score")
+
+
+@query("ask_topk")
+def q_ask_topk(spark, sf_dir):
+    h = hits_of(spark, sf_dir)
+    return h.where(F.col("rank") <= F.col("k")).select("question_id", "rank", "chunk_id", "score", "audit", "eff_k")
+
+
+@query("context_blocks")
+def q_context_blocks(spark, sf_dir):
+    return rt.context_blocks(hits_of(spark, sf_dir))
+
+
+@query("extractive_answer")
+def q_extractive_answer(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    hits = rt.search(vector_corpus(t), question_batch(t))
+    return rt.extractive_answer(question_batch(t), hits)
