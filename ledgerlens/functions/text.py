@@ -76,12 +76,19 @@ def strip_ws(col) -> Column:
     return F.regexp_replace(_c(col), f"^{WS}+|{WS}+$", "")
 
 
+def _first_word(pattern: str) -> str:
+    return pattern.split("\\")[0].rstrip("?").lower()
+
+
 def detect_section(col, default: str = "General") -> Column:
-    """First matching heading pattern, else ``default``."""
+    """First matching heading pattern, else ``default``.  A plain
+    substring test on the pattern's first word guards each regex, so most
+    texts never run a regex at all."""
     c = _c(col)
+    low = F.lower(c)
     expr = None
     for pattern, name in SECTION_PATTERNS:
-        cond = c.rlike(section_regex(pattern, name))
+        cond = low.contains(_first_word(pattern)) & c.rlike(section_regex(pattern, name))
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
     return expr.otherwise(F.lit(default))
 

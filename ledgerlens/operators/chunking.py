@@ -23,35 +23,51 @@ SHEET_CHUNK_SIZE = 900
 _SPANS = "array<struct<s:int,e:int>>"
 
 
-def chunk_spans(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+def chunk_spans(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+                length: Column | None = None) -> Column:
     """X7 loop as positions: window [start, start+size); if more text
     follows, end moves back to just after the last '. ' inside the window
     when that lies past the window's midpoint; next start =
     max(end - overlap, start + 1).  Returns array<struct<s, e>> (0-based,
     end exclusive).  The iteration bound follows from the minimum advance
-    per step, so every text is processed whole."""
-    n = F.length(text)
+    per step, so every text is processed whole.  Pass ``length`` as a
+    precomputed column: inside the loop it would be re-counted each step."""
+    n = F.length(text) if length is None else length
     advance = max(size // 2 + 2 - overlap, 1)
     bound = F.floor(n / F.lit(advance)).cast("int") + F.lit(2)
     init = F.struct(F.lit(0).alias("s"), F.lit(False).alias("done"), F.array().cast(_SPANS).alias("spans"))
 
+    def let(value: Column, body):
+        # Bind ``value`` once: interpreted lambdas would otherwise re-evaluate
+        # a shared sub-expression at every reference.
+        return F.element_at(F.transform(F.array(value), body), 1)
+
     def step(acc, _):
         s = acc["s"]
         e0 = F.least(s + F.lit(size), n)
-        r = F.instr(F.reverse(F.substr(text, s + F.lit(1), e0 - s)), " .")
-        b = F.when(r > 0, s + (e0 - s) - r - F.lit(1)).otherwise(F.lit(-1))
-        e = F.when((e0 < n) & (b > s + F.lit(size // 2)), b + F.lit(1)).otherwise(e0)
-        nxt = F.greatest(e - F.lit(overlap), s + F.lit(1))
-        grown = F.concat(acc["spans"], F.array(F.struct(s.alias("s"), e.alias("e"))))
-        return F.when(acc["done"], acc).otherwise(
-            F.struct(F.when(e >= n, s).otherwise(nxt).alias("s"), (e >= n).alias("done"), grown.alias("spans")))
+
+        def with_r(r):
+            b = F.when(r > 0, s + (e0 - s) - r - F.lit(1)).otherwise(F.lit(-1))
+            e_expr = F.when((e0 < n) & (b > s + F.lit(size // 2)), b + F.lit(1)).otherwise(e0)
+
+            def with_e(e):
+                nxt = F.greatest(e - F.lit(overlap), s + F.lit(1))
+                grown = F.concat(acc["spans"], F.array(F.struct(s.alias("s"), e.alias("e"))))
+                return F.struct(F.when(e >= n, s).otherwise(nxt).alias("s"), (e >= n).alias("done"),
+                                grown.alias("spans"))
+            return let(e_expr, with_e)
+
+        r_expr = F.when(e0 < n, F.instr(F.reverse(F.substr(text, s + F.lit(1), e0 - s)), " .")).otherwise(F.lit(0))
+        return F.when(acc["done"], acc).otherwise(let(r_expr, with_r))
 
     return F.aggregate(F.sequence(F.lit(1), bound), init, step, lambda acc: acc["spans"])
 
 
 def clean_pages(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Normalised text per page; empty and low-quality pages dropped."""
-    d = docs.withColumn("clean", normalize_text(F.col(text_col)))
+    # The one-row inline is a barrier: the filter below cannot be pushed under
+    # it, so the (costly) normalisation runs once, not once per reference.
+    d = docs.select("*", F.inline(F.array(F.struct(normalize_text(F.col(text_col)).alias("clean")))))
     return d.where((F.col("clean") != "") & ~low_quality_page(F.col("clean")))
 
 
@@ -61,7 +77,8 @@ def chunk_text(pages: DataFrame, id_col: str = "doc_id", text_col: str = "clean"
     dropped, section detected per chunk.  One projection and an explode:
     no shuffle."""
     text = F.col(text_col)
-    pieces = F.transform(chunk_spans(text, size, overlap), lambda sp: F.struct(
+    pages = pages.withColumn("_len", F.length(text))
+    pieces = F.transform(chunk_spans(text, size, overlap, F.col("_len")), lambda sp: F.struct(
         sp["s"].alias("s"), sp["e"].alias("e"),
         F.trim(F.substr(text, sp["s"] + F.lit(1), sp["e"] - sp["s"])).alias("piece")))
     kept = F.filter(pieces, lambda p: (p["piece"] != "") & ~low_quality_chunk(p["piece"]))

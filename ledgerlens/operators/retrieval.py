@@ -109,26 +109,111 @@ def _batches(questions: DataFrame, max_batch: int) -> list[DataFrame]:
     return [questions.where(b == i) for i in range(nb)]
 
 
-def _candidates(corpus: DataFrame, qf: DataFrame, k: int) -> DataFrame:
-    """V1 + V2 for one bounded batch: cosine of every (chunk, question),
-    then the first ``fetch_k`` chunks per question by similarity."""
-    qcols = ["question_id", "question", "q_lower", "audit", "terms", "kw", "k", "eff_k", "fetch_k", "vec",
-             "vec_norm"]
+QUESTION_COLS = ["question_id", "question", "q_lower", "audit", "terms", "kw", "k", "eff_k", "fetch_k"]
+CAND_SCHEMA = ("chunk_id string, doc_id bigint, page int, section string, source_type string, file_name string, "
+               "sheet_name string, report_period string, text string, question_id bigint, similarity double")
+# Scores per numpy block: chunks x questions doubles kept under ~32 MB.
+BLOCK_CELLS = 4_000_000
+
+
+def _candidates_builtin(corpus: DataFrame, qf: DataFrame, k: int) -> DataFrame:
+    """V1 + V2 with built-in functions only: the question batch is a scalar
+    subquery array; each corpus row scores it with ``aggregate(zip_with)``."""
+    qcols = QUESTION_COLS + ["vec", "vec_norm"]
     qarr = qf.select(F.collect_list(F.struct(*qcols)).alias("qs")).scalar()
     # The subquery result is projected first: higher-order functions may
     # reference its column but not the subquery itself.
     scored = corpus.withColumn("qs", qarr).select(*HIT_COLS, F.explode(F.transform("qs", lambda q: F.struct(
-        *[q[c].alias(c) for c in qcols if c not in ("vec", "vec_norm")],
+        *[q[c].alias(c) for c in QUESTION_COLS],
         (dot(q["vec"], F.col("vec")) / (q["vec_norm"] * F.col("vec_norm"))).alias("similarity")))).alias("m"))
-    scored = scored.select(*HIT_COLS, "m.*")
+    return _top_fetch(scored.select(*HIT_COLS, "m.*"), k)
+
+
+def _top_fetch(scored: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("question_id").orderBy(F.col("similarity").desc(), F.col("chunk_id"))
-    limit = _max_fetch(k)
-    ranked = scored.withColumn("fetch_rank", F.row_number().over(w)).where(F.col("fetch_rank") <= limit)
+    ranked = scored.withColumn("fetch_rank", F.row_number().over(w)).where(F.col("fetch_rank") <= _max_fetch(k))
     # The reference also caps fetch_k at the corpus size; ranks never exceed
     # it, so the cap needs no extra pass.
     return ranked.where(F.col("fetch_rank") <= F.col("fetch_k"))
 
 
+def _partial_topk(qids, qmat, qnorm, limit: int):
+    """mapInPandas body: cosine of a block of chunks against the whole
+    question batch, accumulated one dimension at a time (the same summation
+    order as the built-in path and the SQL oracle), then the best ``limit``
+    chunks per question of this task (ties kept by chunk id)."""
+    import numpy as np
+    import pandas as pd
+
+    nq = len(qids)
+
+    def best(pdf: pd.DataFrame, sim: np.ndarray) -> pd.DataFrame:
+        ids = pdf["chunk_id"].to_numpy(dtype=object)
+        rows, cols, vals = [], [], []
+        for i in range(nq):
+            srow = sim[i]
+            if len(srow) > limit:
+                cut = np.partition(srow, len(srow) - limit)[len(srow) - limit]
+                keep = np.nonzero(srow >= cut)[0]
+            else:
+                keep = np.arange(len(srow))
+            order = keep[np.lexsort((ids[keep], -srow[keep]))][:limit]
+            rows.append(np.full(len(order), i))
+            cols.append(order)
+            vals.append(srow[order])
+        r, c, v = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
+        out = pdf.iloc[c].drop(columns=["vec", "vec_norm"]).reset_index(drop=True)
+        out["question_id"] = np.asarray(qids)[r]
+        out["similarity"] = v
+        return out
+
+    def fn(batches):
+        kept = None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            step = max(1, BLOCK_CELLS // max(nq, 1))
+            for start in range(0, len(pdf), step):
+                sub = pdf.iloc[start:start + step].reset_index(drop=True)
+                cmat = np.stack(sub["vec"].to_numpy())
+                acc = np.zeros((nq, len(sub)))
+                for d in range(cmat.shape[1]):
+                    acc = acc + np.multiply.outer(qmat[:, d], cmat[:, d])
+                sim = acc / np.multiply.outer(qnorm, sub["vec_norm"].to_numpy())
+                cand = best(sub, sim)
+                kept = cand if kept is None else pd.concat([kept, cand], ignore_index=True)
+                if len(kept) > 4 * limit * nq:
+                    kept = _reduce_kept(kept, limit)
+        if kept is not None:
+            yield _reduce_kept(kept, limit)
+
+    return fn
+
+
+def _reduce_kept(kept, limit):
+    kept = kept.sort_values(["question_id", "similarity", "chunk_id"], ascending=[True, False, True])
+    return kept.groupby("question_id", sort=False).head(limit).reset_index(drop=True)
+
+
+def _candidates(corpus: DataFrame, qf: DataFrame, k: int, method: str = "vectorized") -> DataFrame:
+    """V1 + V2 for one bounded batch: cosine of every (chunk, question),
+    then the first ``fetch_k`` chunks per question by similarity (ties by
+    chunk id).  The vectorized path ships the batch's vectors (size checked
+    by the caller) to every task and keeps a per-task top-``fetch`` before
+    the shuffle, so only questions x fetch x tasks rows move."""
+    if method == "builtin":
+        return _candidates_builtin(corpus, qf, k)
+    import numpy as np
+    q = qf.select("question_id", "vec", "vec_norm").orderBy("question_id").collect()
+    qids = [r["question_id"] for r in q]
+    qmat = np.array([r["vec"] for r in q], dtype=float) if q else np.zeros((0, 0))
+    qnorm = np.array([r["vec_norm"] for r in q], dtype=float)
+    fn = _partial_topk(qids, qmat, qnorm, _max_fetch(k))
+    part = corpus.select(*HIT_COLS, "vec", "vec_norm").mapInPandas(fn, CAND_SCHEMA)
+    scored = part.join(F.broadcast(qf.select(*QUESTION_COLS)), "question_id")
+    return _top_fetch(scored, k)
+
+
 def _hit_field(name: str) -> Column:
     return {
         "section": F.col("section"), "source_type": F.col("source_type"), "page": F.col("page"),
