@@ -829,3 +829,53 @@ SELECT q.question_id,
             || {NL} || {NL} || {_cut_sql('pq.top.text', FALLBACK_CHARS)} END AS answer,
   'extractive' AS backend
 FROM qs q LEFT JOIN pq ON q.question_id = pq.question_id LEFT JOIN ln ON q.question_id = ln.question_id""")
+
+
+# ====================================================================== model lab (SQL-checkable parts)
+from ..operators.lab import FEATURE_COLS  # noqa: E402
+
+_med_aggs = ", ".join(f"list_sort(list({c}) FILTER (WHERE {c} IS NOT NULL)) AS v_{c}, count({c}) AS n_{c}"
+                      for c in FEATURE_COLS)
+_imp_cols = ", ".join(f"coalesce(fm.{c}, {_pct(f'm.v_{c}', f'm.n_{c}', 0.5)}, 0.0::DOUBLE) AS {c}"
+                      for c in FEATURE_COLS)
+cte("imputed", ["fm"], f"""
+SELECT fm.entity, fm.period, {_imp_cols}, fm.stress
+FROM fm JOIN (SELECT entity, {_med_aggs} FROM fm GROUP BY entity) m ON fm.entity = m.entity""")
+oracle("impute_features", ["imputed"], "SELECT * EXCLUDE (stress) FROM imputed")
+oracle("degenerate_label", ["imputed"], f"""
+SELECT i.entity, i.period, i.cogs_ratio, CAST(i.cogs_ratio > {_pct('m.v', 'm.n', 0.5)} AS INTEGER) AS label
+FROM imputed i JOIN (SELECT entity, list_sort(list(cogs_ratio) FILTER (WHERE cogs_ratio IS NOT NULL)) AS v,
+                            count(cogs_ratio) AS n FROM imputed GROUP BY entity) m ON i.entity = m.entity""")
+
+oracle("classification_metrics", [], """
+WITH d AS (SELECT lang, quality AS label, CAST(n_chars AS DOUBLE) AS s, CAST(n_chars >= 500 AS INTEGER) AS pred
+           FROM labels JOIN documents USING (doc_id)),
+conf AS (SELECT lang, count(*) AS n, sum(CAST(label = pred AS BIGINT)) AS correct,
+           sum(CAST(label = 1 AND pred = 1 AS BIGINT)) AS tp, sum(CAST(label = 0 AND pred = 1 AS BIGINT)) AS fp,
+           sum(CAST(label = 1 AND pred = 0 AS BIGINT)) AS fn FROM d GROUP BY lang),
+bs AS (SELECT lang, s, sum(CAST(label = 1 AS BIGINT)) AS pos, sum(CAST(label = 0 AS BIGINT)) AS neg FROM d GROUP BY 1, 2),
+nb AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY lang ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM bs),
+auc AS (SELECT lang, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN
+          CAST(sum(pos * (neg_below * 2 + neg)) AS DOUBLE) / (2.0::DOUBLE * CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) END AS ROC_AUC
+        FROM nb GROUP BY lang)
+SELECT conf.lang, CAST(correct AS DOUBLE) / CAST(n AS DOUBLE) AS accuracy,
+  CASE WHEN tp * 2 + fp + fn > 0 THEN CAST(tp * 2 AS DOUBLE) / CAST(tp * 2 + fp + fn AS DOUBLE) ELSE 0.0::DOUBLE END AS F1,
+  auc.ROC_AUC
+FROM conf LEFT JOIN auc USING (lang)""")
+
+_e = f"({c2('total_sales')} - {c2('lag1')})"
+_yv = c2("total_sales")
+oracle("regression_metrics", ["daily"], f"""
+, df AS (SELECT * FROM (SELECT *, lag(total_sales) OVER w AS lag1, lag(total_sales, 7) OVER w AS lag7,
+            count({_yv}) OVER f AS n_ FROM daily
+            WINDOW w AS (PARTITION BY entity ORDER BY date),
+                   f AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
+         WHERE cash IS NOT NULL AND online IS NOT NULL AND credit IS NOT NULL AND customers IS NOT NULL
+           AND dine_in_sales IS NOT NULL AND avg_ticket IS NOT NULL AND lag1 IS NOT NULL AND lag7 IS NOT NULL
+           AND n_ >= 3)
+SELECT entity, n, CAST(sae AS DOUBLE) / 100.0::DOUBLE / CAST(n AS DOUBLE) AS MAE,
+  sqrt(CAST(sse AS DOUBLE) / 10000.0::DOUBLE / CAST(n AS DOUBLE)) AS RMSE,
+  CASE WHEN CAST(CAST(n * syy - {h('sy')} * sy AS VARCHAR) AS DOUBLE) <> 0
+       THEN 1.0::DOUBLE - (CAST(sse AS DOUBLE) * CAST(n AS DOUBLE)) / CAST(CAST(n * syy - {h('sy')} * sy AS VARCHAR) AS DOUBLE) END AS R2
+FROM (SELECT entity, count(*) AS n, sum(abs({_e})) AS sae, sum({h(_e)} * {h(_e)}) AS sse, sum({_yv}) AS sy,
+        sum({h(_yv)} * {h(_yv)}) AS syy FROM df GROUP BY entity)""")

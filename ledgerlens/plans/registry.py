@@ -403,3 +403,98 @@ def q_extractive_answer(spark, sf_dir):
     t = _t(spark, sf_dir)
     hits = rt.search(vector_corpus(t), question_batch(t))
     return rt.extractive_answer(question_batch(t), hits)
+
+
+# ---------------------------------------------------------------- model lab
+from ..operators import lab  # noqa: E402
+
+
+def _lab_table(spark, sf_dir):
+    return lab.lab_table(fm_of(_t(spark, sf_dir)))
+
+
+def _cv(spark, sf_dir, names=None):
+    models = [m for m in lab.classifiers() if names is None or m[0] in names]
+    table = _lab_table(spark, sf_dir)
+    pred = lab.cv_predictions(table, models)
+    return table, pred, lab.classification_metrics(pred)
+
+
+@query("impute_features")
+def q_impute_features(spark, sf_dir):
+    return lab.impute_features(fm_of(_t(spark, sf_dir))).drop("stress")
+
+
+@query("degenerate_label")
+def q_degenerate_label(spark, sf_dir):
+    fm = lab.impute_features(fm_of(_t(spark, sf_dir)))
+    return fm.select("entity", "period", "cogs_ratio", lab.degenerate_label(fm).alias("label"))
+
+
+@query("classification_metrics")
+def q_classification_metrics(spark, sf_dir):
+    """M6 on the labels table: quality vs a length score (>= 500 chars)."""
+    t = _t(spark, sf_dir)
+    d = t.labels.join(t.documents.select("doc_id", "lang", "n_chars"), "doc_id")
+    d = d.select("lang", F.col("quality").alias("label"), F.col("n_chars").cast("double").alias("proba"),
+                 (F.col("n_chars") >= 500).cast("int").alias("predicted"))
+    return lab.classification_metrics(d, group_cols=("lang",))
+
+
+@query("regression_metrics")
+def q_regression_metrics(spark, sf_dir):
+    return lab.lag1_regression_metrics(pred.daily_features(domain.daily_sales(_t(spark, sf_dir))))
+
+
+def _one_model(name):
+    def q(spark, sf_dir):
+        _, _, m = _cv(spark, sf_dir, [name])
+        return lab.comparison(m)
+    return q
+
+
+for _key, _name in [("lab_logistic", "Logistic Regression"), ("lab_rf", "Random Forest"),
+                    ("lab_gbt", "Gradient Boosting"), ("lab_gbt_sub", "XGBoost")]:
+    QUERIES[_key] = _one_model(_name)
+
+
+@query("lab_cv_predictions")
+def q_lab_cv_predictions(spark, sf_dir):
+    _, p, _ = _cv(spark, sf_dir, ["Logistic Regression", "Random Forest"])
+    return p
+
+
+@query("best_model")
+def q_best_model(spark, sf_dir):
+    _, _, m = _cv(spark, sf_dir)
+    return spark.createDataFrame([(lab.best_model(m),)], "best_model string")
+
+
+def _refit_best(spark, sf_dir):
+    table, _, m = _cv(spark, sf_dir)
+    return lab.refit(table, lab.best_model(m))
+
+
+@query("lab_predictions")
+def q_lab_predictions(spark, sf_dir):
+    _, scored = _refit_best(spark, sf_dir)
+    return lab.predictions(scored)
+
+
+@query("lab_importance")
+def q_lab_importance(spark, sf_dir):
+    model, _ = _refit_best(spark, sf_dir)
+    return lab.importance(model, spark=spark)
+
+
+@query("lab_daily_regression")
+def q_lab_daily_regression(spark, sf_dir):
+    _, m = lab.daily_regression(pred.daily_features(domain.daily_sales(_t(spark, sf_dir))))
+    return m
+
+
+@query("lab_comparison")
+def q_lab_comparison(spark, sf_dir):
+    _, _, cm = _cv(spark, sf_dir)
+    _, rm = lab.daily_regression(pred.daily_features(domain.daily_sales(_t(spark, sf_dir))))
+    return lab.full_comparison(cm, rm)
