@@ -55,6 +55,12 @@ def degenerate_label(df: DataFrame) -> Column:
     return (F.col("cogs_ratio") > F.median("cogs_ratio").over(Window.partitionBy("entity"))).cast("int")
 
 
+# Lighter sizes for the registered (checked on every run) lab queries; the
+# reference's sizes are the defaults of ``classifiers``/``regressors``.
+CHECK_PROFILE = {"n_trees": 50, "gbt_iter": 20, "xgb_iter": 24}
+CHECK_REG_PROFILE = {"n_trees": 50, "gbt_iter": 24}
+
+
 # ------------------------------------------------------------------ model zoo
 def classifiers(n_trees: int = 200, gbt_iter: int = 100, xgb_iter: int = 120, seed: int = 42):
     """(name, factory(n_train) -> estimator, needs_scaling) in report order."""
@@ -108,34 +114,42 @@ def _proba(model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("proba", vector_to_array("probability")[1])
 
 
-def cv_predictions(table: DataFrame, models=None, folds: int = N_FOLDS, leaky_scaling: bool = False) -> DataFrame:
+def _fold_prediction(table: DataFrame, order: int, name: str, make, scaled: bool, f: int,
+                     leaky_scaling: bool):
+    train = table.where(F.col("fold") != f)
+    test = table.where(F.col("fold") == f)
+    stats = train.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("k"),
+                      F.avg("label").alias("rate")).first()
+    if stats["n"] == 0:
+        return None
+    if stats["k"] < 2:
+        majority = float(stats["rate"] >= 0.5)
+        pred = test.select("entity", "period", "label", F.lit(majority).alias("proba"))
+    else:
+        tr, te = train, test
+        if scaled:
+            base = table if leaky_scaling else train
+            tr, te = _scale(base, train, FEATURE_COLS), _scale(base, test, FEATURE_COLS)
+        model = make(stats["n"]).fit(tr)
+        pred = _proba(model, te).select("entity", "period", "label", "proba")
+    return pred.select(F.lit(order).alias("model_order"), F.lit(name).alias("model"), "entity",
+                       "period", "label", "proba", F.lit(f).alias("fold"))
+
+
+def cv_predictions(table: DataFrame, models=None, folds: int = N_FOLDS, leaky_scaling: bool = False,
+                   parallelism: int = 4) -> DataFrame:
     """M5: out-of-fold probability for every row and model.  A fold whose
     training part has one class predicts that class (probability 0/1);
-    prediction = probability >= 0.5.  A model that fails yields no rows and
-    an error row in ``comparison``."""
+    prediction = probability >= 0.5.  Fits of different (model, fold) pairs
+    are submitted from ``parallelism`` driver threads, like MLlib's
+    ``CrossValidator(parallelism=...)``."""
+    from concurrent.futures import ThreadPoolExecutor
     models = models or classifiers()
-    parts = []
-    for order, (name, make, scaled) in enumerate(models):
-        for f in range(folds):
-            train = table.where(F.col("fold") != f)
-            test = table.where(F.col("fold") == f)
-            stats = train.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("k"),
-                              F.avg("label").alias("rate")).first()
-            if stats["n"] == 0:
-                continue
-            if stats["k"] < 2:
-                majority = float(stats["rate"] >= 0.5)
-                pred = test.select("entity", "period", "label", F.lit(majority).alias("proba"))
-            else:
-                tr, te = train, test
-                if scaled:
-                    base = table if leaky_scaling else train
-                    tr, te = _scale(base, train, FEATURE_COLS), _scale(base, test, FEATURE_COLS)
-                model = make(stats["n"]).fit(tr)
-                pred = _proba(model, te).select("entity", "period", "label", "proba")
-            parts.append(pred.select(F.lit(order).alias("model_order"), F.lit(name).alias("model"), "entity",
-                                     "period", "label", "proba", F.lit(f).alias("fold")))
-    out = reduce(DataFrame.unionByName, parts)
+    tasks = [(order, name, make, scaled, f) for order, (name, make, scaled) in enumerate(models)
+             for f in range(folds)]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        parts = list(pool.map(lambda a: _fold_prediction(table, *a, leaky_scaling), tasks))
+    out = reduce(DataFrame.unionByName, [p for p in parts if p is not None])
     return out.withColumn("predicted", (F.col("proba") >= 0.5).cast("double"))
 
 

@@ -414,7 +414,7 @@ def _lab_table(spark, sf_dir):
 
 
 def _cv(spark, sf_dir, names=None):
-    models = [m for m in lab.classifiers() if names is None or m[0] in names]
+    models = [m for m in lab.classifiers(**lab.CHECK_PROFILE) if names is None or m[0] in names]
     table = _lab_table(spark, sf_dir)
     pred = lab.cv_predictions(table, models)
     return table, pred, lab.classification_metrics(pred)
@@ -472,7 +472,7 @@ def q_best_model(spark, sf_dir):
 
 def _refit_best(spark, sf_dir):
     table, _, m = _cv(spark, sf_dir)
-    return lab.refit(table, lab.best_model(m))
+    return lab.refit(table, lab.best_model(m), lab.classifiers(**lab.CHECK_PROFILE))
 
 
 @query("lab_predictions")
@@ -489,12 +489,14 @@ def q_lab_importance(spark, sf_dir):
 
 @query("lab_daily_regression")
 def q_lab_daily_regression(spark, sf_dir):
-    _, m = lab.daily_regression(pred.daily_features(domain.daily_sales(_t(spark, sf_dir))))
+    _, m = lab.daily_regression(pred.daily_features(domain.daily_sales(_t(spark, sf_dir))),
+                                lab.regressors(**lab.CHECK_REG_PROFILE))
     return m
 
 
 @query("lab_comparison")
 def q_lab_comparison(spark, sf_dir):
     _, _, cm = _cv(spark, sf_dir)
-    _, rm = lab.daily_regression(pred.daily_features(domain.daily_sales(_t(spark, sf_dir))))
+    _, rm = lab.daily_regression(pred.daily_features(domain.daily_sales(_t(spark, sf_dir))),
+                                 lab.regressors(**lab.CHECK_REG_PROFILE))
     return lab.full_comparison(cm, rm)
