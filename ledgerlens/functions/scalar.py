@@ -46,41 +46,42 @@ def format_short(col) -> Column:
             .otherwise(F.format_string("%.3f", x)))
 
 
-# Ordered name rules for report-period detection.  Each entry is
-# (tokens that must all occur in the lower-cased name, month label).  'march',
-# 'april' and 'may' need no year; the abbreviations need the year token.
-def period_rules(year: str) -> list[tuple[list[str], str]]:
-    return [
-        (["jan", year], f"January {year}"),
-        (["feb", year], f"February {year}"),
-        (["march"], f"March {year}"),
-        (["mar", year], f"March {year}"),
-        (["april"], f"April {year}"),
-        (["may"], f"May {year}"),
-        (["jun", year], f"June {year}"),
-    ]
-
+# Ordered name rules for report-period detection.  Each entry
+# is (tokens that must all occur in the lower-cased name, month name); the
+# token "{year}" stands for the report year.  'march', 'april' and 'may'
+# need no year; the abbreviations need it.
+PERIOD_RULES = [
+    (["jan", "{year}"], "January"),
+    (["feb", "{year}"], "February"),
+    (["march"], "March"),
+    (["mar", "{year}"], "March"),
+    (["april"], "April"),
+    (["may"], "May"),
+    (["jun", "{year}"], "June"),
+]
 
 # Full month names scanned in the fallback text search.
 FALLBACK_MONTHS = ["january", "february", "march", "april", "may", "june"]
 
 
-def detect_period(name_col, text_col=None, year: str = "2026") -> Column:
+def detect_period(name_col, text_col=None, year="2026") -> Column:
     """First matching rule on the file name; else month+year in the text
-    (fallback scan); else 'Unknown Period'."""
+    (fallback scan); else 'Unknown Period'.  ``year`` is a string or a
+    column (for sources whose year varies)."""
     name = F.lower(_c(name_col))
+    y = F.lit(year) if isinstance(year, str) else year
     expr = None
-    for tokens, label in period_rules(year):
+    for tokens, month in PERIOD_RULES:
         cond = None
         for t in tokens:
-            c = name.contains(t)
+            c = name.contains(y) if t == "{year}" else name.contains(t)
             cond = c if cond is None else (cond & c)
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
+        label = F.concat(F.lit(month + " "), y)
+        expr = F.when(cond, label) if expr is None else expr.when(cond, label)
     if text_col is not None:
         flat = F.lower(_c(text_col))
         for m in FALLBACK_MONTHS:
-            label = f"{m.capitalize()} {year}"
-            expr = expr.when(flat.contains(m) & flat.contains(year), F.lit(label))
+            expr = expr.when(flat.contains(m) & flat.contains(y), F.concat(F.lit(m.capitalize() + " "), y))
     return expr.otherwise(F.lit("Unknown Period"))
 
 

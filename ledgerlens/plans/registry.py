@@ -500,3 +500,105 @@ def q_lab_comparison(spark, sf_dir):
     _, rm = lab.daily_regression(pred.daily_features(domain.daily_sales(_t(spark, sf_dir))),
                                  lab.regressors(**lab.CHECK_REG_PROFILE))
     return lab.full_comparison(cm, rm)
+
+
+# ---------------------------------------------------------------- grid (T1) and audit chunks
+from ..operators import grid as gr  # noqa: E402
+from ..sources import grid as cells_src  # noqa: E402
+
+PL_LABEL_TEXTS = [label for label, _ in cells_src.PL_LABELS]
+
+
+def _cells(spark, sf_dir):
+    return cells_src.cells(_t(spark, sf_dir))
+
+
+@query("label_lookup")
+def q_label_lookup(spark, sf_dir):
+    return gr.label_lookup(_cells(spark, sf_dir), PL_LABEL_TEXTS, 1, sheet="PL")
+
+
+@query("label_lookup_like")
+def q_label_lookup_like(spark, sf_dir):
+    labels = ["Sales Value", "Cost of Goods Sold", "Gross Profit", "Net Profit", "Staff Salary", "Total"]
+    return gr.label_lookup_like(_cells(spark, sf_dir), labels, [1, 2], sheet="PL")
+
+
+@query("month_columns")
+def q_month_columns(spark, sf_dir):
+    c = _cells(spark, sf_dir).where(F.col("sheet") == "PL")
+    m3 = F.substring(F.regexp_extract("file", r"- (\w+) \d{4}\.xlsx$", 1), 1, 3)
+    return gr.month_columns(c.withColumn("m3", m3), F.col("m3"))
+
+
+@query("grid_header")
+def q_grid_header(spark, sf_dir):
+    return gr.grid_header(_cells(spark, sf_dir))
+
+
+@query("row_to_line")
+def q_row_to_line(spark, sf_dir):
+    return gr.row_lines(_cells(spark, sf_dir))
+
+
+@query("section_map")
+def q_section_map(spark, sf_dir):
+    s = gr.sheets(_cells(spark, sf_dir))
+    return s.select("file", "sheet", gr.section_of(F.col("sheet")).alias("section"))
+
+
+@query("file_inventory")
+def q_file_inventory(spark, sf_dir):
+    return gr.file_inventory(_cells(spark, sf_dir))
+
+
+@query("audit_inventory")
+def q_audit_inventory(spark, sf_dir):
+    return gr.audit_inventory(_cells(spark, sf_dir))
+
+
+@query("detect_period")
+def q_detect_period(spark, sf_dir):
+    inv = gr.audit_inventory(_cells(spark, sf_dir))
+    return inv.select("file", "period")
+
+
+@query("cell_probe")
+def q_cell_probe(spark, sf_dir):
+    probes = [("sales_value", "PL", 3, 1), ("cogs", "PL", 5, 1), ("profit", "PL", 11, 1),
+              ("first_creditor_closing", "Creditors Analysis", 3, 4)]
+    return gr.cell_probe(_cells(spark, sf_dir), probes)
+
+
+@query("grid_markdown")
+def q_grid_markdown(spark, sf_dir):
+    return gr.grid_markdown(_cells(spark, sf_dir))
+
+
+@query("kpi_summary")
+def q_kpi_summary(spark, sf_dir):
+    return gr.kpi_summary(_cells(spark, sf_dir))
+
+
+@query("audit_chunks")
+def q_audit_chunks(spark, sf_dir):
+    return gr.audit_chunks(_cells(spark, sf_dir))
+
+
+@query("ingest_manifest")
+def q_ingest_manifest(spark, sf_dir):
+    return gr.ingest_manifest(gr.audit_chunks(_cells(spark, sf_dir)))
+
+
+@query("corpus_union")
+def q_corpus_union(spark, sf_dir):
+    """Proposal chunks, summary sections and audit chunks in one corpus."""
+    t = _t(spark, sf_dir)
+    cols = ["chunk_id", "page", "section", "source_type", "file_name", "sheet_name", "report_period", "text"]
+    prop = proposal_chunks(t).select(*cols)
+    summ = ch.markdown_sections(t.documents.select("doc_id", "text")).select(
+        "chunk_id", F.lit(0).alias("page"), "section", F.lit("proposal").alias("source_type"),
+        F.lit("").alias("file_name"), F.lit("").alias("sheet_name"), F.lit("").alias("report_period"), "text")
+    audit = gr.audit_chunks(cells_src.cells(t)).select(*cols)
+    return prop.unionByName(summ).unionByName(audit).select("chunk_id", "source_type", "section",
+                                                             F.length("text").alias("n_chars"))
