@@ -879,3 +879,161 @@ SELECT entity, n, CAST(sae AS DOUBLE) / 100.0::DOUBLE / CAST(n AS DOUBLE) AS MAE
        THEN 1.0::DOUBLE - (CAST(sse AS DOUBLE) * CAST(n AS DOUBLE)) / CAST(CAST(n * syy - {h('sy')} * sy AS VARCHAR) AS DOUBLE) END AS R2
 FROM (SELECT entity, count(*) AS n, sum(abs({_e})) AS sae, sum({h(_e)} * {h(_e)}) AS sse, sum({_yv}) AS sy,
         sum({h(_yv)} * {h(_yv)}) AS syy FROM df GROUP BY entity)""")
+
+
+# ====================================================================== grid (cell table)
+from ..operators.grid import INVENTORY_SHOWN, SECTION_MAP, SECTION_MAP_EXTRA  # noqa: E402
+from ..sources.grid import PARTY_HEADER, PARTY_SHEETS, PL_LABELS  # noqa: E402
+
+
+def jfmt(x: str, d: int) -> str:
+    """Java's %.<d>f: half-up rounding of the shortest decimal form; a
+    negative value that rounds to zero keeps its sign ('-0.0')."""
+    r = f"printf('%.{d}f', round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,18)), {d}))"
+    return f"(CASE WHEN ({x}) < 0 AND NOT starts_with({r}, '-') THEN '-' || {r} ELSE {r} END)"
+
+
+def fshort(x: str) -> str:
+    return (f"(CASE WHEN {x} IS NULL OR isnan({x}) THEN NULL WHEN abs({x}) >= 1000000 THEN {jfmt(f'({x}) / 1000000.0::DOUBLE', 2)} || 'M' "
+            f"WHEN abs({x}) >= 1000 THEN format('{{:,.0f}}', {x}) "
+            f"WHEN {x} = floor({x}) THEN CAST(CAST(floor({x}) AS BIGINT) AS VARCHAR) ELSE {jfmt(x, 3)} END)")
+
+
+def flong(x: str) -> str:
+    return (f"(CASE WHEN {x} IS NULL OR isnan({x}) THEN NULL WHEN abs({x}) >= 1000 THEN format('{{:,.2f}}', {x}) "
+            f"WHEN {x} = floor({x}) THEN CAST(CAST(floor({x}) AS BIGINT) AS VARCHAR) ELSE {jfmt(x, 2)} END)")
+
+
+def clean_sql(x: str) -> str:
+    return f"(CASE WHEN trim({x}) = '' OR lower(trim({x})) = 'nan' THEN NULL ELSE trim({x}) END)"
+
+
+def _file(e: str, p: str) -> str:
+    return (f"('Supplier ' || CAST({e} AS VARCHAR) || ' Monthly Report - ' || "
+            f"strftime(CAST({p} || '-01' AS DATE), '%B %Y') || '.xlsx')")
+
+
+def _pl_cell_rows() -> str:
+    sels = [f"SELECT entity, period, 0 AS r, 0 AS c, 'Supplier ' || CAST(entity AS VARCHAR) AS s, NULL::DOUBLE AS n FROM pl",
+            "SELECT entity, period, 2, 0, 'Particulars', NULL FROM pl",
+            "SELECT entity, period, 2, 1, month, NULL FROM pl",
+            "SELECT entity, period, 2, 2, '%', NULL FROM pl"]
+    for i, (label, col) in enumerate(PL_LABELS):
+        sels.append(f"SELECT entity, period, {3 + i}, 0, {s_lit(label)}, NULL FROM pl")
+        sels.append(f"SELECT entity, period, {3 + i}, 1, NULL, {col} FROM pl")
+        sels.append(f"SELECT entity, period, {3 + i}, 2, CASE WHEN sales_value <> 0 THEN "
+                    f"{jfmt(f'{col} / sales_value * 100.0::DOUBLE', 1)} || '%' END, NULL FROM pl")
+    return "\nUNION ALL ".join(sels)
+
+
+def _party_cell_rows() -> str:
+    parts = []
+    for ptype, sheet, idx in PARTY_SHEETS:
+        rows = (f"(SELECT *, CAST(row_number() OVER (PARTITION BY entity, period ORDER BY party) + 2 AS INTEGER) AS r "
+                f"FROM parties WHERE type = '{ptype}')")
+        heads = " UNION ALL ".join([f"SELECT DISTINCT entity, period, 0 AS r, 0 AS c, {s_lit(sheet)} AS s, NULL::DOUBLE AS n FROM parties WHERE type = '{ptype}'"]
+                                   + [f"SELECT DISTINCT entity, period, 2, {j}, {s_lit(h)}, NULL FROM parties WHERE type = '{ptype}'"
+                                      for j, h in enumerate(PARTY_HEADER)])
+        body = (f"SELECT entity, period, r, 0, party, NULL FROM {rows} UNION ALL "
+                f"SELECT entity, period, r, 1, NULL, opening FROM {rows} UNION ALL "
+                f"SELECT entity, period, r, 4, NULL, closing FROM {rows}")
+        tot = (f"SELECT entity, period, max(r) + 1, 0, 'Grand Total', NULL FROM {rows} GROUP BY 1, 2 UNION ALL "
+               f"SELECT entity, period, max(r) + 1, 4, NULL, {dbl(f'sum({c2(chr(99) + chr(108) + chr(111) + chr(115) + chr(105) + chr(110) + chr(103))})', 2)} FROM {rows} GROUP BY 1, 2")
+        parts.append(f"SELECT {_file('entity', 'period')} AS file, {s_lit(sheet)} AS sheet, {idx} AS sheet_idx, "
+                     f"CAST(r AS INTEGER) AS row_idx, CAST(c AS INTEGER) AS col_idx, s AS str_value, CAST(n AS DOUBLE) AS num_value "
+                     f"FROM ({heads} UNION ALL {body} UNION ALL {tot})")
+    return "\nUNION ALL\n".join(parts)
+
+
+cte("cells", ["pl", "parties"], f"""
+SELECT * FROM (
+  SELECT {_file('entity', 'period')} AS file, 'PL' AS sheet, 0 AS sheet_idx, CAST(r AS INTEGER) AS row_idx,
+    CAST(c AS INTEGER) AS col_idx, s AS str_value, CAST(n AS DOUBLE) AS num_value
+  FROM ({_pl_cell_rows()})
+  UNION ALL
+  {_party_cell_rows()})
+WHERE str_value IS NOT NULL OR num_value IS NOT NULL""")
+
+_KEY_SQL = f"lower(coalesce({clean_sql('str_value')}, CAST(num_value AS VARCHAR)))"
+_labels_lower = ", ".join(s_lit(l.lower()) for l, _ in PL_LABELS)
+oracle("label_lookup", ["cells"], f"""
+SELECT file, sheet, label, value FROM (
+  SELECT k.file, k.sheet, k.key AS label, v.num_value AS value,
+         row_number() OVER (PARTITION BY k.file, k.sheet, k.key ORDER BY k.row_idx) AS rk
+  FROM (SELECT file, sheet, row_idx, {_KEY_SQL} AS key FROM cells WHERE sheet = 'PL' AND col_idx = 0) k
+  LEFT JOIN (SELECT file, sheet, row_idx, num_value FROM cells WHERE sheet = 'PL' AND col_idx = 1) v
+    ON k.file = v.file AND k.sheet = v.sheet AND k.row_idx = v.row_idx
+  WHERE k.key IN ({_labels_lower}))
+WHERE rk = 1""")
+
+_like_labels = ["Sales Value", "Cost of Goods Sold", "Gross Profit", "Net Profit", "Staff Salary", "Total"]
+_like_vals = " UNION ALL ".join(f"SELECT {s_lit(l)} AS label, {s_lit(l.lower())} AS needle" for l in _like_labels)
+oracle("label_lookup_like", ["cells"], f"""
+SELECT file, sheet, label, value FROM (
+  SELECT k.file, k.sheet, lb.label,
+         CASE WHEN v.num_value IS NOT NULL THEN {flong('v.num_value')} ELSE v.t END AS value,
+         row_number() OVER (PARTITION BY k.file, k.sheet, lb.label ORDER BY k.row_idx, CASE v.col_idx WHEN 1 THEN 0 ELSE 1 END) AS rk
+  FROM (SELECT file, sheet, row_idx, {_KEY_SQL} AS key FROM cells WHERE sheet = 'PL' AND col_idx = 0) k
+  JOIN ({_like_vals}) lb ON contains(k.key, lb.needle)
+  JOIN (SELECT file, sheet, row_idx, col_idx, num_value, {clean_sql('str_value')} AS t FROM cells
+        WHERE sheet = 'PL' AND col_idx IN (1, 2)) v
+    ON k.file = v.file AND k.sheet = v.sheet AND k.row_idx = v.row_idx
+  WHERE v.num_value IS NOT NULL OR (v.t IS NOT NULL AND NOT ends_with(v.t, '%')))
+WHERE rk = 1""")
+
+_m3 = "substr(regexp_extract(file, '- (\\w+) \\d{4}\\.xlsx$', 1), 1, 3)"
+oracle("month_columns", ["cells"], f"""
+SELECT file, sheet, col_idx AS month_col, col_idx + 1 AS pct_col FROM (
+  SELECT file, sheet, row_idx, col_idx, row_number() OVER (PARTITION BY file, sheet ORDER BY row_idx, col_idx) AS rk
+  FROM cells WHERE sheet = 'PL' AND row_idx < 8
+    AND ({_KEY_SQL} = lower({_m3}) OR starts_with({_KEY_SQL}, lower({_m3}) || ',')))
+WHERE rk = 1""")
+
+cte("nonnull", ["cells"], f"SELECT * FROM cells WHERE num_value IS NOT NULL OR {clean_sql('str_value')} IS NOT NULL")
+oracle("grid_header", ["nonnull"], """
+SELECT c.file, c.sheet, c.n_cols, h.header_row FROM
+  (SELECT file, sheet, count(DISTINCT col_idx) AS n_cols FROM nonnull GROUP BY 1, 2) c
+LEFT JOIN (SELECT file, sheet, min(row_idx) AS header_row FROM (
+             SELECT file, sheet, row_idx, count(*) AS n FROM nonnull WHERE row_idx < 5 GROUP BY 1, 2, 3) WHERE n >= 2
+           GROUP BY 1, 2) h ON c.file = h.file AND c.sheet = h.sheet""")
+
+oracle("row_to_line", ["cells"], f"""
+SELECT file, sheet, row_idx, string_agg(t, ' | ' ORDER BY col_idx) AS line FROM (
+  SELECT file, sheet, row_idx, col_idx,
+         CASE WHEN num_value IS NOT NULL THEN {fshort('num_value')} ELSE {clean_sql('str_value')} END AS t FROM cells)
+WHERE t IS NOT NULL GROUP BY 1, 2, 3""")
+
+_smap = {**SECTION_MAP, **SECTION_MAP_EXTRA}
+_sec_case = "CASE " + " ".join(f"WHEN sheet = {s_lit(k)} THEN {s_lit(v)}" for k, v in _smap.items()) + " ELSE trim(sheet) END"
+cte("sheets", ["cells"], "SELECT DISTINCT file, sheet, sheet_idx FROM cells")
+oracle("section_map", ["sheets"], f"SELECT file, sheet, {_sec_case} AS section FROM sheets")
+oracle("file_inventory", ["sheets"], f"""
+SELECT file, CAST(count(*) AS INTEGER) AS sheets,
+  array_to_string(list_slice(list(sheet ORDER BY sheet_idx), 1, {INVENTORY_SHOWN}), ', ')
+    || CASE WHEN count(*) > {INVENTORY_SHOWN} THEN '...' ELSE '' END AS sheet_names
+FROM sheets GROUP BY file""")
+
+
+def period_sql(name: str, year: str) -> str:
+    from ..functions.scalar import PERIOD_RULES
+    whens = []
+    for tokens, month in PERIOD_RULES:
+        conds = [f"contains(lower({name}), {year})" if t == "{year}" else f"contains(lower({name}), {s_lit(t)})"
+                 for t in tokens]
+        whens.append(f"WHEN {' AND '.join(conds)} THEN {s_lit(month + ' ')} || {year}")
+    return f"(CASE {' '.join(whens)} ELSE 'Unknown Period' END)"
+
+
+_year = "regexp_extract(file, '(\\d{4})\\.xlsx$', 1)"
+cte("inv", ["sheets"], f"""
+SELECT file, {period_sql('file', _year)} AS period, string_agg(sheet, ', ' ORDER BY sheet_idx) AS sheets,
+  CAST(count(*) AS VARCHAR) AS sheet_count FROM sheets GROUP BY file""")
+oracle("audit_inventory", ["inv"], "SELECT * FROM inv")
+oracle("detect_period", ["inv"], "SELECT file, period FROM inv")
+
+_probes = [("sales_value", "PL", 3, 1), ("cogs", "PL", 5, 1), ("profit", "PL", 11, 1),
+           ("first_creditor_closing", "Creditors Analysis", 3, 4)]
+_pconds = [(f"(sheet = {s_lit(s)} AND row_idx = {r} AND col_idx = {c})", n) for n, s, r, c in _probes]
+oracle("cell_probe", ["cells"], f"""
+SELECT file, {', '.join(f'max(CASE WHEN {cond} THEN num_value END) AS {n}' for cond, n in _pconds)}
+FROM cells WHERE {' OR '.join(cond for cond, _ in _pconds)} GROUP BY file""")
