@@ -1037,3 +1037,15 @@ _pconds = [(f"(sheet = {s_lit(s)} AND row_idx = {r} AND col_idx = {c})", n) for
 oracle("cell_probe", ["cells"], f"""
 SELECT file, {', '.join(f'max(CASE WHEN {cond} THEN num_value END) AS {n}' for cond, n in _pconds)}
 FROM cells WHERE {' OR '.join(cond for cond, _ in _pconds)} GROUP BY file""")
+
+
+# ====================================================================== sinks
+oracle("sink_roundtrip", ["fm"], "SELECT * FROM fm")
+oracle("daily_csv_roundtrip", ["daily"], "SELECT * FROM daily")
+oracle("index_upsert", ["chunks"], """
+SELECT chunk_id, doc_id, version, quality FROM (
+  SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY version DESC) AS rk FROM (
+    SELECT chunk_id, doc_id, CAST(0 AS BIGINT) AS version, NULL::INTEGER AS quality FROM chunks
+    UNION ALL
+    SELECT c.chunk_id, c.doc_id, CAST(1 AS BIGINT), l.quality FROM chunks c JOIN labels l ON c.doc_id = l.doc_id))
+WHERE rk = 1""")

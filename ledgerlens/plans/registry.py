@@ -602,3 +602,31 @@ def q_corpus_union(spark, sf_dir):
     audit = gr.audit_chunks(cells_src.cells(t)).select(*cols)
     return prop.unionByName(summ).unionByName(audit).select("chunk_id", "source_type", "section",
                                                              F.length("text").alias("n_chars"))
+
+
+# ---------------------------------------------------------------- sinks
+from ..sources import sinks  # noqa: E402
+
+
+@query("sink_roundtrip")
+def q_sink_roundtrip(spark, sf_dir):
+    """The feature matrix written as parquet partitioned by period and read back."""
+    return sinks.parquet_roundtrip(fm_of(_t(spark, sf_dir)), "feature_matrix", ["period"])
+
+
+@query("daily_csv_roundtrip")
+def q_daily_csv_roundtrip(spark, sf_dir):
+    """S12 + S6: daily sales exported to CSV and read back with its schema."""
+    return sinks.csv_roundtrip(domain.daily_sales(_t(spark, sf_dir)), "daily_sales")
+
+
+@query("index_upsert")
+def q_index_upsert(spark, sf_dir):
+    """The chunk index, then a re-ingest of the labelled documents
+    (version 1, carrying their quality label) upserted on top."""
+    t = _t(spark, sf_dir)
+    base = proposal_chunks(t).select("chunk_id", "doc_id", F.lit(0).cast("long").alias("version"),
+                                     F.lit(None).cast("int").alias("quality"))
+    relabel = (proposal_chunks(t).join(t.labels.select("doc_id", "quality"), "doc_id")
+               .select("chunk_id", "doc_id", F.lit(1).cast("long").alias("version"), "quality"))
+    return sinks.upsert(base, relabel)
