@@ -630,3 +630,12 @@ def q_index_upsert(spark, sf_dir):
     relabel = (proposal_chunks(t).join(t.labels.select("doc_id", "quality"), "doc_id")
                .select("chunk_id", "doc_id", F.lit(1).cast("long").alias("version"), "quality"))
     return sinks.upsert(base, relabel)
+
+
+# ---------------------------------------------------------------- D3 anomalies
+from ..operators import anomaly  # noqa: E402
+
+
+@query("anomaly_iforest")
+def q_anomaly_iforest(spark, sf_dir):
+    return anomaly.anomaly_iforest(domain.daily_sales(_t(spark, sf_dir)))
