@@ -298,3 +298,26 @@ def ingest_manifest(chunks: DataFrame) -> DataFrame:
         "file_name", "report_period", F.element_at(F.split("text", "\n"), -1).alias("last_line"))
     n = a.groupBy("file_name").agg(F.count("*").alias("chunks"))
     return n.join(ov, "file_name", "left")
+
+
+def pl_from_cells(cells: DataFrame, labels: list[tuple[str, str]], col: int = 1) -> DataFrame:
+    """S3: a P&L per report from the cell table — G1 lookups of every label
+    in the month column, pivoted to one column per line (explicit pivot
+    values: no extra pass), ratios by safe division."""
+    from ..sources.domain import PL_COLUMNS, ratio
+    lk = label_lookup(cells, [l for l, _ in labels], col, sheet="PL")
+    names = {l.lower(): c for l, c in labels}
+    wide = lk.groupBy("file").pivot("label", list(names)).agg(F.first("value"))
+    for low, c in names.items():
+        wide = wide.withColumnRenamed(low, c)
+    m = F.regexp_extract("file", r"^Supplier (\d+) Monthly Report - (\w+) (\d{4})\.xlsx$", 0)
+    ent = F.regexp_extract("file", r"^Supplier (\d+) ", 1).cast("bigint")
+    per = F.date_format(F.to_date(F.regexp_extract("file", r"- (\w+ \d{4})\.xlsx$", 1), "MMMM yyyy"), "yyyy-MM")
+    d = wide.where(m != "").withColumn("entity", ent).withColumn("period", per)
+    from ..sources.domain import month_of_period
+    d = (d.withColumn("month", month_of_period(F.col("period")))
+          .withColumn("gross_margin", ratio(F.col("gross_profit"), F.col("total_incomes")))
+          .withColumn("cogs_ratio", ratio(F.col("cogs"), F.col("total_incomes")))
+          .withColumn("profit_margin", ratio(F.col("profit"), F.col("total_incomes")))
+          .withColumn("salary_to_sales", ratio(F.col("staff_salary"), F.col("sales_value"))))
+    return d.select(*PL_COLUMNS)

@@ -1049,3 +1049,19 @@ SELECT chunk_id, doc_id, version, quality FROM (
     UNION ALL
     SELECT c.chunk_id, c.doc_id, CAST(1 AS BIGINT), l.quality FROM chunks c JOIN labels l ON c.doc_id = l.doc_id))
 WHERE rk = 1""")
+
+
+# ====================================================================== remaining inventory items
+oracle("top_creditor", ["parties"], """
+SELECT entity, period, party, closing FROM (
+  SELECT *, row_number() OVER (PARTITION BY entity, period ORDER BY closing DESC, party) AS rk
+  FROM parties WHERE type = 'creditor') WHERE rk = 1""")
+oracle("pl_from_grid", ["pl"], "SELECT * FROM pl")
+oracle("lenient_number", ["cells"], """
+SELECT file, sheet, row_idx, col_idx,
+  CASE WHEN isnan(TRY_CAST(trim(str_value) AS DOUBLE)) THEN NULL ELSE TRY_CAST(trim(str_value) AS DOUBLE) END AS value
+FROM cells WHERE str_value IS NOT NULL""")
+oracle("clean_cell", [], f"SELECT doc_id, {clean_sql('source')} AS source, {clean_sql('lang')} AS lang FROM documents")
+oracle("format_numbers", ["pl"], f"""
+SELECT entity, period, {flong('sales_value')} AS sales_long, {fshort('sales_value')} AS sales_short,
+  {flong('gross_margin')} AS margin_long, {fshort('profit')} AS profit_short FROM pl""")

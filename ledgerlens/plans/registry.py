@@ -639,3 +639,55 @@ from ..operators import anomaly  # noqa: E402
 @query("anomaly_iforest")
 def q_anomaly_iforest(spark, sf_dir):
     return anomaly.anomaly_iforest(domain.daily_sales(_t(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- remaining inventory items
+from ..functions import scalar as sc  # noqa: E402
+
+
+@query("top_creditor")
+def q_top_creditor(spark, sf_dir):
+    """The creditor with the largest closing balance per (entity, period)."""
+    from pyspark.sql import Window
+    p = domain.party_balances(_t(spark, sf_dir)).where(F.col("type") == "creditor")
+    w = Window.partitionBy("entity", "period").orderBy(F.col("closing").desc(), F.col("party"))
+    return (p.withColumn("rk", F.row_number().over(w)).where(F.col("rk") == 1)
+             .select("entity", "period", "party", "closing"))
+
+
+@query("pl_from_grid")
+def q_pl_from_grid(spark, sf_dir):
+    """S3: the P&L read back from the report grids (equals monthly_pl)."""
+    return gr.pl_from_cells(_cells(spark, sf_dir), cells_src.PL_LABELS)
+
+
+@query("lenient_number")
+def q_lenient_number(spark, sf_dir):
+    """X1 over every text cell of the report grids (labels, percents, names)."""
+    c = _cells(spark, sf_dir).where(F.col("str_value").isNotNull())
+    return c.select("file", "sheet", "row_idx", "col_idx", sc.lenient_number(F.col("str_value")).alias("value"))
+
+
+@query("clean_cell")
+def q_clean_cell(spark, sf_dir):
+    """X2 over the raw document source and language fields."""
+    d = _t(spark, sf_dir).documents
+    return d.select("doc_id", sc.clean_cell(F.col("source")).alias("source"), sc.clean_cell(F.col("lang")).alias("lang"))
+
+
+@query("format_numbers")
+def q_format_numbers(spark, sf_dir):
+    """X3 long and short forms of P&L amounts and ratios."""
+    pl = domain.monthly_pl(_t(spark, sf_dir))
+    return pl.select("entity", "period",
+                     sc.format_long(F.col("sales_value")).alias("sales_long"),
+                     sc.format_short(F.col("sales_value")).alias("sales_short"),
+                     sc.format_long(F.col("gross_margin")).alias("margin_long"),
+                     sc.format_short(F.col("profit")).alias("profit_short"))
+
+
+@query("chunk_lines")
+def q_chunk_lines(spark, sf_dir):
+    """X8 on every sheet's markdown table (900-char line packing)."""
+    md = gr.grid_markdown(_cells(spark, sf_dir))
+    return md.select("file", "sheet", F.posexplode(ch.chunk_lines(F.col("markdown"))).alias("pos", "chunk"))
