@@ -83,26 +83,29 @@ def cost_elasticity(pl: DataFrame, min_rows: int = 3) -> DataFrame:
         "r2", "slope", (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"))
 
 
-def _granger_pair(fm: DataFrame, cause: str, effect: str, label: str, order: int,
-                  keep_null_lags: bool) -> DataFrame:
-    """Lag-1 F test without intercept for one (cause, effect) pair.
+def _granger_pairs(fm: DataFrame, keep_null_lags: bool) -> DataFrame:
+    """Lag-1 F tests without intercept, all pairs in one pass: each row is
+    exploded into one row per (cause, effect) pair and every window runs
+    over (entity, pair).
 
     Rows of the entity (sales and cogs present) in period order; y_t is
     regressed on y_{t-1} (restricted) and on y_{t-1}, x_{t-1}
     (unrestricted, 2x2 normal equations; singular -> restricted fit).
     Residual sums are taken in a second pass over the rows with the
-    coefficients attached by a whole-entity window (no cancellation)."""
-    w = Window.partitionBy("entity").orderBy("period")
-    whole = Window.partitionBy("entity")
+    coefficients attached by a whole-group window (no cancellation)."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("test_order"), F.lit(label).alias("test"),
+                               F.col(effect).cast("double").alias("y"), F.col(cause).cast("double").alias("x"))
+                      for i, (cause, effect, label) in enumerate(GRANGER_PAIRS)])
     base = fm.where(F.col("sales_value").isNotNull() & F.col("cogs").isNotNull())
-    t = (base.select("entity", "period", F.col(effect).cast("double").alias("y"),
-                     F.col(cause).cast("double").alias("x"))
-             .withColumn("yl", F.lag("y").over(w)).withColumn("xl", F.lag("x").over(w))
-             .withColumn("n", F.count(F.lit(1)).over(whole))
-             .withColumn("rn", F.row_number().over(w)))
+    t = base.select("entity", "period", F.inline(pairs))
+    w = Window.partitionBy("entity", "test_order").orderBy("period")
+    whole = Window.partitionBy("entity", "test_order")
+    t = (t.withColumn("yl", F.lag("y").over(w)).withColumn("xl", F.lag("x").over(w))
+          .withColumn("n", F.count(F.lit(1)).over(whole))
+          .withColumn("rn", F.row_number().over(w)))
     t = t.where(F.col("rn") > 1)  # y[1:] against y[:-1], x[:-1]
     usable = F.col("y").isNotNull() & F.col("yl").isNotNull() & F.col("xl").isNotNull()
-    # Parity mode: a NULL in any lagged value poisons the entity's fit (F = 0, p = 1).
+    # Parity mode: a NULL in any lagged value poisons the fit (F = 0, p = 1).
     t = t.withColumn("poisoned", F.max((~usable).cast("int")).over(whole) > 0)
     if not keep_null_lags:
         t = t.where(usable)
@@ -117,8 +120,9 @@ def _granger_pair(fm: DataFrame, cause: str, effect: str, label: str, order: int
           .withColumn("b2", F.when(det != 0, (a * ee - b * dd) / det)))
     res_r = y - F.col("br") * yl
     res_u = F.when(F.col("b1").isNotNull(), y - F.col("b1") * yl - F.col("b2") * xl).otherwise(res_r)
-    g = t.groupBy("entity").agg(F.max("n").alias("n"), F.max(F.col("poisoned").cast("int")).alias("poisoned"),
-                                F.sum(res_r * res_r).alias("ssr_r"), F.sum(res_u * res_u).alias("ssr_u"))
+    g = t.groupBy("entity", "test_order", "test").agg(
+        F.max("n").alias("n"), F.max(F.col("poisoned").cast("int")).alias("poisoned"),
+        F.sum(res_r * res_r).alias("ssr_r"), F.sum(res_u * res_u).alias("ssr_u"))
     dof = F.greatest(F.col("n") - 3, F.lit(1)).cast("double")
     f = F.when(F.col("ssr_u") > 0, (F.col("ssr_r") - F.col("ssr_u")) / (F.col("ssr_u") / dof)).otherwise(F.lit(0.0))
     if keep_null_lags:
@@ -126,7 +130,7 @@ def _granger_pair(fm: DataFrame, cause: str, effect: str, label: str, order: int
     p = F.when(F.col("f") > 0, F.least(F.greatest(F.exp(-F.col("f") / F.lit(2.0)), F.lit(0.0)), F.lit(1.0))) \
         .otherwise(F.lit(1.0))
     out = g.withColumn("f", f).withColumn("p", p)
-    return out.select("entity", F.lit(order).alias("test_order"), F.lit(label).alias("test"),
+    return out.select("entity", "test_order", "test",
                       quantize(F.col("f"), 3).alias("f_stat"), quantize(F.col("p"), 4).alias("p_approx"),
                       F.col("n").cast("bigint").alias("n"),
                       F.when(F.col("p") < GRANGER_ALPHA, F.lit(GRANGER_EVIDENCE))
@@ -138,15 +142,15 @@ def granger_lag1(fm: DataFrame, keep_null_lags: bool = False) -> DataFrame:
     give one 'Insufficient data' row.  F rounded to 3, p to 4 decimals;
     p ~ exp(-F/2) (1 when F <= 0); p < 0.10 -> evidence."""
     base = fm.where(F.col("sales_value").isNotNull() & F.col("cogs").isNotNull())
-    counts = base.groupBy("entity").agg(F.count("*").alias("n"))
-    short = counts.where(F.col("n") < GRANGER_MIN_ROWS).select(
-        "entity", F.lit(0).alias("test_order"), F.lit(GRANGER_SHORT_LABEL).alias("test"),
-        F.lit(None).cast("double").alias("f_stat"), F.lit(None).cast("double").alias("p_approx"),
-        F.col("n").cast("bigint").alias("n"), F.lit(GRANGER_SHORT).alias("result"))
-    long_enough = base.join(counts.where(F.col("n") >= GRANGER_MIN_ROWS).select("entity"), "entity", "left_semi")
-    tests = [_granger_pair(long_enough, c, e, label, i, keep_null_lags)
-             for i, (c, e, label) in enumerate(GRANGER_PAIRS)]
-    return reduce(DataFrame.unionByName, [short, *tests])
+    n = F.count(F.lit(1)).over(Window.partitionBy("entity"))
+    counted = base.withColumn("n_rows", n)
+    short = (counted.where(F.col("n_rows") < GRANGER_MIN_ROWS).groupBy("entity")
+             .agg(F.max("n_rows").alias("n"))
+             .select("entity", F.lit(0).alias("test_order"), F.lit(GRANGER_SHORT_LABEL).alias("test"),
+                     F.lit(None).cast("double").alias("f_stat"), F.lit(None).cast("double").alias("p_approx"),
+                     F.col("n").cast("bigint").alias("n"), F.lit(GRANGER_SHORT).alias("result")))
+    tests = _granger_pairs(counted.where(F.col("n_rows") >= GRANGER_MIN_ROWS).drop("n_rows"), keep_null_lags)
+    return short.unionByName(tests)
 
 
 # Root-cause note texts.

@@ -29,8 +29,9 @@ def _t(spark, sf_dir) -> Tables:
 
 
 def fm_of(t: Tables) -> DataFrame:
-    return feat.feature_matrix(domain.monthly_pl(t), domain.monthly_sales(t),
-                               domain.party_balances(t), domain.wastage(t))
+    """F1 over the one-pass ledger (a single lineitem scan)."""
+    lt = domain.ledger_tables(t)
+    return feat.feature_matrix(lt["pl"], lt["sales"], lt["parties"], lt["waste"])
 
 
 # ---------------------------------------------------------------- sources
