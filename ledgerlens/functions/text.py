@@ -65,10 +65,16 @@ def section_regex(pattern: str, name: str) -> str:
     return f"(?i)(^|{NOT_WORD}){body}{tail}"
 
 
+# Whitespace other than the plain space.
+WS_NOT_SPACE = WS.replace(" ", "")
+
+
 def normalize_text(col) -> Column:
-    """NUL -> space, whitespace runs -> one space, trim."""
+    """NUL -> space, whitespace runs -> one space, trim.  Only runs that
+    change are matched (two or more characters, or one that is not a plain
+    space); the output equals replacing every run."""
     t = F.regexp_replace(_c(col), r"\x00", " ")
-    return F.trim(F.regexp_replace(t, WS + "+", " "))
+    return F.trim(F.regexp_replace(t, f"{WS}{{2,}}|{WS_NOT_SPACE}", " "))
 
 
 def strip_ws(col) -> Column:
