@@ -311,24 +311,37 @@ def extractive_answer(questions: DataFrame, hits: DataFrame) -> DataFrame:
     when it is audit data -> its text; (c) else the best 6 useful sentences
     (score = keyword overlap + hit score; ties by hit rank then sentence
     order), de-duplicated on their first 80 chars, each with its source
-    label; (d) none -> the top hit's text."""
+    label; (d) none -> the top hit's text.
+
+    One shuffle: the hits are exploded into sentences (keeping hits without
+    any) and every step is a window over ``question_id``; the at most six
+    chosen lines are de-duplicated as a bounded array in the final aggregate."""
     h = hits.withColumn("label", source_label())
+    e = h.select("question_id", "rank", "kw", "score", "label", "section", "page", "text", "source_type",
+                 "sheet_name", F.posexplode_outer(split_sentences(F.col("text"))).alias("spos", "raw"))
     is_pri = F.col("section").isin(*PRIORITY_SECTIONS) | F.col("sheet_name").isin(*PRIORITY_SHEETS)
-    per_q = h.groupBy("question_id").agg(
-        F.min_by(F.struct("source_type", "label", "text"), F.when(is_pri, F.col("rank"))).alias("pri"),
-        F.min_by(F.struct("section", "page", "text"), F.col("rank")).alias("top"))
-    sent = h.select("question_id", "rank", "kw", "score", "label",
-                    F.posexplode(split_sentences(F.col("text"))).alias("spos", "raw"))
-    sent = sent.withColumn("sentence", strip_ws(F.col("raw"))).where(useful_sentence(F.col("sentence")))
-    sent = sent.withColumn("sscore", keyword_overlap(F.col("kw"), F.col("sentence")).cast("double") + F.col("score"))
-    w = Window.partitionBy("question_id").orderBy(F.col("sscore").desc(), F.col("rank"), F.col("spos"))
-    top6 = sent.withColumn("srank", F.row_number().over(w)).where(F.col("srank") <= MAX_SENTENCES)
-    d = Window.partitionBy("question_id", F.substr(F.col("sentence"), F.lit(1), F.lit(DEDUP_PREFIX))).orderBy("srank")
-    top6 = top6.withColumn("dup", F.row_number().over(d)).where(F.col("dup") == 1)
-    lines = top6.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct(
-        "srank", F.concat(F.lit("- "), F.col("sentence"), F.lit(" ("), F.col("label"), F.lit(")")).alias("l"))))
-        .alias("ls"))
-    j = (questions.select("question_id").join(per_q, "question_id", "left").join(lines, "question_id", "left"))
+    wq = Window.partitionBy("question_id")
+    e = (e.withColumn("pri", F.min_by(F.struct("source_type", "label", "text"), F.when(is_pri, F.col("rank"))).over(wq))
+          .withColumn("top", F.min_by(F.struct("section", "page", "text"), F.col("rank")).over(wq))
+          .withColumn("sentence", strip_ws(F.col("raw"))))
+    useful = F.col("raw").isNotNull() & useful_sentence(F.col("sentence"))
+    e = e.withColumn("sscore", F.when(useful, keyword_overlap(F.col("kw"), F.col("sentence")).cast("double")
+                                      + F.col("score")))
+    w = Window.partitionBy("question_id").orderBy(F.col("sscore").desc_nulls_last(), F.col("rank"), F.col("spos"))
+    e = e.withColumn("srank", F.row_number().over(w))
+    chosen = F.col("sscore").isNotNull() & (F.col("srank") <= MAX_SENTENCES)
+    line = F.concat(F.lit("- "), F.col("sentence"), F.lit(" ("), F.col("label"), F.lit(")"))
+    g = e.groupBy("question_id").agg(
+        F.first("pri", ignorenulls=True).alias("pri"), F.first("top", ignorenulls=True).alias("top"),
+        F.array_sort(F.collect_list(F.when(chosen, F.struct(
+            "srank", F.substr(F.col("sentence"), F.lit(1), F.lit(DEDUP_PREFIX)).alias("key"), line.alias("l")))))
+        .alias("cand"))
+    # keep the first line of every 80-char prefix, in rank order
+    kept = F.aggregate("cand", F.array().cast("array<struct<srank:int,key:string,l:string>>"),
+                       lambda acc, x: F.when(F.exists(acc, lambda y: y["key"] == x["key"]), acc)
+                       .otherwise(F.concat(acc, F.array(x))))
+    g = g.withColumn("ls", F.when(F.size("cand") > 0, kept))
+    j = questions.select("question_id").join(g, "question_id", "left")
     pri_audit = F.col("pri").isNotNull() & (F.col("pri.source_type") == "audit_data")
     answer = (F.when(F.col("top").isNull(), F.lit(NO_HITS))
               .when(pri_audit, F.concat(F.lit("Based on audit data ("), F.col("pri.label"), F.lit("):\n\n"),
@@ -338,5 +351,4 @@ def extractive_answer(questions: DataFrame, hits: DataFrame) -> DataFrame:
               .otherwise(F.concat(F.lit("Based on the most relevant section ("), F.col("top.section"),
                                   F.lit(", p. "), F.col("top.page").cast("string"), F.lit("):\n\n"),
                                   _cut(F.col("top.text"), FALLBACK_CHARS))))
-    backend = F.lit("extractive")
-    return j.select("question_id", answer.alias("answer"), backend.alias("backend"))
+    return j.select("question_id", answer.alias("answer"), F.lit("extractive").alias("backend"))
