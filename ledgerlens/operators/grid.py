@@ -321,3 +321,34 @@ def pl_from_cells(cells: DataFrame, labels: list[tuple[str, str]], col: int = 1)
           .withColumn("profit_margin", ratio(F.col("profit"), F.col("total_incomes")))
           .withColumn("salary_to_sales", ratio(F.col("staff_salary"), F.col("sales_value"))))
     return d.select(*PL_COLUMNS)
+
+
+def pl_from_cells_legacy(cells: DataFrame, labels: list[tuple[str, str]], month_cols: dict[int, int]) -> DataFrame:
+    """Many months from one workbook's columns.  ``month_cols`` maps a
+    value column to its month; the year comes from the file name.  Each
+    (file, month) with any value becomes a P&L row (G1 per column)."""
+    from ..sources.domain import PL_COLUMNS, month_of_period, ratio
+    c = cells.where(F.col("sheet") == "PL")
+    names = {l.lower(): col for l, col in labels}
+    keys = _rows(c).where(F.col("key").isin(*names))
+    cmap = F.create_map(*[x for col, mon in month_cols.items() for x in (F.lit(col), F.lit(mon))])
+    vals = (c.where(F.col("col_idx").isin(*month_cols))
+             .select(*KEY, "row_idx", "col_idx", "num_value"))
+    j = keys.join(vals, [*KEY, "row_idx"])
+    first = j.groupBy("file", "col_idx", "key").agg(F.min_by("num_value", "row_idx").alias("v"))
+    wide = first.groupBy("file", "col_idx").pivot("key", list(names)).agg(F.first("v"))
+    for low, col in names.items():
+        wide = wide.withColumnRenamed(low, col)
+    year = F.regexp_extract("file", r"(\d{4})\.xlsx$", 1)
+    period = F.concat(year, F.lit("-"), F.lpad(F.try_element_at(cmap, F.col("col_idx")).cast("string"), 2, "0"))
+    ent = F.regexp_extract("file", r"^Supplier (\d+) ", 1).cast("bigint")
+    d = (wide.withColumn("entity", ent).withColumn("period", period)
+             .withColumn("month", month_of_period(F.col("period")))
+             .withColumn("gross_margin", ratio(F.col("gross_profit"), F.col("total_incomes")))
+             .withColumn("cogs_ratio", ratio(F.col("cogs"), F.col("total_incomes")))
+             .withColumn("profit_margin", ratio(F.col("profit"), F.col("total_incomes")))
+             .withColumn("salary_to_sales", ratio(F.col("staff_salary"), F.col("sales_value"))))
+    present = None
+    for col in names.values():
+        present = F.col(col).isNotNull() if present is None else (present | F.col(col).isNotNull())
+    return d.where(present).select(*PL_COLUMNS)

@@ -1065,3 +1065,4 @@ oracle("clean_cell", [], f"SELECT doc_id, {clean_sql('source')} AS source, {clea
 oracle("format_numbers", ["pl"], f"""
 SELECT entity, period, {flong('sales_value')} AS sales_long, {fshort('sales_value')} AS sales_short,
   {flong('gross_margin')} AS margin_long, {fshort('profit')} AS profit_short FROM pl""")
+oracle("monthly_pl_legacy", ["pl"], "SELECT * FROM pl")

@@ -692,3 +692,10 @@ def q_chunk_lines(spark, sf_dir):
     """X8 on every sheet's markdown table (900-char line packing)."""
     md = gr.grid_markdown(_cells(spark, sf_dir))
     return md.select("file", "sheet", F.posexplode(ch.chunk_lines(F.col("markdown"))).alias("pos", "chunk"))
+
+
+@query("monthly_pl_legacy")
+def q_monthly_pl_legacy(spark, sf_dir):
+    """The P&L read from annual workbooks (months as columns); equals monthly_pl."""
+    cells = cells_src.legacy_pl_cells(domain.monthly_pl(_t(spark, sf_dir)))
+    return gr.pl_from_cells_legacy(cells, cells_src.PL_LABELS, {2 * m - 1: m for m in range(1, 13)})

@@ -92,3 +92,24 @@ def party_cells(parties: DataFrame) -> DataFrame:
 def cells(t: Tables) -> DataFrame:
     """T1 for every (entity, period) report."""
     return pl_cells(domain.monthly_pl(t)).unionByName(party_cells(domain.party_balances(t))).select(*CELL_SCHEMA)
+
+
+def legacy_pl_cells(pl: DataFrame) -> DataFrame:
+    """The legacy layout: one annual workbook per entity whose 'PL' sheet
+    holds every month side by side — month m in column 2m-1 (column 2m,
+    the percent column, is left empty), the ten labelled lines in rows 3-12."""
+    year = F.substring("period", 1, 4)
+    m = F.substring("period", 6, 2).cast("int")
+    file = F.concat(F.lit("Supplier "), F.col("entity").cast("string"), F.lit(" Annual Report "), year,
+                    F.lit(".xlsx"))
+    vals = [F.struct(F.lit(3 + i).alias("row_idx"), (m * 2 - 1).alias("col_idx"),
+                     F.lit(None).cast("string").alias("str_value"), F.col(col).cast("double").alias("num_value"))
+            for i, (_, col) in enumerate(PL_LABELS)]
+    body = pl.select(file.alias("file"), F.explode(F.array(*vals)).alias("c")).select("file", "c.*")
+    files = pl.select(file.alias("file")).distinct()
+    labels = files.select("file", F.explode(F.array(
+        _cell(2, 0, F.lit("Particulars")),
+        *[_cell(3 + i, 0, F.lit(label)) for i, (label, _) in enumerate(PL_LABELS)])).alias("c")).select("file", "c.*")
+    out = labels.unionByName(body)
+    return out.select("file", F.lit("PL").alias("sheet"), F.lit(0).alias("sheet_idx"), "row_idx", "col_idx",
+                      "str_value", "num_value").where(F.col("str_value").isNotNull() | F.col("num_value").isNotNull())
