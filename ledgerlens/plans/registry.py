@@ -222,22 +222,35 @@ def q_forecast_daily_sim(spark, sf_dir):
 
 # ---------------------------------------------------------------- prescriptive
 def supplier_alternatives(t: Tables) -> DataFrame:
-    """Alternatives for TOPSIS: one per supplier, criteria from its history."""
+    """Alternatives for TOPSIS: one per supplier, criteria from its whole
+    history.  All criteria are ratios of integer-unit sums, so one
+    aggregation over the joined lines gives exactly the totals of the
+    monthly P&L and sales tables (one lineitem pass instead of two)."""
     from pyspark.sql import functions as F
-    pl = domain.monthly_pl(t)
-    u4 = lambda c: F.round(F.col(c) * F.lit(10000.0)).cast("bigint")
-    p = pl.groupBy("entity").agg(F.sum(u4("profit")).alias("profit4"), F.sum(u4("total_incomes")).alias("inc4"),
-                                 F.sum(u4("cogs")).alias("cogs4"))
-    ms = domain.monthly_sales(t)
-    m = ms.groupBy("entity").agg(F.sum(u4("cash_sales")).alias("cash4"), F.sum(u4("net_sales")).alias("net4"))
+    from ..functions.money import cents, units
+    li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                           "l_extendedprice", "l_discount", "l_tax")
+    part = t.part.select("p_partkey", "p_retailprice")
+    od = t.orders.select("o_orderkey", "o_orderpriority")
+    j = li.join(part, li.l_partkey == part.p_partkey).join(od, li.l_orderkey == od.o_orderkey)
+    ext, tax, disc = cents("l_extendedprice"), cents("l_tax"), cents("l_discount")
+    zero = F.lit(0).cast("bigint")
+    net = ext * (F.lit(100) - disc)
+    g = j.groupBy(F.col("l_suppkey").alias("entity")).agg(
+        F.sum(ext).alias("ext2"), F.sum(ext * tax).alias("tax4"),
+        F.sum(units("l_quantity") * cents("p_retailprice")).alias("cogs2"),
+        F.sum(F.when(F.col("l_linenumber").isin(1, 7), ext).otherwise(zero)).alias("opsal2"),
+        F.sum(ext * disc).alias("fee4"), F.sum(net).alias("net4"),
+        F.sum(F.when(F.col("o_orderpriority") == domain.CHANNELS["cash"], net).otherwise(zero)).alias("cash4"))
+    inc4 = F.col("ext2") * 100 + F.col("tax4")
+    profit4 = inc4 - F.col("cogs2") * 100 - F.col("opsal2") * 100 - F.col("fee4")
     s = t.supplier.select(F.col("s_suppkey").alias("entity"), F.col("s_acctbal").alias("feasibility"))
-    j = p.join(m, "entity").join(s, "entity")
-    return j.select("entity",
-                    F.try_divide(F.col("cash4").cast("double"), F.col("net4").cast("double")).alias("liquidity"),
-                    F.try_divide(F.col("profit4").cast("double"), F.col("inc4").cast("double")).alias("profitability"),
-                    "feasibility",
-                    (F.lit(1.0) - F.try_divide(F.col("cogs4").cast("double"), F.col("inc4").cast("double")))
-                    .alias("risk_reduction"))
+    return g.join(s, "entity").select(
+        "entity",
+        F.try_divide(F.col("cash4").cast("double"), F.col("net4").cast("double")).alias("liquidity"),
+        F.try_divide(profit4.cast("double"), inc4.cast("double")).alias("profitability"),
+        "feasibility",
+        (F.lit(1.0) - F.try_divide((F.col("cogs2") * 100).cast("double"), inc4.cast("double"))).alias("risk_reduction"))
 
 
 @query("topsis_rank")
