@@ -2,14 +2,19 @@
 chunks (X7), markdown summary sections (S15) and line-packing chunks for
 tables (X8).
 
-The chunkers are sequential loops in the reference.  Here each document's
-loop runs inside one row as a Spark ``aggregate`` higher-order function that
-carries only integer positions; texts are cut afterwards with ``substr``.
+Overlapping windows are cut in Arrow batches, in time proportional to the
+text; line packing runs inside one row as a Spark ``aggregate`` function.
 Chunk ids are (document, position) based: a global counter would force the
 whole corpus through one partition."""
 
 from __future__ import annotations
 
+import bisect
+import re
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,47 +25,53 @@ CHUNK_SIZE = 800
 CHUNK_OVERLAP = 150
 SHEET_CHUNK_SIZE = 900
 
-_SPANS = "array<struct<s:int,e:int>>"
+# Tasks get the functions of this module by value: executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+_PIECES = "array<struct<s:int,e:int,piece:string>>"
+
 
+def cut_points(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[tuple[int, int]]:
+    """X7 windows of one text, from an index of its sentence ends: a window of
+    ``size`` characters that does not reach the end of the text is cut back to
+    its last sentence end, if that lies past its middle; the next one begins
+    ``overlap`` characters before.  The work grows with the text's length."""
+    stops = [m.start() + 1 for m in re.finditer(r"\.(?= )", text)]
+    spans, s = [], 0
+    while s + size < len(text):
+        at = bisect.bisect_left(stops, s + size) - 1
+        e = stops[at] if at >= 0 and stops[at] > s + size // 2 + 1 else s + size
+        spans.append((s, e))
+        s = max(e - overlap, s + 1)
+    return [*spans, (s, len(text))]
 
-def chunk_spans(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-                length: Column | None = None) -> Column:
-    """X7 loop as positions: window [start, start+size); if more text
-    follows, end moves back to just after the last '. ' inside the window
-    when that lies past the window's midpoint; next start =
-    max(end - overlap, start + 1).  Returns array<struct<s, e>> (0-based,
-    end exclusive).  The iteration bound follows from the minimum advance
-    per step, so every text is processed whole.  Pass ``length`` as a
-    precomputed column: inside the loop it would be re-counted each step."""
-    n = F.length(text) if length is None else length
-    advance = max(size // 2 + 2 - overlap, 1)
-    bound = F.floor(n / F.lit(advance)).cast("int") + F.lit(2)
-    init = F.struct(F.lit(0).alias("s"), F.lit(False).alias("done"), F.array().cast(_SPANS).alias("spans"))
 
-    def let(value: Column, body):
-        # Bind ``value`` once: interpreted lambdas would otherwise re-evaluate
-        # a shared sub-expression at every reference.
-        return F.element_at(F.transform(F.array(value), body), 1)
+def chunk_pieces(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """Windows of every text with their pieces, array<struct<s, e, piece>>
+    (0-based code points, end exclusive), in Arrow batches; null for null.
 
-    def step(acc, _):
-        s = acc["s"]
-        e0 = F.least(s + F.lit(size), n)
+    A built-in loop was measured to take quadratic time: each ``substr`` walks
+    the text from its start."""
 
-        def with_r(r):
-            b = F.when(r > 0, s + (e0 - s) - r - F.lit(1)).otherwise(F.lit(-1))
-            e_expr = F.when((e0 < n) & (b > s + F.lit(size // 2)), b + F.lit(1)).otherwise(e0)
+    @F.arrow_udf(_PIECES)
+    def pieces(texts: pa.Array) -> pa.Array:
+        offsets, starts, ends, parts, null = [0], [], [], [], []
+        for t in texts.to_pylist():
+            null.append(t is None)
+            for s, e in cut_points(t, size, overlap) if t is not None else ():
+                starts.append(s)
+                ends.append(e)
+                parts.append(t[s:e])
+            offsets.append(len(starts))
+        flat = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(parts, pa.string())], ["s", "e", "piece"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=pa.array(null, pa.bool_()))
 
-            def with_e(e):
-                nxt = F.greatest(e - F.lit(overlap), s + F.lit(1))
-                grown = F.concat(acc["spans"], F.array(F.struct(s.alias("s"), e.alias("e"))))
-                return F.struct(F.when(e >= n, s).otherwise(nxt).alias("s"), (e >= n).alias("done"),
-                                grown.alias("spans"))
-            return let(e_expr, with_e)
+    return pieces(text)
 
-        r_expr = F.when(e0 < n, F.instr(F.reverse(F.substr(text, s + F.lit(1), e0 - s)), " .")).otherwise(F.lit(0))
-        return F.when(acc["done"], acc).otherwise(let(r_expr, with_r))
 
-    return F.aggregate(F.sequence(F.lit(1), bound), init, step, lambda acc: acc["spans"])
+def chunk_spans(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """X7 windows as positions only, array<struct<s, e>>."""
+    return F.transform(chunk_pieces(text, size, overlap), lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e")))
 
 
 def clean_pages(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -76,13 +87,10 @@ def chunk_text(pages: DataFrame, id_col: str = "doc_id", text_col: str = "clean"
     """X7 + P6 + X6: overlapping chunks of each page, low-quality chunks
     dropped, section detected per chunk.  One projection and an explode:
     no shuffle."""
-    text = F.col(text_col)
-    pages = pages.withColumn("_len", F.length(text))
-    pieces = F.transform(chunk_spans(text, size, overlap, F.col("_len")), lambda sp: F.struct(
-        sp["s"].alias("s"), sp["e"].alias("e"),
-        F.trim(F.substr(text, sp["s"] + F.lit(1), sp["e"] - sp["s"])).alias("piece")))
+    cut = pages.select(F.col(id_col).alias("doc_id"), *extra, chunk_pieces(F.col(text_col), size, overlap).alias("_pieces"))
+    pieces = F.transform("_pieces", lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), F.trim(p["piece"]).alias("piece")))
     kept = F.filter(pieces, lambda p: (p["piece"] != "") & ~low_quality_chunk(p["piece"]))
-    out = pages.select(F.col(id_col).alias("doc_id"), *extra, F.posexplode(kept).alias("pos", "c"))
+    out = cut.select("doc_id", *extra, F.posexplode(kept).alias("pos", "c"))
     return out.select(*extra,
         F.concat(F.lit("chunk_"), F.col("doc_id").cast("string"), F.lit("_"),
                  F.format_string("%04d", F.col("pos"))).alias("chunk_id"),
