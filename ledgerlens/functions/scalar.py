@@ -27,6 +27,15 @@ def clean_cell(col) -> Column:
     return F.when((t == "") | (F.lower(t) == "nan"), F.lit(None).cast("string")).otherwise(t)
 
 
+def plain_number(col) -> Column:
+    """A number as a cell shows it, with all its digits: '12', '1234567.89' (up to six decimals)."""
+    x = _c(col).cast("double")
+    whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
+    return (F.when(x.isNull() | F.isnan(x), F.lit(None).cast("string"))
+            .when(whole, x.cast("bigint").cast("string"))
+            .otherwise(F.rtrim(x.cast("decimal(38,6)").cast("string"), F.lit("0"))))
+
+
 def format_long(col) -> Column:
     """X3 long form: |x|>=1000 -> '1,234.00'; integral -> '12'; else 2 decimals."""
     x = _c(col).cast("double")
@@ -58,10 +67,17 @@ PERIOD_RULES = [
     (["april"], "April"),
     (["may"], "May"),
     (["jun", "{year}"], "June"),
+    (["jul", "{year}"], "July"),
+    (["aug", "{year}"], "August"),
+    (["sep", "{year}"], "September"),
+    (["oct", "{year}"], "October"),
+    (["nov", "{year}"], "November"),
+    (["dec", "{year}"], "December"),
 ]
 
 # Full month names scanned in the fallback text search.
-FALLBACK_MONTHS = ["january", "february", "march", "april", "may", "june"]
+FALLBACK_MONTHS = ["january", "february", "march", "april", "may", "june",
+                   "july", "august", "september", "october", "november", "december"]
 
 
 def detect_period(name_col, text_col=None, year="2026") -> Column:

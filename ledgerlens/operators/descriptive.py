@@ -70,19 +70,12 @@ def channel_mix(sales: DataFrame) -> DataFrame:
                          "pokhara_pct", "credit_pct"))
 
 
-def sales_by_year(sales: DataFrame, years=(1998, 1999, 2000)) -> DataFrame:
-    """S2 shape: one row per (entity, month) with one net-sales column per year."""
-    return (sales.withColumn("year", F.substring("period", 1, 4).cast("int"))
-                 .groupBy("entity", "month", "month_num")
-                 .pivot("year", list(years)).agg(F.max("net_sales")))
-
-
-def sales_trend(sales: DataFrame, years=(1998, 1999, 2000)) -> DataFrame:
-    """Unpivot the per-year sales columns to (year, month, sales), NULLs dropped."""
-    wide = sales_by_year(sales, years)
-    long = wide.unpivot(["entity", "month", "month_num"], [str(y) for y in years], "year", "sales")
-    return (long.where(F.col("sales").isNotNull())
-                .select("entity", F.col("year").cast("int").alias("year"), "month", "month_num", "sales"))
+def sales_trend(sales: DataFrame) -> DataFrame:
+    """Net sales by (year, month) for every year there is, NULLs dropped.
+    The long form of one sales column per year, without a list of years."""
+    return (sales.where(F.col("net_sales").isNotNull())
+                 .select("entity", F.substring("period", 1, 4).cast("int").alias("year"), "month", "month_num",
+                         F.col("net_sales").alias("sales")))
 
 
 def describe(df: DataFrame, cols: list[str], key: str = "entity") -> DataFrame:

@@ -87,10 +87,20 @@ def feature_matrix(pl: DataFrame, sales: DataFrame, parties: DataFrame, waste: D
     All inputs are aggregates keyed by (entity, period), so the joins are
     co-partitioned sort-merge joins on the same key and the windows that
     follow reuse that partitioning (partitioned by entity)."""
-    fm = (pl.join(sales.select("entity", "period", *SALES_FEATURES), ["entity", "period"], "left")
-            .join(party_totals(parties), ["entity", "period"], "left")
-            .join(wastage_totals(waste), ["entity", "period"], "left"))
-    fm = mom_change(fm)
+    return finish_features(pl.join(sales.select("entity", "period", *SALES_FEATURES), ["entity", "period"], "left")
+                             .join(party_totals(parties), ["entity", "period"], "left")
+                             .join(wastage_totals(waste), ["entity", "period"], "left"))
+
+
+def pl_features(pl: DataFrame) -> DataFrame:
+    """W1, W2 and F2 from the P&L alone: all that the label and the P&L tests need."""
+    fm = mom_change(pl)
+    return fm.withColumn("stress", stress_label(F.col("profit_margin"), F.col("cogs_ratio"), F.col("margin_pressure")))
+
+
+def finish_features(joined: DataFrame) -> DataFrame:
+    """W1-W3, derived ratios and F2 on the joined (entity, period) table."""
+    fm = mom_change(joined)
     fm = (fm.withColumn("liquidity_proxy", F.col("cash_pct") * F.col("net_sales"))
             .withColumn("platform_dependency", F.coalesce("foodmandu_pct", F.lit(0.0)))
             .withColumn("credit_exposure", F.coalesce("credit_pct", F.lit(0.0))))

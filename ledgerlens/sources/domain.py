@@ -49,8 +49,8 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num, den)
 
 
-def pl_from_units(g: DataFrame) -> DataFrame:
-    """Finish a P&L from integer sums in 1e-4 units.
+def pl_from_units(g: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Finish a P&L from integer sums in 1e-4 units; ``keep`` names columns to pass on.
 
     Expects columns entity, period, sales4, other4, cogs4, opex4, salary4, fee4.
     """
@@ -70,13 +70,13 @@ def pl_from_units(g: DataFrame) -> DataFrame:
         to_double(F.col("fee4"), 4).alias("foodmandu_charges"),
         to_double(tot4, 4).alias("total_expenses"),
         to_double(profit4, 4).alias("profit"),
-        to_double(F.col("other4"), 4).alias("bread_income"),
+        to_double(F.col("other4"), 4).alias("bread_income"), *keep,
     )
     d = (d.withColumn("gross_margin", ratio(F.col("gross_profit"), F.col("total_incomes")))
           .withColumn("cogs_ratio", ratio(F.col("cogs"), F.col("total_incomes")))
           .withColumn("profit_margin", ratio(F.col("profit"), F.col("total_incomes")))
           .withColumn("salary_to_sales", ratio(F.col("staff_salary"), F.col("sales_value"))))
-    return d.select(*PL_COLUMNS)
+    return d.select(*PL_COLUMNS, *keep)
 
 
 def _lines_with_part(t: Tables, *li_cols: str, part_cols=("p_retailprice",), where=None) -> DataFrame:
@@ -233,6 +233,9 @@ def category_sales(t: Tables) -> DataFrame:
                      to_double(F.col("v2"), 2).alias("value")))
 
 
+# The reference's limits on a day's sales.
+MIN_YEAR, MAX_DAY_TOTAL = 2020, 500_000.0
+
 DAILY_COLUMNS = ["entity", "date", "cash", "online", "credit", "total_sales", "customers",
                  "dine_in_sales", "avg_ticket", "day_of_week", "dow"]
 
@@ -240,12 +243,8 @@ DAILY_COLUMNS = ["entity", "date", "cash", "online", "credit", "total_sales", "c
 EVENT_CHANNELS = {"cash": "purchase", "online": "click", "credit": "view", "dine_in": "signup"}
 
 
-def daily_sales(t: Tables) -> DataFrame:
-    """T4 (S5): per (outlet = user_id div 3, day) sales.
-
-    Rows with no total, a year before 2020 or a total above 500000 are
-    dropped; missing channel amounts are 0; avg_ticket = dine-in / customers
-    when both are non-zero."""
+def _daily_units(t: Tables) -> DataFrame:
+    """Sums in cents per (outlet = user_id div 3, day)."""
     ev = t.events.select("user_id", "ts", "event_type", "value")
     v = cents("value")
     zero = F.lit(0).cast("bigint")
@@ -253,8 +252,26 @@ def daily_sales(t: Tables) -> DataFrame:
             for c, et in EVENT_CHANNELS.items() if c != "dine_in"]
     aggs += [F.sum(F.when(F.col("event_type") == EVENT_CHANNELS["dine_in"], v)).alias("dine_in2"),
              F.sum(v).alias("total2"), F.count_distinct("user_id").alias("customers")]
-    g = ev.groupBy(F.expr("user_id div 3").alias("entity"), F.to_date("ts").alias("date")).agg(*aggs)
-    g = g.where(F.col("total2").isNotNull() & (F.year("date") >= 2020) & (F.col("total2") <= 50_000_000))
+    return ev.groupBy(F.expr("user_id div 3").alias("entity"), F.to_date("ts").alias("date")).agg(*aggs)
+
+
+def _daily_kept(min_year: int, max_total: float) -> Column:
+    return F.col("total2").isNotNull() & (F.year("date") >= min_year) & (F.col("total2") <= F.lit(round(max_total * 100)))
+
+
+def daily_dropped(t: Tables, min_year: int = MIN_YEAR, max_total: float = MAX_DAY_TOTAL) -> DataFrame:
+    """How many days ``daily_sales`` leaves out, for the quality report."""
+    return _daily_units(t).agg(F.count_if(~F.coalesce(_daily_kept(min_year, max_total), F.lit(False))).alias("dropped"))
+
+
+def daily_sales(t: Tables, min_year: int = MIN_YEAR, max_total: float = MAX_DAY_TOTAL) -> DataFrame:
+    """T4 (S5): per (outlet = user_id div 3, day) sales.
+
+    Days with no total, a year before ``min_year`` or a total above
+    ``max_total`` are dropped (``daily_dropped`` counts them); missing channel
+    amounts are 0; avg_ticket = dine-in / customers when both are non-zero."""
+    zero = F.lit(0).cast("bigint")
+    g = _daily_units(t).where(_daily_kept(min_year, max_total))
     d = g.select(
         "entity", "date",
         to_double(F.coalesce("cash2", zero), 2).alias("cash"),
@@ -325,40 +342,42 @@ def ledger_aggregates(t: Tables) -> DataFrame:
     return j.groupingSets([list(v) for v in GRAINS.values()], *_GRAIN_COLS).agg(*aggs)
 
 
-def ledger_tables(t: Tables) -> dict:
-    """T3, T2, T5 and T6 from the one-pass ledger (same rows as the
-    separate builders).  Catalyst pushes each grain's grouping-id filter
-    into the expand, so every grain expands only its own rows; measured
-    faster here than materialising the shared aggregate first."""
-    g = ledger_aggregates(t)
+def ledger_features(t: Tables) -> DataFrame:
+    """J1-J3 in one pass: P&L, sales mix, party totals and wastage units per
+    (entity, period) from a single evaluation of ``ledger_aggregates``.
 
+    The grains stay in one table: a window runs the balances of every party,
+    and one conditional aggregation folds the grains into a row per entity and
+    period.  Lineitem is scanned once and joined twice; the rest works on
+    aggregates.  Periods without a P&L row are left out (left join on the P&L)."""
     def grain(name):
-        return g.where(F.col("gid") == _gid(GRAINS[name]))
+        return F.col("gid") == _gid(GRAINS[name])
 
-    pl = pl_from_units(grain("pl").select(
-        "entity", F.col("sp").alias("period"), (F.col("ext2") * 100).alias("sales4"), F.col("tax4").alias("other4"),
-        (F.col("cogs2") * 100).alias("cogs4"), (F.col("opex2") * 100).alias("opex4"),
-        (F.col("salary2") * 100).alias("salary4"), F.col("disc4").alias("fee4")))
-    s = grain("sales")
-    cols = [
-        "entity", F.col("op").alias("period"),
-        month_of_period(F.col("op")).alias("month"), F.substring("op", 6, 2).cast("int").alias("month_num"),
-        to_double(F.col("ext2") * 100, 4).alias("total_sales"), to_double(F.col("disc4"), 4).alias("discount"),
-        to_double(F.col("tax4"), 4).alias("vat"), to_double(F.col("net4"), 4).alias("net_sales"),
-    ] + [to_double(F.col(f"{n}4"), 4).alias(f"{n}_sales") for n in CHANNELS]
-    sales = s.select(*cols).withColumn("discount_pct", ratio(F.col("discount"), F.col("total_sales")))
-    for n in CHANNELS:
-        sales = sales.withColumn(f"{n}_pct", ratio(F.col(f"{n}_sales"), F.col("net_sales")))
-    sales = sales.select(*MS_COLUMNS)
-    moves = (grain("creditor").select("entity", F.col("sp").alias("period"), F.col("brand").alias("party"), "mov2",
-                                      F.lit("creditor").alias("type"))
-             .unionByName(grain("debtor").select("entity", F.col("sp").alias("period"), F.col("cgrp").alias("party"),
-                                                 "mov2", F.lit("debtor").alias("type"))))
-    parties = _balances(moves)
-    w = grain("waste").where(F.col("n_ret") > 0)
-    total = F.coalesce(F.nullif(F.col("tot"), F.lit(0)), F.col("ktm") + F.col("pkr"))
-    waste = (w.where(keep_wastage_item(F.col("ptype")))
-              .select("entity", F.col("sp").alias("period"), F.trim("ptype").alias("item"),
-                      F.col("ktm").cast("double").alias("ktm"), F.col("pkr").cast("double").alias("pkr"),
-                      total.cast("double").alias("total")))
-    return {"pl": pl, "sales": sales, "parties": parties, "waste": waste}
+    run = Window.partitionBy("gid", "entity", "brand", "cgrp", "ptype").orderBy("sp", "op").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    g = ledger_aggregates(t).withColumn("close2", F.sum("mov2").over(run))
+    party = F.when(grain("creditor"), F.col("brand")).otherwise(F.col("cgrp"))
+    kept = keep_party_row(party, F.col("close2"))
+    waste = grain("waste") & (F.col("n_ret") > 0) & keep_wastage_item(F.col("ptype"))
+    units_lost = F.coalesce(F.nullif(F.col("tot"), F.lit(0)), F.col("ktm") + F.col("pkr")).cast("double")
+
+    def one(name, value, alias):
+        return F.max(F.when(grain(name), value)).alias(alias)
+
+    d = g.groupBy("entity", F.when(grain("sales"), F.col("op")).otherwise(F.col("sp")).alias("period")).agg(
+        F.count_if(grain("pl")).alias("n_pl"),
+        one("pl", F.col("ext2") * 100, "sales4"), one("pl", F.col("tax4"), "other4"), one("pl", F.col("cogs2") * 100, "cogs4"),
+        one("pl", F.col("opex2") * 100, "opex4"), one("pl", F.col("salary2") * 100, "salary4"), one("pl", F.col("disc4"), "fee4"),
+        one("sales", F.col("ext2") * 100, "gross4"), one("sales", F.col("disc4"), "less4"), one("sales", F.col("net4"), "net4"),
+        *[one("sales", F.col(f"{n}4"), f"{n}4") for n in CHANNELS],
+        F.sum(F.when(grain("creditor") & kept, F.col("close2"))).alias("creditor2"),
+        F.sum(F.when(grain("debtor") & kept, F.col("close2"))).alias("debtor2"),
+        F.sum(F.when(waste, units_lost)).alias("wastage_units")).where("n_pl > 0")
+    net = to_double(F.col("net4"), 4)
+    d = d.withColumns({
+        "net_sales": net, "discount_pct": ratio(to_double(F.col("less4"), 4), to_double(F.col("gross4"), 4)),
+        **{f"{n}_sales": to_double(F.col(f"{n}4"), 4) for n in CHANNELS},
+        **{f"{n}_pct": ratio(to_double(F.col(f"{n}4"), 4), net) for n in CHANNELS},
+        "creditor_total": to_double(F.col("creditor2"), 2), "debtor_total": to_double(F.col("debtor2"), 2)})
+    return pl_from_units(d, ("net_sales", "discount_pct", *[f"{n}_{x}" for n in CHANNELS for x in ("sales", "pct")],
+                             "creditor_total", "debtor_total", "wastage_units"))

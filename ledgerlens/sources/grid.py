@@ -25,7 +25,7 @@ PL_LABELS = [
     ("Staff Salary & Wages", "staff_salary"),
     ("Foodmandu Charges", "foodmandu_charges"),
     ("Total Expenses", "total_expenses"),
-    ("Profit", "profit"),
+    ("Net Profit", "profit"),
     ("Bread Income", "bread_income"),
 ]
 PARTY_SHEETS = [("creditor", "Creditors Analysis", 1), ("debtor", "Debtors Analysis", 2)]
