@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clean_cell, detect_period, format_long, format_short
+from ..functions.money import cents, to_double
+from ..functions.scalar import clean_cell, detect_period, format_long, format_short, plain_number
+from ..sources.domain import keep_party_row
 from . import chunking
 
 # Sheet name -> retrieval section.
@@ -43,6 +45,11 @@ def cell_text(num: Column, txt: Column, short: bool = True) -> Column:
     return F.when(num.isNotNull(), fmt).otherwise(clean_cell(txt))
 
 
+def raw_text(num: Column, txt: Column) -> Column:
+    """Text of a cell as it stands: numbers with all digits, text cleaned, else NULL."""
+    return F.when(num.isNotNull(), plain_number(num)).otherwise(clean_cell(txt))
+
+
 def _rows(cells: DataFrame) -> DataFrame:
     """Per (file, sheet, row): the label (col 0, cleaned, lower-cased)."""
     return (cells.where(F.col("col_idx") == 0)
@@ -101,8 +108,9 @@ def grid_header(cells: DataFrame) -> DataFrame:
 
 
 def row_lines(cells: DataFrame) -> DataFrame:
-    """Each row as its non-empty cells joined by ' | ' in column order."""
-    t = cell_text(F.col("num_value"), F.col("str_value"))
+    """Each row as its non-empty cells joined by ' | ' in column order;
+    numbers keep all their digits."""
+    t = raw_text(F.col("num_value"), F.col("str_value"))
     r = (cells.select(*KEY, "row_idx", "col_idx", t.alias("t")).where(F.col("t").isNotNull())
               .groupBy(*KEY, "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "t"))).alias("cs")))
     return r.select(*KEY, "row_idx", F.array_join(F.transform("cs", lambda x: x["t"]), " | ").alias("line"))
@@ -160,22 +168,24 @@ def grid_markdown(cells: DataFrame, max_rows_small: bool = True) -> DataFrame:
     than 60 rows, else all), blank rows skipped, and a trailer counting the
     rows not shown.  Without a header row: the first rows as G6 lines."""
     t = cell_text(F.col("num_value"), F.col("str_value"))
-    c = cells.select(*KEY, "row_idx", "col_idx", t.alias("t"), F.col("num_value").isNotNull().alias("isnum"))
+    raw = raw_text(F.col("num_value"), F.col("str_value"))
+    c = cells.select(*KEY, "row_idx", "col_idx", t.alias("t"), raw.alias("raw"))
     present = c.where(F.col("t").isNotNull())
     colrank = present.select(*KEY, "col_idx").distinct().withColumn(
         "pos", F.dense_rank().over(Window.partitionBy(*KEY).orderBy("col_idx")) - 1)
     c = present.join(colrank, [*KEY, "col_idx"])
     hdr = grid_header(cells).select(*KEY, "header_row")
     nrows = cells.groupBy(*KEY).agg((F.max("row_idx") + 1).alias("n_rows"))
-    rows = c.groupBy(*KEY, "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("pos", "t"))).alias("m"))
+    rows = c.groupBy(*KEY, "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("pos", "t"))).alias("m"),
+                                            F.map_from_entries(F.collect_list(F.struct("pos", "raw"))).alias("raw"))
     rows = rows.join(hdr, KEY).join(nrows, KEY)
     rows = rows.withColumn("max_rows", F.when(F.col("n_rows") > 60, F.lit(45)).otherwise(F.col("n_rows")))
     by_row = lambda a, b: F.when(a["row_idx"] < b["row_idx"], F.lit(-1)).when(
         a["row_idx"] > b["row_idx"], F.lit(1)).otherwise(F.lit(0))
     g = rows.groupBy(*KEY, "header_row", "n_rows", "max_rows").agg(
-        F.array_sort(F.collect_list(F.struct("row_idx", "m")), by_row).alias("rs"))
+        F.array_sort(F.collect_list(F.struct("row_idx", "m", "raw")), by_row).alias("rs"))
     hrow = F.filter("rs", lambda r: r["row_idx"] == F.col("header_row"))
-    hmap = F.element_at(hrow, 1)["m"]
+    hmap = F.element_at(hrow, 1)["raw"]
     width = F.array_max(F.map_keys(hmap)) + 1
     heads = F.transform(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))),
                         lambda i: F.coalesce(F.try_element_at(hmap, i), F.concat(F.lit("col"), i.cast("string"))))
@@ -201,7 +211,7 @@ def grid_markdown(cells: DataFrame, max_rows_small: bool = True) -> DataFrame:
                         F.array_join(lines, "\n"), trailer)
     plain_rows = F.filter("rs", lambda r: r["row_idx"] < F.col("max_rows"))
     plain = F.array_join(F.transform(plain_rows, lambda r: F.array_join(
-        F.transform(F.array_sort(F.map_keys(r["m"])), lambda k: F.element_at(r["m"], k)), " | ")), "\n")
+        F.transform(F.array_sort(F.map_keys(r["raw"])), lambda k: F.element_at(r["raw"], k)), " | ")), "\n")
     body = F.when(F.col("header_row").isNull(), plain).otherwise(table)
     return g.select(*KEY, body.alias("markdown"))
 
@@ -229,14 +239,14 @@ def kpi_summary(cells: DataFrame, business: Column | None = None) -> DataFrame:
                      .groupBy("file", "row_idx").agg(
                          F.max(F.when(F.col("col_idx") == 0, clean_cell(F.col("str_value")))).alias("name"),
                          F.max(F.when(F.col("col_idx") == 4, F.col("num_value"))).alias("closing"))
-                     .where(F.col("name").isNotNull() & F.col("closing").isNotNull()))
+                     .where(keep_party_row(F.col("name"), F.col("closing"))))
 
     cred = party_rows("Creditors Analysis").where(F.col("row_idx") < 13)
     cred_g = cred.groupBy("file").agg(
         F.array_sort(F.collect_list(F.struct("row_idx", F.concat(F.lit("- "), F.col("name"), F.lit(": closing balance "),
                                                                 F.format_number("closing", 2)).alias("l")))).alias("cr"),
-        F.sum(F.col("closing")).alias("cr_total"))
-    deb_g = party_rows("Debtors Analysis").groupBy("file").agg(F.sum("closing").alias("db_total"),
+        to_double(F.sum(cents("closing")), 2).alias("cr_total"))
+    deb_g = party_rows("Debtors Analysis").groupBy("file").agg(to_double(F.sum(cents("closing")), 2).alias("db_total"),
                                                                  F.count("*").alias("db_n"))
     j = files.join(hl_lines, "file", "left").join(cred_g, "file", "left").join(deb_g, "file", "left")
     who = business if business is not None else F.regexp_extract("file", r"^(Supplier \d+)", 1)
@@ -284,7 +294,7 @@ def audit_chunks(cells: DataFrame, chunk_size: int = chunking.SHEET_CHUNK_SIZE,
     allc = overview.unionByName(kpi).unionByName(sheet_chunks.select(
         "file", "report_period", "part", "sub", "section", "sheet_name", "text"))
     return allc.select(
-        F.concat(F.lit("audit_"), F.sha2("file", 256).substr(1, 12), F.lit("_"), F.format_string("%02d", "part"),
+        F.concat(F.lit("audit_"), F.sha2("file", 256), F.lit("_"), F.format_string("%02d", "part"),
                  F.lit("_"), F.format_string("%03d", "sub")).alias("chunk_id"),
         F.lit(0).alias("page"), "section", F.lit("audit_data").alias("source_type"), F.col("file").alias("file_name"),
         "sheet_name", "report_period", "text")

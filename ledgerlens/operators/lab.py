@@ -55,12 +55,6 @@ def degenerate_label(df: DataFrame) -> Column:
     return (F.col("cogs_ratio") > F.median("cogs_ratio").over(Window.partitionBy("entity"))).cast("int")
 
 
-# Lighter sizes for the registered (checked on every run) lab queries; the
-# reference's sizes are the defaults of ``classifiers``/``regressors``.
-CHECK_PROFILE = {"n_trees": 50, "gbt_iter": 20, "xgb_iter": 24}
-CHECK_REG_PROFILE = {"n_trees": 50, "gbt_iter": 24}
-
-
 # ------------------------------------------------------------------ model zoo
 def classifiers(n_trees: int = 200, gbt_iter: int = 100, xgb_iter: int = 120, seed: int = 42):
     """(name, factory(n_train) -> estimator, needs_scaling) in report order."""
@@ -95,21 +89,27 @@ def _scale(train: DataFrame, apply_to: DataFrame, cols) -> DataFrame:
 
 
 def lab_table(fm: DataFrame, cols=FEATURE_COLS, folds: int = N_FOLDS) -> DataFrame:
-    """Imputed features, label, balanced class weight and fold id; cut from
-    the feature-matrix lineage by a reliable checkpoint."""
+    """Imputed features, label and fold id; cut from the feature-matrix
+    lineage by a reliable checkpoint."""
     d = impute_features(fm, cols)
     classes = d.select(F.count_distinct("stress").alias("k")).first()["k"]
     label = F.col("stress").cast("int") if classes > 1 else degenerate_label(d)
-    d = d.withColumn("label", label.cast("double"))
-    # Balanced class weights n / (2 * n_class): a two-row aggregate joined back.
-    counts = d.groupBy("label").agg(F.count(F.lit(1)).alias("n_class"))
-    n = d.select(F.count(F.lit(1))).scalar()
-    d = (d.join(F.broadcast(counts), "label")
-          .withColumn("w", n.cast("double") / (F.lit(2.0) * F.col("n_class").cast("double"))).drop("n_class")
-          .withColumn("fold", F.pmod(F.xxhash64("entity"), F.lit(folds)).cast("int")))
+    d = d.withColumn("label", label.cast("double")).withColumn(
+        "fold", F.pmod(F.xxhash64("entity"), F.lit(folds)).cast("int"))
     return cut_lineage(_assemble(d, cols))
 
 
+def _class_stats(train: DataFrame):
+    return train.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones"), F.avg("label").alias("rate")).first()
+
+
+def _balanced(train: DataFrame, stats) -> DataFrame:
+    """Balanced class weights n / (2 * n_class), from the rows that are trained on."""
+    ones, zeros = stats["ones"], stats["n"] - stats["ones"]
+    return train.withColumn("w", F.when(F.col("label") == 1, F.lit(stats["n"] / (2.0 * ones))).otherwise(
+        F.lit(stats["n"] / (2.0 * zeros))))
+
+
 def _proba(model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("proba", vector_to_array("probability")[1])
 
@@ -118,11 +118,10 @@ def _fold_prediction(table: DataFrame, order: int, name: str, make, scaled: bool
                      leaky_scaling: bool):
     train = table.where(F.col("fold") != f)
     test = table.where(F.col("fold") == f)
-    stats = train.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("k"),
-                      F.avg("label").alias("rate")).first()
+    stats = _class_stats(train)
     if stats["n"] == 0:
         return None
-    if stats["k"] < 2:
+    if stats["ones"] in (0, stats["n"]):
         majority = float(stats["rate"] >= 0.5)
         pred = test.select("entity", "period", "label", F.lit(majority).alias("proba"))
     else:
@@ -130,35 +129,58 @@ def _fold_prediction(table: DataFrame, order: int, name: str, make, scaled: bool
         if scaled:
             base = table if leaky_scaling else train
             tr, te = _scale(base, train, FEATURE_COLS), _scale(base, test, FEATURE_COLS)
-        model = make(stats["n"]).fit(tr)
+        model = make(stats["n"]).fit(_balanced(tr, stats))
         pred = _proba(model, te).select("entity", "period", "label", "proba")
     return pred.select(F.lit(order).alias("model_order"), F.lit(name).alias("model"), "entity",
                        "period", "label", "proba", F.lit(f).alias("fold"))
 
 
 def cv_predictions(table: DataFrame, models=None, folds: int = N_FOLDS, leaky_scaling: bool = False,
-                   parallelism: int = 4) -> DataFrame:
+                   parallelism: int = 4, errors: dict | None = None) -> DataFrame:
     """M5: out-of-fold probability for every row and model.  A fold whose
     training part has one class predicts that class (probability 0/1);
     prediction = probability >= 0.5.  Fits of different (model, fold) pairs
     are submitted from ``parallelism`` driver threads, like MLlib's
-    ``CrossValidator(parallelism=...)``."""
+    ``CrossValidator(parallelism=...)``.  A model that fails in any fold is left
+    out, and ``errors`` (if given) gets its place and message (M8); without
+    ``errors`` the failure is raised."""
     from concurrent.futures import ThreadPoolExecutor
     models = models or classifiers()
     tasks = [(order, name, make, scaled, f) for order, (name, make, scaled) in enumerate(models)
              for f in range(folds)]
+
+    def attempt(task):
+        try:
+            return _fold_prediction(table, *task, leaky_scaling)
+        except Exception as e:  # any failure of a fit is that model's error row
+            if errors is None:
+                raise
+            errors[task[1]] = (task[0], str(e).strip().splitlines()[0][:300])
+            return None
+
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        parts = list(pool.map(lambda a: _fold_prediction(table, *a, leaky_scaling), tasks))
-    out = reduce(DataFrame.unionByName, [p for p in parts if p is not None])
-    return out.withColumn("predicted", (F.col("proba") >= 0.5).cast("double"))
+        parts = list(pool.map(attempt, tasks))
+    kept = [p for p, t in zip(parts, tasks) if p is not None and t[1] not in (errors or {})]
+    if not kept:
+        kept = [table.limit(0).select(F.lit(0).alias("model_order"), F.lit("").alias("model"), "entity", "period", "label",
+                                      F.lit(0.0).alias("proba"), F.lit(0).alias("fold"))]
+    return reduce(DataFrame.unionByName, kept).withColumn("predicted", (F.col("proba") >= 0.5).cast("double"))
+
+
+AUC_RANGES = 256
+
+
+def _score_range(score: Column, bounds: list[float]) -> Column:
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= score)) if bounds else F.lit(0)
 
 
 def classification_metrics(pred: DataFrame, group_cols=("model_order", "model"), label: str = "label",
                            score: str = "proba", predicted: str = "predicted") -> DataFrame:
     """M6: accuracy, binary F1 (0 when undefined) and ROC-AUC by average
-    ranks (NULL with one class), from aggregated counts only: scores are
-    first reduced to (group, score) counts, so no group is ever sorted
-    row by row."""
+    ranks (NULL with one class).  Scores are reduced to (group, score) counts
+    and cut into ranges at quantiles; ranks come from a prefix sum over the
+    few ranges of a group and one inside each range, so no task holds all
+    scores of a group."""
     g = list(group_cols)
     lab, pr = F.col(label).cast("int"), F.col(predicted).cast("int")
     conf = pred.groupBy(*g).agg(
@@ -168,8 +190,15 @@ def classification_metrics(pred: DataFrame, group_cols=("model_order", "model"),
         F.sum(((lab == 1) & (pr == 0)).cast("long")).alias("fn"))
     by_score = pred.groupBy(*g, F.col(score).alias("s")).agg(
         F.sum((lab == 1).cast("long")).alias("pos"), F.sum((lab == 0).cast("long")).alias("neg"))
-    w = Window.partitionBy(*g).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    by_score = by_score.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    cuts = pred.agg(F.percentile_approx(F.col(score).cast("double"), [i / AUC_RANGES for i in range(1, AUC_RANGES)], 10_000)
+                    .alias("b")).first()["b"]
+    by_score = by_score.withColumn("range", _score_range(F.col("s"), sorted(set(cuts or []))))
+    before = Window.partitionBy(*g).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = by_score.groupBy(*g, "range").agg(F.sum("neg").alias("neg_range")).withColumn(
+        "neg_before", F.coalesce(F.sum("neg_range").over(before), F.lit(0))).drop("neg_range")
+    w = Window.partitionBy(*g, "range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    by_score = by_score.join(totals, [*g, "range"]).withColumn(
+        "neg_below", F.col("neg_before") + F.coalesce(F.sum("neg").over(w), F.lit(0)))
     auc = by_score.groupBy(*g).agg(
         F.sum(F.col("pos") * (F.col("neg_below") * 2 + F.col("neg"))).alias("u2"),
         F.sum("pos").alias("npos"), F.sum("neg").alias("nneg"))
@@ -183,10 +212,15 @@ def classification_metrics(pred: DataFrame, group_cols=("model_order", "model"),
     return m.join(auc, g, "left")
 
 
-def comparison(metrics: DataFrame) -> DataFrame:
-    """M14 (classification part): the reference's comparison layout."""
-    return metrics.select(F.lit(CLASS_TASK).alias("task"), "model", F.lit("Accuracy (LOO)").alias("metric_primary"),
-                          F.col("accuracy").alias("score"), "F1", "ROC_AUC", "model_order")
+def comparison(metrics: DataFrame, errors: dict | None = None, folds: int = N_FOLDS) -> DataFrame:
+    """M14 (classification part): the reference's comparison layout, with a
+    row without scores for every model that failed (M8)."""
+    label = f"Accuracy ({folds}-fold by entity)"
+    rows = metrics.select(F.lit(CLASS_TASK).alias("task"), "model", F.lit(label).alias("metric_primary"),
+                          F.col("accuracy").alias("score"), "F1", "ROC_AUC", "model_order", F.lit(None).cast("string").alias("error"))
+    failed = [(CLASS_TASK, name, label, None, None, None, order, said) for name, (order, said) in (errors or {}).items()]
+    return rows.unionByName(metrics.sparkSession.createDataFrame(
+        failed, "task string, model string, metric_primary string, score double, F1 double, ROC_AUC double, model_order int, error string"))
 
 
 def best_model(metrics: DataFrame) -> str:
@@ -201,7 +235,8 @@ def refit(table: DataFrame, name: str, models=None):
     for _, (n, make, scaled) in enumerate(models):
         if n == name:
             data = _scale(table, table, FEATURE_COLS) if scaled else table
-            model = make(table.count()).fit(data)
+            stats = _class_stats(table)
+            model = make(stats["n"]).fit(_balanced(data, stats))
             return model, _proba(model, data)
     raise KeyError(name)
 
@@ -221,8 +256,8 @@ def importance(model, cols=FEATURE_COLS, spark=None) -> DataFrame:
         vals = [abs(v) for v in model.coefficients.toArray().tolist()]
     from pyspark.sql import SparkSession
     spark = spark or SparkSession.getActiveSession()
-    rows = [(c, float(v)) for c, v in zip(cols, vals)]
-    return spark.createDataFrame(rows, "feature string, importance double")
+    rows = sorted(((c, float(v)) for c, v in zip(cols, vals)), key=lambda r: (-r[1], r[0]))
+    return spark.createDataFrame(rows, "feature string, importance double").coalesce(1)
 
 
 # ------------------------------------------------------------------ daily regression
@@ -297,10 +332,11 @@ def daily_regression(features: DataFrame, models=None) -> tuple[DataFrame, DataF
     return pred, regression_metrics(pred)
 
 
-def full_comparison(class_metrics: DataFrame, reg_metrics: DataFrame) -> DataFrame:
+def full_comparison(class_metrics: DataFrame, reg_metrics: DataFrame, errors: dict | None = None) -> DataFrame:
     """Classification and regression rows in one table."""
-    c = comparison(class_metrics)
+    c = comparison(class_metrics, errors)
     r = reg_metrics.select(F.lit(REG_TASK).alias("task"), "model", F.lit("R2 (holdout)").alias("metric_primary"),
                            F.col("R2").alias("score"), F.lit(None).cast("double").alias("F1"),
-                           F.lit(None).cast("double").alias("ROC_AUC"), (F.col("model_order") + 10).alias("model_order"))
+                           F.lit(None).cast("double").alias("ROC_AUC"), (F.col("model_order") + 10).alias("model_order"),
+                           F.lit(None).cast("string").alias("error"))
     return c.unionByName(r)

@@ -309,7 +309,7 @@ FROM ms WHERE net_sales IS NOT NULL""")
 
 cte("trend", ["ms"], """
 SELECT entity, CAST(substr(period, 1, 4) AS INTEGER) AS year, month, month_num, net_sales AS sales
-FROM ms WHERE substr(period, 1, 4) IN ('1998', '1999', '2000') AND net_sales IS NOT NULL""")
+FROM ms WHERE net_sales IS NOT NULL""")
 oracle("sales_trend", ["trend"], "SELECT * FROM trend")
 
 
@@ -904,6 +904,11 @@ def flong(x: str) -> str:
             f"WHEN {x} = floor({x}) THEN CAST(CAST(floor({x}) AS BIGINT) AS VARCHAR) ELSE {jfmt(x, 2)} END)")
 
 
+def plain_sql(x: str) -> str:
+    return (f"(CASE WHEN {x} = floor({x}) AND abs({x}) < 1e15 THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) "
+            f"ELSE rtrim(CAST(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,6)) AS VARCHAR), '0') END)")
+
+
 def clean_sql(x: str) -> str:
     return f"(CASE WHEN trim({x}) = '' OR lower(trim({x})) = 'nan' THEN NULL ELSE trim({x}) END)"
 
@@ -1000,7 +1005,7 @@ LEFT JOIN (SELECT file, sheet, min(row_idx) AS header_row FROM (
 oracle("row_to_line", ["cells"], f"""
 SELECT file, sheet, row_idx, string_agg(t, ' | ' ORDER BY col_idx) AS line FROM (
   SELECT file, sheet, row_idx, col_idx,
-         CASE WHEN num_value IS NOT NULL THEN {fshort('num_value')} ELSE {clean_sql('str_value')} END AS t FROM cells)
+         CASE WHEN num_value IS NOT NULL THEN {plain_sql('num_value')} ELSE {clean_sql('str_value')} END AS t FROM cells)
 WHERE t IS NOT NULL GROUP BY 1, 2, 3""")
 
 _smap = {**SECTION_MAP, **SECTION_MAP_EXTRA}
@@ -1039,6 +1044,38 @@ SELECT file, {', '.join(f'max(CASE WHEN {cond} THEN num_value END) AS {n}' for c
 FROM cells WHERE {' OR '.join(cond for cond, _ in _pconds)} GROUP BY file""")
 
 
+# KPI texts: highlights in listed order, then ten creditor rows at most and their total, then the debtors.
+_kpi_labels = ["Sales Value", "Cost of Goods Sold", "Gross Profit", "Net Profit", "Staff Salary"]
+_kpi_vals = " UNION ALL ".join(f"SELECT {i} AS o, {s_lit(l)} AS label" for i, l in enumerate(_kpi_labels))
+_who = "regexp_extract(file, '^(Supplier \\d+)', 1)"
+cte("kpi", ["cells", "inv"], f"""
+WITH hl AS (SELECT file, string_agg('- ' || label || ': ' || value, {NL} ORDER BY o) AS t FROM (
+      SELECT k.file, lb.o, lb.label, {flong('v.num_value')} AS value,
+             row_number() OVER (PARTITION BY k.file, lb.label ORDER BY k.row_idx) AS rk
+      FROM (SELECT file, row_idx, {_KEY_SQL} AS key FROM cells WHERE sheet = 'PL' AND col_idx = 0) k
+      JOIN ({_kpi_vals}) lb ON contains(k.key, lower(lb.label))
+      JOIN (SELECT file, row_idx, num_value FROM cells WHERE sheet = 'PL' AND col_idx = 1 AND num_value IS NOT NULL) v
+        ON v.file = k.file AND v.row_idx = k.row_idx)
+    WHERE rk = 1 GROUP BY file),
+pr AS (SELECT n.file, n.sheet, n.row_idx, n.name, c.closing
+       FROM (SELECT file, sheet, row_idx, {clean_sql('str_value')} AS name FROM cells WHERE sheet <> 'PL' AND col_idx = 0 AND row_idx >= 3) n
+       JOIN (SELECT file, sheet, row_idx, num_value AS closing FROM cells WHERE col_idx = 4 AND num_value IS NOT NULL) c
+         ON n.file = c.file AND n.sheet = c.sheet AND n.row_idx = c.row_idx
+       WHERE n.name IS NOT NULL AND NOT contains(lower(n.name), 'grand total') AND lower(n.name) <> 'total'),
+cr AS (SELECT file, string_agg('- ' || name || ': closing balance ' || format('{{:,.2f}}', closing), {NL} ORDER BY row_idx) AS t,
+         sum({c2('closing')}) AS total2 FROM pr WHERE sheet = 'Creditors Analysis' AND row_idx < 13 GROUP BY file),
+db AS (SELECT file, sum({c2('closing')}) AS total2, count(*) AS n FROM pr WHERE sheet = 'Debtors Analysis' GROUP BY file)
+SELECT inv.file, inv.period AS report_period,
+  concat_ws({NL}, 'Audit KPI Summary for ' || {_who}, 'Source file: ' || file, 'Report period: ' || period, 'Business: ' || {_who},
+    CASE WHEN hl.t IS NOT NULL THEN 'Profit & Loss highlights:' || {NL} || hl.t END,
+    CASE WHEN cr.t IS NOT NULL THEN 'Top creditors:' || {NL} || cr.t || {NL} || '- Total creditor closing balance (top entries): '
+      || format('{{:,.2f}}', {dbl('cr.total2', 2)}) END,
+    CASE WHEN db.n > 0 THEN '- Total debtor closing balance: ' || format('{{:,.2f}}', {dbl('db.total2', 2)}) || ' across ' || db.n || ' customers' END) AS text
+FROM inv LEFT JOIN hl USING (file) LEFT JOIN cr USING (file) LEFT JOIN db USING (file)
+WHERE hl.t IS NOT NULL OR cr.t IS NOT NULL OR db.n > 0""")
+oracle("kpi_summary", ["kpi"], "SELECT * FROM kpi")
+
+
 # ====================================================================== sinks
 oracle("sink_roundtrip", ["fm"], "SELECT * FROM fm")
 oracle("daily_csv_roundtrip", ["daily"], "SELECT * FROM daily")

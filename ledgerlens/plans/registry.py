@@ -30,8 +30,12 @@ def _t(spark, sf_dir) -> Tables:
 
 def fm_of(t: Tables) -> DataFrame:
     """F1 over the one-pass ledger (a single lineitem scan)."""
-    lt = domain.ledger_tables(t)
-    return feat.feature_matrix(lt["pl"], lt["sales"], lt["parties"], lt["waste"])
+    return feat.finish_features(domain.ledger_features(t))
+
+
+def plf_of(t: Tables) -> DataFrame:
+    """The P&L with month-over-month changes and the stress label."""
+    return feat.pl_features(domain.monthly_pl(t))
 
 
 # ---------------------------------------------------------------- sources
@@ -73,8 +77,8 @@ def q_feature_matrix(spark, sf_dir):
 
 @query("stress_label")
 def q_stress_label(spark, sf_dir):
-    return fm_of(_t(spark, sf_dir)).select("entity", "period", "profit_margin", "cogs_ratio",
-                                           "margin_pressure", "stress")
+    return plf_of(_t(spark, sf_dir)).select("entity", "period", "profit_margin", "cogs_ratio",
+                                            "margin_pressure", "stress")
 
 
 @query("mom_change")
@@ -183,7 +187,7 @@ def q_dq_issues(spark, sf_dir):
 # ---------------------------------------------------------------- diagnostic
 @query("variance_decomposition")
 def q_variance_decomposition(spark, sf_dir):
-    return diag.variance_decomposition(fm_of(_t(spark, sf_dir)))
+    return diag.variance_decomposition(plf_of(_t(spark, sf_dir)))
 
 
 @query("cost_elasticity")
@@ -193,13 +197,13 @@ def q_cost_elasticity(spark, sf_dir):
 
 @query("granger_lag1")
 def q_granger_lag1(spark, sf_dir):
-    return diag.granger_lag1(fm_of(_t(spark, sf_dir)))
+    return diag.granger_lag1(plf_of(_t(spark, sf_dir)))
 
 
 @query("root_cause_notes")
 def q_root_cause_notes(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return diag.root_cause_notes(fm_of(t), diag.cost_elasticity(domain.monthly_pl(t)),
+    return diag.root_cause_notes(plf_of(t), diag.cost_elasticity(domain.monthly_pl(t)),
                                  domain.party_balances(t))
 
 
@@ -328,8 +332,8 @@ def q_chunk_text(spark, sf_dir):
 @query("low_quality_chunks")
 def q_low_quality_chunks(spark, sf_dir):
     pages = ch.clean_pages(_t(spark, sf_dir).documents.select("doc_id", "text"))
-    spans = pages.select("doc_id", "clean", F.posexplode(ch.chunk_spans(F.col("clean"))).alias("i", "sp"))
-    piece = F.trim(F.substr(F.col("clean"), F.col("sp.s") + 1, F.col("sp.e") - F.col("sp.s")))
+    spans = pages.select("doc_id", F.explode(ch.chunk_pieces(F.col("clean"))).alias("sp"))
+    piece = F.trim("sp.piece")
     return spans.select("doc_id", F.col("sp.s").alias("start"), F.col("sp.e").alias("end"),
                         tx.low_quality_chunk(piece).alias("low_quality"))
 
@@ -420,18 +424,38 @@ def q_extractive_answer(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- model lab
-from ..operators import lab  # noqa: E402
+from ..operators import lab, shap  # noqa: E402
+
+
+# Cross-validation is shared by the lab queries of one application: the
+# out-of-fold predictions of a model are checkpointed once per input.
+_CV: dict = {}
 
 
 def _lab_table(spark, sf_dir):
-    return lab.lab_table(fm_of(_t(spark, sf_dir)))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CV:
+        _CV[key] = lab.lab_table(fm_of(_t(spark, sf_dir)))
+    return _CV[key]
 
 
 def _cv(spark, sf_dir, names=None):
-    models = [m for m in lab.classifiers(**lab.CHECK_PROFILE) if names is None or m[0] in names]
-    table = _lab_table(spark, sf_dir)
-    pred = lab.cv_predictions(table, models)
-    return table, pred, lab.classification_metrics(pred)
+    """(table, out-of-fold predictions, metrics, failed models) of the named models (all by default)."""
+    from functools import reduce
+    from ..session import cut_lineage
+    table, parts, errors = _lab_table(spark, sf_dir), [], {}
+    for order, model in enumerate(lab.classifiers()):
+        if names is not None and model[0] not in names:
+            continue
+        key = (spark.sparkContext.applicationId, sf_dir, model[0])
+        if key not in _CV:
+            failed = {}
+            found = lab.cv_predictions(table, [model], errors=failed).withColumn("model_order", F.lit(order))
+            _CV[key] = cut_lineage(found), {n: (order, said) for n, (_, said) in failed.items()}
+        parts.append(_CV[key][0])
+        errors |= _CV[key][1]
+    found = reduce(DataFrame.unionByName, parts)
+    return table, found, lab.classification_metrics(found), errors
 
 
 @query("impute_features")
@@ -441,7 +465,7 @@ def q_impute_features(spark, sf_dir):
 
 @query("degenerate_label")
 def q_degenerate_label(spark, sf_dir):
-    fm = lab.impute_features(fm_of(_t(spark, sf_dir)))
+    fm = lab.impute_features(plf_of(_t(spark, sf_dir)), ["cogs_ratio"])
     return fm.select("entity", "period", "cogs_ratio", lab.degenerate_label(fm).alias("label"))
 
 
@@ -462,8 +486,8 @@ def q_regression_metrics(spark, sf_dir):
 
 def _one_model(name):
     def q(spark, sf_dir):
-        _, _, m = _cv(spark, sf_dir, [name])
-        return lab.comparison(m)
+        _, _, m, errors = _cv(spark, sf_dir, [name])
+        return lab.comparison(m, errors)
     return q
 
 
@@ -474,46 +498,60 @@ for _key, _name in [("lab_logistic", "Logistic Regression"), ("lab_rf", "Random
 
 @query("lab_cv_predictions")
 def q_lab_cv_predictions(spark, sf_dir):
-    _, p, _ = _cv(spark, sf_dir, ["Logistic Regression", "Random Forest"])
-    return p
+    return _cv(spark, sf_dir)[1]
 
 
 @query("best_model")
 def q_best_model(spark, sf_dir):
-    _, _, m = _cv(spark, sf_dir)
+    m = _cv(spark, sf_dir)[2]
     return spark.createDataFrame([(lab.best_model(m),)], "best_model string")
 
 
-def _refit_best(spark, sf_dir):
-    table, _, m = _cv(spark, sf_dir)
-    return lab.refit(table, lab.best_model(m), lab.classifiers(**lab.CHECK_PROFILE))
+def _refit(spark, sf_dir, name=None):
+    """(model, scored table) of the named model, the best one by default."""
+    table = _lab_table(spark, sf_dir)
+    name = name or lab.best_model(_cv(spark, sf_dir)[2])
+    key = (spark.sparkContext.applicationId, sf_dir, name, "refit")
+    if key not in _CV:
+        _CV[key] = lab.refit(table, name)
+    return _CV[key]
 
 
 @query("lab_predictions")
 def q_lab_predictions(spark, sf_dir):
-    _, scored = _refit_best(spark, sf_dir)
+    _, scored = _refit(spark, sf_dir)
     return lab.predictions(scored)
 
 
 @query("lab_importance")
 def q_lab_importance(spark, sf_dir):
-    model, _ = _refit_best(spark, sf_dir)
+    model, _ = _refit(spark, sf_dir)
     return lab.importance(model, spark=spark)
 
 
+@query("lab_shap")
+def q_lab_shap(spark, sf_dir):
+    """What each feature adds to the forest's stress probability."""
+    model, scored = _refit(spark, sf_dir, "Random Forest")
+    return shap.shap_values(model, scored, lab.FEATURE_COLS)
+
+
+def _daily_regression(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir, "daily")
+    if key not in _CV:
+        _CV[key] = lab.daily_regression(pred.daily_features(domain.daily_sales(_t(spark, sf_dir))))[1]
+    return _CV[key]
+
+
 @query("lab_daily_regression")
 def q_lab_daily_regression(spark, sf_dir):
-    _, m = lab.daily_regression(pred.daily_features(domain.daily_sales(_t(spark, sf_dir))),
-                                lab.regressors(**lab.CHECK_REG_PROFILE))
-    return m
+    return _daily_regression(spark, sf_dir)
 
 
 @query("lab_comparison")
 def q_lab_comparison(spark, sf_dir):
-    _, _, cm = _cv(spark, sf_dir)
-    _, rm = lab.daily_regression(pred.daily_features(domain.daily_sales(_t(spark, sf_dir))),
-                                 lab.regressors(**lab.CHECK_REG_PROFILE))
-    return lab.full_comparison(cm, rm)
+    _, _, m, errors = _cv(spark, sf_dir)
+    return lab.full_comparison(m, _daily_regression(spark, sf_dir), errors)
 
 
 # ---------------------------------------------------------------- grid (T1) and audit chunks
