@@ -37,14 +37,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = docs.withColumn("__tie", F.xxhash64("text"))
-    found = simhash_dedup.near_duplicates(keyed, keep=["doc_id", "__tie"])
+    # a row's key is its id and text: never null, so one shuffle serves the join and the removal of repeated rows
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(F.xxhash64("text")))
+    keyed = docs.withColumn("__key", key)
+    found = simhash_dedup.near_duplicates(keyed, keep=["doc_id", "__key"])
     # one row stays for each component; groups without any id have a null component and are told apart by fingerprint
     group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("simhash"))]
-    first = found.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__tie")).alias("s")).select(
-        F.col("s.doc_id").alias("d"), F.col("s.__tie").alias("t"))
-    same = keyed.doc_id.eqNullSafe(F.col("d")) & (keyed["__tie"] == F.col("t"))
-    return keyed.join(first, same, "left_semi").dropDuplicates(["doc_id", "__tie"]).select(*docs.columns)
+    first = found.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__key")).alias("s"))
+    return keyed.join(first.select("s.__key"), "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

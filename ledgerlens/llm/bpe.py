@@ -31,7 +31,7 @@ def merge(symbols: Sequence[str], rank: Callable[[str, str], int | None]) -> lis
 class Neighbours:
     """Memo of which token pairs stand side by side in an encoding, and which tokens encode as themselves."""
 
-    def __init__(self, split: Callable[[str], list[str]], rank: Callable[[str, str], int | None], limit: int = 2_000_000):
+    def __init__(self, split: Callable[[str], list[str]], rank: Callable[[str, str], int | None], limit: int = 400_000):
         self.split, self.rank, self.limit = split, rank, limit
         self.memo: dict[tuple[str, str], bool] = {}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import os
 import uuid
@@ -17,7 +19,14 @@ from pyspark.sql import types as T
 from ledgerlens.session import ensure_checkpoint_dir
 
 TEXT = "__text"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+
+
+def _give_back() -> None:
+    """Return freed memory to the system; a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -39,8 +48,10 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[list], list[pa.Array]]]
     ``make()`` runs once per task and returns a function from a list of texts
     (``None`` where null) to one Arrow array per column of ``new``.  ``keep``
     names the input columns that pass through (all by default); an input
-    column with the name of a new one gives way to it.  No shuffle.
+    column with the name of a new one gives way to it.  No shuffle.  The
+    session's Arrow batches are limited to ``SLICE_BYTES``, as texts may be long.
     """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SLICE_BYTES))
     names = {n for n, _ in new}
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
     fields = [f for f in df.schema.fields if f.name in keep]
@@ -53,6 +64,8 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[list], list[pa.Array]]]
         for b in text_slices(batches, TEXT):
             new_columns = work(b.column(TEXT).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(fields))] + new_columns, names=out)
+        del work
+        _give_back()
 
     return src.mapInArrow(run, schema)
 

@@ -9,6 +9,7 @@ wins.
 from __future__ import annotations
 
 import math
+import struct
 from collections import Counter
 from dataclasses import dataclass
 
@@ -19,9 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Recent, map_text
+from .common import Recent, map_text, text_slices
 
 ORDERS = (5, 4, 3, 2, 1)
+PARTIAL = 100_000
 LETTERS = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 
@@ -34,18 +36,18 @@ class LanguageModel:
     words: dict[str, tuple[float, ...]]
     grams: list[dict[str, tuple[float, ...]]]
 
-    def word_score(self, word: str) -> tuple[np.ndarray, bool]:
-        """Log frequencies of one word by language, and whether the model knows the word or any n-gram of it."""
+    def word_score(self, word: str) -> tuple[float, ...] | None:
+        """Log frequencies of one word by language; None if the model knows neither the word nor any n-gram of it."""
         known = self.words.get(word)
         if known is not None:
-            return np.array(known), True
+            return known
         marked = f"^{word}$"
         for n in ORDERS:
             table = self.grams[n]
-            found = [table[g] for g in (marked[i:i + n] for i in range(len(marked) - n + 1)) if g in table and g not in ("^", "$")]
+            found = [s for i in range(len(marked) - n + 1) if (s := table.get(marked[i:i + n])) is not None]
             if found:
-                return np.mean(found, axis=0), True
-        return np.zeros(len(self.langs)), False
+                return tuple(sum(x) / len(found) for x in zip(*found))
+        return None
 
 
 def grams_of(word: str) -> list[tuple[int, str]]:
@@ -56,26 +58,32 @@ def grams_of(word: str) -> list[tuple[int, str]]:
 def _counts(sample: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(lang, n, gram, c): words have n = 0.  Counted in each task first, then summed."""
     def run(batches):
-        for b in batches:
-            words: dict[str, Counter] = {}
+        words: Counter = Counter()
+
+        def flush():
+            rows: Counter = Counter()
+            for (lang, w), c in words.items():
+                rows[lang, 0, w] += c
+                for n, g in grams_of(w):
+                    rows[lang, n, g] += c
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.int32()),
+                                               pa.array([k[2] for k in rows], pa.string()), pa.array(list(rows.values()), pa.int64())],
+                                              names=["lang", "n", "gram", "c"])
+
+        for b in (s for x in batches for s in text_slices([x], text_col)):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-            rows = Counter()
-            for lang, seen in words.items():
-                for w, c in seen.items():
-                    rows[lang, 0, w] += c
-                    for n, g in grams_of(w):
-                        rows[lang, n, g] += c
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.int32()),
-                                              pa.array([k[2] for k in rows], pa.string()), pa.array(list(rows.values()), pa.int64())],
-                                             names=["lang", "n", "gram", "c"])
+                words.update((lang, w) for w in LETTERS.findall(text.lower()))
+            if len(words) > PARTIAL:
+                yield flush()
+        yield flush()
 
     partial = sample.select(F.col(lang_col), F.col(text_col)).mapInArrow(run, "lang string, n int, gram string, c long")
     return partial.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-        docs_per_lang: int = 3000, max_langs: int = 64, max_words: int = 20_000, max_grams: int = 8_000) -> LanguageModel:
+        docs_per_lang: int = 1500, max_langs: int = 64, max_words: int = 20_000, max_grams: int = 8_000) -> LanguageModel:
     """Learn from a bounded sample of the rows with text and language.
 
     The sample takes about ``docs_per_lang`` documents of each language (all, if
@@ -116,23 +124,25 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 def scorer(model: LanguageModel):
     """A function from texts to (language, score, words with evidence, words) of each."""
     k = len(model.langs)
-    memo = Recent()
+    memo = Recent(50_000)
+    nothing = np.zeros(k + 2).tobytes()
+    plain = struct.Struct(f"{k + 2}d")
 
-    def learn(token: str) -> np.ndarray:
-        row = np.zeros(k + 2)
-        for w in LETTERS.findall(token):
-            score, known = model.word_score(w)
-            row[:k] += score
-            row[k:] += known, 1
-        return row
+    def learn(token: str) -> bytes:
+        """Scores of a token's words, how many the model has evidence for, and how many there are, as packed doubles."""
+        words = [token] if token.isascii() and token.isalpha() else LETTERS.findall(token)
+        if not words:
+            return nothing
+        found = [s for s in map(model.word_score, words) if s is not None]
+        return plain.pack(*(map(sum, zip(*found)) if found else [0.0] * k), len(found), len(words))
 
     def score(text: str | None) -> tuple[str, float, int, int]:
         tokens = text.lower().split() if text else []
         if not tokens or not k:
             return UNKNOWN, 0.0, 0, 0
         seen = Counter(tokens)  # in order of first occurrence, so sums do not depend on the batch
-        rows = list(map(memo.fill(seen, lambda new: map(learn, new)), seen))
-        total = np.array(list(seen.values()), float) @ np.array(rows)
+        rows = b"".join(map(memo.fill(seen, lambda new: map(learn, new)), seen))
+        total = np.fromiter(seen.values(), float, len(seen)) @ np.frombuffer(rows).reshape(-1, k + 2)
         words, known = int(total[k + 1]), int(total[k])
         if not words:
             return UNKNOWN, 0.0, 0, 0

@@ -26,7 +26,7 @@ from .bpe import Neighbours
 from .common import Recent, map_text
 
 SPACE = "▁"
-INDEX_CHARS = 1 << 19
+INDEX_CHARS = 1 << 18
 NUL = "\ud800"  # stands for a NUL inside a text, as 0 separates stretches; texts hold no surrogates
 
 
@@ -104,7 +104,7 @@ class PieceCodec:
         self.raw = [b"" if sp.is_control(i) else " ⁇ ".encode() if i == unknown else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in ids]
         for b, i in self.bytes.items():
             self.raw[i] = bytes([b])
-        self.memo = Recent()
+        self.memo = Recent(100_000)
 
     def stretches(self, text: str | None) -> list[str]:
         """Cut after normalisation; no piece crosses a cut."""
