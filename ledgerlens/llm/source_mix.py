@@ -108,7 +108,8 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, text_col: str = "text
                       word_count(F.col(f"`{text_col}`")).alias("size"), F.xxhash64(F.col(f"`{text_col}`")).alias("tie"))
     if quality is not None:
         q = quality.where("id is not null").groupBy(F.col("id").alias("q_id")).agg(F.max("quality").cast("double").alias("quality"))
-        doc = doc.join(q, F.col("id") == F.col("q_id"), "left").drop("q_id")
+        # both tables grow with the corpus: dealt out by id at every size
+        doc = doc.join(q.hint("merge"), F.col("id") == F.col("q_id"), "left").drop("q_id")
     else:
         doc = doc.withColumn("quality", F.lit(1.0))
     weight = F.when(F.col("quality") > 0, F.col("quality")).otherwise(F.lit(1.0))
