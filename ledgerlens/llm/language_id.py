@@ -124,7 +124,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 def scorer(model: LanguageModel):
     """A function from texts to (language, score, words with evidence, words) of each."""
     k = len(model.langs)
-    memo = Recent(50_000)
+    memo = Recent(100_000)
     nothing = np.zeros(k + 2).tobytes()
     plain = struct.Struct(f"{k + 2}d")
 
