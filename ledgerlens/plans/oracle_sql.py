@@ -243,6 +243,9 @@ oracle("party_balances", ["parties"], "SELECT * FROM parties")
 oracle("wastage", ["waste"], "SELECT * FROM waste")
 oracle("category_sales", ["cat"], "SELECT * FROM cat")
 oracle("daily_sales", ["daily"], "SELECT * FROM daily")
+oracle("daily_dropped", [], f"""
+SELECT count(*) FILTER (WHERE NOT coalesce(total2 IS NOT NULL AND year(date) >= 2020 AND total2 <= 50000000, false)) AS dropped
+FROM (SELECT user_id // 3 AS entity, CAST(ts AS DATE) AS date, sum({c2('value')}) AS total2 FROM events GROUP BY 1, 2)""")
 oracle("feature_matrix", ["fm"], "SELECT * FROM fm")
 oracle("stress_label", ["fm"], """
 SELECT entity, period, profit_margin, cogs_ratio, margin_pressure, stress FROM fm""")

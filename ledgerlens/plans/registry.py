@@ -69,6 +69,12 @@ def q_daily_sales(spark, sf_dir):
     return domain.daily_sales(_t(spark, sf_dir))
 
 
+@query("daily_dropped")
+def q_daily_dropped(spark, sf_dir):
+    """How many outlet days the daily filters leave out."""
+    return domain.daily_dropped(_t(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- features
 @query("feature_matrix")
 def q_feature_matrix(spark, sf_dir):
