@@ -2,17 +2,16 @@
 over-fetch (V2), rule-based re-ranking (V3), the ask wrapper (V4), context
 blocks (X13) and extractive answers (V5).
 
-One plan answers every question of the batch.  The batch is bounded: its
-size is checked, and it travels to the executors as a scalar subquery (an
-array of question structs), so the corpus is scanned once per batch with no
-join and no per-question job.  Each corpus row scores every question of the
-batch; a ``row_number() <= literal`` window becomes a WindowGroupLimit that
-keeps at most ``fetch`` rows per question per task before the shuffle.
-Larger batches are split by a hash of the question id."""
+One plan answers every question.  Questions and corpus vectors are dealt into
+blocks of bounded size, each pair of blocks is scored by one task, and the best
+units are merged before any chunk text is read: only ids and vectors go to
+Python, and only the chunks of units that can be hits are built."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +23,6 @@ from ..functions.text import (audit_query, keyword_overlap, keyword_terms, query
 
 DEFAULT_K = 5
 AUDIT_MIN_K = 8
-MAX_QUESTIONS_PER_BATCH = 4096
 
 # Re-ranking rules, applied in this order.  Each rule is
 # (query condition, hit conditions, boost): the query condition is a
@@ -100,33 +98,99 @@ def _max_fetch(k: int) -> int:
     return max(ek * 8, 24, k * 3)
 
 
-def _batches(questions: DataFrame, max_batch: int) -> list[DataFrame]:
-    n = questions.count()
-    if n <= max_batch:
-        return [questions]
-    nb = math.ceil(n / max_batch)
-    b = F.pmod(F.xxhash64("question_id"), F.lit(nb))
-    return [questions.where(b == i) for i in range(nb)]
+@dataclass(frozen=True)
+class Corpus:
+    """What is searched: ``vectors`` (unit, vec, vec_norm), one row per unit,
+    and ``chunks``, which gives the chunk rows (unit and HIT_COLS) of the units
+    in its argument, or of all units if that is None.  All chunks of a unit
+    share its vector."""
 
+    vectors: DataFrame
+    chunks: Callable[[DataFrame | None], DataFrame]
+
+
+def corpus_of(chunks: DataFrame) -> Corpus:
+    """A corpus from chunk rows that carry their own vector: every chunk is a unit."""
+    rows = chunks.withColumn("unit", F.col("chunk_id"))
+
+    def of(units: DataFrame | None) -> DataFrame:
+        hits = rows.select("unit", *HIT_COLS)
+        return hits if units is None else hits.join(units, "unit", "left_semi")
+
+    return Corpus(rows.select("unit", "vec", "vec_norm"), of)
+
+
+def _blocks(df: DataFrame, size: int) -> int:
+    return max(1, math.ceil(df.count() / size))
+
+
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
-QUESTION_COLS = ["question_id", "question", "q_lower", "audit", "terms", "kw", "k", "eff_k", "fetch_k"]
-CAND_SCHEMA = ("chunk_id string, doc_id bigint, page int, section string, source_type string, file_name string, "
-               "sheet_name string, report_period string, text string, question_id bigint, similarity double")
-# Scores per numpy block: chunks x questions doubles kept under ~32 MB.
-BLOCK_CELLS = 4_000_000
 
+QUESTION_COLS = ["question_id", "question", "q_lower", "audit", "terms", "kw", "k", "eff_k", "fetch_k"]
+BLOCK_SCHEMA = "question_id bigint, unit string, first_chunk string, similarity double"
+# Questions and units of one block pair; their score matrix has 16 MB.
+QUESTION_BLOCK, UNIT_BLOCK = 512, 4096
+# Matrix products differ from sums in index order by far less than this.
+MARGIN = 1e-9
+
+
+def best_of_block(questions, units, limit: int):
+    """The best units of a block for every question of a block: at most ``limit``
+    (question_id, unit, first_chunk, similarity) rows a question, by similarity,
+    then first chunk.  A matrix product finds all units that can be among them;
+    these are scored anew in index order, as the built-in path does."""
+    import numpy as np
+    import pandas as pd
 
-def _candidates_builtin(corpus: DataFrame, qf: DataFrame, k: int) -> DataFrame:
-    """V1 + V2 with built-in functions only: the question batch is a scalar
-    subquery array; each corpus row scores it with ``aggregate(zip_with)``."""
-    qcols = QUESTION_COLS + ["vec", "vec_norm"]
-    qarr = qf.select(F.collect_list(F.struct(*qcols)).alias("qs")).scalar()
-    # The subquery result is projected first: higher-order functions may
-    # reference its column but not the subquery itself.
-    scored = corpus.withColumn("qs", qarr).select(*HIT_COLS, F.explode(F.transform("qs", lambda q: F.struct(
-        *[q[c].alias(c) for c in QUESTION_COLS],
-        (dot(q["vec"], F.col("vec")) / (q["vec_norm"] * F.col("vec_norm"))).alias("similarity")))).alias("m"))
-    return _top_fetch(scored.select(*HIT_COLS, "m.*"), k)
+    q, c = np.stack(questions["vec"].to_numpy()), np.stack(units["vec"].to_numpy())
+    qn, cn = questions["vec_norm"].to_numpy(), units["vec_norm"].to_numpy()
+    rough = (q @ c.T) / np.outer(qn, cn)
+    place = max(0, rough.shape[1] - limit)
+    cut = np.partition(rough, place, axis=1)[:, place]
+    r, u = np.nonzero(rough >= cut[:, None] - MARGIN)
+    total = np.zeros(len(r))
+    for d in range(q.shape[1]):
+        total += q[r, d] * c[u, d]
+    out = pd.DataFrame({"question_id": questions["question_id"].to_numpy()[r], "unit": units["unit"].to_numpy()[u],
+                        "first_chunk": units["first_chunk"].to_numpy()[u], "similarity": total / (qn[r] * cn[u])})
+    out = out.sort_values(["question_id", "similarity", "first_chunk"], ascending=[True, False, True])
+    return out.groupby("question_id", sort=False).head(limit)
+
+
+def best_units(vectors: DataFrame, qf: DataFrame, limit: int, question_block: int = QUESTION_BLOCK,
+               unit_block: int = UNIT_BLOCK) -> DataFrame:
+    """(question_id, unit, similarity): the ``limit`` best units of each
+    question.  Questions and units are dealt into blocks by hash and each pair
+    of blocks is scored by one task, so nothing is collected or broadcast and a
+    task holds two blocks at any size.  The best of the block pairs are merged
+    in two levels."""
+    q = qf.select("question_id", "vec", "vec_norm")
+    nq, nu = _blocks(q, question_block), _blocks(vectors, unit_block)
+    qb = q.withColumn("qb", F.pmod(F.xxhash64("question_id"), F.lit(nq))).withColumn("ub", F.explode(_numbers(nu)))
+    ub = vectors.withColumn("ub", F.pmod(F.xxhash64("unit"), F.lit(nu))).withColumn("qb", F.explode(_numbers(nq)))
+
+    def score(questions, units):
+        if len(questions) == 0 or len(units) == 0:
+            import pandas as pd
+            return pd.DataFrame({"question_id": [], "unit": [], "first_chunk": [], "similarity": []})
+        return best_of_block(questions, units, limit)
+
+    found = qb.groupBy("qb", "ub").cogroup(ub.groupBy("qb", "ub")).applyInPandas(score, BLOCK_SCHEMA)
+    found = found.withColumn("part", F.pmod(F.xxhash64("unit"), F.lit(64)))
+    order = [F.col("similarity").desc(), F.col("first_chunk")]
+    for group in (["question_id", "part"], ["question_id"]):
+        found = found.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("n") <= limit)
+    return found.select("question_id", "unit", "similarity")
+
+
+def _candidates_builtin(corpus: Corpus, qf: DataFrame, k: int) -> DataFrame:
+    """V1 + V2 with built-in functions only, every chunk against every question; for tests."""
+    scored = corpus.chunks(None).join(corpus.vectors, "unit").crossJoin(
+        qf.withColumnRenamed("vec", "q_vec").withColumnRenamed("vec_norm", "q_norm"))
+    scored = scored.withColumn("similarity", dot(F.col("q_vec"), F.col("vec")) / (F.col("q_norm") * F.col("vec_norm")))
+    return _top_fetch(scored.drop("vec", "vec_norm", "q_vec", "q_norm"), k)
 
 
 def _top_fetch(scored: DataFrame, k: int) -> DataFrame:
@@ -137,80 +201,25 @@ def _top_fetch(scored: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("fetch_rank") <= F.col("fetch_k"))
 
 
-def _partial_topk(qids, qmat, qnorm, limit: int):
-    """mapInPandas body: cosine of a block of chunks against the whole
-    question batch, accumulated one dimension at a time (the same summation
-    order as the built-in path and the SQL oracle), then the best ``limit``
-    chunks per question of this task (ties kept by chunk id)."""
-    import numpy as np
-    import pandas as pd
+def candidates(corpus: Corpus, qf: DataFrame, k: int = DEFAULT_K, method: str = "blocks",
+               question_block: int = QUESTION_BLOCK, unit_block: int = UNIT_BLOCK) -> DataFrame:
+    """V1 + V2: the first ``fetch_k`` chunks per question by similarity (ties by
+    chunk id).
 
-    nq = len(qids)
-
-    def best(pdf: pd.DataFrame, sim: np.ndarray) -> pd.DataFrame:
-        ids = pdf["chunk_id"].to_numpy(dtype=object)
-        rows, cols, vals = [], [], []
-        for i in range(nq):
-            srow = sim[i]
-            if len(srow) > limit:
-                cut = np.partition(srow, len(srow) - limit)[len(srow) - limit]
-                keep = np.nonzero(srow >= cut)[0]
-            else:
-                keep = np.arange(len(srow))
-            order = keep[np.lexsort((ids[keep], -srow[keep]))][:limit]
-            rows.append(np.full(len(order), i))
-            cols.append(order)
-            vals.append(srow[order])
-        r, c, v = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
-        out = pdf.iloc[c].drop(columns=["vec", "vec_norm"]).reset_index(drop=True)
-        out["question_id"] = np.asarray(qids)[r]
-        out["similarity"] = v
-        return out
-
-    def fn(batches):
-        kept = None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            step = max(1, BLOCK_CELLS // max(nq, 1))
-            for start in range(0, len(pdf), step):
-                sub = pdf.iloc[start:start + step].reset_index(drop=True)
-                cmat = np.stack(sub["vec"].to_numpy())
-                acc = np.zeros((nq, len(sub)))
-                for d in range(cmat.shape[1]):
-                    acc = acc + np.multiply.outer(qmat[:, d], cmat[:, d])
-                sim = acc / np.multiply.outer(qnorm, sub["vec_norm"].to_numpy())
-                cand = best(sub, sim)
-                kept = cand if kept is None else pd.concat([kept, cand], ignore_index=True)
-                if len(kept) > 4 * limit * nq:
-                    kept = _reduce_kept(kept, limit)
-        if kept is not None:
-            yield _reduce_kept(kept, limit)
-
-    return fn
-
-
-def _reduce_kept(kept, limit):
-    kept = kept.sort_values(["question_id", "similarity", "chunk_id"], ascending=[True, False, True])
-    return kept.groupby("question_id", sort=False).head(limit).reset_index(drop=True)
-
-
-def _candidates(corpus: DataFrame, qf: DataFrame, k: int, method: str = "vectorized") -> DataFrame:
-    """V1 + V2 for one bounded batch: cosine of every (chunk, question),
-    then the first ``fetch_k`` chunks per question by similarity (ties by
-    chunk id).  The vectorized path ships the batch's vectors (size checked
-    by the caller) to every task and keeps a per-task top-``fetch`` before
-    the shuffle, so only questions x fetch x tasks rows move."""
+    Vectors are scored, not chunks.  A chunk among a question's first n has a
+    unit among its first n units in the order (similarity, first chunk), so only
+    the chunks of those units are built with their text, at most n of each unit.
+    Vectors of norm zero are not searched."""
     if method == "builtin":
         return _candidates_builtin(corpus, qf, k)
-    import numpy as np
-    q = qf.select("question_id", "vec", "vec_norm").orderBy("question_id").collect()
-    qids = [r["question_id"] for r in q]
-    qmat = np.array([r["vec"] for r in q], dtype=float) if q else np.zeros((0, 0))
-    qnorm = np.array([r["vec_norm"] for r in q], dtype=float)
-    fn = _partial_topk(qids, qmat, qnorm, _max_fetch(k))
-    part = corpus.select(*HIT_COLS, "vec", "vec_norm").mapInPandas(fn, CAND_SCHEMA)
-    scored = part.join(F.broadcast(qf.select(*QUESTION_COLS)), "question_id")
+    most = _max_fetch(k)
+    first = corpus.chunks(None).groupBy("unit").agg(F.min("chunk_id").alias("first_chunk"))
+    best = best_units(corpus.vectors.where(F.col("vec_norm") > 0).join(first, "unit"), qf.where(F.col("vec_norm") > 0), most,
+                      question_block, unit_block)
+    w = Window.partitionBy("unit").orderBy("chunk_id")
+    chunks = corpus.chunks(best.select("unit").distinct())
+    chunks = chunks.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).drop("nth")
+    scored = best.join(chunks, "unit").join(qf.select(*QUESTION_COLS), "question_id")
     return _top_fetch(scored, k)
 
 
@@ -271,12 +280,10 @@ def rerank(cands: DataFrame, rules=RERANK_RULES) -> DataFrame:
              .where(F.col("rank") <= F.col("eff_k")))
 
 
-def search(corpus: DataFrame, questions: DataFrame, k: int = DEFAULT_K, rules=RERANK_RULES,
-           max_batch: int = MAX_QUESTIONS_PER_BATCH) -> DataFrame:
+def search(corpus: Corpus, questions: DataFrame, k: int = DEFAULT_K, rules=RERANK_RULES,
+           question_block: int = QUESTION_BLOCK, unit_block: int = UNIT_BLOCK) -> DataFrame:
     """Hits per question: ``eff_k`` re-ranked chunks (V1-V4)."""
-    qf = question_frame(questions, k)
-    parts = [rerank(_candidates(corpus, b, k), rules) for b in _batches(qf, max_batch)]
-    return reduce(DataFrame.unionByName, parts)
+    return rerank(candidates(corpus, question_frame(questions, k), k, question_block=question_block, unit_block=unit_block), rules)
 
 
 def source_label(prefix: str = "") -> Column:
@@ -352,3 +359,10 @@ def extractive_answer(questions: DataFrame, hits: DataFrame) -> DataFrame:
                                   F.lit(", p. "), F.col("top.page").cast("string"), F.lit("):\n\n"),
                                   _cut(F.col("top.text"), FALLBACK_CHARS))))
     return j.select("question_id", answer.alias("answer"), F.lit("extractive").alias("backend"))
+
+
+def answer_sources(hits: DataFrame) -> DataFrame:
+    """V5 sources per question: its first k hits in rank order as an array of
+    (rank, chunk_id, label, score)."""
+    h = hits.where(F.col("rank") <= F.col("k")).withColumn("label", source_label())
+    return h.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "label", "score"))).alias("sources"))

@@ -276,20 +276,31 @@ from ..operators import chunking as ch  # noqa: E402
 from ..operators import retrieval as rt  # noqa: E402
 
 
-def proposal_chunks(t: Tables) -> DataFrame:
-    """Chunks of the cleaned documents with chunk metadata."""
-    pages = ch.clean_pages(t.documents.select("doc_id", "source", "text"))
+def proposal_chunks(t: Tables, wanted: DataFrame | None = None) -> DataFrame:
+    """Chunks of the cleaned documents (of those in ``wanted``, if given) with chunk metadata."""
+    docs = t.documents.select("doc_id", "source", "text")
+    pages = ch.clean_pages(docs if wanted is None else docs.join(wanted, "doc_id", "left_semi"))
     c = ch.chunk_text(pages, extra=["source"])
     return c.select("chunk_id", "doc_id", F.lit(1).alias("page"), "section", F.lit("proposal").alias("source_type"),
                     F.col("source").alias("file_name"), F.lit("").alias("sheet_name"),
                     F.lit("").alias("report_period"), "text")
 
 
-def vector_corpus(t: Tables) -> DataFrame:
-    """Chunks carrying their document's vector (documents without a
-    vector are not indexed)."""
-    emb = rt.as_vectors(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")).drop("embedding")
-    return proposal_chunks(t).join(emb, "doc_id")
+def _document_vectors(t: Tables) -> DataFrame:
+    return rt.as_vectors(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")).drop("embedding")
+
+
+def vector_corpus(t: Tables) -> rt.Corpus:
+    """Proposal chunks under their document's vector (documents without a
+    vector are not indexed; ``corpus_coverage`` counts them)."""
+    emb = _document_vectors(t)
+
+    def chunks(units):
+        # only documents with a vector are cut
+        wanted = emb.select("doc_id") if units is None else units.select(F.col("unit").cast("long").alias("doc_id"))
+        return proposal_chunks(t, wanted).withColumn("unit", F.col("doc_id").cast("string"))
+
+    return rt.Corpus(emb.select(F.col("doc_id").cast("string").alias("unit"), "vec", "vec_norm"), chunks)
 
 
 def question_batch(t: Tables) -> DataFrame:
@@ -394,7 +405,7 @@ def q_keyword_overlap(spark, sf_dir):
 def q_knn_cosine(spark, sf_dir):
     t = _t(spark, sf_dir)
     qf = rt.question_frame(question_batch(t))
-    c = rt._candidates(vector_corpus(t), qf, rt.DEFAULT_K)
+    c = rt.candidates(vector_corpus(t), qf)
     return c.where(F.col("fetch_rank") <= F.col("k")).select("question_id", "fetch_rank", "chunk_id", "similarity")
 
 
@@ -402,7 +413,7 @@ def q_knn_cosine(spark, sf_dir):
 def q_knn_overfetch(spark, sf_dir):
     t = _t(spark, sf_dir)
     qf = rt.question_frame(question_batch(t))
-    c = rt._candidates(vector_corpus(t), qf, rt.DEFAULT_K)
+    c = rt.candidates(vector_corpus(t), qf)
     return c.select("question_id", "fetch_rank", "chunk_id", "similarity", "fetch_k")
 
 

@@ -1,29 +1,59 @@
-"""Retrieval paths agree: split question batches equal one batch, and the
-vectorized scorer equals the built-in (JVM-only) scorer."""
+"""Retrieval paths agree: blocks of any size equal one block, and the blocked
+scorer equals the built-in one, which scores every chunk."""
+
+from pyspark.sql import functions as F
 
 from ledgerlens.operators import retrieval as rt
 from ledgerlens.plans.registry import question_batch, vector_corpus
 from ledgerlens.sources.tables import Tables
 
 SF = "/root/testdata/sf0.001"
+HITS = ["question_id", "rank", "chunk_id", "similarity", "score"]
+CANDIDATES = ["question_id", "fetch_rank", "chunk_id", "similarity"]
 
 
 def _rows(df, cols):
     return sorted(map(tuple, df.select(*cols).collect()))
 
 
-def test_split_batches_equal_single_batch(spark):
+def test_blocks_of_any_size_agree(spark):
     t = Tables(spark, SF)
-    cols = ["question_id", "rank", "chunk_id", "similarity", "score"]
     one = rt.search(vector_corpus(t), question_batch(t))
-    split = rt.search(vector_corpus(t), question_batch(t), max_batch=7)
-    assert _rows(one, cols) == _rows(split, cols)
+    split = rt.search(vector_corpus(t), question_batch(t), question_block=7, unit_block=60)
+    assert _rows(one, HITS) == _rows(split, HITS)
 
 
-def test_vectorized_equals_builtin(spark):
+def test_blocks_equal_builtin(spark):
     t = Tables(spark, SF)
     qf = rt.question_frame(question_batch(t))
-    cols = ["question_id", "fetch_rank", "chunk_id", "similarity"]
-    a = rt._candidates(vector_corpus(t), qf, rt.DEFAULT_K, method="vectorized")
-    b = rt._candidates(vector_corpus(t), qf, rt.DEFAULT_K, method="builtin")
-    assert _rows(a, cols) == _rows(b, cols)
+    a = rt.candidates(vector_corpus(t), qf)
+    b = rt.candidates(vector_corpus(t), qf, method="builtin")
+    assert _rows(a, CANDIDATES) == _rows(b, CANDIDATES)
+
+
+def _chunks(spark, n, same=False):
+    rows = [(f"c{i:03d}", i, 1, "General", "proposal", "f", "", "", f"text {i}", [1.0, 0.0 if same else float(i % 7)]) for i in range(n)]
+    schema = ("chunk_id string, doc_id long, page int, section string, source_type string, file_name string, sheet_name string, "
+              "report_period string, text string, vec array<double>")
+    return spark.createDataFrame(rows, schema).withColumn("vec_norm", rt.vec_norm(F.col("vec")))
+
+
+def _questions(spark, n):
+    q = spark.createDataFrame([(i, "stock of cash" if i % 2 else "plain words", [1.0, float(i)]) for i in range(n)],
+                              "question_id long, question string, vec array<double>")
+    return q.withColumn("vec_norm", rt.vec_norm(F.col("vec")))
+
+
+def test_ties_go_to_the_smaller_chunk_id(spark):
+    got = rt.search(rt.corpus_of(_chunks(spark, 200, same=True)), _questions(spark, 2), unit_block=16)
+    by = {}
+    for r in got.orderBy("question_id", "rank").collect():
+        by.setdefault(r["question_id"], []).append(r["chunk_id"])
+    assert by == {0: [f"c{i:03d}" for i in range(5)], 1: [f"c{i:03d}" for i in range(8)]}
+
+
+def test_no_questions_or_no_corpus_gives_no_hits(spark):
+    chunks, questions = _chunks(spark, 3), _questions(spark, 3)
+    assert rt.search(rt.corpus_of(chunks.limit(0)), questions).count() == 0
+    assert rt.search(rt.corpus_of(chunks), questions.limit(0)).count() == 0
+    assert rt.search(rt.corpus_of(chunks), questions).groupBy("question_id").count().count() == 3
