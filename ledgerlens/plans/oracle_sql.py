@@ -1106,3 +1106,7 @@ oracle("format_numbers", ["pl"], f"""
 SELECT entity, period, {flong('sales_value')} AS sales_long, {fshort('sales_value')} AS sales_short,
   {flong('gross_margin')} AS margin_long, {fshort('profit')} AS profit_short FROM pl""")
 oracle("monthly_pl_legacy", ["pl"], "SELECT * FROM pl")
+
+oracle("corpus_coverage", [], """
+SELECT d.source, count(*) AS n_docs, count(e.vec_id) AS n_indexed, count(*) - count(e.vec_id) AS n_without_vector
+FROM documents d LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) e ON e.vec_id = d.doc_id GROUP BY d.source""")

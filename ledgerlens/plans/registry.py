@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..operators import features as feat
 from ..sources import domain
@@ -673,10 +673,89 @@ def q_corpus_union(spark, sf_dir):
                                                              F.length("text").alias("n_chars"))
 
 
+@query("corpus_coverage")
+def q_corpus_coverage(spark, sf_dir):
+    """Documents per source that the search can find, and those without a vector."""
+    t = _t(spark, sf_dir)
+    known = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("known")).distinct()
+    return t.documents.select("doc_id", "source").join(known, "doc_id", "left").groupBy("source").agg(
+        F.count("*").alias("n_docs"), F.count("known").alias("n_indexed"),
+        (F.count("*") - F.count("known")).alias("n_without_vector"))
+
+
 # ---------------------------------------------------------------- sinks
 from ..sources import sinks  # noqa: E402
 
 
+def _hash_mod(col, part: int, n) -> Column:
+    """A number below ``n`` from the ``part``-th eight hex digits of the MD5 of ``col``."""
+    digits = F.substring(F.md5(F.col(col).cast("binary")), 1 + 8 * part, 8)
+    return F.pmod(F.conv(digits, 16, 10).cast("long"), n)
+
+
+def audit_index(t: Tables) -> DataFrame:
+    """Audit chunks with a vector each, stored once in the shared folder.
+
+    Embedding inference is out of scope, so a chunk takes a stored vector: the
+    one whose id is the first part of its id's hash modulo the vectors, turned
+    by the second part modulo its length."""
+    stored = t.embeddings.where(F.size("embedding") > 0)
+    n = stored.agg(F.max("vec_id") + 1).scalar()
+    chunks = gr.audit_chunks(cells_src.cells(t)).withColumn("vec_id", _hash_mod("chunk_id", 0, n))
+    both = chunks.join(stored.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+    size, turn = F.size("embedding"), _hash_mod("chunk_id", 1, F.size("embedding").cast("long")).cast("int")
+    turned = F.concat(F.slice("embedding", turn + 1, size - turn), F.slice("embedding", F.lit(1), turn))
+    rows = rt.as_vectors(both.withColumn("embedding", turned)).drop("embedding").withColumn("doc_id", F.lit(None).cast("long"))
+    return sinks.parquet_roundtrip(rows, "audit_index")
+
+
+def whole_corpus(t: Tables, audit: DataFrame) -> rt.Corpus:
+    """T11 in full: proposal chunks and summary sections under their document's
+    vector, audit chunks under their own."""
+    docs = vector_corpus(t)
+    audits = audit.withColumn("unit", F.col("chunk_id"))
+
+    def chunks(units):
+        ids = _document_vectors(t).select("doc_id") if units is None else units.select(F.expr("try_cast(unit as bigint)").alias("doc_id"))
+        wanted = t.documents.select("doc_id", "source", "text").join(ids, "doc_id", "left_semi")
+        summaries = ch.markdown_sections(wanted.select("doc_id", "text")).select(
+            "chunk_id", "doc_id", F.lit(0).alias("page"), "section", F.lit("proposal").alias("source_type"), F.lit("").alias("file_name"),
+            F.lit("").alias("sheet_name"), F.lit("").alias("report_period"), "text", F.col("doc_id").cast("string").alias("unit"))
+        audit_rows = audits if units is None else audits.join(units, "unit", "left_semi")
+        proposals = docs.chunks(None if units is None else units.where(F.expr("try_cast(unit as bigint) is not null")))
+        return proposals.unionByName(summaries).unionByName(audit_rows.select("unit", *rt.HIT_COLS))
+
+    return rt.Corpus(docs.vectors.unionByName(audits.select("unit", "vec", "vec_norm")), chunks)
+
+
+def audit_questions(audit: DataFrame) -> DataFrame:
+    """One question for each sheet and period that the reports have, with the vector of its first chunk."""
+    each = audit.groupBy("sheet_name", "report_period").agg(F.min_by(F.struct("vec", "vec_norm"), "chunk_id").alias("v"))
+    text = F.concat(F.lit("What does the audit show in "), F.col("sheet_name"), F.lit(" for "), F.col("report_period"), F.lit("?"))
+    return each.select(F.xxhash64(text).alias("question_id"), text.alias("question"), "v.vec", "v.vec_norm")
+
+
+def corpus_hits(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """All questions (benchmark items and audit questions) and their hits in the whole corpus."""
+    audit = audit_index(t)
+    questions = question_batch(t).unionByName(audit_questions(audit))
+    return questions, rt.search(whole_corpus(t, audit), questions)
+
+
+@query("ask_corpus")
+def q_ask_corpus(spark, sf_dir):
+    _, hits = corpus_hits(_t(spark, sf_dir))
+    return hits.select("question_id", "rank", "chunk_id", "source_type", "page", "section", "audit", "similarity", "score")
+
+
+@query("answer_corpus")
+def q_answer_corpus(spark, sf_dir):
+    """Answers over the whole corpus with their sources."""
+    questions, hits = corpus_hits(_t(spark, sf_dir))
+    answers = rt.extractive_answer(questions, hits)
+    return answers.join(rt.answer_sources(hits), "question_id", "left").withColumn("sources", F.to_json("sources"))
+
+
 @query("sink_roundtrip")
 def q_sink_roundtrip(spark, sf_dir):
     """The feature matrix written as parquet partitioned by period and read back."""

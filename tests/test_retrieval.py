@@ -4,7 +4,7 @@ scorer equals the built-in one, which scores every chunk."""
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import retrieval as rt
-from ledgerlens.plans.registry import question_batch, vector_corpus
+from ledgerlens.plans.registry import audit_index, audit_questions, question_batch, vector_corpus, whole_corpus
 from ledgerlens.sources.tables import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +57,38 @@ def test_no_questions_or_no_corpus_gives_no_hits(spark):
     assert rt.search(rt.corpus_of(chunks.limit(0)), questions).count() == 0
     assert rt.search(rt.corpus_of(chunks), questions.limit(0)).count() == 0
     assert rt.search(rt.corpus_of(chunks), questions).groupBy("question_id").count().count() == 3
+
+
+def test_whole_corpus_equals_builtin(spark):
+    t = Tables(spark, SF)
+    audit = audit_index(t)
+    corpus = whole_corpus(t, audit)
+    # every question about creditors, and every benchmark item
+    questions = question_batch(t).unionByName(audit_questions(audit).where("question like '%Creditors%'"))
+    qf = rt.question_frame(questions)
+    kinds = {r[0] for r in corpus.chunks(None).select(F.split("chunk_id", "_")[0]).distinct().collect()}
+    assert kinds == {"chunk", "summary", "audit"}
+    assert qf.where("audit").count() > 0
+    a, b = rt.candidates(corpus, qf), rt.candidates(corpus, qf, method="builtin")
+    assert _rows(a, CANDIDATES) == _rows(b, CANDIDATES)
+
+
+def test_every_answer_branch_and_its_sources(spark):
+    sentence = "The owner of the shop keeps a short record of the stock in a drawer."
+    kinds = [("Creditors Analysis", "audit_data", "Audit text."), ("General", "proposal", sentence), ("General", "proposal", "Too short.")]
+    rows = [(f"c{k}{i}", i, 1, sec, src, "f.xlsx", "", "April 1995", text, [float(k == d) for d in range(3)])
+            for k, (sec, src, text) in enumerate(kinds) for i in range(9)]
+    schema = ("chunk_id string, doc_id long, page int, section string, source_type string, file_name string, sheet_name string, "
+              "report_period string, text string, vec array<double>")
+    chunks = spark.createDataFrame(rows, schema).withColumn("vec_norm", rt.vec_norm(F.col("vec")))
+    q = spark.createDataFrame([(k, "plain words", [float(k == d) for d in range(3)]) for k in range(4)],
+                              "question_id long, question string, vec array<double>")
+    q = q.withColumn("vec_norm", rt.vec_norm(F.col("vec")))
+    hits = rt.search(rt.corpus_of(chunks), q)
+    said = {r["question_id"]: r["answer"] for r in rt.extractive_answer(q, hits).collect()}
+    assert said[0].startswith("Based on audit data (Audit Data | April 1995 | f.xlsx | Creditors Analysis):") and "Audit text." in said[0]
+    assert said[1].startswith(rt.INTRO) and said[1].count(sentence) == 1
+    assert said[2].startswith("Based on the most relevant section (General, p. 1):") and said[2].endswith("Too short.")
+    assert said[3] == rt.NO_HITS
+    sources = {r["question_id"]: [s["chunk_id"] for s in r["sources"]] for r in rt.answer_sources(hits).collect()}
+    assert sources == {k: [f"c{k}{i}" for i in range(5)] for k in range(3)}
