@@ -886,6 +886,8 @@ FROM (SELECT entity, count(*) AS n, sum(abs({_e})) AS sae, sum({h(_e)} * {h(_e)}
 
 # ====================================================================== grid (cell table)
 from ..operators.grid import INVENTORY_SHOWN, SECTION_MAP, SECTION_MAP_EXTRA  # noqa: E402
+from ..operators.chunking import SHEET_CHUNK_SIZE  # noqa: E402
+from ..operators.grid import MAX_COLS  # noqa: E402
 from ..sources.grid import PARTY_HEADER, PARTY_SHEETS, PL_LABELS  # noqa: E402
 
 
@@ -1079,6 +1081,93 @@ WHERE hl.t IS NOT NULL OR cr.t IS NOT NULL OR db.n > 0""")
 oracle("kpi_summary", ["kpi"], "SELECT * FROM kpi")
 
 
+# Sheets as markdown tables: columns with any value, renumbered; at most ten headers, trailing "col..." ones dropped.
+_short = f"CASE WHEN num_value IS NOT NULL THEN {fshort('num_value')} ELSE {clean_sql('str_value')} END"
+_raw = f"CASE WHEN num_value IS NOT NULL THEN {plain_sql('num_value')} ELSE {clean_sql('str_value')} END"
+cte("md", ["cells", "nonnull"], f"""
+WITH c AS (SELECT file, sheet, row_idx, {_short} AS t, {_raw} AS raw,
+             dense_rank() OVER (PARTITION BY file, sheet ORDER BY col_idx) - 1 AS pos FROM nonnull),
+n AS (SELECT file, sheet, max(row_idx) + 1 AS n_rows, CASE WHEN max(row_idx) + 1 > 60 THEN 45 ELSE max(row_idx) + 1 END AS max_rows
+      FROM cells GROUP BY 1, 2),
+hdr AS (SELECT file, sheet, min(row_idx) AS header_row FROM (
+          SELECT file, sheet, row_idx FROM nonnull WHERE row_idx < 5 GROUP BY 1, 2, 3 HAVING count(*) >= 2) GROUP BY 1, 2),
+hc AS (SELECT c.file, c.sheet, c.pos, c.raw FROM c JOIN hdr USING (file, sheet) WHERE c.row_idx = hdr.header_row),
+slots AS (SELECT file, sheet, unnest(generate_series(0, max(pos))) AS pos FROM hc GROUP BY 1, 2),
+names AS (SELECT s.file, s.sheet, s.pos, coalesce(hc.raw, 'col' || s.pos) AS name FROM slots s LEFT JOIN hc USING (file, sheet, pos)),
+shown AS (SELECT file, sheet, pos, name FROM (
+            SELECT *, max(CASE WHEN NOT starts_with(name, 'col') THEN pos END) OVER (PARTITION BY file, sheet) AS last FROM names)
+          WHERE pos <= last AND pos < {MAX_COLS}),
+head AS (SELECT file, sheet, '| ' || string_agg(name, ' | ' ORDER BY pos) || ' |' || {NL} || '| ' || string_agg('---', ' | ') || ' |' AS t
+         FROM shown GROUP BY 1, 2),
+body AS (SELECT file, sheet, string_agg(line, {NL} ORDER BY row_idx) AS t FROM (
+           SELECT r.file, r.sheet, r.row_idx, '| ' || string_agg(coalesce(c.t, ''), ' | ' ORDER BY s.pos) || ' |' AS line,
+                  bool_or(c.t IS NOT NULL AND c.t <> '') AS filled
+           FROM (SELECT DISTINCT c.file, c.sheet, c.row_idx FROM c JOIN hdr USING (file, sheet) JOIN n USING (file, sheet)
+                 WHERE c.row_idx > header_row AND c.row_idx <= header_row + max_rows) r
+           JOIN shown s USING (file, sheet)
+           LEFT JOIN c ON c.file = r.file AND c.sheet = r.sheet AND c.row_idx = r.row_idx AND c.pos = s.pos
+           GROUP BY 1, 2, 3) WHERE filled GROUP BY 1, 2),
+plain AS (SELECT file, sheet, string_agg(line, {NL} ORDER BY row_idx) AS t FROM (
+            SELECT file, sheet, row_idx, string_agg(raw, ' | ' ORDER BY pos) AS line FROM c JOIN n USING (file, sheet)
+            WHERE row_idx < max_rows GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT file, sheet, CASE WHEN header_row IS NULL THEN plain.t ELSE
+    concat_ws({NL}, head.t, coalesce(body.t, ''), CASE WHEN n_rows - header_row - 1 > max_rows
+      THEN {NL} || '*...' || (n_rows - header_row - 1 - max_rows) || ' additional rows not shown*' END) END AS markdown
+FROM (SELECT DISTINCT file, sheet FROM c) JOIN n USING (file, sheet) LEFT JOIN hdr USING (file, sheet) LEFT JOIN head USING (file, sheet)
+LEFT JOIN body USING (file, sheet) LEFT JOIN plain USING (file, sheet)""")
+oracle("grid_markdown", ["md"], "SELECT file, sheet, markdown FROM md")
+
+
+def pack_sql(src: str, size: int = SHEET_CHUNK_SIZE) -> str:
+    """(file, sheet, pos, chunk) from (file, sheet, text): whole lines packed into chunks, the table header repeated."""
+    return f"""
+WITH RECURSIVE src AS ({src}),
+ln AS (SELECT file, sheet, unnest(ls) AS line, unnest(generate_series(1, len(ls))) AS i
+       FROM (SELECT file, sheet, string_split(text, {NL}) AS ls FROM src WHERE len(text) > {size})),
+sep AS (SELECT file, sheet, coalesce(min(CASE WHEN starts_with(line, '|') AND contains(line, '---') THEN i END), 3) AS upto
+        FROM ln WHERE i <= 3 GROUP BY 1, 2),
+top AS (SELECT file, sheet, string_agg(line || {NL}, '' ORDER BY i) AS head, sum(len(line) + 1) AS head_len
+        FROM ln JOIN sep USING (file, sheet) WHERE i <= upto AND starts_with(line, '|') GROUP BY 1, 2),
+walk AS (SELECT file, sheet, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS part, CAST(len(line) + 1 AS BIGINT) AS used FROM ln WHERE i = 1
+         UNION ALL
+         SELECT w.file, w.sheet, w.i + 1, CASE WHEN w.used + len(l.line) + 1 > {size} THEN w.part + 1 ELSE w.part END,
+                CAST(CASE WHEN w.used + len(l.line) + 1 > {size} THEN coalesce(t.head_len, 0) ELSE w.used END + len(l.line) + 1 AS BIGINT)
+         FROM walk w JOIN ln l ON l.file = w.file AND l.sheet = w.sheet AND l.i = w.i + 1
+         LEFT JOIN top t ON t.file = w.file AND t.sheet = w.sheet),
+packed AS (SELECT file, sheet, part, CASE WHEN part > 0 THEN coalesce(any_value(head), '') ELSE '' END || string_agg(line, {NL} ORDER BY i) AS chunk
+           FROM walk JOIN ln USING (file, sheet, i) LEFT JOIN top USING (file, sheet) GROUP BY 1, 2, 3)
+SELECT file, sheet, 0 AS pos, text AS chunk FROM src WHERE len(text) <= {size}
+UNION ALL
+SELECT file, sheet, CAST(row_number() OVER (PARTITION BY file, sheet ORDER BY part) - 1 AS INTEGER) AS pos, chunk
+FROM packed WHERE {strip_sql('chunk')} <> ''"""
+
+
+cte("mdlines", ["md"], pack_sql("SELECT file, sheet, markdown AS text FROM md"))
+oracle("chunk_lines", ["mdlines"], "SELECT file, sheet, pos, chunk FROM mdlines")
+
+cte("sheetlines", ["md", "inv"], pack_sql(f"""
+  SELECT file, sheet, 'Audit Record | Period: ' || period || ' | File: ' || file || ' | Sheet: ' || sheet || {NL} || markdown AS text
+  FROM md JOIN inv USING (file) WHERE markdown <> ''"""))
+_AUDIT_ID = "'audit_' || sha256(file) || '_' || printf('%02d', part) || '_' || printf('%03d', sub)"
+cte("audit", ["sheetlines", "sheets", "inv", "kpi"], f"""
+SELECT {_AUDIT_ID} AS chunk_id, 0 AS page, section, 'audit_data' AS source_type, file AS file_name, sheet_name, report_period, text, part, sub
+FROM (
+  SELECT file, period AS report_period, 0 AS part, 0 AS sub, 'Audit Data Overview' AS section, 'Overview' AS sheet_name,
+    concat_ws({NL}, 'Supplier Audit Dataset', 'File: ' || file, 'Period: ' || period, 'Sheets: ' || sheets,
+      'Data categories: sales, P&L, food margin, purchases, cash flow, creditors, debtors, wastage, inventory.') AS text FROM inv
+  UNION ALL
+  SELECT file, report_period, 1, 0, 'Audit KPI Summary', 'KPI Summary', text FROM kpi
+  UNION ALL
+  SELECT l.file, inv.period, s.sheet_idx + 2, l.pos, {_sec_case.replace('sheet', 'l.sheet')}, l.sheet, l.chunk
+  FROM sheetlines l JOIN sheets s USING (file, sheet) JOIN inv USING (file))""")
+oracle("audit_chunks", ["audit"], """
+SELECT chunk_id, page, section, source_type, file_name, sheet_name, report_period, text FROM audit""")
+oracle("ingest_manifest", ["audit"], f"""
+SELECT file_name, count(*) AS chunks, max(CASE WHEN section = 'Audit Data Overview' THEN report_period END) AS report_period,
+  max(CASE WHEN section = 'Audit Data Overview' THEN string_split(text, {NL})[-1] END) AS last_line
+FROM audit GROUP BY file_name""")
+
+
 # ====================================================================== sinks
 oracle("sink_roundtrip", ["fm"], "SELECT * FROM fm")
 oracle("daily_csv_roundtrip", ["daily"], "SELECT * FROM daily")
@@ -1110,3 +1199,9 @@ oracle("monthly_pl_legacy", ["pl"], "SELECT * FROM pl")
 oracle("corpus_coverage", [], """
 SELECT d.source, count(*) AS n_docs, count(e.vec_id) AS n_indexed, count(*) - count(e.vec_id) AS n_without_vector
 FROM documents d LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) e ON e.vec_id = d.doc_id GROUP BY d.source""")
+
+cte("summaries", [], ORACLE["markdown_sections"])
+oracle("corpus_union", ["chunks", "summaries", "audit"], """
+SELECT chunk_id, 'proposal' AS source_type, section, CAST(len(text) AS INTEGER) AS n_chars FROM chunks
+UNION ALL SELECT chunk_id, 'proposal', section, CAST(len(text) AS INTEGER) FROM summaries
+UNION ALL SELECT chunk_id, source_type, section, CAST(len(text) AS INTEGER) FROM audit""")

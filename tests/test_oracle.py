@@ -45,3 +45,21 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(rel.columns) == cols
     drows = rows_of([dict(zip(rel.columns, r)) for r in rel.fetchall()], cols)
     assert srows == drows
+
+
+def test_packed_lines_equal_sql_at_small_sizes(spark, con):
+    """Sheets of the test data fit one chunk, so both packers also run at sizes that cut them."""
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators.chunking import chunk_lines
+    from ledgerlens.plans.oracle_sql import pack_sql
+
+    md = [(r["file"], r["sheet"], r["markdown"]) for r in E.queries()["grid_markdown"](spark, SF).limit(300).collect()]
+    md.append(("f", "long", "| a | b |\n| --- | --- |\n" + "\n".join("| " + "x" * (7 * i % 150) + " | y |" for i in range(60))))
+    df = spark.createDataFrame(md, "file string, sheet string, text string")
+    for size in (60, 150):
+        got = df.select("file", "sheet", F.posexplode(chunk_lines(F.col("text"), size)).alias("pos", "chunk")).collect()
+        rows = df.toPandas()  # noqa: F841 (read by the SQL)
+        want = duckdb.sql(pack_sql("SELECT * FROM rows", size)).fetchall()
+        assert sorted(map(tuple, got)) == sorted(want)
+        assert len(got) > len(md)
