@@ -99,3 +99,12 @@ def issues(datasets: dict, pl: DataFrame, daily: DataFrame) -> DataFrame:
                                             zip(["dataset", "issue", "severity", "detail"], SCHEMA_ISSUE)])
     return reduce(DataFrame.unionByName, [empty, missing, cov, schema]).select(
         "dataset_order", "dataset", "issue", "severity", "detail")
+
+
+def summary_line(pl: DataFrame, daily: DataFrame, found: DataFrame) -> DataFrame:
+    """The report's one-line summary: workbooks (one per entity and month),
+    months of P&L, days of daily sales and logged issues."""
+    counts = [("Indexed ", pl.agg(F.count("*"))), (" workbooks. Monthly P&L months: ", pl.agg(F.count_distinct("period"))),
+              (". Daily sales days: ", daily.agg(F.count_distinct("date"))), (". Issues logged: ", found.agg(F.count("*")))]
+    text = F.concat(*[x for said, n in counts for x in (F.lit(said), n.scalar().cast("string"))], F.lit("."))
+    return pl.sparkSession.range(1).select(text.alias("summary"))

@@ -1205,3 +1205,9 @@ oracle("corpus_union", ["chunks", "summaries", "audit"], """
 SELECT chunk_id, 'proposal' AS source_type, section, CAST(len(text) AS INTEGER) AS n_chars FROM chunks
 UNION ALL SELECT chunk_id, 'proposal', section, CAST(len(text) AS INTEGER) FROM summaries
 UNION ALL SELECT chunk_id, source_type, section, CAST(len(text) AS INTEGER) FROM audit""")
+oracle("monthly_pl_csv_roundtrip", ["pl"], "SELECT * FROM pl")
+ORACLE["manifest_roundtrip"] = ORACLE["ingest_manifest"]
+oracle("dq_summary", ["pl", "daily"], f"""
+SELECT 'Indexed ' || (SELECT count(*) FROM pl) || ' workbooks. Monthly P&L months: ' || (SELECT count(DISTINCT period) FROM pl)
+  || '. Daily sales days: ' || (SELECT count(DISTINCT date) FROM daily) || '. Issues logged: '
+  || (SELECT count(*) FROM ({ORACLE['dq_issues']})) || '.' AS summary""")

@@ -190,6 +190,12 @@ def q_dq_issues(spark, sf_dir):
     return dq.issues(ds, pl, daily)
 
 
+@query("dq_summary")
+def q_dq_summary(spark, sf_dir):
+    pl, daily, ds = _dq_inputs(_t(spark, sf_dir))
+    return dq.summary_line(pl, daily, dq.issues(ds, pl, daily))
+
+
 # ---------------------------------------------------------------- diagnostic
 @query("variance_decomposition")
 def q_variance_decomposition(spark, sf_dir):
@@ -768,6 +774,18 @@ def q_daily_csv_roundtrip(spark, sf_dir):
     return sinks.csv_roundtrip(domain.daily_sales(_t(spark, sf_dir)), "daily_sales")
 
 
+@query("monthly_pl_csv_roundtrip")
+def q_monthly_pl_csv_roundtrip(spark, sf_dir):
+    """The monthly P&L exported to CSV and read back with its schema."""
+    return sinks.csv_roundtrip(domain.monthly_pl(_t(spark, sf_dir)), "monthly_pl")
+
+
+@query("manifest_roundtrip")
+def q_manifest_roundtrip(spark, sf_dir):
+    """S12 + S13: the ingest manifest written and read back."""
+    return sinks.parquet_roundtrip(gr.ingest_manifest(gr.audit_chunks(_cells(spark, sf_dir))), "manifest")
+
+
 @query("index_upsert")
 def q_index_upsert(spark, sf_dir):
     """The chunk index, then a re-ingest of the labelled documents
