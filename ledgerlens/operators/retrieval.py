@@ -313,15 +313,17 @@ def _cut(text: Column, n: int) -> Column:
     return F.concat(F.substr(text, F.lit(1), F.lit(n)), F.when(F.length(text) > n, F.lit("...")).otherwise(F.lit("")))
 
 
-def extractive_answer(questions: DataFrame, hits: DataFrame) -> DataFrame:
+def extractive_answer(questions: DataFrame, hits: DataFrame, max_sentences: int = MAX_SENTENCES, dedup_prefix: int = DEDUP_PREFIX,
+                      priority_chars: int = PRIORITY_CHARS, fallback_chars: int = FALLBACK_CHARS) -> DataFrame:
     """V5 per question: (a) no hits -> fixed text; (b) the first priority hit,
-    when it is audit data -> its text; (c) else the best 6 useful sentences
+    when it is audit data -> its text; (c) else the best ``max_sentences`` useful sentences
     (score = keyword overlap + hit score; ties by hit rank then sentence
-    order), de-duplicated on their first 80 chars, each with its source
-    label; (d) none -> the top hit's text.
+    order), de-duplicated on their first ``dedup_prefix`` chars, each with its
+    source label; (d) none -> the top hit's text.  Texts of (b) and (d) are cut
+    after ``priority_chars`` and ``fallback_chars``, marked by '...'.
 
     One shuffle: the hits are exploded into sentences (keeping hits without
-    any) and every step is a window over ``question_id``; the at most six
+    any) and every step is a window over ``question_id``; the few
     chosen lines are de-duplicated as a bounded array in the final aggregate."""
     h = hits.withColumn("label", source_label())
     e = h.select("question_id", "rank", "kw", "score", "label", "section", "page", "text", "source_type",
@@ -336,12 +338,12 @@ def extractive_answer(questions: DataFrame, hits: DataFrame) -> DataFrame:
                                       + F.col("score")))
     w = Window.partitionBy("question_id").orderBy(F.col("sscore").desc_nulls_last(), F.col("rank"), F.col("spos"))
     e = e.withColumn("srank", F.row_number().over(w))
-    chosen = F.col("sscore").isNotNull() & (F.col("srank") <= MAX_SENTENCES)
+    chosen = F.col("sscore").isNotNull() & (F.col("srank") <= max_sentences)
     line = F.concat(F.lit("- "), F.col("sentence"), F.lit(" ("), F.col("label"), F.lit(")"))
     g = e.groupBy("question_id").agg(
         F.first("pri", ignorenulls=True).alias("pri"), F.first("top", ignorenulls=True).alias("top"),
         F.array_sort(F.collect_list(F.when(chosen, F.struct(
-            "srank", F.substr(F.col("sentence"), F.lit(1), F.lit(DEDUP_PREFIX)).alias("key"), line.alias("l")))))
+            "srank", F.substr(F.col("sentence"), F.lit(1), F.lit(dedup_prefix)).alias("key"), line.alias("l")))))
         .alias("cand"))
     # keep the first line of every 80-char prefix, in rank order
     kept = F.aggregate("cand", F.array().cast("array<struct<srank:int,key:string,l:string>>"),
@@ -352,12 +354,12 @@ def extractive_answer(questions: DataFrame, hits: DataFrame) -> DataFrame:
     pri_audit = F.col("pri").isNotNull() & (F.col("pri.source_type") == "audit_data")
     answer = (F.when(F.col("top").isNull(), F.lit(NO_HITS))
               .when(pri_audit, F.concat(F.lit("Based on audit data ("), F.col("pri.label"), F.lit("):\n\n"),
-                                        _cut(F.col("pri.text"), PRIORITY_CHARS)))
+                                        _cut(F.col("pri.text"), priority_chars)))
               .when(F.col("ls").isNotNull(),
                     F.concat(F.lit(INTRO + "\n\n"), F.array_join(F.transform("ls", lambda x: x["l"]), "\n\n")))
               .otherwise(F.concat(F.lit("Based on the most relevant section ("), F.col("top.section"),
                                   F.lit(", p. "), F.col("top.page").cast("string"), F.lit("):\n\n"),
-                                  _cut(F.col("top.text"), FALLBACK_CHARS))))
+                                  _cut(F.col("top.text"), fallback_chars))))
     return j.select("question_id", answer.alias("answer"), F.lit("extractive").alias("backend"))
 
 
