@@ -1,8 +1,8 @@
 """URL filters by association rules.
 
 URLs are cut into tokens.  FP-growth mines token combinations that come with a
-bad (or a good) label; rules below the support or confidence asked for are
-pruned.  An inverted index from each rule's rarest token to the rule finds the
+bad (or a good) label; rules on too few pages, or too close to the labels' base
+rates, are pruned.  An inverted index from each rule's rarest token to the rule finds the
 candidates of a URL, and a rule matches if the URL has all its tokens.  Listed
 host and path rules come first.
 
@@ -71,37 +71,42 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(hosts, parts, endings, fields), lambda x: F.length(x) > 2))
 
 
-def mine(labelled: DataFrame, tokens_col: str = "tokens", bad_col: str = "bad", min_support: float = 0.01,
-         min_confidence: float = 0.6) -> DataFrame:
-    """Rules (rule, items, key, n_items, bad, confidence, support) from labelled token sets.
+def mine(labelled: DataFrame, tokens_col: str = "tokens", bad_col: str = "bad", min_support: float = 0.0,
+         min_confidence: float = 0.0, min_count: int = 1, min_lift: float = 0.0) -> DataFrame:
+    """Rules (rule, items, key, n_items, bad, confidence, support, lift) from labelled token sets.
 
-    An item is kept if a share of ``min_support`` of the rows has it, and a token
-    combination if it comes with one label in that share of the rows and in a
-    share of ``min_confidence`` of its own.  ``key`` is its rarest token, under
-    which the inverted index lists it.  No rows give no rules.
+    A token combination is kept if it comes with one label in ``min_count`` rows
+    at least, a number that does not grow with the table, and in shares of
+    ``min_support`` of all rows and ``min_confidence`` of its own.  ``lift`` is
+    its confidence over the label's share of all rows.  It must be ``min_lift``
+    or more, or that of the other label ``1 / min_lift`` or less, so that a label
+    that most rows have can be told too.  ``key`` is its rarest token, under which
+    the inverted index lists it.  No rows give no rules.
     """
     rows = labelled.select(F.col(tokens_col).alias("items"), F.when(F.col(bad_col), BAD).otherwise(GOOD).alias("label")).where("size(items) > 0")
     total = rows.count()
     spark = labelled.sparkSession
     if not total:
-        return spark.createDataFrame([], "rule int, items array<string>, key string, n_items int, bad boolean, confidence double, support double")
+        return spark.createDataFrame([], "rule int, items array<string>, key string, n_items int, bad boolean, confidence double, support double, lift double")
     baskets = rows.select(F.array_append("items", F.col("label")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, (min_count - 0.5) / total), minConfidence=min_confidence).fit(baskets)
     sets = model.freqItemsets
     alone = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("key"), F.col("freq").alias("key_freq"))
     rules = model.associationRules.where(F.col("consequent")[0].isin(BAD, GOOD)).select(
         F.array_sort(F.array_except("antecedent", F.array(F.lit(BAD), F.lit(GOOD)))).alias("items"),
-        (F.col("consequent")[0] == BAD).alias("bad"), "confidence", "support")
-    keyed = rules.select("*", F.explode("items").alias("key")).join(alone, "key").groupBy("items", "bad", "confidence", "support").agg(
+        (F.col("consequent")[0] == BAD).alias("bad"), "confidence", "support", "lift")
+    base = F.col("confidence") / F.col("lift")
+    rules = rules.where((F.col("lift") >= min_lift - 1e-9) | ((1 - F.col("confidence")) * min_lift <= (1 - base) + 1e-9))
+    keyed = rules.select("*", F.explode("items").alias("key")).join(alone, "key").groupBy("items", "bad", "confidence", "support", "lift").agg(
         F.min(F.struct("key_freq", "key")).alias("k"))
-    return keyed.select(F.xxhash64("items", "bad").alias("rule"), "items", F.col("k.key").alias("key"), F.size("items").alias("n_items"), "bad", "confidence", "support")
+    return keyed.select(F.xxhash64("items", "bad").alias("rule"), "items", F.col("k.key").alias("key"), F.size("items").alias("n_items"), "bad", "confidence", "support", "lift")
 
 
 def judge(pages: DataFrame, rules: DataFrame, listed_rules: list[ListedRule], url_col: str = "url", keep: list[str] | None = None) -> DataFrame:
     """Append ``host``, ``path``, ``rule`` (a listed rule's name or null), ``verdict`` and ``matched`` (the mined rule's tokens).
 
     The longest listed rule decides; else the mined rule with the highest
-    confidence among those whose tokens the URL has (then the one with the most
+    lift among those whose tokens the URL has (then the one with the most
     tokens, the highest support, a good one, the first in order); else ``allow``.
     A null URL or one without ``://`` has empty host and path and is allowed
     unless a mined rule says otherwise.  One row out for each row in.
@@ -110,7 +115,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed_rules: list[ListedRule], ur
     src = with_host_and_path(pages.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{url_col}`").cast("string").alias("__url")), "__url")
     row = src.withColumns({"listed": listed(listed_rules, F.col("host"), F.col("path")), "tokens": tokens(F.col("host"), F.col("path"), F.col("__url")),
                            "row": F.monotonically_increasing_id()}).drop("__url")
-    index = rules.select(F.col("key"), F.struct((-F.col("confidence")).alias("c"), (-F.col("n_items")).alias("n"), (-F.col("support")).alias("s"),
+    index = rules.select(F.col("key"), F.struct((-F.col("lift")).alias("l"), (-F.col("n_items")).alias("n"), (-F.col("support")).alias("s"),
                                                 F.col("bad"), F.col("items")).alias("m"))
     # The optimizer sends the index to the tasks if it is small and deals out both sides if it is not.
     hits = row.withColumn("key", F.explode_outer("tokens")).join(index, "key", "left")
@@ -123,15 +128,18 @@ def judge(pages: DataFrame, rules: DataFrame, listed_rules: list[ListedRule], ur
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, listed_rules: list[ListedRule], url_col: str = "url", id_col: str = "page_id",
-                min_support: float = 0.01, min_confidence: float = 0.6, keep: list[str] | None = None) -> DataFrame:
+                min_support: float = 0.0, min_confidence: float = 0.0, keep: list[str] | None = None,
+                min_count: int = 3, min_lift: float = 2.0) -> DataFrame:
     """Mine rules from the pages that ``labels`` (id, bad) marks, and judge all pages.
 
     Rows of ``labels`` with a null id or mark are left out, and an id marked more
     than once counts as bad if any of its marks is.  Repeated pages count each.
+    By default a rule needs three pages of its label, whatever the size of the
+    table, and twice the label's base rate (or half the other label's).
     """
     marks = labels.where("id is not null and bad is not null").groupBy("id").agg(F.max("bad").alias("bad"))
     cut = with_host_and_path(pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url")), "url")
     known = cut.select("id", tokens(F.col("host"), F.col("path"), F.col("url")).alias("tokens")).join(marks, "id")
     known = known.persist(StorageLevel.DISK_ONLY)
-    rules = mine(known, "tokens", "bad", min_support, min_confidence)
+    rules = mine(known, "tokens", "bad", min_support, min_confidence, min_count, min_lift)
     return judge(pages, rules, listed_rules, url_col, keep)

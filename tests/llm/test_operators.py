@@ -260,6 +260,38 @@ def test_mined_rules_block(spark):
     assert len(got) == len(pages) and all((r.verdict == "block") == r.host.startswith("bad") for r in got)
 
 
+def test_rare_hosts_are_mined_from_the_given_pages(spark):
+    given = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    planted = spark.createDataFrame([(10**9 + i, f"https://www.planted.example.edu/a{i}/b") for i in range(6)], "page_id long, url string")
+    marks = spark.createDataFrame([(10**9 + i, i != 2) for i in range(5)], "id long, bad boolean")
+    pages = given.union(planted)
+    assert pages.join(labels, pages.page_id == labels.id).count() * 0.01 > 6
+    got = url_filter.filter_urls(pages, labels.union(marks), [], keep=["page_id"]).collect()
+    assert len(got) == pages.count()
+    assert all(r.verdict == "block" for r in got if r.host in ("www.planted.example.edu", "www.spam-farm.example.com"))
+    assert 0 < sum(r.verdict == "block" for r in got) < len(got) / 2
+
+
+def test_rules_by_count_and_lift_against_all_subsets(spark):
+    rnd = random.Random(5)
+    rows = [([t for t in "abcde" if rnd.random() < 0.4], rnd.random() < 0.2) for _ in range(300)] + [(["z"], True)] * 3 + [(["y"], True)] * 2 + [(["x"], False)] * 3
+    got = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), min_count=3, min_lift=2.0).collect()
+    full = [(set(t), b) for t, b in rows if t]
+    base = sum(b for _, b in full) / len(full)
+    want = set()
+    for size in range(1, 6):
+        for items in itertools.combinations("abcdexyz", size):
+            marks = [b for t, b in full if set(items) <= t]
+            share = sum(marks) / max(len(marks), 1)
+            if sum(marks) >= 3 and (share >= 2 * base or 1 - share <= (1 - base) / 2):
+                want.add((items, True))
+            if len(marks) - sum(marks) >= 3 and (1 - share >= 2 * (1 - base) or share <= base / 2):
+                want.add((items, False))
+    assert {(tuple(r["items"]), r.bad) for r in got} == want and {(("z",), True), (("x",), False)} <= want
+    assert all(r.lift == pytest.approx(r.confidence / (base if r.bad else 1 - base)) for r in got)
+
+
 # 5, 6: tokenizers
 
 ALPHABET = "aabcdeesthing     \n\t.,!?''éßÉİΣσ中文́​▁_🙂\x1c\x85\x00☃𝒳１½<|>"
