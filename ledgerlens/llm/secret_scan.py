@@ -2,10 +2,12 @@
 
 Pattern matches give the base spans (assignments, access keys, hex runs).
 Beyond them, base64 and hex candidates are decoded and reported only if the
-bytes parse as a key: a DER private key whose nested lengths add up, an
-OpenSSH private key with its length-prefixed fields, or a signed token whose
-header and claims are JSON and whose signature has the length its algorithm
-asks for.
+bytes parse as a key: a DER private key whose nested lengths add up (also an
+encrypted one), an OpenSSH private key with its length-prefixed fields, or a
+signed token whose header and claims are JSON and whose signature has the length
+its algorithm asks for.  Base64 keys are tried wherever the first characters of
+one stand, whatever precedes them, and read on over line ends as far as their
+lengths say; tokens are tried at every dotted segment.
 """
 
 from __future__ import annotations
@@ -23,15 +25,20 @@ from pyspark.sql import types as T
 from .common import map_text
 
 BASE_KINDS = ("assign", "access", "hex")
-KINDS = (*BASE_KINDS, "jwt", "pkcs1", "pkcs8", "sec1", "dsa", "openssh")
+KINDS = (*BASE_KINDS, "jwt", "pkcs1", "pkcs8", "sec1", "dsa", "openssh", "pkcs8enc")
 RANK = {k: i for i, k in enumerate(KINDS)}
 
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
+# Nothing is used up, so that a triple that fails does not hide the one that starts at its second or third part.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{10,}+)\.([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]*))")
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----([A-Za-z0-9+/=\s\\]+?)-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
-B64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+B64 = re.compile(r"[A-Za-z0-9+/_-]+")
+LINE_END = r"(?:[\x20\t]*(?:\r?\n|\r|(?:\\r)?\\n|\\r)[\x20\t]*|\\(?=/))"  # also escaped, and the escape of a slash
+JOIN = re.compile(LINE_END)
+# The first characters of a DER sequence of up to 2**32 bytes and of an OpenSSH container.
+KEY_START = re.compile(f"M{LINE_END}?[A-I]|b{LINE_END}?3{LINE_END}?B{LINE_END}?l")
 HEXKEY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{60,}(?![0-9A-Fa-f])")
 
 # Signature bytes by algorithm; None: any length of a plausible RSA signature.
@@ -40,6 +47,11 @@ SIGNATURE_BYTES = {"HS256": {32}, "HS384": {48}, "HS512": {64}, "ES256": {64}, "
                    "PS256": None, "PS384": None, "PS512": None, "none": {0}}
 
 
+MAGIC = b"openssh-key-v1\0"
+# 1.2.840.113549.1.5 and 1.2.840.113549.1.12.1: encryption by a password.
+PASSWORD_OIDS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
 def _b64(s: str) -> bytes | None:
     s = s.rstrip("=").replace("-", "+").replace("_", "/")
     if len(s) % 4 == 1:
@@ -85,6 +97,9 @@ def der_key(data: bytes) -> str | None:
     if top is None or top[0] != 0x30 or top[2] != len(data):
         return None
     parts = _children(data, top[1], top[2])
+    if parts and [t for t, _, _ in parts] == [0x30, 0x04] and parts[1][2] > parts[1][1]:
+        inner = _children(data, parts[0][1], parts[0][2])
+        return "pkcs8enc" if inner and inner[0][0] == 0x06 and data[inner[0][1]:inner[0][2]].startswith(PASSWORD_OIDS) else None
     if not parts or parts[0][0] != 0x02 or parts[0][2] - parts[0][1] != 1:
         return None
     tags, version = [t for t, _, _ in parts], data[parts[0][1]]
@@ -100,25 +115,87 @@ def der_key(data: bytes) -> str | None:
     return None
 
 
-def openssh_key(data: bytes) -> str | None:
-    """'openssh' if ``data`` is an OpenSSH private key container whose fields have right lengths."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+def openssh_end(read) -> int | None:
+    """Where an OpenSSH private key container ends, if its fields have right lengths; ``read(n)`` gives its first n bytes, or fewer."""
+    def after(at):
+        """The number at ``at`` and the place after it; lengths point past what there is if they are wrong."""
+        data = read(at + 4)
+        return (int.from_bytes(data[at:at + 4], "big"), at + 4) if len(data) == at + 4 else None
+
+    at = len(MAGIC)
+    if read(at) != MAGIC:
         return None
-    at, n = len(magic), len(data)
     for _ in range(3):  # cipher, key derivation and its options
-        size = int.from_bytes(data[at:at + 4], "big")
-        at += 4 + size
-        if at + 4 > n:
+        if (size := after(at)) is None:
             return None
-    keys, at = int.from_bytes(data[at:at + 4], "big"), at + 4
-    if not 1 <= keys <= 16:
+        at = sum(size)
+    if (count := after(at)) is None or not 1 <= count[0] <= 16:
         return None
-    for _ in range(keys + 1):  # public keys, then the private part
-        if at + 4 > n:
+    at = count[1]
+    for _ in range(count[0] + 1):  # public keys, then the private part
+        if (size := after(at)) is None:
             return None
-        at += 4 + int.from_bytes(data[at:at + 4], "big")
-    return "openssh" if at <= n else None
+        at = sum(size)
+    return at if len(read(at)) == at else None
+
+
+def openssh_key(data: bytes) -> str | None:
+    """'openssh' if ``data`` begins with an OpenSSH private key container."""
+    return None if openssh_end(lambda n: data[:n]) is None else "openssh"
+
+
+def der_size(data: bytes) -> int | None:
+    """Bytes of the DER sequence that ``data`` (its first 12 bytes) begins, if it may be a key by its first element."""
+    n, at = data[1], 2
+    if data[0] != 0x30 or n == 0x80 or n > 0x84:
+        return None
+    if n > 0x80:
+        at = 2 + (n & 0x7F)
+        n = int.from_bytes(data[2:at], "big")
+    return at + n if data[at] == 0x30 or (data[at:at + 2] == b"\x02\x01" and data[at + 2] <= 1) else None
+
+
+def _run(text: str, at: int, want: int) -> tuple[str, int]:
+    """``want`` base64 characters from ``at`` on (fewer, if there are not so many), over line ends, and where the last one ends."""
+    parts, have, end = [], 0, at
+    while have < want and (m := B64.match(text, at, at + want - have)):
+        parts.append(m[0])
+        have, end = have + len(m[0]), m.end()
+        if gap := JOIN.match(text, end):
+            at = gap.end()
+        else:
+            at = end
+    return "".join(parts), end
+
+
+def base64_keys(text: str) -> list[tuple[str, int, int]]:
+    """Keys (kind, start, end) in base64, each from where its first characters stand to its own end and padding."""
+    found, done = [], 0
+    for m in KEY_START.finditer(text):
+        at = m.start()
+        if at < done:
+            continue
+
+        def read(n):
+            """The first ``n`` bytes, or none if there are not so many."""
+            want = -(-n * 4 // 3)
+            chars = _run(text, at, want)[0] if want <= len(text) - at else ""
+            return _b64(chars)[:n] if len(chars) == want else b""
+
+        head, kind = read(12), None
+        if not head:
+            continue
+        if MAGIC.startswith(head):
+            size = openssh_end(read)
+            kind = size and "openssh"
+        else:
+            size = der_size(head)
+            kind = size and der_key(read(size))
+        if kind:
+            end = _run(text, at, -(-size * 4 // 3))[1]
+            done = end + len(re.match("={0,2}", text[end:end + 2])[0])
+            found.append((kind, at, done))
+    return found
 
 
 def key_kind(data: bytes | None) -> str | None:
@@ -152,17 +229,13 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
             if kind:
                 found.add((kind, m.start(), m.end()))
                 covered.append((m.start(), m.end()))
-    if "." in text and "eyJ" in text:
+    if "." in text:
         for m in JWT.finditer(text):
             if signed_token(m[1], m[2], m[3]):
-                found.add(("jwt", m.start(), m.end()))
-                covered.append((m.start(), m.end()))
-    for pattern, decode in ((B64, _b64), (HEXKEY, lambda s: bytes.fromhex(s) if len(s) % 2 == 0 else None)):
-        for m in pattern.finditer(text):
-            if not any(a <= m.start() and m.end() <= b for a, b in covered):
-                kind = key_kind(decode(m[0]))
-                if kind:
-                    found.add((kind, m.start(), m.end()))
+                found.add(("jwt", m.start(1), m.end(3)))
+                covered.append((m.start(1), m.end(3)))
+    keys = base64_keys(text) + [(key_kind(bytes.fromhex(m[0])), m.start(), m.end()) for m in HEXKEY.finditer(text) if len(m[0]) % 2 == 0]
+    found.update((k, x, y) for k, x, y in keys if k and not any(a <= x and y <= b for a, b in covered))
     return sorted(found, key=lambda s: (s[1], RANK[s[0]], s[2]))
 
 

@@ -193,6 +193,43 @@ def test_secrets_are_confirmed_by_structure():
     assert secret_scan.redact(f"a {token} b", secret_scan.spans_of(f"a {token} b")) == "a [SECRET] b"
 
 
+def test_tokens_are_tried_at_every_segment():
+    part = lambda x: base64.urlsafe_b64encode(x).rstrip(b"=").decode()
+    spaced = [".".join([part(a + b'"alg": "HS256"}'), part(a + b'"sub": "1"}'), part(bytes(32))]) for a in (b"{ ", b"{\n", b"{\t")]
+    for token in (jwt(), *spaced):
+        for before in ("", "session_token.", "Authorization.", "Authorization.Bearer.", "a.b.", "x.session_token.", jwt("HS256", 31) + ".", "=", "é"):
+            text = f"é {before}{token}. end"
+            assert [s for s in secret_scan.spans_of(text) if s[0] == "jwt"] == [("jwt", 2 + len(before), 2 + len(before) + len(token))], text
+    two = jwt() + "." + jwt()
+    assert [s[1:] for s in secret_scan.spans_of(two) if s[0] == "jwt"] == [(0, len(jwt())), (len(jwt()) + 1, len(two))]
+
+
+def test_keys_are_found_at_any_alignment_and_over_lines():
+    rnd = random.Random(6)
+    key = rsa_key(rnd)
+    text_field = lambda x: len(x).to_bytes(4, "big") + x
+    pbes2 = der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")), der(0x30, der(5)))
+    raws = {"pkcs1": key, "pkcs8": der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2b\x65\x70")), der(4, der(4, bytes(range(32))))),
+            "sec1": der(0x30, der(2, b"\1"), der(4, bytes(range(1, 33))), der(0xA0, der(6, b"\x2b\x81\x04\x00\x0a"))),
+            "pkcs8enc": der(0x30, pbes2, der(4, bytes(range(200)))),
+            "openssh": b"openssh-key-v1\0" + text_field(b"none") * 2 + text_field(b"") + (1).to_bytes(4, "big") + text_field(b"p" * 51) + text_field(b"s" * 136)}
+    keys_in = lambda t: [s for s in secret_scan.spans_of(t) if s[0] not in secret_scan.BASE_KINDS]
+    for kind, raw in raws.items():
+        for encode in (base64.b64encode, base64.urlsafe_b64encode):
+            one = encode(raw).decode()
+            forms = [one] + [end.join(one[i:i + w] for i in range(0, len(one), w)) for w in (64, 70, 76) for end in ("\n", "\r\n", "\n  ", "\\n")]
+            for form in (*forms, one.replace("/", "\\/")):
+                for before in ("", "/", "_", "-", "--", "a/b/", "key:\\n", "M", "MI", "x_MIIE"):
+                    for after in ("", " end", "\n", "\\n", "-----END"):
+                        text = f"é {before}{form}{after}"
+                        assert keys_in(text) == [(kind, 2 + len(before), 2 + len(before) + len(form))], text
+            assert keys_in(f"/{encode(raw[:-3]).decode()}") == []
+    pem = "-----BEGIN ENCRYPTED PRIVATE KEY-----\n" + base64.b64encode(raws["pkcs8enc"]).decode() + "\n-----END ENCRYPTED PRIVATE KEY-----"
+    assert keys_in(pem) == [("pkcs8enc", 0, len(pem))]
+    digest = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")), der(5)), der(4, bytes(32)))
+    assert keys_in(base64.b64encode(digest).decode()) == []
+
+
 # 3: languages
 
 def test_language_held_out_accuracy(spark):
