@@ -30,23 +30,34 @@ UNKNOWN = "und"
 
 @dataclass
 class LanguageModel:
-    """Languages in code-point order; log frequencies per language of words and of n-grams (at index n)."""
+    """Languages in code-point order; log frequencies of words (at index 0) and of n-grams (at index n).
+
+    A gram holds (language, log frequency) for the languages that have it, so the
+    model grows with what each language keeps; ``unseen`` has those of a gram
+    that a language has not.
+    """
 
     langs: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: list[dict[str, tuple[float, ...]]]
+    grams: list[dict[str, tuple[tuple[int, float], ...]]]
+    unseen: list[list[float]]
+
+    def by_language(self, n: int, found: tuple[tuple[int, float], ...]) -> list[float]:
+        scores = self.unseen[n].copy()
+        for i, s in found:
+            scores[i] = s
+        return scores
 
     def word_score(self, word: str) -> tuple[float, ...] | None:
         """Log frequencies of one word by language; None if the model knows neither the word nor any n-gram of it."""
-        known = self.words.get(word)
+        known = self.grams[0].get(word)
         if known is not None:
-            return known
+            return tuple(self.by_language(0, known))
         marked = f"^{word}$"
         for n in ORDERS:
             table = self.grams[n]
             found = [s for i in range(len(marked) - n + 1) if (s := table.get(marked[i:i + n])) is not None]
             if found:
-                return tuple(sum(x) / len(found) for x in zip(*found))
+                return tuple(sum(x) / len(found) for x in zip(*[self.by_language(n, f) for f in found]))
         return None
 
 
@@ -83,48 +94,48 @@ def _counts(sample: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-        docs_per_lang: int = 1500, max_langs: int = 64, max_words: int = 20_000, max_grams: int = 8_000) -> LanguageModel:
+        docs_per_lang: int = 3000, max_words: int = 20_000, max_grams: int = 8_000) -> LanguageModel:
     """Learn from a bounded sample of the rows with text and language.
 
     The sample takes about ``docs_per_lang`` documents of each language (all, if
-    fewer), chosen by a hash of the id.  The model keeps the ``max_langs`` most
-    frequent languages and, per language, the most frequent ``max_words`` words
-    and ``max_grams`` n-grams of each order (ties in code-point order), which
-    bounds what reaches the driver and the tasks.  Without labelled rows the
+    fewer), chosen by a hash of the id.  The model knows every language and keeps,
+    per language, the most frequent ``max_words`` words and ``max_grams`` n-grams
+    of each order (ties in code-point order), so what reaches the driver and the
+    tasks grows with the number of languages alone.  Without labelled rows the
     model has no language.
     """
     rows = labelled.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"),
                            F.xxhash64(F.col(f"`{id_col}`"), F.lit(11)).alias("h")).where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
-    if not sizes:
-        return LanguageModel([], {}, [{} for _ in range(max(ORDERS) + 1)])
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    langs = sorted(r.lang for r in sizes.select("lang").collect())
+    if not langs:
+        return LanguageModel([], [{} for _ in range(max(ORDERS) + 1)], [[] for _ in range(max(ORDERS) + 1)])
     part = F.pmod("h", F.lit(1_000_003)) / 1_000_003.0
-    chosen: Column = F.lit(False)
-    for r in sizes:
-        chosen = chosen | ((F.col("lang") == r.lang) & (part < docs_per_lang / r.n))
-    counts = _counts(rows.where(chosen), "text", "lang")
+    chosen = rows.join(F.broadcast(sizes), "lang").where(part < docs_per_lang / F.col("n"))
+    counts = _counts(chosen, "text", "lang")
     totals = Window.partitionBy("lang", "n")
     top = counts.withColumn("total", F.sum("c").over(totals)).withColumn(
         "rank", F.row_number().over(totals.orderBy(F.desc("c"), "gram"))).where(
         F.col("rank") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams))
-    langs = sorted(r.lang for r in sizes)
     at = {x: i for i, x in enumerate(langs)}
-    seen: list[dict[str, list[int]]] = [{} for _ in range(max(ORDERS) + 1)]
+    seen: list[dict[str, list[tuple[int, int]]]] = [{} for _ in range(max(ORDERS) + 1)]
     total = [[1] * len(langs) for _ in seen]
     for r in top.toLocalIterator():
-        seen[r.n].setdefault(r.gram, [0] * len(langs))[at[r.lang]] = r.c
+        seen[r.n].setdefault(r.gram, []).append((at[r.lang], r.c))
         total[r.n][at[r.lang]] = r.total
-    tables = []
+    grams, unseen = [], []
     for n, table in enumerate(seen):
         size = len(table) + 1
-        tables.append({g: tuple(math.log((c + 0.5) / (t + 0.5 * size)) for c, t in zip(cs, total[n])) for g, cs in table.items()})
-    return LanguageModel(langs, tables[0], tables)
+        log = lambda i, c: math.log((c + 0.5) / (total[n][i] + 0.5 * size))
+        grams.append({g: tuple((i, log(i, c)) for i, c in cs) for g, cs in table.items()})
+        unseen.append([log(i, 0) for i in range(len(langs))])
+    return LanguageModel(langs, grams, unseen)
 
 
 def scorer(model: LanguageModel):
     """A function from texts to (language, score, words with evidence, words) of each."""
     k = len(model.langs)
-    memo = Recent(100_000)
+    memo = Recent(min(100_000, 3_200_000 // max(k, 1)))  # as much memory for many languages
     nothing = np.zeros(k + 2).tobytes()
     plain = struct.Struct(f"{k + 2}d")
 

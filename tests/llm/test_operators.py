@@ -252,6 +252,14 @@ def test_language_backoff(spark):
     assert language_id.predict(docs, language_id.fit(docs.where("lang = 'xx'"))).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_every_language_is_learned(spark):
+    name = lambda i: "".join(chr(ord("a") + i // 26 ** j % 26) for j in range(2))
+    docs = spark.createDataFrame([(i, f"{name(i)}word{name(i)} and {name(i)}{name(i)}", f"lang{i:03}") for i in range(100)] + [(1000 + i, "the hand", "lang099") for i in range(5)],
+                                 "doc_id long, text string, lang string")
+    got = language_id.predict(docs, language_id.fit(docs)).where("doc_id < 100").collect()
+    assert len(got) == 100 and all(r.lang_pred == r.lang for r in got)
+
+
 # 4: URLs
 
 def test_listed_rules_and_parsing(spark):
