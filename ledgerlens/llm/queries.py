@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.sources.tables import table
 
-from . import language_id, order_minhash, secret_scan, sentencepiece_codec, simhash_dedup, source_mix, token_counts, token_file, topk_search, url_filter
+from . import (katz_lm, language_id, lexical_search, orchard_kmeans, order_minhash, secret_scan, sentencepiece_codec, simhash_dedup, source_mix,
+               token_counts, token_file, topk_search, url_filter)
 
 # The listed rules of the URL query.
 LISTED_RULES = [url_filter.ListedRule("allow", "com", "/"), url_filter.ListedRule("block", "example.com", "/en/"),
@@ -88,11 +89,27 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_orchard_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard_kmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False))
+    return katz_lm.score_texts(_documents(spark, sf_dir), ~held).select(
+        "doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_order_minhash, op2_secret_scan, op3_language_id, op4_url_filter, op5_sentencepiece, op6_token_counts,
-    op7_simhash, op8_topk_search, op9_token_file, op10_source_mix)}
+    op7_simhash, op8_topk_search, op9_token_file, op10_source_mix, op11_orchard_kmeans, op12_lexical_search, op13_katz_lm)}
 
 ORACLE: dict[str, str] = {
+    "op11_orchard_kmeans": orchard_kmeans.plain_sql(),
+    "op12_lexical_search": lexical_search.PLAIN_SQL,
     "op8_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(embedding) > 0
