@@ -1,15 +1,17 @@
 """Language-model scores by Katz backoff over word pairs.
 
 Texts are cut into segments of bounded size, each with a vocabulary of its own.
-Spark adds up what the segments hold and gives back what they need:
+Segments send what they hold, packed, to buckets, which add up the training
+counts, keep them and answer every segment in the order it asked:
 
-1. words: counts of the training tokens, one row a word (``words`` table);
-2. pairs: a segment sends its distinct pairs, packed, to buckets; a bucket adds
-   up their training counts, keeps them (``pairs`` table) and answers every
-   segment in the order it asked.  A frequent context is spread over the
-   buckets by the word that follows, so no bucket gathers all that follows it;
+1. words: counts of the training tokens (``words`` table, one row a word);
+2. pairs: counts of the training pairs (``pairs`` table, one packed row a
+   bucket).  A frequent context is spread over the buckets by the word that
+   follows, so no bucket gathers all that follows it;
 3. contexts: per context the number of its pairs by count, and the unigram
-   mass of the words seen after it, which give its backoff weight.
+   mass of the words seen after it, which give its backoff weight
+   (``contexts`` table).  Those of the frequent contexts, a bounded number, are
+   added up over the buckets and given to all tasks.
 
 Counts up to five are discounted after Good and Turing, so that with r* for
 a discounted count
@@ -21,13 +23,14 @@ a discounted count
 and bow(v) = (1 - sum of P(w | v)) / (1 - sum of P(w)), both over the words
 seen after v, so that every context's probabilities add up to one.  Where no
 count of a context is discounted its denominator grows by one, which leaves
-something for unseen words.  Discounted counts are whole multiples of 2^-20, so
+something for unseen words.  Discounted counts are whole multiples of 2^-16, so
 all sums are exact and do not depend on how the rows are laid out.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,9 +49,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 END, START = "\tend", "\tstart"  # no word holds white space
 SEGMENT_BYTES = 16 << 20
-HOT = 1 << 16  # a context met more often is spread over the buckets
+HOT, MAX_HOT = 1 << 16, 100_000  # a context is spread over the buckets if met more often than HOT, and N / MAX_HOT
 BUCKET_PAIRS = 4_000_000
-SCALE = 1 << 20
+SCALE = 1 << 16
 R = 5  # counts up to this are discounted
 
 
@@ -76,8 +79,16 @@ def unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").ravel()
 
 
+def pack_bytes(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack_bytes(b: bytes) -> bytes:
+    return pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True)
+
+
 def discounted(n: list[int]) -> list[int]:
-    """Good-Turing counts of 1..5 in units of 2^-20; ``n[r]`` things were counted r times, r = 1..6.
+    """Good-Turing counts of 1..5 in units of 2^-16; ``n[r]`` things were counted r times, r = 1..6.
 
     A count whose discount the numbers do not give, or put outside (0, 1), loses a
     constant n1 / (n1 + 2 n2) instead, 0.75 at most.
@@ -96,14 +107,14 @@ def discounted(n: list[int]) -> list[int]:
 
 
 def starred(counts: np.ndarray, table: list[int]) -> np.ndarray:
-    """r* of every count, in units of 2^-20."""
+    """r* of every count, in units of 2^-16."""
     few = np.array(table, np.int64)
     return np.where(counts <= R, few[np.minimum(counts, R)], counts * SCALE)
 
 
 @dataclass(frozen=True)
 class Unigrams:
-    """Totals of the training tokens: their number, distinct ones, r* by count, and the denominator (units of 2^-20)."""
+    """Totals of the training tokens: their number, distinct ones, r* by count, and the denominator (units of 2^-16)."""
 
     tokens: int
     distinct: int
@@ -124,13 +135,13 @@ class Unigrams:
 def segments(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
     """Rows of about ``SEGMENT_BYTES`` of text: documents' ids, training marks and lengths, token numbers, and the words they number.
 
-    Number 0 is the end of a text, 1 its start; every text has an end.
+    Every text has an end; ``bound`` holds the numbers of the end and the start.  Words are numbered in the order of their hash.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SLICE_BYTES))
     id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("seg", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("train", T.BinaryType()),
-                           T.StructField("lens", T.BinaryType()), T.StructField("tokens", T.BinaryType()), T.StructField("words", T.StringType())])
+    schema = T.StructType([T.StructField("seg", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), *[T.StructField(n, T.BinaryType()) for n in
+                           ("train", "lens", "tokens", "bound", "words")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
@@ -141,9 +152,16 @@ def segments(docs: DataFrame, train: Column, id_col: str, text_col: str) -> Data
             return v, [], [], [], [], 0
 
         def row():
+            words = list(vocabulary)
+            hashes = np.array([zlib.crc32(w.encode()) for w in words], np.int64)
+            order = np.argsort(hashes, kind="stable")
+            number = np.empty(len(words), np.int64)
+            number[order] = np.arange(len(words))
             whole = pa.concat_arrays(ids)
-            cells = [pa.array([(part << 32) + made], pa.int64()), pa.ListArray.from_arrays([0, len(whole)], whole), pa.array([pack(np.concatenate(marks))], pa.binary()),
-                     pa.array([pack(np.array(lens))], pa.binary()), pa.array([pack(np.concatenate(tokens))], pa.binary()), pa.array(["\n".join(vocabulary)])]
+            packed = [np.concatenate(marks), np.array(lens), number[np.concatenate(tokens)], number[:2]]
+            text = "\n".join([words[i] for i in order.tolist()]).encode()
+            cells = [pa.array([(part << 32) + made], pa.int64()), pa.ListArray.from_arrays([0, len(whole)], whole),
+                     *[pa.array([x], pa.binary()) for x in [*map(pack, packed), pack_bytes(text)]]]
             return pa.RecordBatch.from_arrays(cells, names=schema.fieldNames())
 
         vocabulary, ids, marks, lens, tokens, size = fresh()
@@ -170,36 +188,47 @@ def segments(docs: DataFrame, train: Column, id_col: str, text_col: str) -> Data
 
 
 class Segment:
-    """One segment's tokens with the token before each, and its distinct pairs."""
+    """One segment's tokens, and the token before each."""
 
-    def __init__(self, train: bytes, lens: bytes, tokens: bytes, size: int):
-        self.size = size
-        self.lens, self.tokens = unpack(lens), unpack(tokens)
-        self.marks = unpack(train)
+    def __init__(self, train: bytes, lens: bytes, tokens: bytes, bound: bytes):
+        self.marks, self.lens, self.tokens = unpack(train), unpack(lens), unpack(tokens)
+        self.end, self.start = unpack(bound).tolist()
         self.before = np.empty_like(self.tokens)
         self.before[1:] = self.tokens[:-1]
-        self.starts = np.cumsum(self.lens) - self.lens
-        self.before[self.starts] = 1
+        self.before[np.cumsum(self.lens) - self.lens] = self.start
+
+    @classmethod
+    def of(cls, t: pa.Table) -> Segment:
+        return cls(*[t[c][0].as_py() for c in ("train", "lens", "tokens", "bound")])
 
     def learned(self) -> np.ndarray:
         return np.repeat(self.marks, self.lens)
 
-    def word_counts(self) -> np.ndarray:
+    def word_counts(self, size: int) -> np.ndarray:
         """Training tokens by number; the start counts once a training document."""
-        out = np.bincount(self.tokens[self.learned() > 0], minlength=self.size)
-        out[1] = int(self.marks.sum())
+        out = np.bincount(self.tokens[self.learned() > 0], minlength=size)
+        out[self.start] = int(self.marks.sum())
         return out
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(context, word, which pair every token is)."""
-        code, which = np.unique(self.before * self.size + self.tokens, return_inverse=True)
-        return code // self.size, code % self.size, which
 
-    def requests(self, gid: np.ndarray, count: np.ndarray, v: np.ndarray, w: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(bucket, places of its pairs), for the pairs of known words."""
-        known = np.flatnonzero((count[v] > 0) & (count[w] > 0))
-        x = gid[v[known]].astype(np.uint64)
-        spread = np.where(count[v[known]] > HOT, gid[w[known]] + 1, 0).astype(np.uint64)
+class Pairs:
+    """A segment's distinct pairs in the order of their words' ids, with ``gid`` and ``count`` of each word; unknown words have -1 and 0."""
+
+    def __init__(self, s: Segment, gid: np.ndarray, count: np.ndarray):
+        order = np.argsort(gid, kind="stable")
+        rank = np.empty(len(gid), np.int64)
+        rank[order] = np.arange(len(gid))
+        self.gid, self.count = gid[order], count[order]
+        code, self.which = np.unique(rank[s.before] * len(gid) + rank[s.tokens], return_inverse=True)
+        self.v, self.w = code // max(1, len(gid)), code % max(1, len(gid))
+        self.token_count = count[s.tokens]
+
+    def asks(self, buckets: int, hot: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(bucket, places of its pairs in ascending order), for the pairs of known contexts."""
+        known = np.flatnonzero(self.count[self.v] > 0)
+        v, w = self.v[known], self.w[known]
+        x = self.gid[v].astype(np.uint64)
+        spread = np.where(self.count[v] > hot, self.gid[w] + 2, 0).astype(np.uint64)
         h = (x * np.uint64(0x9E3779B97F4A7C15)) ^ (spread * np.uint64(0xC2B2AE3D27D4EB4F))
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
@@ -209,55 +238,51 @@ class Segment:
             yield k, known[order[cuts[k]:cuts[k + 1]]]
 
 
-def _local(words: str) -> list[str]:
-    return words.split("\n")
-
-
-def _segment_of(left: pa.Table) -> tuple[int, Segment, list]:
-    row = left.slice(0, 1)
-    size = row["words"][0].as_py().count("\n") + 1
-    return row["seg"][0].as_py(), Segment(row["train"][0].as_py(), row["lens"][0].as_py(), row["tokens"][0].as_py(), size), row["ids"]
-
-
-def local_words(segs: DataFrame, counted: bool) -> DataFrame:
-    """(seg, at, word[, c]): every segment's words, one row each."""
-
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                words = _local(b.column(1)[i].as_py())
-                cells = [pa.array([b.column(0)[i].as_py()] * len(words), pa.int64()), pa.array(range(len(words)), pa.int32()), pa.array(words, pa.string())]
-                if counted:
-                    cells.append(pa.array(Segment(b.column(2)[i].as_py(), b.column(3)[i].as_py(), b.column(4)[i].as_py(), len(words)).word_counts(), pa.int64()))
-                yield pa.RecordBatch.from_arrays(cells, names=["seg", "at", "word", "c"][:len(cells)])
-
-    columns = ["seg", "words", "train", "lens", "tokens"] if counted else ["seg", "words"]
-    return segs.select(*columns).mapInArrow(run, "seg long, at int, word string" + (", c long" if counted else ""))
-
-
-def _spread(at: pa.ChunkedArray, value: pa.ChunkedArray, size: int, kind=np.int64) -> np.ndarray:
-    out = np.zeros(size, kind)
-    out[at.to_numpy()] = value.to_numpy()
-    return out
-
-
-def reduce_bucket(seg: list[int], v: list[np.ndarray], w: list[np.ndarray], cw: list[np.ndarray], c: list[np.ndarray], unigrams: Unigrams):
-    """(answers per segment, (v, w, count) of the learned pairs, (v, n1..n6, unigram mass) per context)."""
-    sizes = [len(x) for x in v]
-    v, w, cw, c = (np.concatenate(x) for x in (v, w, cw, c))
-    order = np.lexsort((w, v))
-    sv, sw = v[order], w[order]
-    head = np.flatnonzero(np.r_[True, (sv[1:] != sv[:-1]) | (sw[1:] != sw[:-1])])
-    total = np.add.reduceat(c[order], head)
-    answer = np.empty(len(v), np.int64)
-    answer[order] = np.repeat(total, np.diff(np.r_[head, len(v)]))
+def heads(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    if not len(sorted_keys[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in sorted_keys], axis=0)])
+
+
+def add_words(texts: list[list[str]], counts: list[np.ndarray], bucket: int) -> tuple[list[str], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(learned words, their counts, (ids, counts) for each text's words)."""
+    total: dict[str, int] = {}
+    for words, c in zip(texts, counts):
+        for w, n in zip(words, c.tolist()):
+            total[w] = total.get(w, 0) + n
+    learned = sorted(w for w, n in total.items() if n)
+    at = {w: i for i, w in enumerate(learned)}
+    n = np.array([total[w] for w in learned] + [0], np.int64)
+    answers = []
+    for words in texts:
+        i = np.array([at.get(w, -1) for w in words], np.int64)
+        answers.append((np.where(i < 0, -1, i + (bucket << 40)), n[i]))
+    return learned, n[:-1], answers
+
+
+def add_pairs(v: list[np.ndarray], w: list[np.ndarray], cw: list[np.ndarray], c: list[np.ndarray], hot: list[np.ndarray], unigrams: Unigrams):
+    """((v, w, count) of the learned pairs, (v, n1..n6, unigram mass) per context, (counts, contexts' numbers) for each ask)."""
+    sizes = np.cumsum([len(x) for x in v])[:-1]
+    av, aw, acw, ac = (np.concatenate(x) for x in (v, w, cw, c))
+    order = np.lexsort((aw, av))
+    sv, sw = av[order], aw[order]
+    head = heads(sv, sw)
+    total = np.add.reduceat(ac[order], head)
+    answer = np.empty(len(av), np.int64)
+    answer[order] = np.repeat(total, np.diff(np.r_[head, len(av)]))
     learned = total > 0
-    pv, pw, pc = sv[head][learned], sw[head][learned], total[learned]
-    mass = starred(cw[order][head][learned], unigrams.table)
-    first = np.flatnonzero(np.r_[True, pv[1:] != pv[:-1]]) if len(pv) else np.zeros(0, np.int64)
-    by = [np.add.reduceat((pc == r).astype(np.int64), first) if len(first) else first for r in range(1, R + 2)]
-    contexts = (pv[first], *by, np.add.reduceat(mass, first) if len(first) else first)
-    return list(zip(seg, np.split(answer, np.cumsum(sizes)[:-1]))), (pv, pw, pc), contexts
+    pv, pw, pc_ = sv[head][learned], sw[head][learned], total[learned]
+    first = heads(pv)
+    per = lambda x: np.add.reduceat(x, first) if len(first) else first
+    numbers = [*[per((pc_ == r).astype(np.int64)) for r in range(1, R + 2)], per(starred(acw[order][head][learned], unigrams.table))]
+    table = np.array(numbers, np.int64).reshape(R + 2, -1)
+    answers = []
+    for own_v, own_hot, counts in zip(v, hot, np.split(answer, sizes)):
+        cold = own_v[heads(own_v)]
+        cold = cold[~np.isin(cold, own_hot)]
+        answers.append((counts, table[:, np.searchsorted(pv[first], cold)]))
+    return (pv, pw, pc_), (pv[first], *numbers), answers
 
 
 @dataclass(frozen=True)
@@ -268,12 +293,14 @@ class Model:
     pair_table: list[int]  # r* of the pairs' counts
     words: DataFrame  # word, gid, c
     pairs: DataFrame  # bucket, v, w, c: packed, sorted by v and w
-    contexts: DataFrame  # gid, c, whole (denominator), bow
+    contexts: DataFrame  # gid, n1..n6, mass
 
 
-def _counts_of_counts(df: DataFrame, col: str) -> list[int]:
-    r = df.agg(*[F.count_if(F.col(col) == i).alias(f"n{i}") for i in range(1, R + 2)]).first()
-    return [0, *r]
+def backoff(count: np.ndarray, numbers: np.ndarray, pair_table: list[int], unigrams: Unigrams) -> tuple[np.ndarray, np.ndarray]:
+    """(denominator, backoff weight) of contexts from their count and (n1..n6, unigram mass)."""
+    kept = count * SCALE + sum(numbers[r - 1] * (pair_table[r] - r * SCALE) for r in range(1, R + 1))
+    whole = np.where(kept < count * SCALE, count, count + 1) * SCALE
+    return whole, (whole - kept) / whole / ((unigrams.whole - numbers[R + 1]) / unigrams.whole)
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,96 +322,123 @@ def learn_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     path = shared_path(spark, "segments")
     segments(docs, train, id_col, text_col).write.parquet(path)
     segs = spark.read.parquet(path)
+    buckets = max(shuffle_partitions(spark), segs.count())
 
+    # words
+    def ask_words(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                seg, text, *packed = (b.column(j)[i].as_py() for j in range(b.num_columns))
+                words = unpack_bytes(text).decode().split("\n")
+                counts = Segment(*packed).word_counts(len(words))
+                bucket = np.array([zlib.crc32(w.encode()) for w in words], np.int64) * buckets >> 32  # ascending
+                cuts = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
+                held = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([seg] * len(held), pa.int64()),
+                                                  pa.array([pack_bytes("\n".join(words[cuts[k]:cuts[k + 1]]).encode()) for k in held], pa.binary()),
+                                                  pa.array([pack(counts[cuts[k]:cuts[k + 1]]) for k in held], pa.binary())], names=["bucket", "seg", "a", "b"])
+
+    layout = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("seg", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("word", pa.string()), ("gid", pa.int64()), ("c", pa.int64())])
+
+    def answer_words(key, t):
+        bucket, n = key[0].as_py(), t.num_rows
+        learned, counts, answers = add_words([unpack_bytes(x).decode().split("\n") for x in t["a"].to_pylist()], [unpack(x) for x in t["b"].to_pylist()], bucket)
+        m = len(learned)
+        back = [["answer"] * n, [bucket] * n, t["seg"].to_pylist(), [pack(g) for g, _ in answers], [pack(c) for _, c in answers], [None] * n, [None] * n, [None] * n]
+        kept = [["word"] * m, [bucket] * m, [None] * m, [None] * m, [None] * m, learned, np.arange(m) + (bucket << 40), counts]
+        return pa.concat_tables([pa.table([pa.array(x, f.type) for x, f in zip(cells, layout)], schema=layout) for cells in (back, kept)])
+
+    schema = "kind string, bucket int, seg long, a binary, b binary, word string, gid long, c long"
     path = shared_path(spark, "words")
-    local_words(segs, True).groupBy("word").agg(F.sum("c").alias("c")).where("c > 0").withColumn("gid", F.monotonically_increasing_id()).write.parquet(path)
-    words = spark.read.schema("word string, c long, gid long").parquet(path)
+    segs.select("seg", "words", "train", "lens", "tokens", "bound").mapInArrow(ask_words, "bucket int, seg long, a binary, b binary").groupBy("bucket").applyInArrow(
+        answer_words, schema).write.partitionBy("kind").parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    known = table.where("kind = 'answer'").select("seg", F.lit("word").alias("kind"), "bucket", "a", "b")
+    words = table.where("kind = 'word'").select("word", "gid", "c")
     tokens = words.where(F.col("word") != START)
-    r = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    unigrams = Unigrams.of(_counts_of_counts(tokens, "c"), r.n, r.v)
-
-    # a segment's pairs by bucket, with the counts of their words
+    r = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), *[F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, R + 2)]).first()
+    unigrams = Unigrams.of([0, *r[2:]], r.n, r.v)
     buckets = max(shuffle_partitions(spark), -(-r.n // BUCKET_PAIRS))
-    known = local_words(segs, False).join(words, "word").select("seg", "at", "gid", "c")
+    hot = max(HOT, r.n // MAX_HOT)  # so MAX_HOT contexts at most are above it
 
-    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+    def words_known(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        own = t.filter(pc.equal(t["kind"], "word")).sort_by("bucket")
+        return tuple(np.concatenate([unpack(x) for x in own[c].to_pylist()]) for c in ("a", "b"))
+
+    # pairs
+    def ask_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows:
-            seg, s, _ = _segment_of(left)
-            gid, count = (_spread(right["at"], right[x], s.size) for x in ("gid", "c"))
-            v, w, which = s.pairs()
-            times = np.bincount(which, weights=s.learned(), minlength=len(v)).astype(np.int64)
-            for bucket, at in s.requests(gid, count, v, w, buckets):
-                rows.append((bucket, seg, pack(gid[v[at]]), pack(gid[w[at]]), pack(count[w[at]]), pack(times[at])))
-        cells = list(zip(*rows)) if rows else [[]] * 6
-        return pa.table([pa.array(x, t) for x, t in zip(cells, (pa.int32(), pa.int64(), *[pa.binary()] * 4))], names=["bucket", "seg", "v", "w", "cw", "c"])
-
-    asked = segs.groupBy("seg").cogroup(known.groupBy("seg")).applyInArrow(ask, "bucket int, seg long, v binary, w binary, cw binary, c binary")
-
-    names = [f"n{i}" for i in range(1, R + 2)]
-    schema = "kind string, bucket int, seg long, a binary, b binary, c binary, v long, " + ", ".join(f"{n} long" for n in names) + ", mass long"
-
-    def add_up(key, t):
-        columns = [[unpack(x) for x in t[c].to_pylist()] for c in ("v", "w", "cw", "c")]
-        answers, pairs, contexts = reduce_bucket(t["seg"].to_pylist(), *columns, unigrams)
+            s = Segment.of(left)
+            p = Pairs(s, *words_known(right))
+            times = np.bincount(p.which, weights=s.learned(), minlength=len(p.v)).astype(np.int64)
+            for bucket, at in p.asks(buckets, hot):
+                v, w = p.v[at], p.w[at]
+                gv = p.gid[v]
+                rows.append((bucket, left["seg"][0].as_py(), pack(np.diff(gv, prepend=0)), pack(p.gid[w]), pack(p.count[w]), pack(times[at]), pack(np.unique(gv[p.count[v] > hot]))))
+        cells = list(zip(*rows)) if rows else [[]] * 7
+        return pa.table([pa.array(x, t) for x, t in zip(cells, (pa.int32(), pa.int64(), *[pa.binary()] * 5))], names=["bucket", "seg", "v", "w", "cw", "c", "hot"])
+
+    plain = segs.select("seg", "ids", "train", "lens", "tokens", "bound")
+    asked = plain.drop("ids").groupBy("seg").cogroup(known.groupBy("seg")).applyInArrow(ask_pairs, "bucket int, seg long, v binary, w binary, cw binary, c binary, hot binary")
+    names = [*[f"n{i}" for i in range(1, R + 2)], "mass"]
+    pair_layout = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("seg", pa.int64()), *[(x, pa.binary()) for x in "abc"], ("gid", pa.int64()), *[(n, pa.int64()) for n in names]])
+
+    def answer_pairs(key, t):
+        v, w, cw, c, often = ([unpack(x) for x in t[n].to_pylist()] for n in ("v", "w", "cw", "c", "hot"))
+        pairs, contexts, answers = add_pairs([np.cumsum(x) for x in v], w, cw, c, often, unigrams)
         bucket, n, m = key[0].as_py(), len(answers), len(contexts[0])
-        nulls = lambda size, kind: pa.nulls(size, kind)
-        rows = [pa.table([pa.array(["answer"] * n), pa.array([bucket] * n, pa.int32()), pa.array([s for s, _ in answers], pa.int64()), pa.array([pack(a) for _, a in answers], pa.binary()),
-                          *[nulls(n, pa.binary())] * 2, *[nulls(n, pa.int64())] * (R + 3)], schema=layout),
-                pa.table([pa.array(["pairs"]), pa.array([bucket], pa.int32()), nulls(1, pa.int64()), *[pa.array([pack(x)], pa.binary()) for x in pairs], *[nulls(1, pa.int64())] * (R + 3)], schema=layout),
-                pa.table([pa.array(["context"] * m, pa.string()), pa.array([bucket] * m, pa.int32()), nulls(m, pa.int64()), *[nulls(m, pa.binary())] * 3, *[pa.array(x, pa.int64()) for x in contexts]], schema=layout)]
-        return pa.concat_tables(rows)
-
-    layout = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("seg", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()),
-                        ("v", pa.int64()), *[(n, pa.int64()) for n in names], ("mass", pa.int64())])
+        back = [["answer"] * n, [bucket] * n, t["seg"].to_pylist(), [pack(x) for x, _ in answers], [pack(x.ravel()) for _, x in answers], [None] * n, *[[None] * n] * len(contexts)]
+        kept = [["pairs"], [bucket], [None], *[[pack(x)] for x in pairs], *[[None]] * len(contexts)]
+        sums = [["context"] * m, [bucket] * m, *[[None] * m] * 4, *contexts]
+        return pa.concat_tables([pa.table([pa.array(x, f.type) for x, f in zip(cells, pair_layout)], schema=pair_layout) for cells in (back, kept, sums)])
+
+    schema = "kind string, bucket int, seg long, a binary, b binary, c binary, gid long, " + ", ".join(f"{n} long" for n in names)
     path = shared_path(spark, "pairs")
-    asked.groupBy("bucket").applyInArrow(add_up, schema).write.partitionBy("kind").parquet(path)
+    asked.groupBy("bucket").applyInArrow(answer_pairs, schema).write.partitionBy("kind").parquet(path)
     table = spark.read.schema(schema).parquet(path)
 
-    sums = table.where("kind = 'context'").groupBy("v").agg(*[F.sum(n).alias(n) for n in [*names, "mass"]])
-    path = shared_path(spark, "contexts")
-    sums.join(words.select("gid", "c"), F.col("v") == F.col("gid")).select("gid", "c", *names, "mass").write.parquet(path)
-    sums = spark.read.schema("gid long, c long, " + ", ".join(f"{n} long" for n in names) + ", mass long").parquet(path)
-    of = sums.agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in names]).first()
+    # contexts
+    parts = table.where("kind = 'context'")
+    contexts = parts.groupBy("gid").agg(*[F.sum(n).alias(n) for n in names])
+    of = parts.agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in names[:-1]]).first()
     pair_table = discounted([0, *of])
-    kept = F.col("c") * SCALE + sum((F.col(names[r - 1]) * F.lit(pair_table[r] - r * SCALE) for r in range(1, R + 1)), F.lit(0))
-    whole = F.when(kept < F.col("c") * SCALE, F.col("c") * SCALE).otherwise((F.col("c") + 1) * SCALE)
-    unseen = (F.lit(unigrams.whole) - F.col("mass")) / F.lit(float(unigrams.whole))
-    contexts = sums.withColumns({"kept": kept, "whole": whole}).select("gid", "c", "whole", ((F.col("whole") - F.col("kept")) / F.col("whole") / unseen).alias("bow"))
+    often = words.where(F.col("c") > hot).select("gid").join(contexts, "gid").collect()  # MAX_HOT rows at most
+    hot_numbers = {r.gid: tuple(r[1:]) for r in often}
     model = Model(unigrams, pair_table, words, table.where("kind = 'pairs'").select("bucket", F.col("a").alias("v"), F.col("b").alias("w"), "c"), contexts)
 
-    # back to the segments: their words with backoff weights, and the counts of their pairs
-    info = words.join(contexts.select("gid", "whole", "bow"), "gid", "left")
-    back = local_words(segs, False).join(info, "word").select("seg", "at", "gid", "c", "whole", "bow", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("a"))
-    answers = table.where("kind = 'answer'").select("seg", *[F.lit(None).cast(t).alias(n) for n, t in (("at", "int"), ("gid", "long"), ("c", "long"), ("whole", "long"), ("bow", "double"))], "bucket", "a")
     id_type = docs.schema[id_col].dataType
     out = T.StructType([T.StructField(id_col, id_type), T.StructField("trained", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
                         T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    result = pa.schema([(id_col, to_arrow_type(id_type)), ("trained", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
+                        ("base_score", pa.float64()), ("score", pa.float64())])
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table([pa.nulls(0, f.type) for f in result], schema=result)
-        _, s, ids = _segment_of(left)
-        own = right.filter(pc.is_valid(right["at"]))
-        gid, count, denominator = (_spread(own["at"], own[x].fill_null(0) if x == "whole" else own[x], s.size) for x in ("gid", "c", "whole"))
-        bow = _spread(own["at"], own["bow"].fill_null(1.0), s.size, np.float64)
-        v, w, which = s.pairs()
-        times = np.zeros(len(v), np.int64)
-        given = right.filter(pc.is_valid(right["bucket"]))
-        answer = dict(zip(given["bucket"].to_pylist(), given["a"].to_pylist()))
-        for bucket, at in s.requests(gid, count, v, w, buckets):
-            times[at] = unpack(answer[bucket])
-        single = unigrams.p(count[w])
-        backed = np.where(count[v] > 0, bow[v], 1.0) * single
-        p = np.where(times > 0, starred(times, pair_table) / np.maximum(denominator[v], 1), backed)
-        doc = np.repeat(np.arange(len(s.lens)), s.lens)
-        c = count[s.tokens]
-        base = np.log10((c + 1) / (unigrams.tokens + 1 * (unigrams.distinct + 1)))
-        n = len(s.lens)
+        s = Segment.of(left)
+        p = Pairs(s, *words_known(right))
+        given = right.filter(pc.equal(right["kind"], "pair"))
+        answer = {k: (a, b) for k, a, b in zip(given["bucket"].to_pylist(), given["a"].to_pylist(), given["b"].to_pylist())}
+        times, numbers = np.zeros(len(p.v), np.int64), np.zeros((R + 2, len(p.gid)), np.int64)
+        for bucket, at in p.asks(buckets, hot):
+            a, b = answer[bucket]
+            times[at] = unpack(a)
+            v = p.v[at]
+            v = v[heads(v)]
+            numbers[:, v[p.count[v] <= hot]] = unpack(b).reshape(R + 2, -1)
+        for i in np.flatnonzero(p.count > hot).tolist():
+            numbers[:, i] = hot_numbers.get(int(p.gid[i]), 0)
+        seen = p.count > 0
+        whole, bow = np.ones(len(seen), np.int64), np.ones(len(seen))
+        whole[seen], bow[seen] = backoff(p.count[seen], numbers[:, seen], pair_table, unigrams)
+        prob = np.where(times > 0, starred(times, pair_table) / whole[p.v], bow[p.v] * unigrams.p(p.count[p.w]))
+        n, c = len(s.lens), p.token_count
+        doc = np.repeat(np.arange(n), s.lens)
         sums = lambda x: np.bincount(doc, weights=x, minlength=n)
-        return pa.table([ids.combine_chunks().flatten(), pa.array(s.marks > 0), pa.array(s.lens), pa.array(sums(c > 0).astype(np.int64)), pa.array(np.full(n, unigrams.tokens)),
-                         pa.array(sums(base)), pa.array(sums(np.log10(p)[which]))], schema=result)
+        base = np.log10((c + 1) / (unigrams.tokens + 1 * (unigrams.distinct + 1)))
+        return pa.table([left["ids"].combine_chunks().flatten(), pa.array(s.marks > 0), pa.array(s.lens), pa.array(sums(c > 0).astype(np.int64)), pa.array(np.full(n, unigrams.tokens)),
+                         pa.array(sums(base)), pa.array(sums(np.log10(prob)[p.which]))], schema=result)
 
-    result = pa.schema([(id_col, to_arrow_type(id_type)), ("trained", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
-                        ("base_score", pa.float64()), ("score", pa.float64())])
-    return segs.groupBy("seg").cogroup(back.unionByName(answers).groupBy("seg")).applyInArrow(judge, out), model
+    back = known.unionByName(table.where("kind = 'answer'").select("seg", F.lit("pair").alias("kind"), "bucket", "a", "b"))
+    return plain.groupBy("seg").cogroup(back.groupBy("seg")).applyInArrow(judge, out), model
