@@ -120,3 +120,34 @@ def day_name(date_col) -> Column:
 def monday0(date_col) -> Column:
     """Day of week with Monday = 0 (``weekday``, not ``dayofweek``)."""
     return F.weekday(_c(date_col))
+
+
+def lenient_date(col) -> Column:
+    """A date written by hand -> DATE, NULL if it is none of these or no day of the calendar:
+    '2024-1-31' or '2024/01/31' (a time may follow), '01/31/2024' (day first where the first number
+    is above 12), '31 January 2024', '31-Jan-24' with a four-digit year, 'Jan 31, 2024'."""
+    t = F.trim(_c(col).cast("string"))
+    lows = [F.lit(m.lower()) for m in MONTH_ORDER]
+
+    def part(pattern: str, i: int) -> Column:
+        return F.regexp_extract(t, pattern, i)
+
+    def number(pattern: str, i: int) -> Column:
+        return part(pattern, i).try_cast("int")
+
+    def month(pattern: str, i: int) -> Column:
+        name = F.lower(part(pattern, i))
+        at = F.array_position(F.array(*lows), F.substring(name, 1, 3)).cast("int")
+        full = F.element_at(F.array(*[F.lit(m) for m in FALLBACK_MONTHS]), F.greatest(at, F.lit(1)))
+        return F.when((at > 0) & full.startswith(name), at)
+
+    def day(y: Column, m: Column, d: Column) -> Column:
+        return F.to_date(F.try_make_timestamp(y, m, d, F.lit(0), F.lit(0), F.lit(0)))
+
+    iso, slash = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[T ]\d{1,2}:\d{2}.*)?$", r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
+    day_first, month_first = r"^(\d{1,2})[- ]([A-Za-z]{3,9})[-, ]+(\d{4})$", r"^([A-Za-z]{3,9})\.? (\d{1,2}),? (\d{4})$"
+    a, b = number(slash, 1), number(slash, 2)
+    return (F.when(t.rlike(iso), day(number(iso, 1), number(iso, 2), number(iso, 3)))
+            .when(t.rlike(slash), day(number(slash, 3), F.when(a > 12, b).otherwise(a), F.when(a > 12, a).otherwise(b)))
+            .when(t.rlike(day_first), day(number(day_first, 3), month(day_first, 2), number(day_first, 1)))
+            .when(t.rlike(month_first), day(number(month_first, 3), month(month_first, 1), number(month_first, 2))))

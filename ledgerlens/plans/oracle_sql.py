@@ -1211,3 +1211,34 @@ oracle("dq_summary", ["pl", "daily"], f"""
 SELECT 'Indexed ' || (SELECT count(*) FROM pl) || ' workbooks. Monthly P&L months: ' || (SELECT count(DISTINCT period) FROM pl)
   || '. Daily sales days: ' || (SELECT count(DISTINCT date) FROM daily) || '. Issues logged: '
   || (SELECT count(*) FROM ({ORACLE['dq_issues']})) || '.' AS summary""")
+
+
+# ====================================================================== sheets read back, and source routing
+from ..sources.sheets import DAILY_PLANTED  # noqa: E402
+
+
+def _years_before(n: int) -> str:
+    return f"(SELECT entity, strftime(CAST(period || '-01' AS DATE) + INTERVAL {n} YEAR, '%Y-%m') AS period, total_sales FROM ms)"
+
+
+oracle("sales_from_grid", ["ms"], f"""
+SELECT ms.*, a.total_sales AS sales_last_year, b.total_sales AS sales_two_years_ago FROM ms
+LEFT JOIN {_years_before(1)} a USING (entity, period) LEFT JOIN {_years_before(2)} b USING (entity, period)""")
+oracle("parties_from_grid", ["parties"], "SELECT * FROM parties")
+oracle("wastage_from_grid", ["waste"], "SELECT * FROM waste")
+oracle("categories_from_grid", ["cat"], "SELECT * FROM cat")
+oracle("daily_from_grid", ["daily"], "SELECT * FROM daily")
+_planted = {}
+for _, _, _reason in DAILY_PLANTED:
+    _planted[_reason] = _planted.get(_reason, 0) + 1
+oracle("daily_rejected", ["daily"], f"""
+SELECT entity, reason, CAST(n AS BIGINT) AS n FROM (SELECT DISTINCT entity FROM daily),
+  (VALUES {', '.join(f"('{r}', {n})" for r, n in _planted.items())}) v(reason, n)""")
+cte("routed", ["pl"], """
+WITH w AS (SELECT strftime(m, '%Y-%m') AS period FROM (SELECT unnest(generate_series(date_trunc('month', max(l_shipdate)) - INTERVAL 5 MONTH,
+             date_trunc('month', max(l_shipdate)), INTERVAL 1 MONTH)) AS m FROM lineitem))
+SELECT pl.*, CASE WHEN count(*) OVER (PARTITION BY entity) >= 5 THEN 'monthly' ELSE 'legacy' END AS route FROM pl WHERE period IN (SELECT period FROM w)""")
+oracle("routed_pl", ["routed"], "SELECT * FROM routed")
+oracle("routed_daily", ["routed", "daily"], """
+SELECT o.entity, daily.* EXCLUDE (entity), CASE WHEN daily.entity IS NULL THEN NULL WHEN o.entity IN (SELECT entity FROM routed WHERE route = 'monthly')
+  THEN 'workbook' ELSE 'csv' END AS route FROM (SELECT DISTINCT user_id // 3 AS entity FROM events) o LEFT JOIN daily ON daily.entity = o.entity""")

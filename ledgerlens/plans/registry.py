@@ -864,3 +864,80 @@ def q_monthly_pl_legacy(spark, sf_dir):
     """The P&L read from annual workbooks (months as columns); equals monthly_pl."""
     cells = cells_src.legacy_pl_cells(domain.monthly_pl(_t(spark, sf_dir)))
     return gr.pl_from_cells_legacy(cells, cells_src.PL_LABELS, {2 * m - 1: m for m in range(1, 13)})
+
+
+# ---------------------------------------------------------------- sheets read back by position, and source routing
+from ..operators import sheet_readers as sr  # noqa: E402
+from ..sources import routing, sheets  # noqa: E402
+
+MIN_REPORTS, WANTED_REPORTS = 5, 6
+
+
+@query("sales_from_grid")
+def q_sales_from_grid(spark, sf_dir):
+    """Monthly sales read back from the sales sheets, with the two years before."""
+    return sr.read_monthly_sales(sheets.sales_cells(_t(spark, sf_dir)))
+
+
+@query("parties_from_grid")
+def q_parties_from_grid(spark, sf_dir):
+    """Balances read back from the party sheets (equals party_balances)."""
+    return sr.read_parties(_cells(spark, sf_dir))
+
+
+@query("wastage_from_grid")
+def q_wastage_from_grid(spark, sf_dir):
+    """Wastage read back from its sheets (equals wastage)."""
+    return sr.read_wastage(sheets.wastage_cells(_t(spark, sf_dir)))
+
+
+@query("categories_from_grid")
+def q_categories_from_grid(spark, sf_dir):
+    """The category snapshot read back (equals category_sales)."""
+    return sr.read_categories(sheets.category_cells(_t(spark, sf_dir)))
+
+
+@query("daily_from_grid")
+def q_daily_from_grid(spark, sf_dir):
+    """Daily sales from sheets with hand-written dates (equals daily_sales)."""
+    return sr.read_daily_sales(sheets.daily_cells(_t(spark, sf_dir)))
+
+
+@query("daily_rejected")
+def q_daily_rejected(spark, sf_dir):
+    """Rows of the daily sheets that are no valid day, counted by outlet and reason."""
+    d = sr.rejected_days(sheets.daily_cells(_t(spark, sf_dir)))
+    return d.groupBy("entity", "reason").agg(F.count("*").alias("n"))
+
+
+def wanted_periods(t: Tables, n: int = WANTED_REPORTS) -> DataFrame:
+    """The last ``n`` calendar months that the ledger reaches."""
+    last = t.lineitem.agg(F.trunc(F.max("l_shipdate"), "month").alias("last"))
+    months = F.sequence(F.add_months("last", 1 - n), F.col("last"), F.expr("interval 1 month"))
+    return last.select(F.explode(months).alias("d")).select(sc.period_of("d").alias("period"))
+
+
+def routed_pl(t: Tables) -> DataFrame:
+    """The wanted periods' P&L; entities with five or more monthly reports come from these (S3), others from their annual workbook."""
+    pl = domain.monthly_pl(t)
+    monthly = gr.pl_from_cells(cells_src.pl_cells(pl), cells_src.PL_LABELS)
+    annual = gr.pl_from_cells_legacy(cells_src.legacy_pl_cells(pl), cells_src.PL_LABELS, {2 * m - 1: m for m in range(1, 13)})
+    return routing.by_coverage(routing.Source("monthly", monthly), routing.Source("legacy", annual), "entity", "period", wanted_periods(t), MIN_REPORTS)
+
+
+@query("routed_pl")
+def q_routed_pl(spark, sf_dir):
+    return routed_pl(_t(spark, sf_dir))
+
+
+@query("routed_daily")
+def q_routed_daily(spark, sf_dir):
+    """Daily sales of every outlet from its workbook, or from the exported CSV where there is none.
+
+    The workbook belongs to the monthly layout: outlets whose entity is routed to it have one."""
+    t = _t(spark, sf_dir)
+    monthly = routed_pl(t).where("route = 'monthly'").select("entity").distinct()
+    workbook = sr.read_daily_sales(sheets.daily_cells(t, monthly))
+    exported = sinks.csv_roundtrip(domain.daily_sales(t), "daily_sales")
+    wanted = t.events.select(F.expr("user_id div 3").alias("entity")).distinct()
+    return routing.first_present([routing.Source("workbook", workbook), routing.Source("csv", exported)], ["entity"], wanted)
