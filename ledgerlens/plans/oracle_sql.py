@@ -1237,8 +1237,9 @@ SELECT entity, reason, CAST(n AS BIGINT) AS n FROM (SELECT DISTINCT entity FROM
 cte("routed", ["pl"], """
 WITH w AS (SELECT strftime(m, '%Y-%m') AS period FROM (SELECT unnest(generate_series(date_trunc('month', max(l_shipdate)) - INTERVAL 5 MONTH,
              date_trunc('month', max(l_shipdate)), INTERVAL 1 MONTH)) AS m FROM lineitem))
-SELECT pl.*, CASE WHEN count(*) OVER (PARTITION BY entity) >= 5 THEN 'monthly' ELSE 'legacy' END AS route FROM pl WHERE period IN (SELECT period FROM w)""")
-oracle("routed_pl", ["routed"], "SELECT * FROM routed")
+SELECT pl.*, count(*) OVER (PARTITION BY entity) AS n FROM pl WHERE period IN (SELECT period FROM w)""")
+for _name, _least in (("routed_pl", 5), ("routed_pl_complete", 6)):
+    oracle(_name, ["routed"], f"SELECT * EXCLUDE (n), CASE WHEN n >= {_least} THEN 'monthly' ELSE 'legacy' END AS route FROM routed")
 oracle("routed_daily", ["routed", "daily"], """
-SELECT o.entity, daily.* EXCLUDE (entity), CASE WHEN daily.entity IS NULL THEN NULL WHEN o.entity IN (SELECT entity FROM routed WHERE route = 'monthly')
+SELECT o.entity, daily.* EXCLUDE (entity), CASE WHEN daily.entity IS NULL THEN NULL WHEN o.entity IN (SELECT entity FROM routed WHERE n >= 6)
   THEN 'workbook' ELSE 'csv' END AS route FROM (SELECT DISTINCT user_id // 3 AS entity FROM events) o LEFT JOIN daily ON daily.entity = o.entity""")

@@ -917,12 +917,12 @@ def wanted_periods(t: Tables, n: int = WANTED_REPORTS) -> DataFrame:
     return last.select(F.explode(months).alias("d")).select(sc.period_of("d").alias("period"))
 
 
-def routed_pl(t: Tables) -> DataFrame:
-    """The wanted periods' P&L; entities with five or more monthly reports come from these (S3), others from their annual workbook."""
+def routed_pl(t: Tables, least: int = MIN_REPORTS) -> DataFrame:
+    """The wanted periods' P&L; entities with ``least`` or more monthly reports come from these (S3), others from their annual workbook."""
     pl = domain.monthly_pl(t)
     monthly = gr.pl_from_cells(cells_src.pl_cells(pl), cells_src.PL_LABELS)
     annual = gr.pl_from_cells_legacy(cells_src.legacy_pl_cells(pl), cells_src.PL_LABELS, {2 * m - 1: m for m in range(1, 13)})
-    return routing.by_coverage(routing.Source("monthly", monthly), routing.Source("legacy", annual), "entity", "period", wanted_periods(t), MIN_REPORTS)
+    return routing.by_coverage(routing.Source("monthly", monthly), routing.Source("legacy", annual), "entity", "period", wanted_periods(t), least)
 
 
 @query("routed_pl")
@@ -930,13 +930,19 @@ def q_routed_pl(spark, sf_dir):
     return routed_pl(_t(spark, sf_dir))
 
 
+@query("routed_pl_complete")
+def q_routed_pl_complete(spark, sf_dir):
+    """S1 where an entity needs every wanted report, so that more of them take the annual workbook."""
+    return routed_pl(_t(spark, sf_dir), WANTED_REPORTS)
+
+
 @query("routed_daily")
 def q_routed_daily(spark, sf_dir):
     """Daily sales of every outlet from its workbook, or from the exported CSV where there is none.
 
-    The workbook belongs to the monthly layout: outlets whose entity is routed to it have one."""
+    The workbook belongs to the monthly layout: outlets whose entity has every wanted report have one."""
     t = _t(spark, sf_dir)
-    monthly = routed_pl(t).where("route = 'monthly'").select("entity").distinct()
+    monthly = routed_pl(t, WANTED_REPORTS).where("route = 'monthly'").select("entity").distinct()
     workbook = sr.read_daily_sales(sheets.daily_cells(t, monthly))
     exported = sinks.csv_roundtrip(domain.daily_sales(t), "daily_sales")
     wanted = t.events.select(F.expr("user_id div 3").alias("entity")).distinct()

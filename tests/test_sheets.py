@@ -90,6 +90,5 @@ def test_coverage_decides_the_route_of_an_entity(spark):
 
 
 def test_both_routes_are_taken(spark):
-    sf = "/root/testdata/sf0.001"  # all its entities have five reports
-    assert {r.route for r in QUERIES["routed_pl"](spark, "/root/testdata/sf0.01").select("route").distinct().collect()} == {"monthly", "legacy"}
-    assert {r.route for r in QUERIES["routed_daily"](spark, sf).select("route").distinct().collect()} == {"workbook", "csv"}
+    for name, routes in (("routed_pl_complete", {"monthly", "legacy"}), ("routed_daily", {"workbook", "csv"})):
+        assert {r.route for r in QUERIES[name](spark, "/root/testdata/sf0.01").select("route").distinct().collect()} == routes
