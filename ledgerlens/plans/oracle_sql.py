@@ -1243,3 +1243,9 @@ for _name, _least in (("routed_pl", 5), ("routed_pl_complete", 6)):
 oracle("routed_daily", ["routed", "daily"], """
 SELECT o.entity, daily.* EXCLUDE (entity), CASE WHEN daily.entity IS NULL THEN NULL WHEN o.entity IN (SELECT entity FROM routed WHERE n >= 6)
   THEN 'workbook' ELSE 'csv' END AS route FROM (SELECT DISTINCT user_id // 3 AS entity FROM events) o LEFT JOIN daily ON daily.entity = o.entity""")
+
+oracle("knn_exact", ["emb"], """
+SELECT question_id, rank, vec_id, similarity FROM (
+  SELECT q.vec_id AS question_id, e.vec_id, list_reduce(list_transform(list_zip(q.vec, e.vec), lambda p: p[1] * p[2]), lambda a, x: a + x) / (q.vnorm * e.vnorm) AS similarity,
+         CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_reduce(list_transform(list_zip(q.vec, e.vec), lambda p: p[1] * p[2]), lambda a, x: a + x) / (q.vnorm * e.vnorm) DESC, e.vec_id) AS INTEGER) AS rank
+  FROM emb q, emb e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id AND q.vnorm > 0 AND e.vnorm > 0) WHERE rank <= 10""")

@@ -947,3 +947,60 @@ def q_routed_daily(spark, sf_dir):
     exported = sinks.csv_roundtrip(domain.daily_sales(t), "daily_sales")
     wanted = t.events.select(F.expr("user_id div 3").alias("entity")).distinct()
     return routing.first_present([routing.Source("workbook", workbook), routing.Source("csv", exported)], ["entity"], wanted)
+
+
+# ---------------------------------------------------------------- J4 at size: inverted lists, with the exact scan beside
+from ..operators import vector_index as vi  # noqa: E402
+
+NEIGHBOURS = 10
+
+
+def _all_vectors(t: Tables) -> DataFrame:
+    return rt.as_vectors(t.embeddings.where(F.size("embedding") > 0).select(F.col("vec_id").cast("string").alias("unit"), "embedding")).drop("embedding")
+
+
+def _asking_vectors(t: Tables) -> DataFrame:
+    """The stated query set: vectors whose id is divisible by 100."""
+    return _all_vectors(t).where(F.col("unit").cast("long") % 100 == 0).withColumnRenamed("unit", "question_id").withColumn("question_id", F.col("question_id").cast("long"))
+
+
+def _ranked(found: DataFrame) -> DataFrame:
+    """Without the question's own vector, the best by similarity, ties by id."""
+    from pyspark.sql import Window
+    hits = found.withColumn("vec_id", F.col("unit").cast("long")).where("vec_id <> question_id")
+    w = Window.partitionBy("question_id").orderBy(F.col("similarity").desc(), "vec_id")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= NEIGHBOURS).select("question_id", "rank", "vec_id", "similarity")
+
+
+def _exact_neighbours(t: Tables) -> DataFrame:
+    # ties in similarity go by number, so the scan is asked by a key that sorts like the number
+    units = _all_vectors(t).withColumn("first_chunk", F.lpad("unit", 20, "0"))
+    return _ranked(rt.best_units(units, _asking_vectors(t), NEIGHBOURS + 1))
+
+
+def _indexed_neighbours(t: Tables) -> DataFrame:
+    index = vi.build(_all_vectors(t), sinks.scratch_path(t.spark, "vector_index"))
+    asking = _asking_vectors(t)
+    probes = vi.calibrate(index, asking, asking.count(), NEIGHBOURS + 1)
+    return _ranked(vi.search(index, asking, NEIGHBOURS + 1, probes))
+
+
+@query("knn_exact")
+def q_knn_exact(spark, sf_dir):
+    """The nearest vectors of every vector whose id is divisible by 100, against all rows."""
+    return _exact_neighbours(_t(spark, sf_dir))
+
+
+@query("knn_index")
+def q_knn_index(spark, sf_dir):
+    """J4 at size: the same questions through the inverted-list index."""
+    return _indexed_neighbours(_t(spark, sf_dir))
+
+
+@query("knn_index_recall")
+def q_knn_index_recall(spark, sf_dir):
+    """How many of a question's exact neighbours the index finds."""
+    t = _t(spark, sf_dir)
+    found = _indexed_neighbours(t).select("question_id", "vec_id", F.lit(1).alias("hit"))
+    return _exact_neighbours(t).join(found, ["question_id", "vec_id"], "left").groupBy("question_id").agg(
+        F.count("*").alias("n"), F.count("hit").alias("found"), (F.count("hit") / F.count("*")).alias("recall"))
