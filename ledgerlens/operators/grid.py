@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.money import cents, to_double
 from ..functions.scalar import clean_cell, detect_period, format_long, format_short, plain_number
 from ..sources.domain import keep_party_row
-from . import chunking
+from . import chunking, line_packing
 
 # Sheet name -> retrieval section.
 SECTION_MAP = {
@@ -35,7 +35,8 @@ SECTION_MAP = {
 # Our report sheets map the same way: 'PL' is the profit-and-loss sheet.
 SECTION_MAP_EXTRA = {"PL": "Profit and Loss"}
 INVENTORY_SHOWN = 8
-MAX_COLS = 10
+# The reference's display limits.
+MAX_COLS, MAX_ROWS, LARGE_SHEET, TOP_CREDITORS = 10, 45, 60, 10
 KEY = ["file", "sheet"]
 
 
@@ -160,13 +161,17 @@ def cell_probe(cells: DataFrame, probes: list[tuple[str, str, int, int]]) -> Dat
 
 
 # ------------------------------------------------------------------ markdown and audit chunks
-def grid_markdown(cells: DataFrame, max_rows_small: bool = True) -> DataFrame:
+def grid_markdown(cells: DataFrame, max_rows: int | None = None, max_cols: int | None = None, large: int = LARGE_SHEET) -> DataFrame:
     """A sheet as a markdown table.  All-empty columns are dropped and
     the rest renumbered; the header row comes from G4 (blank header cells
-    become 'col<i>', trailing 'col...' headers are removed, at most 10
-    columns); then up to ``max_rows`` data rows (45 when the sheet has more
-    than 60 rows, else all), blank rows skipped, and a trailer counting the
-    rows not shown.  Without a header row: the first rows as G6 lines."""
+    become 'col<i>', trailing 'col...' headers are removed); then the data
+    rows, blank ones skipped.  Without a header row: the rows as G6 lines.
+
+    For display, ``max_cols`` columns at most and, of a sheet with more than
+    ``large`` rows, the first ``max_rows`` (the reference shows MAX_COLS and
+    MAX_ROWS); trailers count the rows and name the columns left out.  A table is
+    one text here; ``sheet_lines`` gives its lines as rows, for sheets of any
+    length."""
     t = cell_text(F.col("num_value"), F.col("str_value"))
     raw = raw_text(F.col("num_value"), F.col("str_value"))
     c = cells.select(*KEY, "row_idx", "col_idx", t.alias("t"), raw.alias("raw"))
@@ -179,7 +184,8 @@ def grid_markdown(cells: DataFrame, max_rows_small: bool = True) -> DataFrame:
     rows = c.groupBy(*KEY, "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("pos", "t"))).alias("m"),
                                             F.map_from_entries(F.collect_list(F.struct("pos", "raw"))).alias("raw"))
     rows = rows.join(hdr, KEY).join(nrows, KEY)
-    rows = rows.withColumn("max_rows", F.when(F.col("n_rows") > 60, F.lit(45)).otherwise(F.col("n_rows")))
+    shown = F.col("n_rows") if max_rows is None else F.when(F.col("n_rows") > large, F.lit(max_rows)).otherwise(F.col("n_rows"))
+    rows = rows.withColumn("max_rows", shown)
     by_row = lambda a, b: F.when(a["row_idx"] < b["row_idx"], F.lit(-1)).when(
         a["row_idx"] > b["row_idx"], F.lit(1)).otherwise(F.lit(0))
     g = rows.groupBy(*KEY, "header_row", "n_rows", "max_rows").agg(
@@ -194,7 +200,9 @@ def grid_markdown(cells: DataFrame, max_rows_small: bool = True) -> DataFrame:
                          lambda acc, h: F.when(acc["trail"] & h.startswith("col"),
                                                F.struct((acc["n"] + 1).alias("n"), F.lit(True).alias("trail")))
                          .otherwise(F.struct(acc["n"].alias("n"), F.lit(False).alias("trail"))))
-    n_cols = F.least(F.size(heads) - keep_n["n"], F.lit(MAX_COLS))
+    named = F.size(heads) - keep_n["n"]
+    n_cols = named if max_cols is None else F.least(named, F.lit(max_cols))
+    unseen = F.slice(heads, n_cols + 1, F.greatest(named - n_cols, F.lit(0)))
     heads = F.slice(heads, 1, n_cols)
     data = F.filter("rs", lambda r: (r["row_idx"] > F.col("header_row"))
                     & (r["row_idx"] <= F.col("header_row") + F.col("max_rows")))
@@ -205,10 +213,11 @@ def grid_markdown(cells: DataFrame, max_rows_small: bool = True) -> DataFrame:
     total_data = F.col("n_rows") - F.col("header_row") - 1
     trailer = F.when(total_data > F.col("max_rows"), F.concat(
         F.lit("\n*..."), (total_data - F.col("max_rows")).cast("string"), F.lit(" additional rows not shown*")))
+    columns = F.when(F.size(unseen) > 0, F.concat(F.lit("\n*columns not shown: "), F.array_join(unseen, ", "), F.lit("*")))
     table = F.concat_ws("\n", F.concat(F.lit("| "), F.array_join(heads, " | "), F.lit(" |")),
                         F.concat(F.lit("| "), F.array_join(F.transform(heads, lambda _: F.lit("---")), " | "),
                                  F.lit(" |")),
-                        F.array_join(lines, "\n"), trailer)
+                        F.array_join(lines, "\n"), trailer, columns)
     plain_rows = F.filter("rs", lambda r: r["row_idx"] < F.col("max_rows"))
     plain = F.array_join(F.transform(plain_rows, lambda r: F.array_join(
         F.transform(F.array_sort(F.map_keys(r["raw"])), lambda k: F.element_at(r["raw"], k)), " | ")), "\n")
@@ -216,11 +225,42 @@ def grid_markdown(cells: DataFrame, max_rows_small: bool = True) -> DataFrame:
     return g.select(*KEY, body.alias("markdown"))
 
 
-def kpi_summary(cells: DataFrame, business: Column | None = None) -> DataFrame:
+def sheet_lines(cells: DataFrame) -> DataFrame:
+    """G5 line by line: (file, sheet, line_no, line) of every sheet's whole table.
+
+    Line 1 is the header and line 2 the separator, a data row is line 3 + its row
+    number; a sheet without a header row, or whose headers are all unnamed, has
+    its rows as G6 lines.  Blank rows have no line.  Only a sheet's header meets
+    in one task, so sheets may have any number of rows."""
+    t, raw = cell_text(F.col("num_value"), F.col("str_value")), raw_text(F.col("num_value"), F.col("str_value"))
+    present = cells.select(*KEY, "row_idx", "col_idx", t.alias("t"), raw.alias("raw")).where(F.col("t").isNotNull())
+    pos = present.select(*KEY, "col_idx").distinct().withColumn("pos", F.dense_rank().over(Window.partitionBy(*KEY).orderBy("col_idx")) - 1)
+    rows = present.join(pos, [*KEY, "col_idx"]).groupBy(*KEY, "row_idx").agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", "t"))).alias("m"), F.array_sort(F.collect_list(F.struct("pos", "raw"))).alias("raw"))
+    hdr = grid_header(cells).select(*KEY, "header_row")
+    at_header = rows.join(hdr, KEY).where(F.col("row_idx") == F.col("header_row"))
+    names = F.map_from_entries("raw")
+    heads = F.transform(F.sequence(F.lit(0), F.element_at("raw", -1)["pos"]), lambda i: F.coalesce(F.try_element_at(names, i), F.concat(F.lit("col"), i.cast("string"))))
+    named = F.transform(heads, lambda h: ~h.startswith("col"))
+    n_cols = F.size(heads) + 1 - F.array_position(F.reverse(named), True).cast("int")
+    top = at_header.select(*KEY, "header_row", F.when(F.exists(named, lambda x: x), F.slice(heads, 1, n_cols)).alias("heads")).where("heads is not null")
+    j = rows.join(top, KEY, "left")
+    filled = F.transform(F.sequence(F.lit(0), F.size("heads") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("")))
+    line = F.when(F.col("heads").isNull(), F.array_join(F.transform("raw", lambda x: x["raw"]), " | ")).when(
+        (F.col("row_idx") > F.col("header_row")) & F.exists(filled, lambda x: x != ""), F.concat(F.lit("| "), F.array_join(filled, " | "), F.lit(" |")))
+    body = j.select(*KEY, (F.col("row_idx") + 3).cast("long").alias("line_no"), line.alias("line")).where("line is not null")
+    ruled = lambda cs: F.concat(F.lit("| "), F.array_join(cs, " | "), F.lit(" |"))
+    head = top.select(*KEY, F.posexplode(F.array(ruled(F.col("heads")), ruled(F.transform("heads", lambda _: F.lit("---"))))).alias("i", "line")) \
+        .select(*KEY, (F.col("i") + 1).cast("long").alias("line_no"), "line")
+    return head.unionByName(body)
+
+
+def kpi_summary(cells: DataFrame, business: Column | None = None, creditors: int | None = None) -> DataFrame:
     """G7 (+ A10): per report, P&L highlights found by substring label
-    lookup in the month column, the first ten creditors' closing balances
-    with their total, and the debtor total and count.  Reports where
-    nothing was found give no row."""
+    lookup in the month column, the creditors' closing balances with their
+    total (the first ``creditors`` rows, if given, and how many are left out; the
+    reference shows TOP_CREDITORS), and the debtor total and count.  Reports
+    where nothing was found give no row."""
     files = cells.select("file").distinct()
     pl = cells.where(F.col("sheet") == "PL")
     mcols = month_columns(pl.withColumn("m3", F.substring(F.regexp_extract("file", r"- (\w+) \d{4}", 1), 1, 3)),
@@ -241,7 +281,13 @@ def kpi_summary(cells: DataFrame, business: Column | None = None) -> DataFrame:
                          F.max(F.when(F.col("col_idx") == 4, F.col("num_value"))).alias("closing"))
                      .where(keep_party_row(F.col("name"), F.col("closing"))))
 
-    cred = party_rows("Creditors Analysis").where(F.col("row_idx") < 13)
+    cred = party_rows("Creditors Analysis")
+    more = F.lit(None).cast("string")
+    if creditors is not None:
+        last = 3 + creditors
+        rest = cred.where(F.col("row_idx") >= last).groupBy("file").agg(F.count("*").alias("unseen"))
+        more = F.when(F.col("unseen") > 0, F.concat(F.lit("- ...and "), F.col("unseen").cast("string"), F.lit(" more creditors")))
+        cred = cred.where(F.col("row_idx") < last)
     cred_g = cred.groupBy("file").agg(
         F.array_sort(F.collect_list(F.struct("row_idx", F.concat(F.lit("- "), F.col("name"), F.lit(": closing balance "),
                                                                 F.format_number("closing", 2)).alias("l")))).alias("cr"),
@@ -249,6 +295,8 @@ def kpi_summary(cells: DataFrame, business: Column | None = None) -> DataFrame:
     deb_g = party_rows("Debtors Analysis").groupBy("file").agg(to_double(F.sum(cents("closing")), 2).alias("db_total"),
                                                                  F.count("*").alias("db_n"))
     j = files.join(hl_lines, "file", "left").join(cred_g, "file", "left").join(deb_g, "file", "left")
+    if creditors is not None:
+        j = j.join(rest, "file", "left")
     who = business if business is not None else F.regexp_extract("file", r"^(Supplier \d+)", 1)
     period = detect_period(F.col("file"), year=F.regexp_extract("file", r"(\d{4})\.xlsx$", 1))
     head = F.array(F.concat(F.lit("Audit KPI Summary for "), who), F.concat(F.lit("Source file: "), F.col("file")),
@@ -259,7 +307,7 @@ def kpi_summary(cells: DataFrame, business: Column | None = None) -> DataFrame:
     cr_part = F.when(F.col("cr").isNotNull(), F.concat(
         F.array(F.lit("Top creditors:")), F.transform("cr", lambda x: x["l"]),
         F.array(F.concat(F.lit("- Total creditor closing balance (top entries): "),
-                         F.format_number("cr_total", 2))))).otherwise(F.array().cast("array<string>"))
+                         F.format_number("cr_total", 2))), F.array_compact(F.array(more)))).otherwise(F.array().cast("array<string>"))
     db_part = F.when(F.col("db_n") > 0, F.array(F.concat(
         F.lit("- Total debtor closing balance: "), F.format_number("db_total", 2), F.lit(" across "),
         F.col("db_n").cast("string"), F.lit(" customers")))).otherwise(F.array().cast("array<string>"))
@@ -271,7 +319,8 @@ def kpi_summary(cells: DataFrame, business: Column | None = None) -> DataFrame:
 def audit_chunks(cells: DataFrame, chunk_size: int = chunking.SHEET_CHUNK_SIZE,
                  dataset: str = "Supplier Audit Dataset") -> DataFrame:
     """Per report an overview chunk, a KPI chunk (G7) and the sheet
-    chunks (G5 markdown with a record header, packed by X8), with metadata."""
+    chunks (the whole sheet's G5 lines below a record header, packed by X8),
+    with metadata."""
     inv = audit_inventory(cells)
     overview = inv.select(
         "file", F.col("period").alias("report_period"), F.lit(0).alias("part"), F.lit(0).alias("sub"),
@@ -283,14 +332,15 @@ def audit_chunks(cells: DataFrame, chunk_size: int = chunking.SHEET_CHUNK_SIZE,
     kpi = kpi_summary(cells).select("file", "report_period", F.lit(1).alias("part"), F.lit(0).alias("sub"),
                                     F.lit("Audit KPI Summary").alias("section"),
                                     F.lit("KPI Summary").alias("sheet_name"), "text")
-    md = grid_markdown(cells).join(sheets(cells), KEY).join(inv.select("file", "period"), "file")
+    lines = sheet_lines(cells)
     header = F.concat(F.lit("Audit Record | Period: "), F.col("period"), F.lit(" | File: "), F.col("file"),
                       F.lit(" | Sheet: "), F.col("sheet"))
-    full = F.concat(header, F.lit("\n"), F.col("markdown"))
-    sheet_chunks = md.where(F.col("markdown") != "").select(
-        "file", F.col("period").alias("report_period"), (F.col("sheet_idx") + 2).alias("part"),
-        section_of(F.col("sheet")).alias("section"), F.col("sheet").alias("sheet_name"),
-        F.posexplode(chunking.chunk_lines(full, chunk_size)).alias("sub", "text"))
+    every = sheets(cells).join(inv.select("file", "period"), "file")
+    records = lines.select(*KEY).distinct().join(every, KEY).select(*KEY, F.lit(0).cast("long").alias("line_no"), header.alias("line"))
+    packed = line_packing.pack_lines(records.unionByName(lines), KEY, chunk_size)
+    sheet_chunks = packed.join(every, KEY).select(
+        "file", F.col("period").alias("report_period"), (F.col("sheet_idx") + 2).alias("part"), F.col("pos").alias("sub"),
+        section_of(F.col("sheet")).alias("section"), F.col("sheet").alias("sheet_name"), F.col("chunk").alias("text"))
     allc = overview.unionByName(kpi).unionByName(sheet_chunks.select(
         "file", "report_period", "part", "sub", "section", "sheet_name", "text"))
     return allc.select(

@@ -887,7 +887,6 @@ FROM (SELECT entity, count(*) AS n, sum(abs({_e})) AS sae, sum({h(_e)} * {h(_e)}
 # ====================================================================== grid (cell table)
 from ..operators.grid import INVENTORY_SHOWN, SECTION_MAP, SECTION_MAP_EXTRA  # noqa: E402
 from ..operators.chunking import SHEET_CHUNK_SIZE  # noqa: E402
-from ..operators.grid import MAX_COLS  # noqa: E402
 from ..sources.grid import PARTY_HEADER, PARTY_SHEETS, PL_LABELS  # noqa: E402
 
 
@@ -1049,7 +1048,7 @@ SELECT file, {', '.join(f'max(CASE WHEN {cond} THEN num_value END) AS {n}' for c
 FROM cells WHERE {' OR '.join(cond for cond, _ in _pconds)} GROUP BY file""")
 
 
-# KPI texts: highlights in listed order, then ten creditor rows at most and their total, then the debtors.
+# KPI texts: highlights in listed order, then the creditor rows and their total, then the debtors.
 _kpi_labels = ["Sales Value", "Cost of Goods Sold", "Gross Profit", "Net Profit", "Staff Salary"]
 _kpi_vals = " UNION ALL ".join(f"SELECT {i} AS o, {s_lit(l)} AS label" for i, l in enumerate(_kpi_labels))
 _who = "regexp_extract(file, '^(Supplier \\d+)', 1)"
@@ -1068,7 +1067,7 @@ pr AS (SELECT n.file, n.sheet, n.row_idx, n.name, c.closing
          ON n.file = c.file AND n.sheet = c.sheet AND n.row_idx = c.row_idx
        WHERE n.name IS NOT NULL AND NOT contains(lower(n.name), 'grand total') AND lower(n.name) <> 'total'),
 cr AS (SELECT file, string_agg('- ' || name || ': closing balance ' || format('{{:,.2f}}', closing), {NL} ORDER BY row_idx) AS t,
-         sum({c2('closing')}) AS total2 FROM pr WHERE sheet = 'Creditors Analysis' AND row_idx < 13 GROUP BY file),
+         sum({c2('closing')}) AS total2 FROM pr WHERE sheet = 'Creditors Analysis' GROUP BY file),
 db AS (SELECT file, sum({c2('closing')}) AS total2, count(*) AS n FROM pr WHERE sheet = 'Debtors Analysis' GROUP BY file)
 SELECT inv.file, inv.period AS report_period,
   concat_ws({NL}, 'Audit KPI Summary for ' || {_who}, 'Source file: ' || file, 'Report period: ' || period, 'Business: ' || {_who},
@@ -1081,13 +1080,13 @@ WHERE hl.t IS NOT NULL OR cr.t IS NOT NULL OR db.n > 0""")
 oracle("kpi_summary", ["kpi"], "SELECT * FROM kpi")
 
 
-# Sheets as markdown tables: columns with any value, renumbered; at most ten headers, trailing "col..." ones dropped.
+# Sheets as markdown tables: columns with any value, renumbered; trailing "col..." headers dropped.
 _short = f"CASE WHEN num_value IS NOT NULL THEN {fshort('num_value')} ELSE {clean_sql('str_value')} END"
 _raw = f"CASE WHEN num_value IS NOT NULL THEN {plain_sql('num_value')} ELSE {clean_sql('str_value')} END"
 cte("md", ["cells", "nonnull"], f"""
 WITH c AS (SELECT file, sheet, row_idx, {_short} AS t, {_raw} AS raw,
              dense_rank() OVER (PARTITION BY file, sheet ORDER BY col_idx) - 1 AS pos FROM nonnull),
-n AS (SELECT file, sheet, max(row_idx) + 1 AS n_rows, CASE WHEN max(row_idx) + 1 > 60 THEN 45 ELSE max(row_idx) + 1 END AS max_rows
+n AS (SELECT file, sheet, max(row_idx) + 1 AS n_rows, max(row_idx) + 1 AS max_rows
       FROM cells GROUP BY 1, 2),
 hdr AS (SELECT file, sheet, min(row_idx) AS header_row FROM (
           SELECT file, sheet, row_idx FROM nonnull WHERE row_idx < 5 GROUP BY 1, 2, 3 HAVING count(*) >= 2) GROUP BY 1, 2),
@@ -1096,7 +1095,7 @@ slots AS (SELECT file, sheet, unnest(generate_series(0, max(pos))) AS pos FROM h
 names AS (SELECT s.file, s.sheet, s.pos, coalesce(hc.raw, 'col' || s.pos) AS name FROM slots s LEFT JOIN hc USING (file, sheet, pos)),
 shown AS (SELECT file, sheet, pos, name FROM (
             SELECT *, max(CASE WHEN NOT starts_with(name, 'col') THEN pos END) OVER (PARTITION BY file, sheet) AS last FROM names)
-          WHERE pos <= last AND pos < {MAX_COLS}),
+          WHERE pos <= last),
 head AS (SELECT file, sheet, '| ' || string_agg(name, ' | ' ORDER BY pos) || ' |' || {NL} || '| ' || string_agg('---', ' | ') || ' |' AS t
          FROM shown GROUP BY 1, 2),
 body AS (SELECT file, sheet, string_agg(line, {NL} ORDER BY row_idx) AS t FROM (

@@ -588,6 +588,11 @@ def _cells(spark, sf_dir):
     return cells_src.cells(_t(spark, sf_dir))
 
 
+def stored_cells(t: Tables) -> DataFrame:
+    """The cell table written once to the shared folder, for operators that read it several times."""
+    return sinks.parquet_roundtrip(cells_src.cells(t), "cells")
+
+
 @query("label_lookup")
 def q_label_lookup(spark, sf_dir):
     return gr.label_lookup(_cells(spark, sf_dir), PL_LABEL_TEXTS, 1, sheet="PL")
@@ -652,17 +657,17 @@ def q_grid_markdown(spark, sf_dir):
 
 @query("kpi_summary")
 def q_kpi_summary(spark, sf_dir):
-    return gr.kpi_summary(_cells(spark, sf_dir))
+    return gr.kpi_summary(stored_cells(_t(spark, sf_dir)))
 
 
 @query("audit_chunks")
 def q_audit_chunks(spark, sf_dir):
-    return gr.audit_chunks(_cells(spark, sf_dir))
+    return gr.audit_chunks(stored_cells(_t(spark, sf_dir)))
 
 
 @query("ingest_manifest")
 def q_ingest_manifest(spark, sf_dir):
-    return gr.ingest_manifest(gr.audit_chunks(_cells(spark, sf_dir)))
+    return gr.ingest_manifest(gr.audit_chunks(stored_cells(_t(spark, sf_dir))))
 
 
 @query("corpus_union")
@@ -674,7 +679,7 @@ def q_corpus_union(spark, sf_dir):
     summ = ch.markdown_sections(t.documents.select("doc_id", "text")).select(
         "chunk_id", F.lit(0).alias("page"), "section", F.lit("proposal").alias("source_type"),
         F.lit("").alias("file_name"), F.lit("").alias("sheet_name"), F.lit("").alias("report_period"), "text")
-    audit = gr.audit_chunks(cells_src.cells(t)).select(*cols)
+    audit = gr.audit_chunks(stored_cells(t)).select(*cols)
     return prop.unionByName(summ).unionByName(audit).select("chunk_id", "source_type", "section",
                                                              F.length("text").alias("n_chars"))
 
@@ -707,7 +712,7 @@ def audit_index(t: Tables) -> DataFrame:
     by the second part modulo its length."""
     stored = t.embeddings.where(F.size("embedding") > 0)
     n = stored.agg(F.max("vec_id") + 1).scalar()
-    chunks = gr.audit_chunks(cells_src.cells(t)).withColumn("vec_id", _hash_mod("chunk_id", 0, n))
+    chunks = gr.audit_chunks(stored_cells(t)).withColumn("vec_id", _hash_mod("chunk_id", 0, n))
     both = chunks.join(stored.select("vec_id", "embedding"), "vec_id").drop("vec_id")
     size, turn = F.size("embedding"), _hash_mod("chunk_id", 1, F.size("embedding").cast("long")).cast("int")
     turned = F.concat(F.slice("embedding", turn + 1, size - turn), F.slice("embedding", F.lit(1), turn))
@@ -783,7 +788,7 @@ def q_monthly_pl_csv_roundtrip(spark, sf_dir):
 @query("manifest_roundtrip")
 def q_manifest_roundtrip(spark, sf_dir):
     """S12 + S13: the ingest manifest written and read back."""
-    return sinks.parquet_roundtrip(gr.ingest_manifest(gr.audit_chunks(_cells(spark, sf_dir))), "manifest")
+    return sinks.parquet_roundtrip(gr.ingest_manifest(gr.audit_chunks(stored_cells(_t(spark, sf_dir)))), "manifest")
 
 
 @query("index_upsert")
@@ -852,11 +857,13 @@ def q_format_numbers(spark, sf_dir):
                      sc.format_short(F.col("profit")).alias("profit_short"))
 
 
+from ..operators import line_packing as lp  # noqa: E402
+
+
 @query("chunk_lines")
 def q_chunk_lines(spark, sf_dir):
-    """X8 on every sheet's markdown table (900-char line packing)."""
-    md = gr.grid_markdown(_cells(spark, sf_dir))
-    return md.select("file", "sheet", F.posexplode(ch.chunk_lines(F.col("markdown"))).alias("pos", "chunk"))
+    """X8 on every sheet's whole table (900-char line packing)."""
+    return lp.pack_lines(gr.sheet_lines(stored_cells(_t(spark, sf_dir))), gr.KEY)
 
 
 @query("monthly_pl_legacy")
