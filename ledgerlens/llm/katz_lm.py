@@ -48,7 +48,7 @@ from .common import SLICE_BYTES, _give_back, shared_path, shuffle_partitions, te
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 END, START = "\tend", "\tstart"  # no word holds white space
-SEGMENT_BYTES = 16 << 20
+SEGMENT_BYTES = 12 << 20
 HOT, MAX_HOT = 1 << 16, 100_000  # a context is spread over the buckets if met more often than HOT, and N / MAX_HOT
 BUCKET_PAIRS = 4_000_000
 SCALE = 1 << 16
@@ -376,6 +376,8 @@ def learn_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text
                 v, w = p.v[at], p.w[at]
                 gv = p.gid[v]
                 rows.append((bucket, left["seg"][0].as_py(), pack(np.diff(gv, prepend=0)), pack(p.gid[w]), pack(p.count[w]), pack(times[at]), pack(np.unique(gv[p.count[v] > hot]))))
+            del s, p, times
+            _give_back()
         cells = list(zip(*rows)) if rows else [[]] * 7
         return pa.table([pa.array(x, t) for x, t in zip(cells, (pa.int32(), pa.int64(), *[pa.binary()] * 5))], names=["bucket", "seg", "v", "w", "cw", "c", "hot"])
 
@@ -391,6 +393,8 @@ def learn_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         back = [["answer"] * n, [bucket] * n, t["seg"].to_pylist(), [pack(x) for x, _ in answers], [pack(x.ravel()) for _, x in answers], [None] * n, *[[None] * n] * len(contexts)]
         kept = [["pairs"], [bucket], [None], *[[pack(x)] for x in pairs], *[[None]] * len(contexts)]
         sums = [["context"] * m, [bucket] * m, *[[None] * m] * 4, *contexts]
+        del v, w, cw, c, often, answers
+        _give_back()
         return pa.concat_tables([pa.table([pa.array(x, f.type) for x, f in zip(cells, pair_layout)], schema=pair_layout) for cells in (back, kept, sums)])
 
     schema = "kind string, bucket int, seg long, a binary, b binary, c binary, gid long, " + ", ".join(f"{n} long" for n in names)
@@ -437,8 +441,11 @@ def learn_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         doc = np.repeat(np.arange(n), s.lens)
         sums = lambda x: np.bincount(doc, weights=x, minlength=n)
         base = np.log10((c + 1) / (unigrams.tokens + 1 * (unigrams.distinct + 1)))
-        return pa.table([left["ids"].combine_chunks().flatten(), pa.array(s.marks > 0), pa.array(s.lens), pa.array(sums(c > 0).astype(np.int64)), pa.array(np.full(n, unigrams.tokens)),
-                         pa.array(sums(base)), pa.array(sums(np.log10(prob)[p.which]))], schema=result)
+        found = pa.table([left["ids"].combine_chunks().flatten(), pa.array(s.marks > 0), pa.array(s.lens), pa.array(sums(c > 0).astype(np.int64)), pa.array(np.full(n, unigrams.tokens)),
+                          pa.array(sums(base)), pa.array(sums(np.log10(prob)[p.which]))], schema=result)
+        del s, p, times, numbers, prob, doc, c, base, answer
+        _give_back()
+        return found
 
     back = known.unionByName(table.where("kind = 'answer'").select("seg", F.lit("pair").alias("kind"), "bucket", "a", "b"))
     return plain.groupBy("seg").cogroup(back.groupBy("seg")).applyInArrow(judge, out), model
