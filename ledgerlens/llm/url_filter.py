@@ -6,6 +6,11 @@ rates, are pruned.  An inverted index from each rule's rarest token to the rule
 candidates of a URL, and a rule matches if the URL has all its tokens.  Listed
 host and path rules come first.
 
+Tokens that occur in exactly the same labelled pages are mined as one: every
+combination of them has the same pages, so only the largest says anything.
+Without this, a few copies of one long URL would give a rule for each subset of
+its segments.
+
 DataFrame functions and Spark's own FP-growth only.
 """
 
@@ -16,9 +21,11 @@ from dataclasses import dataclass
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+
+from .common import shared_path
 
 BAD, GOOD = "label=bad", "label=good"
+ANY = "any"  # in every basket, never in a rule; tokens of URLs begin with their kind
 
 
 @dataclass(frozen=True)
@@ -102,6 +109,33 @@ def mine(labelled: DataFrame, tokens_col: str = "tokens", bad_col: str = "bad",
     return keyed.select(F.xxhash64("items", "bad").alias("rule"), "items", F.col("k.key").alias("key"), F.size("items").alias("n_items"), "bad", "confidence", "support", "lift")
 
 
+def bundles(known: DataFrame, tokens_col: str = "tokens", row_col: str = "row", min_count: int = 1) -> DataFrame:
+    """(key, members): the tokens of at least ``min_count`` rows, those of exactly the same rows together under the first of them.
+
+    Tokens have the same rows if their counts and two sums of row hashes agree.
+    A bundle is part of every URL that has any token of it, so it is never larger
+    than a URL's tokens.  ``row_col`` must differ between rows."""
+    each = known.select(F.col(row_col).alias("r"), F.explode(tokens_col).alias("token"))
+    marks = [F.sum(F.xxhash64("r", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
+    same = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *marks).where(F.col("n") >= min_count)
+    return same.groupBy("n", "s1", "s2").agg(F.array_sort(F.collect_list("token")).alias("members")).select(F.col("members")[0].alias("key"), "members")
+
+
+def mine_bundles(known: DataFrame, min_support: float = 0.0, min_confidence: float = 0.0, min_count: int = 1, min_lift: float = 0.0) -> DataFrame:
+    """``mine`` over (row, tokens, bad) with bundled tokens: of the combinations with the same pages, rules hold the largest."""
+    groups = bundles(known, min_count=min_count)
+    firsts = known.select("row", F.explode("tokens").alias("key")).join(groups.select("key"), "key").groupBy("row").agg(F.collect_list("key").alias("tokens"))
+    baskets = known.select("row", "bad").join(firsts, "row", "left").select(F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), "bad")
+    # a row without a frequent token still counts in the labels' shares
+    rules = mine(baskets.withColumn("tokens", F.array_append("tokens", F.lit(ANY))), "tokens", "bad", min_support, min_confidence, min_count, min_lift)
+    same = ["rule", "key", "bad", "confidence", "support", "lift"]
+    wide = rules.withColumn("items", F.array_remove("items", ANY)).where(F.size("items") > 0).select(*same, F.explode("items").alias("first")).join(
+        groups.select(F.col("key").alias("first"), "members"), "first").groupBy(*same).agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("items"))
+    # with and without the token of every row a rule is the same
+    once = wide.groupBy("items", "bad", "confidence", "support", "lift").agg(F.min(F.when(F.col("key") != ANY, F.col("key"))).alias("key"))
+    return once.where("key is not null").select(F.xxhash64("items", "bad").alias("rule"), "items", "key", F.size("items").alias("n_items"), "bad", "confidence", "support", "lift")
+
+
 def judge(pages: DataFrame, rules: DataFrame, listed_rules: list[ListedRule], url_col: str = "url", keep: list[str] | None = None) -> DataFrame:
     """Append ``host``, ``path``, ``rule`` (a listed rule's name or null), ``verdict`` and ``matched`` (the mined rule's tokens).
 
@@ -135,11 +169,13 @@ def filter_urls(pages: DataFrame, labels: DataFrame, listed_rules: list[ListedRu
     Rows of ``labels`` with a null id or mark are left out, and an id marked more
     than once counts as bad if any of its marks is.  Repeated pages count each.
     By default a rule needs three pages of its label, whatever the size of the
-    table, and twice the label's base rate (or half the other label's).
+    table, and twice the label's base rate (or half the other label's).  URLs may
+    be of any length; empty tables of pages or labels give no rules and no error.
     """
     marks = labels.where("id is not null and bad is not null").groupBy("id").agg(F.max("bad").alias("bad"))
     cut = with_host_and_path(pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url")), "url")
     known = cut.select("id", tokens(F.col("host"), F.col("path"), F.col("url")).alias("tokens")).join(marks, "id")
-    known = known.persist(StorageLevel.DISK_ONLY)
-    rules = mine(known, "tokens", "bad", min_support, min_confidence, min_count, min_lift)
+    path = shared_path(pages.sparkSession, "labelled-urls")
+    known.select("tokens", "bad").withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    rules = mine_bundles(pages.sparkSession.read.parquet(path), min_support, min_confidence, min_count, min_lift)
     return judge(pages, rules, listed_rules, url_col, keep)
