@@ -1,10 +1,14 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Every vector's distances to a set of pivots are computed once.  For a query q,
-a candidate c and any pivot p, |d(q, p) - d(c, p)| is a lower bound of d(q, c);
-the maximum over the pivots bounds the inner product (|q|^2 + |c|^2 - d^2) / 2
-from above.  Candidates are evaluated in the order of that bound until it
-falls below the k-th best score found, so nothing that could matter is skipped.
+Pivots are vectors of the table, each the farthest from those before it within a
+bounded sample.  Every vector's distances to them are computed once and travel
+with it.  For a query q, a candidate c and any pivot p, |d(q, p) - d(c, p)| is a
+lower bound of d(q, c); the maximum over the pivots nearest to q, which give the
+largest bounds, bounds the inner product
+(|q|^2 + |c|^2 - d^2) / 2 from above.  Candidates are evaluated in the order of
+that bound until it falls below the k-th best score found, so nothing that could
+matter is skipped.  That score starts at the query's k-th best within the
+sample, for all blocks alike.
 
 Queries meet candidates in blocks of bounded size: a task holds one block of
 each, and the best k of each pair of blocks are merged afterwards.
@@ -17,31 +21,46 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIVOTS, BLOCK, QUERIES = 32, 4096, 1024
+PIVOTS, NEAR, SAMPLE, BLOCK, QUERIES = 128, 32, 2048, 4096, 1024
 EXACT = float(1 << 53)
 LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
 
 
-def pivots_of(dim: int, n: int = PIVOTS, seed: int = 5) -> np.ndarray:
-    """Unit directions spread over the sphere; fixed, so that every task has the same table."""
-    p = np.random.default_rng([seed, dim]).standard_normal((n, dim))
-    return p / np.linalg.norm(p, axis=1, keepdims=True)
+def pivots_of(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
+    """Rows of the sample, each the farthest from those before it; the first is the longest vector."""
+    if not len(sample):
+        return sample
+    at = [int((sample * sample).sum(axis=1).argmax())]
+    near = ((sample - sample[at[0]]) ** 2).sum(axis=1)
+    while len(at) < n and near.max() > 0:
+        at.append(int(near.argmax()))
+        near = np.minimum(near, ((sample - sample[at[-1]]) ** 2).sum(axis=1))
+    return sample[at]
 
 
 def _exact_ints(x: np.ndarray) -> bool:
     return bool(x.size == 0 or np.abs(x).max() ** 2 * max(1, x.shape[1]) < EXACT)
 
 
-def pivot_table(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distances to the pivots (set at the vectors' common scale) and squared norms."""
-    norm2 = (x * x).sum(axis=1)
-    p = pivots_of(x.shape[1]) * 256.0
-    d2 = norm2[:, None] + (p * p).sum(axis=1) - 2 * x @ p.T
-    return np.sqrt(np.maximum(d2, 0)), norm2
+def pivot_table(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances to the pivots, in single precision; ``search_block`` allows for its rounding."""
+    d2 = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * x @ pivots.T
+    return np.sqrt(np.maximum(d2, 0)).astype(np.float32)
 
 
-def search_block(queries: np.ndarray, q_ids: np.ndarray, cands: np.ndarray, c_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, candidate id, score) of the k best candidates of each query in this block."""
+def kth_in_sample(queries: np.ndarray, q_ids: np.ndarray, sample: np.ndarray, s_ids: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th best score among the sample's other ids; minus infinity where it has fewer, or beyond exact doubles."""
+    if len(sample) < k or not len(queries) or not _exact_ints(queries) or not _exact_ints(sample):
+        return np.full(len(queries), -np.inf)
+    score = np.where(q_ids[:, None] == s_ids[None, :], -np.inf, queries @ sample.T)
+    return np.partition(score, len(sample) - k, axis=1)[:, len(sample) - k]
+
+
+def search_block(queries: np.ndarray, q_ids: np.ndarray, cands: np.ndarray, c_ids: np.ndarray, k: int, q_table: np.ndarray | None = None,
+                 c_table: np.ndarray | None = None, least: np.ndarray | None = None, counted: list | None = None) -> list[tuple[int, int, int]]:
+    """(query id, candidate id, score) of the k best candidates of each query in this block, none below ``least``.
+
+    ``q_table`` and ``c_table`` hold the distances to the pivots (found in the block if not given); ``counted`` takes the candidates evaluated."""
     if not _exact_ints(queries) or not _exact_ints(cands):  # integers beyond what doubles hold: exact, without bounds
         out = []
         exact = [[int(v) for v in c] for c in cands.tolist()]
@@ -51,21 +70,27 @@ def search_block(queries: np.ndarray, q_ids: np.ndarray, cands: np.ndarray, c_id
             out += [(i, j, min(max(-s, LONG_MIN), LONG_MAX)) for s, j in found]
         return out
     by_id = np.argsort(c_ids, kind="stable")  # equal scores then rank by smaller id
-    cands, c_ids = cands[by_id], c_ids[by_id]
-    (qd, qn), (cd, cn) = pivot_table(queries), pivot_table(cands)
+    if q_table is None or c_table is None:
+        pivots = pivots_of(cands[:SAMPLE])
+        q_table, c_table = pivot_table(queries, pivots), pivot_table(cands, pivots)
+    cands, c_ids, c_table = cands[by_id], c_ids[by_id], c_table[by_id]
+    qn, cn = (queries * queries).sum(axis=1), (cands * cands).sum(axis=1)
     out = []
     for i, q in enumerate(queries):
-        lower = np.abs(cd - qd[i]).max(axis=1)
+        p = np.argpartition(q_table[i], NEAR - 1)[:NEAR] if c_table.shape[1] > NEAR else slice(None)
+        lower = np.abs(c_table[:, p] - q_table[i, p]).max(axis=1, initial=0).astype(np.float64)
         slack = 1e-6 * (1 + qn[i] + cn)  # rounding in the table never hides a candidate
         upper = (qn[i] + cn - lower * lower) / 2 + slack
-        order = np.argsort(-upper, kind="stable")
-        order = order[c_ids[order] != q_ids[i]]
+        open_ = np.flatnonzero((c_ids != q_ids[i]) & (upper >= (-np.inf if least is None else least[i])))
+        order = open_[np.argsort(-upper[open_], kind="stable")]
         score, place, at, step = np.zeros(0), np.zeros(0, np.int64), 0, max(64, 4 * k)
         while at < len(order) and (len(score) < k or upper[order[at]] >= score[-1]):
             part = order[at:at + step]
             score, place = np.concatenate([score, cands[part] @ q]), np.concatenate([place, part])
             best = np.lexsort((place, -score))[:k]
             score, place, at, step = score[best], place[best], at + step, step * 2
+        if counted is not None:
+            counted.append(min(at, len(order)))
         out += zip([int(q_ids[i])] * len(place), c_ids[place].tolist(), score.astype(np.int64).tolist())
     return out
 
@@ -94,8 +119,31 @@ def top_k(vectors: DataFrame, k: int = 5, is_query: Column | None = None, id_col
     rows = src.where(F.col("id").isNotNull() & usable(F.col("v"))).select(
         "id", F.transform("v", lambda x: _floor(x * F.lit(float(scale)))).alias("v"),
         F.size("v").alias("dim"))
-    queries = rows.where(asked).dropDuplicates(["id", "v"])
-    n = rows.agg(F.count(F.lit(1)).alias("c"), F.count_if(asked).alias("q")).first()
+    # the sample that pivots and first thresholds come from: at most SAMPLE rows, the first by hash
+    some = rows.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).collect()
+    samples = {d: (np.array([r.v for r in some if r.dim == d], np.float64), np.array([r.id for r in some if r.dim == d], np.int64)) for d in {r.dim for r in some}}
+    pivots = {d: pivots_of(v) if _exact_ints(v) else v[:0] for d, (v, _) in samples.items()}
+
+    def tabled(batches):
+        for b in batches:
+            dims, ids, at = b.column(2).to_numpy(), b.column(0).to_numpy(), b.column(1).value_lengths().to_numpy()
+            flat, start = b.column(1).flatten().to_numpy(), np.cumsum(at) - at
+            table, least = [None] * len(ids), np.full(len(ids), -np.inf)
+            for d in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == d)
+                x = flat[start[own][:, None] + np.arange(d)]
+                if d in pivots and _exact_ints(x):
+                    for j, t in zip(own.tolist(), pivot_table(x, pivots[d])):
+                        table[j] = t
+                if d in samples and b.column(3).to_numpy(zero_copy_only=False)[own].any():
+                    asks_here = own[b.column(3).to_numpy(zero_copy_only=False)[own]]
+                    least[asks_here] = kth_in_sample(flat[start[asks_here][:, None] + np.arange(d)], ids[asks_here], *samples[d], k)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(table, pa.list_(pa.float32())), pa.array(least)], names=["id", "v", "dim", "asked", "t", "least"])
+
+    rows = rows.select("id", "v", "dim", F.coalesce(asked, F.lit(False)).alias("asked")).mapInArrow(
+        tabled, "id long, v array<double>, dim int, asked boolean, t array<float>, least double")
+    queries = rows.where("asked").dropDuplicates(["id", "v"])
+    n = rows.agg(F.count(F.lit(1)).alias("c"), F.count_if("asked").alias("q")).first()
     c_blocks, q_blocks = max(1, -(-n.c // block)), max(1, -(-n.q // query_block))
     # every block of queries meets every block of candidates: the work asked for, in tasks of bounded size
     cands = rows.withColumn("cb", F.pmod(F.xxhash64("id", "v"), F.lit(c_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
@@ -106,7 +154,10 @@ def top_k(vectors: DataFrame, k: int = 5, is_query: Column | None = None, id_col
         if left.num_rows and right.num_rows:
             dim = key[0].as_py()
             q, c = (np.asarray(t["v"].combine_chunks().flatten(), np.float64).reshape(-1, dim) for t in (left, right))
-            found = search_block(q, left["id"].to_numpy(), c, right["id"].to_numpy(), k)
+            tables = (None, None)
+            if left["t"].null_count + right["t"].null_count == 0:
+                tables = tuple(np.asarray(t["t"].combine_chunks().flatten(), np.float32).reshape(t.num_rows, -1) for t in (left, right))
+            found = search_block(q, left["id"].to_numpy(), c, right["id"].to_numpy(), k, *tables, left["least"].to_numpy())
         cols = list(zip(*found)) if found else [[], [], []]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols)})
 

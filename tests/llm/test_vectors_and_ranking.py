@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import katz_lm, lexical_search, orchard_kmeans
+from ledgerlens.llm import katz_lm, lexical_search, orchard_kmeans, topk_search, url_filter
 from ledgerlens.llm.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -250,3 +250,49 @@ def test_katz_query_beats_unigrams_on_held_out_texts(spark):
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert len({r.train_tokens for r in rows}) == 1 and rows[0].train_tokens == sum(r.n_tokens for r in rows if not r.held_out)
+
+
+# 8: pivots from the data, and thresholds from the sample
+
+def test_pivots_are_spread_and_eliminate():
+    rnd = np.random.default_rng(4)
+    centres = rnd.integers(-200, 200, (20, 8))
+    x = (centres[rnd.integers(0, 20, 1500)] + rnd.integers(-6, 7, (1500, 8))).astype(np.float64)
+    pivots = topk_search.pivots_of(x, 32)
+    assert len(pivots) == 32 and len(np.unique(pivots, axis=0)) == 32
+    assert len(topk_search.pivots_of(np.zeros((9, 3)))) == 1 and len(topk_search.pivots_of(x[:0])) == 0
+    q, ids = x[:30], np.arange(1500)
+    table = topk_search.pivot_table(x, pivots)
+    least = topk_search.kth_in_sample(q, ids[:30], x[:400], ids[:400], 5)
+    counted: list = []
+    got = topk_search.search_block(q, ids[:30], x, ids, 5, table[:30], table, least, counted)
+    want = [(i, j, -s) for i in range(30) for s, j in sorted((-int(q[i] @ x[j]), j) for j in range(1500) if j != i)[:5]]
+    assert got == want and sum(counted) < 0.5 * 30 * 1500
+
+
+def test_topk_with_clashing_columns_ties_and_repeated_rows(spark):
+    rows = [(i, [float(i % 3), 1.0], 1, "c", [2.0], 0.5) for i in range(0, 120)] + [(50, [2.0, 1.0], 1, "c", [2.0], 0.5)] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int, dim string, v array<double>, least double").repartition(5)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk_search.top_k(df, 4, scale=1.0, block=16).collect())
+    want = []
+    for q in (0, 50, 100):  # a repeated query is asked once, its own rows are no candidates
+        score = sorted((-int(q % 3 * v[0] + 1), i) for i, v, *_ in rows if i != q)[:4]
+        want += [(q, n + 1, i, -x) for n, (x, i) in enumerate(score)]
+    assert got == want
+    assert topk_search.top_k(df.limit(0)).count() == 0
+
+
+# 4: URLs of many segments
+
+def test_copies_of_a_long_url_give_few_rules(spark):
+    long = "http://bad.example.org/" + "/".join(f"s{i}" for i in range(40))
+    pages = [(i, long) for i in range(3)] + [(10 + i, f"http://fine.example.net/a{i}/index.html") for i in range(30)] + [(50, long + "/more"), (51, None), (52, "http://bad.example.org/s1")]
+    df = spark.createDataFrame([(i, u, "h", "r", [1], 2) for i, u in pages], "page_id long, url string, host string, rule string, tokens array<int>, `row` int")
+    labels = spark.createDataFrame([(i, i < 10) for i, _ in pages if i < 40], "id long, bad boolean")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(df, labels, [], keep=["page_id"]).collect()}
+    assert got[50] == "block" and got[52] == "allow" and all(v == "allow" for i, v in got.items() if 10 <= i < 40) and got[51] == "allow"
+    known = spark.createDataFrame([(i, ["x", "y", "z"] if i < 4 else ["x", "w"], i < 4) for i in range(12)], "row long, tokens array<string>, bad boolean")
+    assert sorted(tuple(r.members) for r in url_filter.bundles(known).collect()) == [("w",), ("x",), ("y", "z")]
+    rules = {(tuple(r["items"]), r.bad): r.confidence for r in url_filter.mine_bundles(known, min_count=3).collect()}
+    assert rules[("y", "z"), True] == 1.0 and rules[("x", "y", "z"), True] == 1.0 and rules[("x",), False] == pytest.approx(8 / 12) and not any(i == ("y",) for i, _ in rules)
+    assert url_filter.filter_urls(df.limit(0), labels, []).count() == 0 and url_filter.filter_urls(df, labels.limit(0), []).where("verdict = 'allow'").count() == len(pages)
