@@ -56,10 +56,11 @@ def csv_roundtrip(df: DataFrame, name: str) -> DataFrame:
 
 def upsert(existing: DataFrame, updates: DataFrame, key: str = "chunk_id", version: str = "version") -> DataFrame:
     """Idempotent upsert by id — the row with the highest version wins
-    (an update replaces the stored row; re-applying it changes nothing).
-    Each id's group holds one row per ingest, so the window stays small."""
+    (an update replaces the stored row; re-applying it changes nothing).  Of
+    rows with one id and version the one whose columns hash lowest wins, so a
+    rerun keeps the same row.  Each id's group holds one row per ingest, so the window stays small."""
     both = existing.unionByName(updates, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.col(version).desc())
+    w = Window.partitionBy(key).orderBy(F.col(version).desc(), F.xxhash64(*sorted(both.columns)), F.xxhash64(F.lit(1), *sorted(both.columns)))
     return both.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 

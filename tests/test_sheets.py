@@ -92,3 +92,15 @@ def test_coverage_decides_the_route_of_an_entity(spark):
 def test_both_routes_are_taken(spark):
     for name, routes in (("routed_pl_complete", {"monthly", "legacy"}), ("routed_daily", {"workbook", "csv"})):
         assert {r.route for r in QUERIES[name](spark, "/root/testdata/sf0.01").select("route").distinct().collect()} == routes
+
+
+def test_upsert_of_equal_versions_keeps_the_same_row(spark):
+    from ledgerlens.sources import sinks
+    rows = [("a", 1, f"text {i}") for i in range(20)] + [("a", 0, "old"), ("b", 2, "only")]
+    kept = set()
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "chunk_id string, version int, text string").repartition(4)
+        got = sorted(map(tuple, sinks.upsert(df, df.limit(0)).collect()))
+        assert [r[:2] for r in got] == [("a", 1), ("b", 2)]
+        kept.add(tuple(got))
+    assert len(kept) == 1
