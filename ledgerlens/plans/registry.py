@@ -695,6 +695,7 @@ def q_corpus_coverage(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- sinks
+from ..functions.numbering import dense_numbers  # noqa: E402
 from ..sources import sinks  # noqa: E402
 
 
@@ -707,13 +708,14 @@ def _hash_mod(col, part: int, n) -> Column:
 def audit_index(t: Tables) -> DataFrame:
     """Audit chunks with a vector each, stored once in the shared folder.
 
-    Embedding inference is out of scope, so a chunk takes a stored vector: the
-    one whose id is the first part of its id's hash modulo the vectors, turned
-    by the second part modulo its length."""
-    stored = t.embeddings.where(F.size("embedding") > 0)
-    n = stored.agg(F.max("vec_id") + 1).scalar()
-    chunks = gr.audit_chunks(stored_cells(t)).withColumn("vec_id", _hash_mod("chunk_id", 0, n))
-    both = chunks.join(stored.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+    Embedding inference is out of scope, so a chunk takes a stored vector: of the
+    vectors that exist and are not empty, in the order of their ids, the one at the
+    place that the first part of its id's hash gives modulo their number, turned
+    by the second part modulo its length.  So gaps and nulls lose no chunk."""
+    stored = dense_numbers(t.embeddings.where(F.size("embedding") > 0).select("vec_id", "embedding"), "vec_id", "place")
+    n = stored.count()
+    chunks = gr.audit_chunks(stored_cells(t)).withColumn("place", _hash_mod("chunk_id", 0, F.lit(n)))
+    both = chunks.join(stored.select("place", "embedding"), "place").drop("place")
     size, turn = F.size("embedding"), _hash_mod("chunk_id", 1, F.size("embedding").cast("long")).cast("int")
     turned = F.concat(F.slice("embedding", turn + 1, size - turn), F.slice("embedding", F.lit(1), turn))
     rows = rt.as_vectors(both.withColumn("embedding", turned)).drop("embedding").withColumn("doc_id", F.lit(None).cast("long"))

@@ -3,6 +3,7 @@ scorer equals the built-in one, which scores every chunk."""
 
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.numbering import dense_numbers
 from ledgerlens.operators import retrieval as rt
 from ledgerlens.plans.registry import audit_index, audit_questions, question_batch, vector_corpus, whole_corpus
 from ledgerlens.sources.tables import Tables
@@ -92,3 +93,27 @@ def test_every_answer_branch_and_its_sources(spark):
     assert said[3] == rt.NO_HITS
     sources = {r["question_id"]: [s["chunk_id"] for s in r["sources"]] for r in rt.answer_sources(hits).collect()}
     assert sources == {k: [f"c{k}{i}" for i in range(5)] for k in range(3)}
+
+
+def test_dense_numbers_have_no_gaps(spark):
+    ids = [5, 1, 1, 70, 71, 1000, -3, None]
+    rows = spark.createDataFrame([(i, "n") for i in ids], "id long, n string").repartition(3)
+    got = sorted((r.place, r.id) for r in dense_numbers(rows, "id", "place", width=10).collect())
+    assert got == list(enumerate(sorted(i for i in ids if i is not None)))
+    assert dense_numbers(rows.limit(0), "id", "place").count() == 0
+
+
+class GappedTables(Tables):
+    """The given tables with gaps, nulls and empty vectors among the embeddings."""
+
+    @property
+    def embeddings(self):
+        e = Tables(self.spark, self.sf_dir).embeddings
+        gone = F.when(F.col("vec_id") % 4 == 0, F.lit(None)).when(F.col("vec_id") % 4 == 1, F.array().cast("array<float>")).otherwise(F.col("embedding"))
+        return e.where("vec_id % 7 <> 0").withColumn("embedding", gone).withColumn("vec_id", F.when(F.col("vec_id") % 11 != 0, F.col("vec_id") * 3))
+
+
+def test_gaps_and_nulls_lose_no_audit_chunk(spark):
+    whole = {r.chunk_id for r in audit_index(Tables(spark, SF)).select("chunk_id").collect()}
+    gapped = audit_index(GappedTables(spark, SF))
+    assert {r.chunk_id for r in gapped.select("chunk_id").collect()} == whole and gapped.where("vec_norm > 0").count() == len(whole)
