@@ -316,27 +316,43 @@ def lag1_regression_metrics(daily_feats: DataFrame) -> DataFrame:
                     F.when(sst_n != 0, F.lit(1.0) - (sse * n.cast("double")) / sst_n).alias("R2"))
 
 
-def daily_regression(features: DataFrame, models=None) -> tuple[DataFrame, DataFrame]:
+def daily_regression(features: DataFrame, models=None, errors: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Fit each regressor on the pooled training days, score the test
-    days.  Returns (test predictions, metrics)."""
+    days.  Returns (test predictions, metrics).  A model that fails is left out,
+    and ``errors`` (if given) gets its place and message (M8); without ``errors``
+    the failure is raised."""
     models = models or regressors()
     split = cut_lineage(_assemble(time_split(features), DAILY_FEATURE_COLS))
     train, test = split.where("train"), split.where("NOT train")
     st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("total_sales").alias("s")).first()
     parts = []
     for order, (name, make) in enumerate(models):
-        model = make(st["n"], st["s"] or 0.0).fit(train)
+        try:
+            model = make(st["n"], st["s"] or 0.0).fit(train)
+        except Exception as e:  # any failure of a fit is that model's error row
+            if errors is None:
+                raise
+            errors[name] = (order, str(e).strip().splitlines()[0][:300])
+            continue
         parts.append(model.transform(test).select(F.lit(order).alias("model_order"), F.lit(name).alias("model"),
                                                   "entity", "date", "total_sales", "prediction"))
-    pred = reduce(DataFrame.unionByName, parts)
+    none = test.limit(0).select(F.lit(0).alias("model_order"), F.lit("").alias("model"), "entity", "date", "total_sales", F.lit(0.0).alias("prediction"))
+    pred = reduce(DataFrame.unionByName, parts) if parts else none
     return pred, regression_metrics(pred)
 
 
-def full_comparison(class_metrics: DataFrame, reg_metrics: DataFrame, errors: dict | None = None) -> DataFrame:
-    """Classification and regression rows in one table."""
+REG_METRIC = "R2 (holdout)"
+
+
+def full_comparison(class_metrics: DataFrame, reg_metrics: DataFrame, errors: dict | None = None, reg_errors: dict | None = None) -> DataFrame:
+    """Classification and regression rows in one table, with a row for each model that failed (M8)."""
     c = comparison(class_metrics, errors)
-    r = reg_metrics.select(F.lit(REG_TASK).alias("task"), "model", F.lit("R2 (holdout)").alias("metric_primary"),
+    r = reg_metrics.select(F.lit(REG_TASK).alias("task"), "model", F.lit(REG_METRIC).alias("metric_primary"),
                            F.col("R2").alias("score"), F.lit(None).cast("double").alias("F1"),
                            F.lit(None).cast("double").alias("ROC_AUC"), (F.col("model_order") + 10).alias("model_order"),
                            F.lit(None).cast("string").alias("error"))
+    failed = [(REG_TASK, name, REG_METRIC, None, None, None, order + 10, said) for name, (order, said) in (reg_errors or {}).items()]
+    if failed:
+        r = r.unionByName(class_metrics.sparkSession.createDataFrame(
+            failed, "task string, model string, metric_primary string, score double, F1 double, ROC_AUC double, model_order int, error string"))
     return c.unionByName(r)

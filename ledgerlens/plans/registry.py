@@ -562,19 +562,21 @@ def q_lab_shap(spark, sf_dir):
 def _daily_regression(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir, "daily")
     if key not in _CV:
-        _CV[key] = lab.daily_regression(pred.daily_features(domain.daily_sales(_t(spark, sf_dir))))[1]
+        errors = {}
+        _CV[key] = lab.daily_regression(pred.daily_features(domain.daily_sales(_t(spark, sf_dir))), errors=errors)[1], errors
     return _CV[key]
 
 
 @query("lab_daily_regression")
 def q_lab_daily_regression(spark, sf_dir):
-    return _daily_regression(spark, sf_dir)
+    return _daily_regression(spark, sf_dir)[0]
 
 
 @query("lab_comparison")
 def q_lab_comparison(spark, sf_dir):
     _, _, m, errors = _cv(spark, sf_dir)
-    return lab.full_comparison(m, _daily_regression(spark, sf_dir), errors)
+    daily, failed = _daily_regression(spark, sf_dir)
+    return lab.full_comparison(m, daily, errors, failed)
 
 
 # ---------------------------------------------------------------- grid (T1) and audit chunks
@@ -793,6 +795,12 @@ def q_manifest_roundtrip(spark, sf_dir):
     return sinks.parquet_roundtrip(gr.ingest_manifest(gr.audit_chunks(stored_cells(_t(spark, sf_dir)))), "manifest")
 
 
+@query("model_comparison_roundtrip")
+def q_model_comparison_roundtrip(spark, sf_dir):
+    """S12 + M14: the model comparison exported to CSV and read back with its schema."""
+    return sinks.csv_roundtrip(q_lab_comparison(spark, sf_dir), "model_comparison")
+
+
 @query("index_upsert")
 def q_index_upsert(spark, sf_dir):
     """The chunk index, then a re-ingest of the labelled documents
