@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,6 +50,8 @@ SIGNATURE_BYTES = {"HS256": {32}, "HS384": {48}, "HS512": {64}, "ES256": {64}, "
 
 
 MAGIC = b"openssh-key-v1\0"
+KEY_ELEMENTS = 10  # a key of several primes has the most: nine numbers and the list of further primes
+Bytes = Callable[[int, int], bytes]
 # 1.2.840.113549.1.5 and 1.2.840.113549.1.12.1: encryption by a password.
 PASSWORD_OIDS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
@@ -62,68 +66,81 @@ def _b64(s: str) -> bytes | None:
         return None
 
 
-def _der(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
-    """Tag, content start and content end of one DER element inside ``data[at:end]``."""
-    if at + 2 > end:
+def _der(read: Bytes, at: int, end: int) -> tuple[int, int, int] | None:
+    """Tag, content start and content end of one DER element inside the bytes from ``at`` to ``end``."""
+    head = read(at, min(at + 6, end))
+    if len(head) < 2:
         return None
-    tag, n, at = data[at], data[at + 1], at + 2
+    tag, n, at = head[0], head[1], at + 2
     if n == 0x80 or n > 0x84:
         return None
     if n > 0x80:
         k = n & 0x7F
-        if at + k > end:
+        if len(head) < 2 + k:
             return None
-        n, at = int.from_bytes(data[at:at + k], "big"), at + k
+        n, at = int.from_bytes(head[2:2 + k], "big"), at + k
         if n < 0x80:
             return None  # not the shortest form
     return (tag, at, at + n) if at + n <= end else None
 
 
-def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """The elements that fill ``data[at:end]`` exactly, or None."""
+def _children(read: Bytes, at: int, end: int, most: int) -> list[tuple[int, int, int]] | None:
+    """The elements, ``most`` of them at most, that fill the bytes from ``at`` to ``end`` exactly, or None."""
     found = []
     while at < end:
-        e = _der(data, at, end)
-        if e is None:
+        e = _der(read, at, end)
+        if e is None or len(found) == most:
             return None
         found.append(e)
         at = e[2]
     return found
 
 
-def der_key(data: bytes) -> str | None:
-    """Kind of private key that ``data`` holds in DER, if its nested lengths are right."""
-    top = _der(data, 0, len(data))
-    if top is None or top[0] != 0x30 or top[2] != len(data):
+def der_kind(read: Bytes, size: int) -> str | None:
+    """Kind of private key that the first ``size`` bytes hold in DER, if its nested lengths are right.
+
+    Only the headers of its elements are read, and there are few: no key form has
+    more than ten, and an algorithm is its name and its parameters."""
+    top = _der(read, 0, size)
+    if top is None or top[0] != 0x30 or top[2] != size:
         return None
-    parts = _children(data, top[1], top[2])
+    parts = _children(read, top[1], top[2], KEY_ELEMENTS)
+
+    def algorithm(part):
+        """The first bytes of the object identifier that begins ``part``, if it is an algorithm."""
+        inner = _children(read, part[1], part[2], 2)
+        return read(inner[0][1], min(inner[0][2], inner[0][1] + 16)) if inner and inner[0][0] == 0x06 else None
+
     if parts and [t for t, _, _ in parts] == [0x30, 0x04] and parts[1][2] > parts[1][1]:
-        inner = _children(data, parts[0][1], parts[0][2])
-        return "pkcs8enc" if inner and inner[0][0] == 0x06 and data[inner[0][1]:inner[0][2]].startswith(PASSWORD_OIDS) else None
+        return "pkcs8enc" if (algorithm(parts[0]) or b"").startswith(PASSWORD_OIDS) else None
     if not parts or parts[0][0] != 0x02 or parts[0][2] - parts[0][1] != 1:
         return None
-    tags, version = [t for t, _, _ in parts], data[parts[0][1]]
+    tags, version = [t for t, _, _ in parts], read(parts[0][1], parts[0][2])[0]
     if version in (0, 1) and len(parts) >= 9 and set(tags[:9]) == {0x02}:
         return "pkcs1"
     if version == 0 and len(parts) == 6 and set(tags) == {0x02}:
         return "dsa"
     if version in (0, 1) and tags[1:3] == [0x30, 0x04]:
-        inner = _children(data, parts[1][1], parts[1][2])
-        return "pkcs8" if inner and inner[0][0] == 0x06 and parts[2][2] > parts[2][1] else None
+        return "pkcs8" if algorithm(parts[1]) is not None and parts[2][2] > parts[2][1] else None
     if version == 1 and tags[1:2] == [0x04] and all(t in (0xA0, 0xA1) for t in tags[2:]):
         return "sec1" if parts[1][2] - parts[1][1] >= 16 else None
     return None
 
 
-def openssh_end(read) -> int | None:
-    """Where an OpenSSH private key container ends, if its fields have right lengths; ``read(n)`` gives its first n bytes, or fewer."""
+def der_key(data: bytes) -> str | None:
+    """Kind of private key that ``data`` holds in DER, if its nested lengths are right."""
+    return der_kind(lambda a, b: data[a:b], len(data))
+
+
+def openssh_end(read: Bytes, have: int) -> int | None:
+    """Where an OpenSSH private key container ends within ``have`` bytes, if its fields have right lengths."""
     def after(at):
         """The number at ``at`` and the place after it; lengths point past what there is if they are wrong."""
-        data = read(at + 4)
-        return (int.from_bytes(data[at:at + 4], "big"), at + 4) if len(data) == at + 4 else None
+        data = read(at, min(at + 4, have))
+        return (int.from_bytes(data, "big"), at + 4) if len(data) == 4 else None
 
     at = len(MAGIC)
-    if read(at) != MAGIC:
+    if read(0, at) != MAGIC:
         return None
     for _ in range(3):  # cipher, key derivation and its options
         if (size := after(at)) is None:
@@ -136,12 +153,12 @@ def openssh_end(read) -> int | None:
         if (size := after(at)) is None:
             return None
         at = sum(size)
-    return at if len(read(at)) == at else None
+    return at if at <= have else None
 
 
 def openssh_key(data: bytes) -> str | None:
     """'openssh' if ``data`` begins with an OpenSSH private key container."""
-    return None if openssh_end(lambda n: data[:n]) is None else "openssh"
+    return None if openssh_end(lambda a, b: data[a:b], len(data)) is None else "openssh"
 
 
 def der_size(data: bytes) -> int | None:
@@ -155,44 +172,65 @@ def der_size(data: bytes) -> int | None:
     return at + n if data[at] == 0x30 or (data[at:at + 2] == b"\x02\x01" and data[at + 2] <= 1) else None
 
 
-def _run(text: str, at: int, want: int) -> tuple[str, int]:
-    """``want`` base64 characters from ``at`` on (fewer, if there are not so many), over line ends, and where the last one ends."""
-    parts, have, end = [], 0, at
-    while have < want and (m := B64.match(text, at, at + want - have)):
-        parts.append(m[0])
-        have, end = have + len(m[0]), m.end()
-        if gap := JOIN.match(text, end):
-            at = gap.end()
-        else:
-            at = end
-    return "".join(parts), end
+class Stretch:
+    """The base64 characters of a text from ``at`` on, over line ends, up to the first thing that is neither."""
+
+    def __init__(self, text: str, at: int):
+        parts, self.joined, self.places, have = [], [], [], 0
+        m = B64.match(text, at)
+        while m:
+            parts.append(m[0])
+            self.joined.append(have)
+            self.places.append(m.start())
+            have, end = have + len(m[0]), m.end()
+            gap = JOIN.match(text, end)
+            m = gap and B64.match(text, gap.end())
+        self.chars, self.end = "".join(parts), end
+
+    def index(self, place: int) -> int:
+        """Which of the characters stands at ``place`` in the text."""
+        i = bisect.bisect_right(self.places, place) - 1
+        return self.joined[i] + place - self.places[i]
+
+    def place(self, index: int) -> int:
+        """Where that character stands in the text."""
+        i = bisect.bisect_right(self.joined, index) - 1
+        return self.places[i] + index - self.joined[i]
+
+    def reader(self, index: int) -> tuple[Bytes, int]:
+        """Bytes ``a`` to ``b`` of what is encoded from character ``index`` on, and how many there are."""
+        def read(a, b):
+            lo = a // 3
+            return (_b64(self.chars[index + 4 * lo:index - (-b * 4 // 3)]) or b"")[a - 3 * lo:b - 3 * lo]
+
+        return read, (len(self.chars) - index) * 3 // 4
 
 
 def base64_keys(text: str) -> list[tuple[str, int, int]]:
-    """Keys (kind, start, end) in base64, each from where its first characters stand to its own end and padding."""
-    found, done = [], 0
+    """Keys (kind, start, end) in base64, each from where its first characters stand to its own end and padding.
+
+    A stretch of base64 is joined once for all the starts within it, and a start
+    reads a bounded number of headers, so the time is linear in the text."""
+    found, done, stretch = [], 0, None
     for m in KEY_START.finditer(text):
         at = m.start()
         if at < done:
             continue
-
-        def read(n):
-            """The first ``n`` bytes, or none if there are not so many."""
-            want = -(-n * 4 // 3)
-            chars = _run(text, at, want)[0] if want <= len(text) - at else ""
-            return _b64(chars)[:n] if len(chars) == want else b""
-
-        head, kind = read(12), None
-        if not head:
+        if stretch is None or at >= stretch.end:
+            stretch = Stretch(text, at)
+        index, kind = stretch.index(at), None
+        read, have = stretch.reader(index)
+        if have < 12:
             continue
+        head = read(0, 12)
         if MAGIC.startswith(head):
-            size = openssh_end(read)
+            size = openssh_end(read, have)
             kind = size and "openssh"
         else:
             size = der_size(head)
-            kind = size and der_key(read(size))
+            kind = size and size <= have and der_kind(read, size)
         if kind:
-            end = _run(text, at, -(-size * 4 // 3))[1]
+            end = stretch.place(index - (-size * 4 // 3) - 1) + 1
             done = end + len(re.match("={0,2}", text[end:end + 2])[0])
             found.append((kind, at, done))
     return found
@@ -263,8 +301,9 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     """Append ``secret_spans`` (kind, start, end) and, if asked for, the redacted text.
 
     Null and empty texts have no spans; a null text stays null when redacted.
-    Whole texts are scanned; rows are independent, so repeated rows, ties and
-    skewed columns change nothing, and an empty table gives an empty result.
+    Whole texts are scanned, in time linear in their length whatever they hold;
+    rows are independent, so repeated rows, ties and skewed columns change
+    nothing, and an empty table gives an empty result.
     """
     new = [("secret_spans", SPAN)] + ([(redacted_col, T.StringType())] if redacted_col else [])
 

@@ -6,6 +6,7 @@ import itertools
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -230,6 +231,38 @@ def test_keys_are_found_at_any_alignment_and_over_lines():
     assert keys_in(base64.b64encode(digest).decode()) == []
 
 
+def test_secret_scan_time_is_linear_on_hard_texts():
+    def nested(n):
+        """DER headers, each of which claims all that follows."""
+        return b"".join(b"\x30\x84" + (n - 6 * i - 6).to_bytes(4, "big") for i in range(n // 6))
+
+    def shared_tail(n):
+        """Many sequences that begin inside strings and share a tail of small elements."""
+        tail, heads, size = b"\x02\x00" * (n // 4), [], n // 2
+        for i in range(n // 2 // 18):
+            size -= 18
+            heads.append(b"\x30\x84" + (size + 12 + len(tail)).to_bytes(4, "big") + b"\x02\x01\x00" + b"\x04\x84" + size.to_bytes(4, "big") + b"\0" * 3)
+        return b"".join(heads) + tail
+
+    text_field = (1 << 20).to_bytes(4, "big")
+    hard = {"nested": lambda n: base64.b64encode(nested(n * 3 // 4)).decode(), "tail": lambda n: base64.b64encode(shared_tail(n * 3 // 4)).decode(),
+            "lines": lambda n: "\n".join(base64.b64encode(nested(n * 3 // 4)).decode()[i:i + 64] for i in range(0, n, 64)),
+            "openssh": lambda n: base64.b64encode((secret_scan.MAGIC + text_field + b"\0\0") * (n // 28)).decode(),
+            "starts": lambda n: "MIIB" * (n // 4), "hex": lambda n: nested(n // 2).hex(), "dots": lambda n: "eyJhbGciOiJub25lIn0." * (n // 20),
+            "pem": lambda n: "-----BEGIN PRIVATE KEY-----MIIB" * (n // 31), "spaces": lambda n: "token " + "M " * (n // 4) + " " * (n // 2)}
+    for name, make in hard.items():
+        took = []
+        for n in (250_000, 1_000_000):
+            text = make(n)
+            begin = time.process_time()
+            assert [s for s in secret_scan.spans_of(text) if s[0] not in secret_scan.BASE_KINDS] == [], name
+            took.append(time.process_time() - begin)
+        assert took[1] < 8 * took[0] + 0.5 and took[1] < 20, (name, took)
+    key = base64.b64encode(rsa_key(random.Random(4))).decode()
+    text = hard["nested"](1_000_000)
+    assert [s for s in secret_scan.spans_of(text + " " + key) if s[0] == "pkcs1"] == [("pkcs1", len(text) + 1, len(text) + 1 + len(key))]
+
+
 # 3: languages
 
 def test_language_held_out_accuracy(spark):
