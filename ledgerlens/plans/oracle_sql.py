@@ -527,7 +527,7 @@ def _phi_sql(z: str) -> str:
     return f"(0.5::DOUBLE * (1.0::DOUBLE + {_erf_sql(f'(({z}) / {math.sqrt(2.0)!r}::DOUBLE)')}))"
 
 
-oracle("forecast_daily", ["daily"], f"""
+_forecast = f"""
 , r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS rn FROM daily),
 g AS (SELECT entity, count(*) AS n, sum({_c2s}) AS sx, sum({h(_c2s)} * {h(_c2s)}) AS sxx,
         count(CASE WHEN rn <= 7 THEN {_c2s} END) AS n7, sum(CASE WHEN rn <= 7 THEN {_c2s} END) AS s7,
@@ -542,12 +542,35 @@ hz AS (SELECT s.*, CAST(step AS INTEGER) AS step, CAST(last_date + CAST(step AS
          CAST(isodow(CAST(last_date + CAST(step AS INTEGER) AS DATE)) - 1 AS INTEGER) AS dow
        FROM (SELECT *, unnest(generate_series(1, 7)) AS step FROM s) s),
 fc AS (SELECT hz.*, mu * (CASE WHEN overall <> 0 THEN coalesce(dm.dmean, overall) / overall ELSE 1.0::DOUBLE END) AS forecast
-       FROM hz LEFT JOIN dm ON hz.entity = dm.entity AND hz.dow = dm.dow)
+       FROM hz LEFT JOIN dm ON hz.entity = dm.entity AND hz.dow = dm.dow)"""
+oracle("forecast_daily", ["daily"], f"""{_forecast}
 SELECT entity, step, date, dow, forecast, forecast - 1.2815515655446004::DOUBLE * sigma AS p10, forecast AS p50,
   forecast + 1.2815515655446004::DOUBLE * sigma AS p90,
   {q(_phi_sql('(0.6::DOUBLE * mu - forecast) / sigma'), 6)} AS cash_flow_stress_prob
 FROM fc""")
 
+
+def _sim_percentile(p: float, n: int) -> str:
+    import math
+    pos = p * (n - 1)
+    lo, hi = math.floor(pos), math.ceil(pos)
+    return f"sims[{lo + 1}]" if lo == hi else f"(sims[{lo + 1}] * '{hi - pos!r}'::DOUBLE + sims[{hi + 1}] * '{pos - lo!r}'::DOUBLE)"
+
+
+def _sim_uniform(start: int) -> str:
+    return f"((('0x' || substr(digest, {start}, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+
+
+_sim_draw = f"sqrt(-2.0::DOUBLE * ln({_sim_uniform(1)})) * cos('6.283185307179586'::DOUBLE * {_sim_uniform(17)})"
+oracle("forecast_daily_sim", ["daily"], f"""{_forecast},
+dg AS (SELECT fc.*, md5('sim-42:' || entity || ':' || step || ':' || i) AS digest
+       FROM (SELECT *, unnest(generate_series(0, 499)) AS i FROM fc) fc),
+sm AS (SELECT entity, step, date, dow, forecast, mu, list_sort(list(forecast + sigma * {q(_sim_draw, 6)})) AS sims
+       FROM dg GROUP BY entity, step, date, dow, forecast, mu)
+SELECT entity, step, date, dow, forecast, {_sim_percentile(0.1, 500)} AS p10, {_sim_percentile(0.5, 500)} AS p50, {_sim_percentile(0.9, 500)} AS p90,
+  CAST(len(list_filter(sims, lambda x: x < 0.6::DOUBLE * mu)) AS DOUBLE) / 500.0::DOUBLE AS cash_flow_stress_prob
+FROM sm""")
+
 # ====================================================================== prescriptive
 _r4 = lambda c: f"CAST(round({c} * 10000.0::DOUBLE) AS BIGINT)"
 _crit = [("liquidity", 0.3), ("profitability", 0.25), ("feasibility", 0.2), ("risk_reduction", 0.25)]
