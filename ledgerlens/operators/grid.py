@@ -255,12 +255,13 @@ def sheet_lines(cells: DataFrame) -> DataFrame:
     return head.unionByName(body)
 
 
-def kpi_summary(cells: DataFrame, business: Column | None = None, creditors: int | None = None) -> DataFrame:
+def kpi_summary(cells: DataFrame, business: Column | None = None, creditors: int | None = None, more_lines: DataFrame | None = None) -> DataFrame:
     """G7 (+ A10): per report, P&L highlights found by substring label
     lookup in the month column, the creditors' closing balances with their
     total (the first ``creditors`` rows, if given, and how many are left out; the
-    reference shows TOP_CREDITORS), and the debtor total and count.  Reports
-    where nothing was found give no row."""
+    reference shows TOP_CREDITORS), and the debtor total and count.  Lines of
+    other sheets come from ``more_lines`` (file, lines; see ``probes``), after the
+    highlights.  Reports where nothing was found give no row."""
     files = cells.select("file").distinct()
     pl = cells.where(F.col("sheet") == "PL")
     mcols = month_columns(pl.withColumn("m3", F.substring(F.regexp_extract("file", r"- (\w+) \d{4}", 1), 1, 3)),
@@ -311,7 +312,11 @@ def kpi_summary(cells: DataFrame, business: Column | None = None, creditors: int
     db_part = F.when(F.col("db_n") > 0, F.array(F.concat(
         F.lit("- Total debtor closing balance: "), F.format_number("db_total", 2), F.lit(" across "),
         F.col("db_n").cast("string"), F.lit(" customers")))).otherwise(F.array().cast("array<string>"))
-    lines = F.concat(head, hl_part, cr_part, db_part)
+    other = F.array().cast("array<string>")
+    if more_lines is not None:
+        j = j.join(more_lines.select("file", F.col("lines").alias("other")), "file", "left")
+        other = F.coalesce("other", other)
+    lines = F.concat(head, hl_part, other, cr_part, db_part)
     return j.select("file", period.alias("report_period"), lines.alias("lines")).where(F.size("lines") > 4) \
             .select("file", "report_period", F.array_join("lines", "\n").alias("text"))
 

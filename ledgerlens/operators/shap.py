@@ -3,14 +3,15 @@
 A leaf's path asks one interval of each feature on it.  With the other
 features unknown, a row reaches the leaf with the share of training rows that
 took the same turns, so a leaf's game has as many players as its path has
-features (three at most at depth three) and its Shapley values are a short sum
-over subsets.  The leaf table of an ensemble is bounded by its size (trees x
-2^depth) and travels with the function; rows are scored in batches without a
-shuffle."""
+features.  The sum over subsets of players is the integral over t from 0 to 1 of
+a product with one factor for each player: met * t + share * (1 - t).  That is a
+polynomial in t, which Gauss-Legendre nodes integrate exactly, so n players take
+about n * n / 2 steps and not 2^n.  The leaf table of an ensemble is bounded by
+its size (trees x 2^depth) and travels with the function; rows are scored in
+batches without a shuffle."""
 
 from __future__ import annotations
 
-import itertools
 import math
 import sys
 from collections.abc import Iterator
@@ -69,21 +70,23 @@ def base_value(leaves: list[Leaf]) -> float:
 def contributions(leaves: list[Leaf], x: np.ndarray) -> np.ndarray:
     """Shapley values (rows x features) of the ensemble's score."""
     out = np.zeros(x.shape)
+    nodes = {n: np.polynomial.legendre.leggauss(-(-n // 2)) for n in {len(leaf.path) for leaf in leaves} if n}
     for leaf in leaves:
-        players = list(leaf.path)
-        n = len(players)
-        met = {f: ((x[:, f] > low) & (x[:, f] <= high)).astype(float) for f, (low, high, _) in leaf.path.items()}
-        for f in players:
-            others = [g for g in players if g != f]
-            weight = np.zeros(len(x))
-            for size in range(n):
-                chance = math.factorial(size) * math.factorial(n - size - 1) / math.factorial(n)
-                for known in itertools.combinations(others, size):
-                    term = np.full(len(x), chance)
-                    for g in others:
-                        term *= met[g] if g in known else leaf.path[g][2]
-                    weight += term
-            out[:, f] += leaf.value * (met[f] - leaf.path[f][2]) * weight
+        if not leaf.path:
+            continue
+        at, weight = nodes[len(leaf.path)]
+        t = (at + 1) / 2
+        met = [(x[:, f] > low) & (x[:, f] <= high) for f, (low, high, _) in leaf.path.items()]
+        shares = [share for _, _, share in leaf.path.values()]
+        factors = [np.where(m[:, None], t, 0.0) + share * (1 - t) for m, share in zip(met, shares)]
+        # the product of all factors but one, from those before it and those after it
+        after = [np.ones((len(x), len(t)))]
+        for factor in reversed(factors[1:]):
+            after.append(after[-1] * factor)
+        before = np.ones((len(x), len(t)))
+        for f, m, share, factor, rest in zip(leaf.path, met, shares, factors, reversed(after)):
+            out[:, f] += leaf.value * (m - share) * ((before * rest) @ (weight / 2))
+            before = before * factor
     return out
 
 

@@ -1256,6 +1256,27 @@ for _, _, _reason in DAILY_PLANTED:
 oracle("daily_rejected", ["daily"], f"""
 SELECT entity, reason, CAST(n AS BIGINT) AS n FROM (SELECT DISTINCT entity FROM daily),
   (VALUES {', '.join(f"('{r}', {n})" for r, n in _planted.items())}) v(reason, n)""")
+cte("probed", ["pl", "ms", "waste"], f"""
+SELECT {_file('entity', 'period')} AS file, entity, period, pl.sales_value AS margin_sales, pl.cogs AS margin_cogs, ms.net_sales, ms.cash_pct AS cash_share,
+  ms.cash_sales AS cash_balance, ms.credit_sales AS bank_balance, ms.net_sales AS total_opening, ms.total_sales AS total_inflows,
+  w.ktm AS wastage_ktm, w.pkr AS wastage_pkr, pl.cogs AS material_purchase, pl.staff_salary AS total_salary
+FROM pl FULL JOIN ms USING (entity, period)
+FULL JOIN (SELECT entity, period, sum(ktm) AS ktm, sum(pkr) AS pkr FROM waste GROUP BY 1, 2) w USING (entity, period)""")
+oracle("report_probes", ["probed"], "SELECT * EXCLUDE (entity, period) FROM probed")
+_probe_lines = [("'- Total Sales Value: '", "margin_sales"), ("'- Cost of Goods Sold: '", "margin_cogs"),
+                ("'- Net Sales (' || strftime(CAST(period || '-01' AS DATE), '%B %Y') || '): '", "net_sales"), ("'- Cash Sales share: '", "cash_share"),
+                ("'- Cash Balance: '", "cash_balance"), ("'- Bank Balance: '", "bank_balance"), ("'- Total Opening: '", "total_opening")]
+oracle("kpi_summary_full", ["kpi", "probed"], f"""
+, o AS (SELECT file, nullif(concat_ws({NL}, {', '.join(f"{begin} || {flong(c)}" for begin, c in _probe_lines)}), '') AS t, entity,
+               strftime(CAST(period || '-01' AS DATE), '%B %Y') AS named FROM probed)
+SELECT coalesce(kpi.file, o.file) AS file, coalesce(kpi.report_period, o.named) AS report_period,
+  CASE WHEN kpi.file IS NULL THEN concat_ws({NL}, 'Audit KPI Summary for Supplier ' || entity, 'Source file: ' || o.file, 'Report period: ' || named,
+                                            'Business: Supplier ' || entity, o.t)
+       WHEN o.t IS NULL THEN kpi.text
+       WHEN contains(kpi.text, {NL} || 'Top creditors:') THEN replace(kpi.text, {NL} || 'Top creditors:', {NL} || o.t || {NL} || 'Top creditors:')
+       WHEN contains(kpi.text, {NL} || '- Total debtor') THEN replace(kpi.text, {NL} || '- Total debtor', {NL} || o.t || {NL} || '- Total debtor')
+       ELSE kpi.text || {NL} || o.t END AS text
+FROM kpi FULL JOIN o ON kpi.file = o.file WHERE kpi.file IS NOT NULL OR o.t IS NOT NULL""")
 cte("routed", ["pl"], """
 WITH w AS (SELECT strftime(m, '%Y-%m') AS period FROM (SELECT unnest(generate_series(date_trunc('month', max(l_shipdate)) - INTERVAL 5 MONTH,
              date_trunc('month', max(l_shipdate)), INTERVAL 1 MONTH)) AS m FROM lineitem))

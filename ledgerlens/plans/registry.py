@@ -927,6 +927,27 @@ def q_daily_rejected(spark, sf_dir):
     return d.groupBy("entity", "reason").agg(F.count("*").alias("n"))
 
 
+from ..operators import probes  # noqa: E402
+
+
+def report_cells(t: Tables) -> DataFrame:
+    """All cells of the monthly reports, written once to the shared folder."""
+    return sinks.parquet_roundtrip(cells_src.cells(t).unionByName(sheets.report_cells(t)), "report_cells")
+
+
+@query("report_probes")
+def q_report_probes(spark, sf_dir):
+    """Margin, sales, cash-flow, wastage, purchase and salary probes of every monthly report."""
+    return probes.report_probes(sheets.report_cells(_t(spark, sf_dir)))
+
+
+@query("kpi_summary_full")
+def q_kpi_summary_full(spark, sf_dir):
+    """G7 with the lines of margin, sales and cash-flow sheets."""
+    cells = report_cells(_t(spark, sf_dir))
+    return gr.kpi_summary(cells, more_lines=probes.summary_lines(cells))
+
+
 def wanted_periods(t: Tables, n: int = WANTED_REPORTS) -> DataFrame:
     """The last ``n`` calendar months that the ledger reaches."""
     last = t.lineitem.agg(F.trunc(F.max("l_shipdate"), "month").alias("last"))

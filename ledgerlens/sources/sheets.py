@@ -17,6 +17,7 @@ from .tables import Tables
 # Sheet names, and where each sheet keeps its columns.
 SALES_SHEET, WASTE_SHEET, CATEGORY_SHEET, DAILY_SHEET = (
     "Emilio's Monthly Sales", "Sample Gift waste", "Product Sales - Category wise", "Sales Summary ")
+MARGIN_SHEET, CASH_SHEET, PURCHASE_SHEET, SALARY_SHEET = "Food Margin analysis", "Cash Flow", "Purchase Analysis", "Salary Details"
 SALES_CELLS = {"sales_two_years_ago": 1, "sales_last_year": 2, "total_sales": 3, "discount": 4, "discount_pct": 5, "vat": 6, "net_sales": 7,
                "cash_sales": 8, "cash_pct": 9, "foodmandu_sales": 10, "foodmandu_pct": 11, "pokhara_sales": 14, "pokhara_pct": 15,
                "credit_sales": 16, "credit_pct": 17}
@@ -118,3 +119,36 @@ def daily_cells(t: Tables, outlets: DataFrame | None = None) -> DataFrame:
         numbers = {5: F.lit(total)} | ({0: F.lit(date)} if isinstance(date, float) else {})
         body = body.unionByName(_laid(ends, F.col("file"), DAILY_SHEET, F.col("last") + 1 + i, texts, numbers))
     return body.unionByName(_fixed(ends.select("file"), DAILY_SHEET, [(0, 0, "Sales Summary"), (3, 0, "Date"), (3, 5, "Total")]))
+
+
+def report_sales_cells(t: Tables) -> DataFrame:
+    """The sheets that a monthly report takes from the sales: the month's line of the sales sheet, and the cash flow."""
+    ms = domain.monthly_sales(t)
+    file = report_file(F.col("entity"), F.col("period"))
+    month = F.when(F.col("month_num") % 2 == 0, F.col("month")).otherwise(F.upper(F.date_format(F.to_date(F.concat("period", F.lit("-01"))), "MMMM")))
+    out = _laid(ms, file, SALES_SHEET, F.col("month_num") + 1, {0: month}, {i: F.col(c) for c, i in SALES_CELLS.items() if c in ms.columns})
+    cash = [(1, "Cash Balance", F.col("cash_sales")), (2, " Bank Balance", F.col("credit_sales")), (3, "Total Opening", F.col("net_sales")),
+            (9, "Sales", F.lit(None)), (10, "Total Inflows", F.col("total_sales")), (12, "Cash Balance", F.lit(0.0))]
+    for row, label, value in cash:
+        out = out.unionByName(_laid(ms, file, CASH_SHEET, F.lit(row), {0: F.lit(label)}, {1: value}))
+    return out.unionByName(_fixed(ms.select(file.alias("file")), SALES_SHEET, [(1, 0, "Month"), (1, 7, "Net Sales"), (14, 0, "Total"), (14, 7, 1.0)]))
+
+
+def report_ledger_cells(t: Tables) -> DataFrame:
+    """The sheets that a monthly report takes from the P&L: food margin, purchases and salaries."""
+    pl = domain.monthly_pl(t)
+    file = report_file(F.col("entity"), F.col("period"))
+    rows = [(MARGIN_SHEET, 2, "Sales Value", {}, {2: F.col("sales_value")}), (MARGIN_SHEET, 3, "Sales Value %", {1: F.lit("100%")}, {}),
+            (MARGIN_SHEET, 4, "Total Sales Value", {}, {1: F.col("sales_value")}), (MARGIN_SHEET, 5, "Cost of Goods Sold (COGS)", {}, {1: F.col("cogs")}),
+            (PURCHASE_SHEET, 3, "Material Purchase", {}, {1: F.col("cogs"), 2: F.col("operational_expenses")}),
+            (SALARY_SHEET, 2, "Staff", {}, {3: F.lit(1.0)}), (SALARY_SHEET, 3, "Total Salary", {}, {3: F.col("staff_salary")})]
+    out = None
+    for sheet, row, label, texts, numbers in rows:
+        part = _laid(pl, file, sheet, F.lit(row), {0: F.lit(label), **texts}, numbers)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def report_cells(t: Tables) -> DataFrame:
+    """All sheets of the monthly reports that probes read."""
+    return report_sales_cells(t).unionByName(report_ledger_cells(t)).unionByName(wastage_cells(t))

@@ -88,6 +88,50 @@ def test_shapley_values_add_up_and_match_all_subsets(spark, table):
             assert phi[f] == pytest.approx(want, abs=1e-9)
 
 
+def test_shapley_values_of_long_paths_equal_subset_sums():
+    rng = np.random.default_rng(5)
+    x = rng.random((4, 14))
+    leaves = [shap.Leaf(float(rng.normal()), {int(f): (0.0, float(rng.random()), float(rng.random())) if rng.random() < 0.5 else (float(rng.random()), 1.0, float(rng.random()))
+                                              for f in rng.permutation(14)[:n]}) for n in (0, 1, 2, 5, 11, 12)]
+    leaves.append(shap.Leaf(2.0, {0: (0.0, 2.0, 0.0), 1: (-1.0, 0.0, 0.0)}))  # turns that no training row took
+    got = shap.contributions(leaves, x)
+    want = np.zeros(x.shape)
+    for leaf in leaves:
+        n = len(leaf.path)
+        for i, row in enumerate(x):
+            met = {f: float(low < row[f] <= high) for f, (low, high, _) in leaf.path.items()}
+            for f in leaf.path:
+                others = [g for g in leaf.path if g != f]
+                for size in range(n):
+                    chance = math.factorial(size) * math.factorial(n - size - 1) / math.factorial(n)
+                    for known in itertools.combinations(others, size):
+                        want[i, f] += leaf.value * (met[f] - leaf.path[f][2]) * chance * math.prod(met[g] if g in known else leaf.path[g][2] for g in others)
+    assert np.allclose(got, want, atol=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["forest", "boosted"])
+def test_shapley_values_of_deep_trees_add_up(spark, kind):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import GBTRegressor
+    rng = np.random.default_rng(6)
+    x = rng.random((500, 10))
+    y = ((x[:, 0] * x[:, 1] + x[:, 2] * np.sin(9 * x[:, 3]) + 0.1 * rng.normal(size=500)) > 0.4).astype(float)
+    cols = [f"x{i}" for i in range(10)]
+    d = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], ["id", *cols, "label"])
+    d = VectorAssembler(inputCols=cols, outputCol="features").transform(d)
+    if kind == "forest":
+        model = RandomForestClassifier(numTrees=3, maxDepth=12, seed=1).fit(d)
+        scored = model.transform(d).withColumn("want", vector_to_array("probability")[1])
+    else:
+        model = GBTRegressor(maxIter=3, maxDepth=12, seed=1).fit(d)
+        scored = model.transform(d).withColumn("want", F.col("prediction"))
+    assert max(len(leaf.path) for leaf in shap.leaves_of(model)) >= 6
+    got = shap.shap_values(model, scored, cols, ("id",)).join(scored.select("id", "want"), "id")
+    assert got.count() == 500 and got.where(F.abs(F.col("score") - F.col("want")) > 1e-9).count() == 0
+
+
 @pytest.mark.parametrize("name, scans", [("feature_matrix", 1), ("stress_label", 1), ("variance_decomposition", 1)])
 def test_lineitem_is_scanned_once(spark, name, scans):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
