@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import json
+import math
 import random
 import re
 import time
@@ -13,6 +14,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
@@ -274,6 +276,54 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and (r.lang_pred != "und") == bool(re.search(r"[^\W\d_]", lang[r.doc_id].text or "")) for r in got)
 
 
+def plain_languages(docs: list) -> dict:
+    """{doc_id: (language, score)} by the method as it is written: one word at a time, all rows in one place."""
+    crc = lambda d: zlib.crc32(str(d.doc_id).encode()) % 4
+    words_of = lambda text: regex.findall(r"\p{L}+", (text or "").lower())
+    pieces = lambda w, n: [p for p in (f"^{w}$"[i:i + n] for i in range(len(w) + 3 - n)) if p not in ("^", "$")] if n else [w]
+    counts = {}
+    for d in docs:
+        if crc(d) != 2 and d.text is not None and d.lang is not None:
+            counts.setdefault(d.lang, [Counter() for _ in range(6)])
+            for w in words_of(d.text):
+                for n in range(6):
+                    counts[d.lang][n].update(pieces(w, n))
+    langs = sorted(counts)
+    kept = {x: [dict(sorted(c.items(), key=lambda e: (-e[1], e[0]))[:8000 if n else 20_000]) for n, c in enumerate(counts[x])] for x in langs}
+    known = [set().union(*(kept[x][n] for x in langs)) for n in range(6)]
+
+    def frequency(x, n, piece):
+        return math.log((kept[x][n].get(piece, 0) + 0.5) / (sum(counts[x][n].values()) + 0.5 * (len(known[n]) + 1)))
+
+    out = {}
+    for d in docs:
+        words, total = words_of(d.text), dict.fromkeys(langs, 0.0)
+        for w in words:
+            for n in (0, 5, 4, 3, 2, 1):
+                found = [p for p in pieces(w, n) if p in known[n]]
+                if found:
+                    for x in langs:
+                        total[x] += sum(frequency(x, n, p) for p in found) / len(found)
+                    break
+        if not words:
+            out[d.doc_id] = ("und", 0.0)
+            continue
+        mean = {x: v / len(words) for x, v in total.items()}
+        best = max(langs, key=lambda x: mean[x])
+        out[d.doc_id] = (best, 1 / sum(math.exp(v - mean[best]) for v in mean.values()))
+    return out
+
+
+def test_languages_against_a_plain_scorer(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    want = plain_languages(docs)
+    got = QUERIES["op3_language_id"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(docs) and {r.doc_id for r in got} == set(want)
+    for r in got:
+        lang, score = want[r.doc_id]
+        assert (r.lang_pred, r.held_out) == (lang, zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.score == pytest.approx(score, abs=1e-9), r
+
+
 def test_language_backoff(spark):
     docs = spark.createDataFrame([(1, "the cat the dog", "en"), (2, "le chat le chien", "fr"), (3, None, "en"), (4, "x", None)], "doc_id long, text string, lang string")
     m = language_id.fit(docs)
