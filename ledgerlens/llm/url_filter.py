@@ -39,6 +39,9 @@ class ListedRule:
         return self.host + self.path
 
 
+HOST_LENGTH = 253  # of a domain name
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -65,9 +68,10 @@ def listed(rules: list[ListedRule], host: Column, path: Column) -> Column:
 def tokens(host: Column, path: Column, url: Column) -> Column:
     """Distinct tokens of a URL: its host and parent hosts, path segments, their endings, and the names of query fields.
 
-    Segments of digits alone count as one token, as they number pages.
+    Segments of digits alone count as one token, as they number pages.  A host longer
+    than names may be (HOST_LENGTH) has no parent hosts.
     """
-    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
+    labels = F.when(F.length(host) > HOST_LENGTH, F.array(host)).otherwise(F.filter(F.split(host, r"\."), lambda x: x != ""))
     hosts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))),
                         lambda i: F.concat(F.lit("h:"), F.array_join(F.slice(labels, i, F.greatest(F.size(labels) - i + 1, F.lit(0))), ".")))
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
@@ -147,15 +151,18 @@ def judge(pages: DataFrame, rules: DataFrame, listed_rules: list[ListedRule], ur
     """
     keep = [c for c in (pages.columns if keep is None else keep) if c not in ("host", "path", "rule", "verdict", "matched")]
     src = with_host_and_path(pages.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{url_col}`").cast("string").alias("__url")), "__url")
-    row = src.withColumns({"listed": listed(listed_rules, F.col("host"), F.col("path")), "tokens": tokens(F.col("host"), F.col("path"), F.col("__url")),
-                           "row": F.monotonically_increasing_id()}).drop("__url")
+    # written once, so that the numbers of rows stay while their tokens are looked up apart from them
+    at = shared_path(pages.sparkSession, "judged-urls")
+    src.withColumns({"listed": listed(listed_rules, F.col("host"), F.col("path")), "tokens": tokens(F.col("host"), F.col("path"), F.col("__url")),
+                     "row": F.monotonically_increasing_id()}).drop("__url").write.parquet(at)
+    row = pages.sparkSession.read.parquet(at)
     index = rules.select(F.col("key"), F.struct((-F.col("lift")).alias("l"), (-F.col("n_items")).alias("n"), (-F.col("support")).alias("s"),
                                                 F.col("bad"), F.col("items")).alias("m"))
-    # The optimizer sends the index to the tasks if it is small and deals out both sides if it is not.
-    hits = row.withColumn("key", F.explode_outer("tokens")).join(index, "key", "left")
-    fits = F.size(F.array_except("m.items", "tokens")) == 0
-    same = [f"k{i}" for i in range(len(keep))] + ["host", "path", "listed"]
-    best = hits.groupBy("row").agg(*[F.first(c).alias(c) for c in same], F.min(F.when(F.col("m").isNotNull() & fits, F.col("m"))).alias("best"))
+    # The optimizer sends the index to the tasks if it is small and deals out both sides if it is not.  A token goes
+    # out with its row's number alone: a long URL has many, and only the rules it meets are held against all of them.
+    hits = row.select("row", F.explode("tokens").alias("key")).join(index, "key").groupBy("row").agg(F.collect_set("m").alias("ms"))
+    fitting = F.filter("ms", lambda m: F.size(F.array_except(m["items"], F.col("tokens"))) == 0)
+    best = row.join(hits, "row", "left").withColumn("best", F.array_min(fitting))
     method = F.when(F.col("best.bad"), "block").otherwise("allow")
     return best.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "host", "path", F.col("listed.name").alias("rule"),
                        F.coalesce("listed.verdict", method).alias("verdict"), F.when(F.col("listed").isNull(), F.col("best.items")).alias("matched"))

@@ -381,6 +381,27 @@ def test_mined_rules_against_all_subsets(spark):
     assert all(seen[r["key"]] == min(seen[x] for x in r["items"]) for r in got)
 
 
+def test_url_filter_with_clashing_columns_nulls_and_long_urls(spark):
+    long = "http://Long.example.org/" + "/".join(f"s{i}" for i in range(20_000))
+    urls = [(1, "http://bad.org/x"), (1, "http://bad.org/x"), (2, "http://bad.org/y"), (3, "http://bad.org/z"), (4, None), (5, ""), (6, "no scheme"), (7, long),
+            (None, "HTTPS://A.NET/fr/1?q#f"), (8, "http://good.org/a"), (9, "http://good.org/b"), (10, "http://good.org/c"), (11, "http://new.bad.org/?x=1")]
+    names = ["host", "rule", "tokens", "row", "key", "id", "bad", "listed", "best", "path", "k0", "m"]
+    pages = spark.createDataFrame([(*u, *names) for u in urls], "page_id long, url string, " + ", ".join(f"{n} string" for n in names))
+    labels = spark.createDataFrame([(1, True), (1, False), (2, True), (3, True), (8, False), (9, False), (10, False), (None, True), (4, None)], "id long, bad boolean")
+    got = url_filter.filter_urls(pages, labels, LISTED_RULES)
+    assert got.columns == ["page_id", "url", *[n for n in names if n not in ("host", "rule", "path")], "host", "path", "rule", "verdict", "matched"]
+    rows = got.collect()
+    assert len(rows) == len(urls) and all((r.tokens, r.row, r.key, r.best, r.k0) == ("tokens", "row", "key", "best", "k0") for r in rows)
+    by = {(r.page_id, r.url): r for r in rows}
+    assert by[None, "HTTPS://A.NET/fr/1?q#f"][-5:-1] == ("a.net", "/fr/1", "net/fr/", "block")
+    assert [by[k][-5:-1] for k in ((4, None), (5, ""), (6, "no scheme"))] == [("", "", None, "allow")] * 3
+    assert by[7, long].host == "long.example.org" and by[7, long].path == long[23:] and by[7, long].verdict == "allow"
+    assert by[11, "http://new.bad.org/?x=1"].verdict == "block" and by[8, "http://good.org/a"].verdict == "allow"
+    none = url_filter.filter_urls(pages.limit(0), labels, LISTED_RULES)
+    assert none.count() == 0 and none.columns == got.columns
+    assert {r.verdict for r in url_filter.filter_urls(pages, labels.limit(0), []).collect()} == {"allow"}
+
+
 def test_mined_rules_block(spark):
     pages = [(i, f"https://{'bad' if i % 2 else 'good'}.example.org/{'x' if i % 3 else 'y'}/{i}.html") for i in range(60)] + [(None, "http://bad.example.org/x/1"), (7, None)]
     labels = spark.createDataFrame([(i, i % 2 == 1) for i in range(40)] + [(None, True), (3, None)], "id long, bad boolean")
