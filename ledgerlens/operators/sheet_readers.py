@@ -29,19 +29,23 @@ class SheetLayout:
     last_row: int | None = None
 
 
-def read_rows(cells: DataFrame, layout: SheetLayout) -> DataFrame:
+def read_rows(cells: DataFrame, layout: SheetLayout, sheets_alike: list[str] | None = None) -> DataFrame:
     """(file, row_idx, columns): one row for each row of the range that holds any cell.
 
+    With ``sheets_alike`` the rows of all these sheets, which share the layout, and their ``sheet``.
+
     A number column takes the cell's number, or its text if that reads as one
     (else null); a text column takes the cell's text, and null where it holds a
     number, as only text counts as a name.  Cells outside the map are not read;
     of two cells in one place the larger value counts."""
-    c = cells.where((F.col("sheet") == layout.sheet) & (F.col("row_idx") >= layout.first_row))
+    named = F.col("sheet") == layout.sheet if sheets_alike is None else F.col("sheet").isin(*sheets_alike)
+    c = cells.where(named & (F.col("row_idx") >= layout.first_row))
     if layout.last_row is not None:
         c = c.where(F.col("row_idx") <= layout.last_row)
     number = F.coalesce(F.when(~F.isnan("num_value"), F.col("num_value")), lenient_number(F.col("str_value")))
     text = F.when(F.col("num_value").isNull(), clean_cell(F.col("str_value")))
-    return c.groupBy("file", "row_idx").agg(*[
+    keys = ["file", "row_idx"] if sheets_alike is None else ["file", "sheet", "row_idx"]
+    return c.groupBy(*keys).agg(*[
         F.max(F.when(F.col("col_idx") == i, text if name in layout.texts else number)).alias(name) for name, i in layout.columns.items()])
 
 
@@ -67,11 +71,11 @@ def read_monthly_sales(cells: DataFrame) -> DataFrame:
 
 def read_parties(cells: DataFrame) -> DataFrame:
     """Both party sheets from row 3; named parties with a closing balance that are no total line."""
-    out = None
-    for kind, sheet, _ in PARTY_SHEETS:
-        rows = read_rows(cells, SheetLayout(sheet, 3, {"party": 0, "opening": 1, "closing": 4}, ("party",))).withColumn("type", F.lit(kind))
-        out = rows if out is None else out.unionByName(rows)
-    return out.where(keep_party_row(F.col("party"), F.col("closing"))).select(
+    layout = SheetLayout("", 3, {"party": 0, "opening": 1, "closing": 4}, ("party",))
+    kinds = F.create_map(*[F.lit(x) for kind, sheet, _ in PARTY_SHEETS for x in (sheet, kind)])
+    # both sheets in one aggregation, so the cells are made and grouped once
+    rows = read_rows(cells, layout, [sheet for _, sheet, _ in PARTY_SHEETS]).withColumn("type", kinds[F.col("sheet")])
+    return rows.where(keep_party_row(F.col("party"), F.col("closing"))).select(
         file_entity(F.col("file")).alias("entity"), file_period(F.col("file")).alias("period"), "type", F.trim("party").alias("party"), "opening", "closing",
         to_double(cents("closing") - cents("opening"), 2).alias("movement"))
 
