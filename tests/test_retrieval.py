@@ -117,3 +117,18 @@ def test_gaps_and_nulls_lose_no_audit_chunk(spark):
     whole = {r.chunk_id for r in audit_index(Tables(spark, SF)).select("chunk_id").collect()}
     gapped = audit_index(GappedTables(spark, SF))
     assert {r.chunk_id for r in gapped.select("chunk_id").collect()} == whole and gapped.where("vec_norm > 0").count() == len(whole)
+
+
+def test_units_are_scored_once_and_hits_read_the_stored_best(spark):
+    corpus, questions = rt.corpus_of(_chunks(spark, 90)), _questions(spark, 4)
+    plan = rt.search(corpus, questions)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" not in plan
+
+
+def test_known_first_chunks_give_the_same_hits(spark):
+    chunks, questions = _chunks(spark, 90), _questions(spark, 4)
+    corpus = rt.corpus_of(chunks)
+    firsts = chunks.select(F.col("chunk_id").alias("unit"), "vec", "vec_norm", F.col("chunk_id").alias("first_chunk"))
+    known = rt.Corpus(corpus.vectors, corpus.chunks, firsts)
+    assert _rows(rt.search(known, questions, unit_block=16), HITS) == _rows(rt.search(corpus, questions), HITS)
+    assert _rows(corpus.with_first_chunk(), ["unit", "first_chunk"]) == _rows(firsts, ["unit", "first_chunk"])
