@@ -641,6 +641,52 @@ def test_token_blocks_are_checked():
         token_file.pack(np.array([5]), 5)
 
 
+def test_token_blocks_take_less_than_order_0():
+    rnd = np.random.default_rng(5)
+    ids, leap = np.zeros(60_000, np.int64), rnd.random(60_000) < 0.4
+    ids[leap] = np.minimum(rnd.zipf(1.3, int(leap.sum())), 3000)
+    for i in np.flatnonzero(~leap[1:]) + 1:  # the rest is told by the id before, or by the two before
+        ids[i] = (ids[i - 1] * 7 + 1) % 3001 if i % 3 else (ids[i - 1] * 11 + ids[i - 2] % 5) % 3001
+    packed = token_file.pack(ids, 49408)
+    assert (token_file.unpack(packed) == ids).all()
+    share = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    assert 8 * len(packed) / len(ids) < -(share * np.log2(share)).sum()
+
+
+def test_token_model_is_checked():
+    data = bytearray(token_file.pack(np.arange(1000) % 77, 100, 128))
+    data[24 + 8 * 8 + 20] ^= 1
+    with pytest.raises(ValueError, match="model"):
+        token_file.unpack(bytes(data))
+
+
+STRETCHES = ["H\u0331x H\u0331", "É é.", "E\u0301.", "\u0301abc. a\u0327\u0301", "İstanbul İ, i\u0307.", "\u212a K.", "ſ ß ẞ. STRASSE,",
+             "don't. DON'T! DON'T's 's 's. it'S, x's's", "<|ENDOFTEXT|> <|endoftext|> <|endoftext|>.", "a<|endoftext|>,, <|startoftext|>X.",
+             "…, a…, abc—... —...", "\x1cword \x00 a\x00. \x7f.", "a\u00a0b.\u2003A B. \u0085.", "1,2,3. 12. A1. x²", "№5. 5№.", "ａｂｃ. 漢字。",
+             "_a_ _ __ a_. 𝔘𝔫. \U0001f600.", "...", "", " \t\n", "ENä. Enä."]
+
+
+def test_token_stretches_against_the_library():
+    rnd, tok = np.random.default_rng(3), Tokenizer.from_file(WORDS)
+    letters = list("aAbBeEhHzZ.,!'-<|>5\u0327\u0331\u0301éÉßİİñ—…中 \t\n\u00a0Ks")
+    texts = STRETCHES + [" ".join(STRETCHES)] + ["".join(rnd.choice(letters, rnd.integers(0, 60))) for _ in range(2000)]
+    e = token_file.WordEncoder(WORDS)
+    for limit, many in ((400_000, 5000), (50, 40)):  # all at once, and with a memory that is full all the time
+        e.met = token_file.Met(limit)
+        got = [r for at in range(0, len(texts), many) for r in e.encode(texts[at:at + many], b"\2\0\0\0")]
+        assert got == [np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for t in texts]
+    assert e.encode([]) == [] and e.encode([None, ""]) == [b"", b""]
+
+
+def test_token_stretches_are_looked_up_without_capitals_and_marks():
+    e, asked = token_file.WordEncoder(WORDS), []
+    e.met, make = token_file.Met(), e._new
+    e._new = lambda new: (asked.extend(new.to_pylist()), make(new))[1]
+    e.encode(["Oberhaus oberhaus, OBERHAUS. oberhaus!", "Oberhaus"])
+    e.encode(["oberhaus. Oberhaus,"])
+    assert sorted(asked) == sorted([b"oberhaus", b"", b",", b".", b"!"])
+
+
 def test_token_index_against_the_library(spark):
     docs = edge_docs(spark, [*TEXTS, *real_texts(spark)[:60]])
     got = token_file.token_index(docs, WORDS, 2, segment_ids=3000, block=512).collect()
