@@ -653,6 +653,28 @@ def test_token_blocks_take_less_than_order_0():
     assert 8 * len(packed) / len(ids) < -(share * np.log2(share)).sum()
 
 
+def test_token_blocks_learn_as_they_are_read():
+    rnd, ids = np.random.default_rng(7), []
+    for _ in range(12):  # what follows an id, and which ids come, is told by the block alone
+        walk = rnd.permutation(4000)[:400]
+        ids.append(np.tile(walk, 2)[:700])
+        ids.append(rnd.choice(walk[:20], 324))
+    ids = np.concatenate(ids)
+    packed = token_file.pack(ids, 4000, 1024)
+    assert (token_file.unpack(packed) == ids).all()
+    alone = [len(token_file.pack(ids[at:at + 1024], 4000, 1024)) for at in range(0, len(ids), 1024)]
+    _, blocks = token_file.encode_blocks(ids, 4000, 1024)
+    share = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    assert 8 * sum(map(len, blocks)) / len(ids) < 0.8 * -(share * np.log2(share)).sum() and sum(map(len, blocks)) < sum(alone)
+
+
+def test_token_blocks_read_in_groups(monkeypatch):
+    ids = np.random.default_rng(8).integers(0, 300, 9000)
+    packed = token_file.pack(ids, 300, 512)
+    monkeypatch.setattr(token_file, "TOGETHER", 4 * 602)  # four blocks at a time
+    assert token_file.pack(ids, 300, 512) == packed and (token_file.unpack(packed) == ids).all()
+
+
 def test_token_model_is_checked():
     data = bytearray(token_file.pack(np.arange(1000) % 77, 100, 128))
     data[24 + 8 * 8 + 20] ^= 1
