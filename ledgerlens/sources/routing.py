@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,7 +42,12 @@ def by_coverage(primary: Source, fallback: Source, entity: str, unit: str, wante
     source takes all its rows from there; any other takes the fallback's rows.
     An entity below ``least`` that the fallback lacks gives no row."""
     units = wanted.select(unit).distinct()
-    p, f = (s.rows.join(units, unit, "left_semi") for s in (primary, fallback))
-    full = p.groupBy(entity).agg(F.count_distinct(unit).alias("__n")).where(F.col("__n") >= least).select(entity)
-    return p.join(full, entity, "left_semi").withColumn("route", F.lit(primary.name)).unionByName(
-        f.join(full, entity, "left_anti").withColumn("route", F.lit(fallback.name)))
+    both = None
+    for i, source in enumerate((primary, fallback)):
+        rows = source.rows.join(units, unit, "left_semi").withColumns({"route": F.lit(source.name), "__at": F.lit(i)})
+        both = rows if both is None else both.unionByName(rows)
+    # an entity's wanted rows meet once, and each source is read once
+    whole = Window.partitionBy(entity)
+    here = F.size(F.collect_set(F.when(F.col("__at") == 0, F.col(unit))).over(whole))
+    full = (here >= least) & F.col(entity).isNotNull()
+    return both.withColumn("__full", full).where((F.col("__at") == 0) == F.col("__full")).drop("__at", "__full")
