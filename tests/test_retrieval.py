@@ -53,6 +53,17 @@ def test_ties_go_to_the_smaller_chunk_id(spark):
     assert by == {0: [f"c{i:03d}" for i in range(5)], 1: [f"c{i:03d}" for i in range(8)]}
 
 
+def test_vectors_move_once_for_many_blocks_of_questions(spark, monkeypatch):
+    units = rt.corpus_of(_chunks(spark, 50)).with_first_chunk()
+    asked, numbers = [], rt._numbers
+    monkeypatch.setattr(rt, "_numbers", lambda n: asked.append(n) or numbers(n))
+    together = rt.best_units(units, _questions(spark, 20), 5, question_block=2, unit_block=16)
+    assert asked == [4, 1]  # four blocks of units, and their vectors are not copied for each of ten blocks of questions
+    monkeypatch.setattr(rt, "BLOCKS_TOGETHER", 1)
+    apart = rt.best_units(units, _questions(spark, 20), 5, question_block=2, unit_block=16)
+    assert asked[2:] == [4, 10] and sorted(map(tuple, together.collect())) == sorted(map(tuple, apart.collect()))
+
+
 def test_no_questions_or_no_corpus_gives_no_hits(spark):
     chunks, questions = _chunks(spark, 3), _questions(spark, 3)
     assert rt.search(rt.corpus_of(chunks.limit(0)), questions).count() == 0
